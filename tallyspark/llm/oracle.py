@@ -79,5 +79,37 @@ WHERE rank <= 5
 """
 
 
+OP8 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
+                      WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded
+), sets AS (
+  SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY ALL
+), items AS (
+  SELECT rep, n, unnest(s) AS x FROM sets
+), pairs AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
+  GROUP BY a.rep, b.rep
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * common >= 90 * (na + nb - common)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, other) AS (
+  SELECT rep, rep FROM sets
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a
+), lowest AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component_id END AS component_id
+FROM shingled d LEFT JOIN sets t ON list_sort(d.s) = t.s LEFT JOIN lowest l ON t.rep = l.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": OP3, "op4_exact_dedup": OP4, "op5_source_mix": OP5, "op6_nearest_neighbours": OP6}
+    return {"op3_warc_archive": OP3, "op4_exact_dedup": OP4, "op5_source_mix": OP5, "op6_nearest_neighbours": OP6, "op8_ngram_join": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, exact_dedup, langid, mixing, packing, quality, sharding, url_filter, warc
+from tallyspark.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, quality, sharding, url_filter, warc
 from tallyspark.llm.common import crc_mod
 
 
@@ -59,6 +59,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "difference")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op5_source_mix": op5_source_mix,
         "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_quality": op7_quality,
+        "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
     }
