@@ -96,7 +96,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 11 != 0, F.concat(F.lit("chain-"), F.col("event_id") % 4)).alias("chain_id"),
         F.when(F.col("event_type") == "signup", "watchlist").when(F.col("event_type") == "error", "shopping_list").otherwise("search").alias("source"),
         F.when(F.col("value") > 0, F.floor(F.col("value") * 100 + 0.5) / 100).alias("avg_price"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"),
     )
 
 
@@ -108,6 +108,6 @@ signals AS (
          CASE WHEN user_id % 11 <> 0 THEN 'chain-' || (event_id % 4) END AS chain_id,
          CASE WHEN event_type = 'signup' THEN 'watchlist' WHEN event_type = 'error' THEN 'shopping_list' ELSE 'search' END AS source,
          CASE WHEN value > 0 THEN floor(value * 100 + 0.5) / 100 END AS avg_price,
-         strftime(ts, '%Y-%m-%d %H:%M:%S') AS at
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at
   FROM events
 )"""

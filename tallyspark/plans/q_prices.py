@@ -97,21 +97,21 @@ def price_lookup_summary(spark, d):
 
 
 @query("price_record_filters", f"""WITH {LATEST} SELECT offer_id, chain_id, current_price, date_diff('day', snapshot_date::DATE, DATE '{AS_OF}') > 365 AS is_stale
-  FROM offers WHERE chain_id IN ('FRANCE', 'CHINA', 'BRAZIL')""")
+  FROM offers WHERE chain_id IN ('NATION_1', 'NATION_4', 'NATION_22', 'NATION_9', 'NATION_11', 'NATION_15')""")
 def price_record_filters(spark, d):
-    rows = P.current_offers(snapshots(spark, d)).filter(F.col("chain_id").isin("FRANCE", "CHINA", "BRAZIL"))
+    rows = P.current_offers(snapshots(spark, d)).filter(F.col("chain_id").isin("NATION_1", "NATION_4", "NATION_22", "NATION_9", "NATION_11", "NATION_15"))
     return rows.select("offer_id", "chain_id", "current_price", P.is_stale(F.col("snapshot_date"), AS_OF, 365).alias("is_stale"))
 
 
 @query("fallback_read_path", f"""WITH {LATEST}, asked AS (SELECT range AS canonical_product_id FROM range(0, 300, 7)),
-  first AS (SELECT canonical_product_id, source_product_id, current_price AS price FROM offers WHERE chain_id = 'FRANCE' AND canonical_product_id IN (SELECT canonical_product_id FROM asked)),
+  first AS (SELECT canonical_product_id, source_product_id, current_price AS price FROM offers WHERE chain_id = 'NATION_4' AND canonical_product_id IN (SELECT canonical_product_id FROM asked)),
   second AS (SELECT canonical_product_id, source_product_id, price FROM latest WHERE canonical_product_id IN (SELECT canonical_product_id FROM asked))
   SELECT *, 'offers' AS path FROM first UNION ALL SELECT *, 'snapshots' FROM second WHERE NOT EXISTS (SELECT 1 FROM first)""")
 def fallback_read_path(spark, d):
     """Offers if the request has any, else the snapshots: one flag for the whole request, decided inside the plan."""
     rows = snapshots(spark, d)
     asked = spark.range(0, 300, 7).withColumnRenamed("id", "canonical_product_id")
-    offers = P.current_offers(rows).filter("chain_id = 'FRANCE'").join(F.broadcast(asked), "canonical_product_id", "left_semi")
+    offers = P.current_offers(rows).filter("chain_id = 'NATION_4'").join(F.broadcast(asked), "canonical_product_id", "left_semi")
     first = offers.select("canonical_product_id", "source_product_id", F.col("current_price").alias("price"), F.lit("offers").alias("path"))
     last = P.latest_per_key(P.with_price(rows).select("source_product_id", "canonical_product_id", "price", "snapshot_date", "ingested_at", "snapshot_id"), ["source_product_id"], ["snapshot_date", "ingested_at", "snapshot_id"])
     second = last.join(F.broadcast(asked), "canonical_product_id", "left_semi").select("canonical_product_id", "source_product_id", "price", F.lit("snapshots").alias("path"))
