@@ -40,7 +40,8 @@ def matches(rows: DataFrame, scalars: dict | None = None, arrays: dict | None =
     """Enrichment filters: trimmed equality without case, any of an array's values, flags where null is false, and a least confidence."""
     norm = lambda x: F.lower(F.trim(x))
     tests = [norm(F.col(c)) == str(v).strip().lower() for c, v in (scalars or {}).items() if v is not None]
-    tests += [F.exists(c, lambda x, vs=vs: norm(x).isin(*[str(v).strip().lower() for v in vs])) for c, vs in (arrays or {}).items() if vs]
+    any_of = lambda vs: lambda x: norm(x).isin(*[str(v).strip().lower() for v in vs])
+    tests += [F.exists(c, any_of(vs)) for c, vs in (arrays or {}).items() if vs]
     tests += [F.coalesce(F.col(c), F.lit(False)) == v for c, v in (flags or {}).items() if v is not None]
     if least_confidence is not None:
         tests.append(F.col("confidence") >= least_confidence)
