@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Units as written, and the unit and factor they become; fixed values.
 UNITS = {"g": ("g", 1.0), "kg": ("g", 1000.0), "ml": ("ml", 1.0), "cl": ("ml", 10.0), "l": ("ml", 1000.0)}
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -142,7 +143,7 @@ def hash_of(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_outside_parentheses(s: pd.Series) -> pd.Series:
     """Parts between commas that aren't inside parentheses; unmatched ones close at the end."""
 

@@ -45,7 +45,8 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
 
     names = [clean_header(c) for c in next(csv.reader([header.lstrip("﻿")], delimiter=delimiter), [])]
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_malformed", T.StringType())])
-    return spark.read.csv(path, sep=delimiter, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", quote='"', escape='"', enforceSchema=True)
+    # a row is malformed by all its cells, so none are pruned before that is known
+    return spark.read.option("columnPruning", "false").csv(path, sep=delimiter, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", quote='"', escape='"', enforceSchema=True)
 
 
 def snapshot_rows(raw: DataFrame, snapshot_date: str, source: str) -> DataFrame:
