@@ -40,7 +40,8 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, digest: Callable[[Column], Column] = whole):
         self.spark, self.path, self.digest = spark, path or scratch_path(spark, "digest-index"), digest
-        self.runs: list[str] = []
+        self.runs: list[str] = []  # not compacted yet
+        self.flushed = self.compacted = 0
         self.level: str | None = None
 
     def _write(self, df: DataFrame, at: str) -> str:
@@ -49,16 +50,19 @@ class DigestIndex:
         return at
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch: one sorted run a task. Gives the run's rows: id, seq (a row number), sha, digest."""
+        """Add a batch: one sorted run a task. Gives the run's rows: id, batch and seq (together a row's number), sha, digest."""
         sha = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-        rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("seq"), sha.alias("sha"))
+        rows = docs.select(F.col(id_col).alias("id"), F.lit(self.flushed).alias("batch"), F.monotonically_increasing_id().alias("seq"), sha.alias("sha"))
         rows = rows.withColumn("digest", self.digest(F.col("sha"))).sortWithinPartitions("digest", "id")
-        self.runs.append(self._write(rows, f"{self.path}/level0/run{len(self.runs)}"))
+        self.runs.append(self._write(rows, f"{self.path}/level0/run{self.flushed}"))
+        self.flushed += 1
         return self.spark.read.schema(rows.schema).parquet(self.runs[-1])
 
     def compact(self) -> DataFrame:
         """Merge the runs, and the level before, to digest, keep (the smallest id and row), rows; sorted by digest."""
-        keep = F.struct(F.col("id").isNull().alias("none"), "id", "seq")
+        keep = F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq")
+        if not self.runs:
+            return self.spark.read.parquet(self.level)
         parts = [self.spark.read.parquet(r).select("digest", keep.alias("keep"), F.lit(1).cast("long").alias("rows")) for r in self.runs]
         if self.level:
             parts.append(self.spark.read.parquet(self.level))
@@ -66,8 +70,9 @@ class DigestIndex:
         for p in parts[1:]:
             merged = merged.unionByName(p)
         merged = merged.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("rows").alias("rows")).sortWithinPartitions("digest")
-        at = f"{self.path}/level1/{len(self.runs)}"
-        self.level = self._write(merged, at)
+        self.compacted += 1
+        at = self._write(merged, f"{self.path}/level1/{self.compacted}")
+        self.level, self.runs = at, []
         return self.spark.read.schema(merged.schema).parquet(at)
 
     def lookup(self, digest: bytes) -> DataFrame:
@@ -94,12 +99,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, level = index.flush(docs, id_col, text_col), index.compact()
     wrong = save(false_hits(docs, level, digest, id_col, text_col), "false-hits")
     if not wrong.count():
-        got = rows.join(level, "digest").select("id", F.col("keep.id").alias("keep_id"), F.col("rows").alias("group_size"), "seq", F.col("keep.seq").alias("keep_seq"), "sha")
+        got = rows.join(level, "digest").select("id", F.col("keep.id").alias("keep_id"), F.col("rows").alias("group_size"), "batch", "seq", F.col("keep.batch").alias("keep_batch"), F.col("keep.seq").alias("keep_seq"), "sha")
     else:
         # what was joined wrongly leaves its digest's group; those rows group by the bytes of their texts
-        first = rows.groupBy("id", "sha").agg(F.min("seq").alias("seq"), F.count("*").alias("same")).toDF("__id", "__sha", "seq", "same")
+        first = rows.groupBy("id", "sha").agg(F.min(F.struct("batch", "seq")).alias("at"), F.count("*").alias("same")).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "at.batch", "at.seq", "same")
         own = wrong.dropDuplicates(["id", "sha"]).join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")))
-        by_text = own.groupBy("sha", "body").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("own"), F.sum("same").alias("own_rows")).select(F.col("sha").alias("own_sha"), "own", "own_rows")
+        by_text = own.groupBy("sha", "body").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq")).alias("own"), F.sum("same").alias("own_rows")).select(F.col("sha").alias("own_sha"), "own", "own_rows")
         lost = wrong.groupBy("digest").agg(F.count("*").alias("lost"))
         got = rows.join(level, "digest").join(lost, "digest", "left").join(small(by_text, 120), F.col("sha") == F.col("own_sha"), "left")
         ours = F.col("own").isNotNull()
@@ -107,11 +112,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "id",
             F.when(ours, F.col("own.id")).otherwise(F.col("keep.id")).alias("keep_id"),
             F.when(ours, F.col("own_rows")).otherwise(F.col("rows") - F.coalesce("lost", F.lit(0))).alias("group_size"),
+            "batch",
             "seq",
+            F.when(ours, F.col("own.batch")).otherwise(F.col("keep.batch")).alias("keep_batch"),
             F.when(ours, F.col("own.seq")).otherwise(F.col("keep.seq")).alias("keep_seq"),
             "sha",
         )
-    return got.select("id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "sha")
+    return got.select("id", "keep_id", "group_size", ((F.col("batch") == F.col("keep_batch")) & (F.col("seq") == F.col("keep_seq"))).alias("kept"), "sha")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import crc_mod, short_batches, unit_hash
 
-ORDER, DISCOUNT, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, CACHED = 5, 0.75, 4_000_000, 2000, 3.0, 300_000
+ORDER, DISCOUNT, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, CACHED = 5, 0.75, 4_000_000, 2000, 3.0, 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,20 +168,19 @@ class LanguageModels:
     def _prob(self, w: np.ndarray, order: int) -> np.ndarray:
         return np.exp(self._log(w, order).astype(np.float64))
 
-    def words(self, new: list[str]) -> list[tuple[np.ndarray, int]]:
+    def words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log-probabilities per language, and characters, of each word."""
-        out: list[tuple[np.ndarray, int]] = []
-        at = 0
+        sums, sizes, at = [], [], 0
         while at < len(new):  # blocks of bounded size
             upto, size = at, 0
-            while upto < len(new) and (size < 200_000 or upto == at):
+            while upto < len(new) and (size < 100_000 or upto == at):
                 size += len(new[upto]) + 1
                 upto += 1
             w, n = _windows(new[at:upto])
-            sums = np.add.reduceat(self._log(w, ORDER).astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-            out += [(s, int(k)) for s, k in zip(sums, n)]
+            sums.append(np.add.reduceat(self._log(w, ORDER).astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0))
+            sizes.append(n)
             at = upto
-        return out
+        return np.concatenate(sums), np.concatenate(sizes)
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities (a row per text, a column per language) and characters of whole texts."""
@@ -189,7 +188,7 @@ class LanguageModels:
         while at < len(texts):  # blocks of texts, so that places of words are held for few texts at once
             if len(self.vocab) > CACHED:
                 self.vocab, self.table, self.chars = Vocabulary(), np.zeros((0, len(self.langs))), np.zeros(0, dtype=np.int64)
-            upto, room, places = at, 2_000_000, []
+            upto, room, places = at, 300_000, []
             while upto < len(texts) and (room > 0 or upto == at):
                 words = texts[upto].lower().split()
                 places.append(np.fromiter(map(self.vocab.__getitem__, words), dtype=np.int64, count=len(words)))
@@ -197,7 +196,7 @@ class LanguageModels:
                 upto += 1
             if new := self.vocab.take_new():
                 found = self.words(new)
-                self.table, self.chars = np.concatenate([self.table, np.array([f[0] for f in found])]), np.concatenate([self.chars, np.array([f[1] for f in found])])
+                self.table, self.chars = np.concatenate([self.table, found[0]]), np.concatenate([self.chars, found[1]])
             for k, p in enumerate(places):
                 total[at + k], size[at + k] = self.table[p].sum(axis=0), self.chars[p].sum()
             at = upto
