@@ -34,7 +34,9 @@ from tallyspark.llm.common import forget, save, short_batches, small
 from tallyspark.llm.graph import components
 from tallyspark.llm.shingles import sets
 
-GROUPS, LEAF, CHUNK = 64, 32, 2000
+GROUPS, LEAF, CHUNK = 256, 32, 2000
+#: A group count that stands for itself and everything above; its bound always holds.
+FULL = 65_535
 #: Cells of the table of hashed counts, and the slices in which it travels.
 CELLS, SLICES, FAN_IN = 1 << 20, 64, 64
 #: Sets that one task remembers so as not to send copies' keys again; it only saves work.
@@ -47,7 +49,17 @@ def need(n_a, n_b, num: int, den: int):
 
 
 def counts_of(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
+
+
+def points_of(raw) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, raw)), dtype=np.uint16).reshape(-1, GROUPS)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n_a, n_b, num: int, den: int) -> np.ndarray:
+    """Whether the summed minima of coordinates (rows of a against b) allow the threshold."""
+    bound = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    return (bound * (den + num) >= need(n_a, n_b, num, den)) | (a.max(axis=-1) == FULL)
 
 
 def prefix(tokens: np.ndarray, cells: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -63,7 +75,7 @@ class CountTree:
     levels above take LEAF nodes each. A node keeps the upper corner of its points and their least size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        spread = np.argsort(-points.std(axis=0), kind="stable")[:2] if len(points) else []
+        spread = np.argsort(-points.astype(np.float32).std(axis=0), kind="stable")[:2] if len(points) else []
         self.order = np.lexsort((*[points[:, s] for s in spread], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
         corner, least = self.points, self.sizes
@@ -78,21 +90,35 @@ class CountTree:
         at = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
             corner, least = self.levels[k]
-            reach = np.minimum(corner[at], point).sum(axis=1) * (den + num) >= need(size, least[at], num, den)
+            reach = may_reach(corner[at], point, size, least[at], num, den)
             below = len(self.levels[k - 1][0]) if k else len(self.points)
             at = (at[reach][:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < below]
-        reach = np.minimum(self.points[at], point).sum(axis=1) * (den + num) >= need(size, self.sizes[at], num, den)
+        reach = may_reach(self.points[at], point, size, self.sizes[at], num, den)
         return self.order[at[reach]]
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: list, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one place of `left` and one of `right`, in different components, that the bound lets through."""
-    tree = CountTree(points[right], sizes[right])
-    both = len(left) == len(right) and (left == right).all()
-    for i in left:
-        for j in right[tree.search(points[i], sizes[i], num, den)]:
-            if comps[i] != comps[j] and (i < j or not both):
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one place of `left` and one of `right`, in different components, that the bound lets through.
+
+    Of two components at most one is the largest here, so only members of the others ask, and members of the largest are only found.
+    """
+    codes = np.unique(comps, return_inverse=True)[1]
+    most = np.bincount(codes).argmax()
+    same = len(left) == len(right) and (left == right).all()
+    turns = [(left[codes[left] != most], right)]
+    if not same:
+        turns.append((left[codes[left] == most], right[codes[right] != most]))
+    for asking, among in turns:
+        if not len(asking) or not len(among):
+            continue
+        tree = CountTree(points[among], sizes[among])
+        for i in asking:
+            found = among[tree.search(points[i], sizes[i], num, den)]
+            found = found[codes[found] != codes[i]]
+            if same:
+                found = found[(codes[found] == most) | (found > i)]
+            for j in found:
                 yield int(i), int(j)
 
 
@@ -199,8 +225,7 @@ def _may_link(num: int, den: int):
     def test(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(map(bytes, s)), dtype=np.int32).reshape(-1, GROUPS) for s in (a, b))
-        return pd.Series(np.minimum(x, y).sum(axis=1) * (den + num) >= need(n_a.to_numpy(), n_b.to_numpy(), num, den))
+        return pd.Series(may_reach(points_of(a), points_of(b), n_a.to_numpy(), n_b.to_numpy(), num, den))
 
     return test
 
@@ -232,13 +257,13 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
     columns = ["key", "i", "j", "side", "sid", "comp", "low", "n", "counts"]
 
     def group(g: pd.DataFrame) -> list[tuple]:
-        points = np.frombuffer(b"".join(map(bytes, g["counts"])), dtype=np.int32).reshape(-1, GROUPS)
+        points = points_of(g["counts"])
         sizes, side = g["n"].to_numpy(dtype=np.int64), g["side"].to_numpy()
         whole = np.arange(len(g))
         left, right = (whole, whole) if (side == 0).any() else (whole[side == 1], whole[side == 2])
         if not len(left) or not len(right):
             return []
-        sid, comp, low = list(g["sid"]), [bytes(c) for c in g["comp"]], list(g["low"])
+        sid, comp, low = list(g["sid"]), np.array([bytes(c).hex() for c in g["comp"]]), list(g["low"])
         return [(sid[i], low[i], sid[j], low[j]) for i, j in tree_pairs(points, sizes, comp, left, right, num, den)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,10 +319,16 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     links = _links(docs, pairs, width, num, den)
     labels = save(components(links), "labels")
     # second turn: trees of three or more sets that still hold several components
-    held = trees.join(own.select("h", "sid", "low", "n", "counts"), "h").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    held = trees.join(own.select("h", "sid", "low", "n"), "h").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     held = held.withColumn("comp", F.coalesce("label", "sid"))
     held = held.withColumn("low_comp", F.min("comp").over(w)).withColumn("high_comp", F.max("comp").over(w)).withColumn("size", F.count("*").over(w))
-    rest = save(held.filter("low_comp < high_comp and size > 2 and h != least").select("key", "sid", "comp", F.col("low").cast("string").alias("low"), "n", "counts", "size"), "rest")
+    held = held.filter("low_comp < high_comp and size > 2 and h != least")
+    # near copies share many shingles: trees of equal members (by two hashes and the number) are searched once
+    mark = lambda seed: F.expr(f"bit_xor(xxhash64(sid, {seed}))").over(w)
+    held = held.withColumn("one", mark(1)).withColumn("two", mark(2))
+    chosen = held.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key")
+    held = held.join(chosen, "key", "left_semi").select("key", "sid", "comp", F.col("low").cast("string").alias("low"), "n", "size")
+    rest = save(held.join(own.select("sid", "counts"), "sid"), "rest")
     if rest.count():
         chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         rest = rest.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
@@ -306,8 +337,8 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         side_of = F.when(F.col("i") == F.col("j"), 0).when(F.col("c") == F.col("i"), 1).otherwise(2)
         more = save(_search_trees(rest.withColumn("side", side_of), num, den), "tree-pairs")
         if more.count():
-            links = links.unionByName(_links(docs, more, width, num, den))
-            labels = save(components(links), "labels")
+            stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = save(components(stars.unionByName(_links(docs, more, width, num, den))), "labels")
     named = own.select("sid", "low").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     of_set = save(named.join(lowest, "comp").select("sid", "component_id"), "components")
