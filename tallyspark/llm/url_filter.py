@@ -22,7 +22,7 @@ from tallyspark.llm.common import short_batches
 
 #: Host and path prefix, and the verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-WIDTH, SIZES, PENALTY, CUT = 1 << 14, (3, 4, 5), 0.02, 0.5
+WIDTH, SIZES, PENALTY, CUT = 1 << 14, (3, 4, 5), 0.002, 0.5
 
 #: The labelled table: hosts and paths of unwanted and of wanted pages. Each host is paired with each of its paths.
 BLOCK_HOSTS = (
@@ -31,7 +31,7 @@ BLOCK_HOSTS = (
     "pills-shop.example.net", "diet-pills.example.com", "cheap-watches.example.org", "www.cheap-loans.example.com", "payday-loans.example.net",
     "ads-server.example.org", "banner-ads.example.com", "click-track.example.net", "tracker-pixel.example.org", "ad-track.example.com",
     "spam-links.example.org", "seo-spam.example.com", "link-farm.example.net", "content-farm.example.org", "blog.spam-net.example.com",
-    "free-prizes.example.com", "xxx-cams.example.org", "hot-dating.example.net", "crack-warez.example.com", "torrent-free.example.org",
+    "free-prizes.example.com", "xxx-cams.example.org", "adult-videos.example.net", "hot-dating.example.net", "crack-warez.example.com", "torrent-free.example.org",
 )
 ALLOW_HOSTS = (
     "news.example.com", "www.library.example.org", "blog.gardening.example.net", "m.recipes.example.com", "university.example.org",
@@ -46,7 +46,7 @@ PATHS = ("/en/31", "/de/207.html", "/fr/9/", "/es/5120")
 
 def labelled_urls() -> list[tuple[str, str, int]]:
     """(host, path, 1 for block)."""
-    return [(h, PATHS[(i + k) % 4], int(y)) for y, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for i, h in enumerate(hosts) for k in range(2)]
+    return [(h, PATHS[(i + k) % 4], int(y)) for y, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for i, h in enumerate(hosts) for k in range(4)]
 
 
 def grams(host: str, path: str, sizes: Sequence[int] = SIZES, width: int = WIDTH) -> dict[int, float]:
@@ -64,7 +64,7 @@ def grams(host: str, path: str, sizes: Sequence[int] = SIZES, width: int = WIDTH
 class UrlModel:
     """Weights by gradient steps with momentum on the whole table: few rows, the same result each time."""
 
-    def __init__(self, rows: Iterable[tuple[str, str, int]] | None = None, width: int = WIDTH, penalty: float = PENALTY, steps: int = 400):
+    def __init__(self, rows: Iterable[tuple[str, str, int]] | None = None, width: int = WIDTH, penalty: float = PENALTY, steps: int = 600):
         rows = list(labelled_urls() if rows is None else rows)
         self.width = width
         x = np.zeros((len(rows), width))
