@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import rounded
-from tallyspark.operators import changes as C
 from tallyspark.operators import prices as P
 from tallyspark.operators.quality import matches
 from tallyspark.plans.adapter import LATEST, SNAPSHOTS, read, snapshots, sql_avg, sql_round
