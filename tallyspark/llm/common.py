@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator broadcasts after it has counted the rows.
 BROADCAST_BYTES = 8 << 20
+WRITERS_PER_CORE = 4
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Rows that Spark hands to Python at once. Whole texts can be long, so the batches are short.
-ARROW_ROWS = 1000
+#: Rows, and bytes, that Spark hands to Python at once. Whole texts can be long, so the batches are short.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,10 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and any executor can read it."""
+def save(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, and any executor can read it.
+
+    narrow: what a shuffle leaves is little, so a few tasks a core write it, not one for each of the shuffle's partitions.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.coalesce(WRITERS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism) if narrow else df
+    out.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -68,6 +73,7 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound what one Python worker holds."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def parts_for(n: int, each: int) -> int:

@@ -16,7 +16,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.llm.common import SPACES, save, scratch_path, small
 
@@ -97,7 +96,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, keep_id, group_size, kept, sha (binary SHA-256 of the normalised text)."""
     index = DigestIndex(docs.sparkSession, digest=digest)
     rows, level = index.flush(docs, id_col, text_col), index.compact()
-    wrong = save(false_hits(docs, level, digest, id_col, text_col), "false-hits")
+    wrong = save(false_hits(docs, level, digest, id_col, text_col), "false-hits", narrow=True)
     if not wrong.count():
         got = rows.join(level, "digest").select("id", F.col("keep.id").alias("keep_id"), F.col("rows").alias("group_size"), "batch", "seq", F.col("keep.batch").alias("keep_batch"), F.col("keep.seq").alias("keep_seq"), "sha")
     else:
@@ -123,7 +122,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = save(exact_groups(docs, id_col, text_col), "exact-groups")
+    groups = save(exact_groups(docs, id_col, text_col), "exact-groups", narrow=True)
     gone = groups.filter("not kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("__again")).distinct()
     again = gone.filter("__again").count()
     sha = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))

@@ -66,7 +66,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of any orderable type: node, label (the least node of its component); nodes without edges have no row."""
-    now = save(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = save(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", narrow=True)
     parts = parts_for(now.count(), TASK_EDGES)
     step = save(forest(now.coalesce(1) if parts == 1 else now.repartition(parts, "u")), "edges")
     forget(now)
@@ -76,7 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not state["n"] or (state["n"], state["x"]) == mark:
             break
         mark = (state["n"], state["x"])
-        step = save(_star(_star(now, True), False), "edges")
+        step = save(_star(_star(now, True), False), "edges", narrow=True)
         forget(now)
         now = step
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -233,7 +233,7 @@ def _may_link(num: int, den: int):
 def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: sets' rows with sid, low) that link, verified on the true sets."""
     ends = pairs.select(F.explode(F.array(F.struct("a.sid", "a.low"), F.struct("b.sid", "b.low"))).alias("x")).select("x.*").distinct()
-    true = save(_true_sets(docs, save(ends, "join-ends"), width), "join-sets")
+    true = save(_true_sets(docs, save(ends, "join-ends", narrow=True), width), "join-sets", narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -247,7 +247,7 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     slim = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
     with_a = slim.join(true.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(true.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    links = save(with_b.mapInPandas(run, "a binary, b binary"), "links")
+    links = save(with_b.mapInPandas(run, "a binary, b binary"), "links", narrow=True)
     forget(true)
     return links
 
@@ -305,17 +305,17 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     own = points.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     # h: the first eight bytes of the digest as a number; where two sets share it, both stand for it, and meet each other
     start = _start_of("sid")
-    own = save(own.withColumn("h", start), "sets")
+    own = save(own.withColumn("h", start), "sets", narrow=True)
     w = Window.partitionBy("key")
     routed = _routes(docs, width, cells, num, den).withColumn("least", F.min("h").over(w)).withColumn("most", F.max("h").over(w)).filter("least < most")
-    trees = save(routed.select("key", "h", "least").distinct(), "trees")
+    trees = save(routed.select("key", "h", "least").distinct(), "trees", narrow=True)
     same_h = own.groupBy("h").count().filter("count > 1").select(F.col("h").alias("x"), F.col("h").alias("y"))
     stars = trees.filter("h != least").select(F.col("least").alias("x"), F.col("h").alias("y")).distinct().unionByName(same_h)
     end = F.struct("sid", F.col("low").cast("string").alias("low"), "n", "counts")
     side = lambda x, name: own.select(F.col("h").alias(x), end.alias(name))
     test = _may_link(num, den)
     pairs = stars.join(side("x", "a"), "x").join(side("y", "b"), "y").filter("a.sid < b.sid or (x != y and a.sid != b.sid)")
-    pairs = save(pairs.filter(test("a.counts", "b.counts", "a.n", "b.n")).select(F.struct("a.sid", "a.low").alias("a"), F.struct("b.sid", "b.low").alias("b")), "star-pairs")
+    pairs = save(pairs.filter(test("a.counts", "b.counts", "a.n", "b.n")).select(F.struct("a.sid", "a.low").alias("a"), F.struct("b.sid", "b.low").alias("b")), "star-pairs", narrow=True)
     links = _links(docs, pairs, width, num, den)
     labels = save(components(links), "labels")
     # second turn: trees of three or more sets that still hold several components
@@ -328,20 +328,20 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     held = held.withColumn("one", mark(1)).withColumn("two", mark(2))
     chosen = held.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key")
     held = held.join(chosen, "key", "left_semi").select("key", "sid", "comp", F.col("low").cast("string").alias("low"), "n", "size")
-    rest = save(held.join(own.select("sid", "counts"), "sid"), "rest")
+    rest = save(held.join(own.select("sid", "counts"), "sid"), "rest", narrow=True)
     if rest.count():
         chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         rest = rest.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
         rest = rest.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         rest = rest.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d"))
         side_of = F.when(F.col("i") == F.col("j"), 0).when(F.col("c") == F.col("i"), 1).otherwise(2)
-        more = save(_search_trees(rest.withColumn("side", side_of), num, den), "tree-pairs")
+        more = save(_search_trees(rest.withColumn("side", side_of), num, den), "tree-pairs", narrow=True)
         if more.count():
             stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = save(components(stars.unionByName(_links(docs, more, width, num, den))), "labels")
     named = own.select("sid", "low").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_set = save(named.join(lowest, "comp").select("sid", "component_id"), "components")
+    of_set = save(named.join(lowest, "comp").select("sid", "component_id"), "components", narrow=True)
     out = points.join(of_set, "sid", "left")
     forget(trees)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -357,5 +357,5 @@ def _start_of(column: str):
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose identifier is that of their component, with all their columns; rows without words stay."""
     found = join_components(docs, width, num, den, id_col, text_col)
-    gone = save(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    gone = save(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies", narrow=True)
     return docs.join(small(gone, 16), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -210,7 +210,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """Rows doc_id, piece, start, length, ids, sequence_id, offset."""
     spark = docs.sparkSession
     pieces = save(tokenise(docs, path, id_col, text_col, room, end), "pieces")
-    per_part = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    per_part = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
     table = places(pack_lengths(histogram, room))
     # offset of each task's ranks: partial sums over tasks, for each length

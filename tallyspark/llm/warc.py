@@ -99,13 +99,13 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = save(rows, "warc-spool")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     slim = rows.select("id", "url", "key", "row", "bytes", "digest")
-    groups = save(slim.groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("group_rows")), "warc-groups")
+    groups = save(slim.groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("group_rows")), "warc-groups", narrow=True)
     many = groups.filter("group_rows > 1")
     n_many = many.count()
     several = rows.join(small(many.select("key", "first", "group_rows"), 120, n_many), "key")
     stored = several.filter(F.col("row") == F.col("first.row")).select("key", "group_rows", F.col("payload").alias("stored"))
     differ = _salted(several.select("key", "row", "id", "payload", "group_rows"), stored, ["key"]).filter(F.col("payload") != F.col("stored"))
-    differ = save(differ.select("key", "row", "id", F.sha2("payload", 512).alias("body"), F.lit(0).alias("zero")), "warc-differ")
+    differ = save(differ.select("key", "row", "id", F.sha2("payload", 512).alias("body"), F.lit(0).alias("zero")), "warc-differ", narrow=True)
     base = slim.join(groups, "key").withColumn("variant", F.lit(""))
     apart = differ.count()
     if apart:
@@ -128,7 +128,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         store = base.filter(F.col("row") == F.col("first.row")).select("row", "variant", "group_rows")
         body = body.join(store, "row")
     else:
-        extra = save(base.filter(F.col("row") != F.col("first.row")).select("row"), "warc-extra")
+        extra = save(base.filter(F.col("row") != F.col("first.row")).select("row"), "warc-extra", narrow=True)
         body = body.join(small(extra, 16), "row", "left_anti").join(small(many.select("key", "group_rows"), 60, n_many), "key", "left")
         body = body.withColumn("variant", F.lit("")).withColumn("group_rows", F.coalesce("group_rows", F.lit(1).cast("long")))
     body.select("key", "variant", "group_rows", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
