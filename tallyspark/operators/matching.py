@@ -160,9 +160,9 @@ def greedy_clusters(items: DataFrame, threshold: float = 0.72) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir; one is set here only where the session has none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/tallyspark")
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tallyspark")
     return df.checkpoint()
 
 
