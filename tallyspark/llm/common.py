@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator broadcasts after it has counted the rows.
 BROADCAST_BYTES = 8 << 20
-WRITERS_PER_CORE = 4
+WRITERS_PER_CORE = 2
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "/tmp/checkpoints/tallyspark"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

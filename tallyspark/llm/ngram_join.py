@@ -253,8 +253,11 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
 
 
 def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, low, n, counts. Gives pairs a, b (structs sid, low)."""
-    columns = ["key", "i", "j", "side", "sid", "comp", "low", "n", "counts"]
+    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, low, n, counts, keys. Gives pairs a, b (structs sid, low).
+
+    keys: all trees that a member is in. Near copies meet in many trees; a pair comes from the least tree that has both.
+    """
+    columns = ["key", "i", "j", "side", "sid", "comp", "low", "n", "counts", "keys"]
 
     def group(g: pd.DataFrame) -> list[tuple]:
         points = points_of(g["counts"])
@@ -264,7 +267,8 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
         if not len(left) or not len(right):
             return []
         sid, comp, low = list(g["sid"]), np.array([bytes(c).hex() for c in g["comp"]]), list(g["low"])
-        return [(sid[i], low[i], sid[j], low[j]) for i, j in tree_pairs(points, sizes, comp, left, right, num, den)]
+        key, keys = int(g["key"].iloc[0]), [frozenset(k.tolist()) for k in g["keys"]]
+        return [(sid[i], low[i], sid[j], low[j]) for i, j in tree_pairs(points, sizes, comp, left, right, num, den) if min(keys[i] & keys[j]) == key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: list[pd.DataFrame] = []
@@ -328,7 +332,9 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     held = held.withColumn("one", mark(1)).withColumn("two", mark(2))
     chosen = held.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key")
     held = held.join(chosen, "key", "left_semi").select("key", "sid", "comp", F.col("low").cast("string").alias("low"), "n", "size")
-    rest = save(held.join(own.select("sid", "counts"), "sid"), "rest", narrow=True)
+    # a set is in no more trees than its prefix is long
+    where = held.groupBy("sid").agg(F.collect_set("key").alias("keys"))
+    rest = save(held.join(own.select("sid", "counts"), "sid").join(where, "sid"), "rest", narrow=True)
     if rest.count():
         chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         rest = rest.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
