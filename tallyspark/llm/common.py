@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator broadcasts after it has counted the rows.
 BROADCAST_BYTES = 8 << 20
-WRITERS_PER_CORE = 2
+#: Tasks a core that write a narrow table, and one that is wide to make.
+FEW, MANY = 2, 16
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -32,13 +33,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def save(df: DataFrame, name: str, narrow: bool = False, heavy: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and any executor can read it.
 
     narrow: what a shuffle leaves is little, so a few tasks a core write it, not one for each of the shuffle's partitions.
+    heavy: little is written but much is read for it, so more tasks a core share that.
     """
     path = scratch_path(df.sparkSession, name)
-    out = df.coalesce(WRITERS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism) if narrow else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    out = df.coalesce((MANY if heavy else FEW) * cores) if narrow or heavy else df
     out.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -233,7 +233,7 @@ def _may_link(num: int, den: int):
 def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: sets' rows with sid, low) that link, verified on the true sets."""
     ends = pairs.select(F.explode(F.array(F.struct("a.sid", "a.low"), F.struct("b.sid", "b.low"))).alias("x")).select("x.*").distinct()
-    true = save(_true_sets(docs, save(ends, "join-ends", narrow=True), width), "join-sets", narrow=True)
+    true = save(_true_sets(docs, save(ends, "join-ends", narrow=True), width), "join-sets", heavy=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -247,7 +247,7 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     slim = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
     with_a = slim.join(true.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(true.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    links = save(with_b.mapInPandas(run, "a binary, b binary"), "links", narrow=True)
+    links = save(with_b.mapInPandas(run, "a binary, b binary"), "links", heavy=True)
     forget(true)
     return links
 
@@ -312,7 +312,7 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     own = save(own.withColumn("h", start), "sets", narrow=True)
     w = Window.partitionBy("key")
     routed = _routes(docs, width, cells, num, den).withColumn("least", F.min("h").over(w)).withColumn("most", F.max("h").over(w)).filter("least < most")
-    trees = save(routed.select("key", "h", "least").distinct(), "trees", narrow=True)
+    trees = save(routed.select("key", "h", "least").distinct(), "trees", heavy=True)
     same_h = own.groupBy("h").count().filter("count > 1").select(F.col("h").alias("x"), F.col("h").alias("y"))
     stars = trees.filter("h != least").select(F.col("least").alias("x"), F.col("h").alias("y")).distinct().unionByName(same_h)
     end = F.struct("sid", F.col("low").cast("string").alias("low"), "n", "counts")
