@@ -7,10 +7,17 @@ no product of items and chains.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+from itertools import combinations as subsets
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
-from tallyspark.functions.money import exact_avg, exact_sum, rate, rounded
+from tallyspark.functions.money import EPSILON, exact_avg, exact_sum, rate, rounded
 
 #: Penalties and limits; fixed values.
 MISSING, EXTRA_STORE, NOT_PREFERRED, AVOIDED, NO_LOCALITY, LEAST_SAVING = 999.0, 1.5, 0.75, 999.0, 0.5, 0.5
@@ -44,14 +51,19 @@ def best_single(options: DataFrame) -> DataFrame:
     return best.select("basket_id", "b.chain_id", "b.score_total", "b.actual_total", "b.priced_item_count", "b.missing_item_count", "b.coverage_ratio")
 
 
+def selling_chains(options: DataFrame) -> DataFrame:
+    """All chains that sell an item of a basket: those it may be split over."""
+    return options.select("basket_id", "chain_id")
+
+
 def candidate_chains(options: DataFrame, most: int = 4) -> DataFrame:
-    """The chains a basket may be split over: most items first, then least total, then name."""
+    """The chains that the legacy plan may split a basket over: most items first, then least total, then name."""
     w = Window.partitionBy("basket_id").orderBy(F.desc("priced_item_count"), "actual_total", "chain_id")
     return options.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("basket_id", "chain_id")
 
 
 def combinations(chains: DataFrame, size: int) -> DataFrame:
-    """The 2- or 3-subsets of each basket's candidate chains, as ordered arrays. Candidates are few per basket by the step before."""
+    """The 2- or 3-subsets of each basket's candidate chains, as ordered arrays."""
     a = chains.select("basket_id", F.col("chain_id").alias("c1"))
     out = a.join(chains.withColumnRenamed("chain_id", "c2"), "basket_id").filter("c1 < c2")
     if size == 3:
@@ -68,6 +80,94 @@ def multi_options(items: DataFrame, prices: DataFrame, combos: DataFrame) -> Dat
     return _scored(g.join(basket_sizes(items), "basket_id"))
 
 
+@functools.lru_cache(maxsize=256)
+def _subsets(chains: int, size: int, first: int) -> np.ndarray:
+    """The subsets of chains whose least member is first, as rows of places."""
+    rest = np.array(list(subsets(range(first + 1, chains), size - 1)), dtype=np.intp).reshape(-1, size - 1)
+    return np.column_stack([np.full(len(rest), first), rest])
+
+
+@functools.lru_cache(maxsize=128)
+def _small_subsets(chains: int, size: int) -> np.ndarray:
+    return np.concatenate([_subsets(chains, size, first) for first in range(chains)])
+
+
+def _blocks(chains: int, items: int) -> Iterator[np.ndarray]:
+    """All pairs and triples of chains, in blocks of bounded size."""
+    step = max(1, 1_000_000 // items)
+    for size in (2, 3):
+        for part in [_small_subsets(chains, size)] if chains <= 40 else (_subsets(chains, size, first) for first in range(chains)):
+            yield from (part[at : at + step] for at in range(0, len(part), step))
+
+
+def _best_combination(price: np.ndarray, quantity: np.ndarray, names: list[str], item_count: int) -> tuple[str, int, float, float, float] | None:
+    """The best pair or triple of the chains (rows of price, in the order of names; inf where a chain doesn't sell an item)."""
+    best = None
+    for block in _blocks(len(names), price.shape[1]):
+        least = price[block[:, 0]]
+        for k in range(1, block.shape[1]):
+            least = np.minimum(least, price[block[:, k]])
+        sold = np.isfinite(least)
+        line = np.floor((np.where(sold, least, 0.0) * quantity + EPSILON) * 100.0 + 0.5)
+        total = np.where(sold, line, 0.0).sum(axis=1)
+        priced = sold.sum(axis=1)
+        score = total + (item_count - priced) * (MISSING * 100)
+        at = np.flatnonzero(score == score.min())
+        at = at[priced[at] == priced[at].max()]
+        at = at[total[at] == total[at].min()]
+        for i in at:
+            cover = np.floor((priced[i] / item_count + EPSILON) * 1e4 + 0.5) / 1e4
+            found = (score[i], -cover, total[i], block.shape[1], "|".join(names[c] for c in block[i]))
+            best = found if best is None else min(best, found)
+    return None if best is None else (best[4], best[3], float(best[0] / 100), float(best[2] / 100), float(-best[1]))
+
+
+def best_options(items: DataFrame, prices: DataFrame) -> DataFrame:
+    """The best of all pairs and triples of a basket's selling chains, by the order of best_multi: what the least of multi_options over all
+    combinations would be. Each basket's prices meet in one row, a matrix of its items and chains, so that its combinations need no shuffle.
+    """
+    offers = prices.filter("price IS NOT NULL").groupBy("canonical_product_id").agg(F.collect_list(F.struct("chain_id", F.col("price").cast("double").alias("price"))).alias("offers"))
+    lines = items.groupBy("basket_id", "canonical_product_id").agg(F.first("quantity").cast("double").alias("quantity"), F.count("*").alias("n")).join(offers, "canonical_product_id", "left")
+    sold = F.when(F.col("offers").isNotNull(), F.struct("quantity", "offers"))
+    baskets = lines.groupBy("basket_id").agg(F.sum("n").alias("item_count"), F.collect_list(sold).alias("lines")).filter(F.size("lines") > 0)
+    schema = StructType().add("basket_id", items.schema["basket_id"].dataType).add("combo", StringType()).add("store_count", IntegerType())
+    schema = schema.add("score_total", DoubleType()).add("actual_total", DoubleType()).add("coverage_ratio", DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            line = batch.column(2).flatten()
+            line_from = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            quantity, offered = line.field(0).to_numpy(zero_copy_only=False), line.field(1)
+            offer = offered.flatten()
+            lengths = offered.value_lengths().to_numpy(zero_copy_only=False)
+            offer_from = np.concatenate([[0], np.cumsum(lengths)])
+            coded = offer.field(0).dictionary_encode()
+            words, price = coded.dictionary.to_pylist(), offer.field(1).to_numpy(zero_copy_only=False)
+            order = sorted(range(len(words)), key=words.__getitem__)
+            rank = np.empty(len(words), dtype=np.intp)
+            rank[order] = np.arange(len(words))
+            chain = rank[coded.indices.to_numpy(zero_copy_only=False)]
+            item = np.repeat(np.arange(len(lengths)), lengths)
+            kept, out = [], []
+            for i in range(len(counts)):
+                a, b = line_from[i], line_from[i + 1]
+                part = slice(offer_from[a], offer_from[b])
+                own, place = np.unique(chain[part], return_inverse=True)
+                matrix = np.full((len(own), b - a), np.inf)
+                matrix[place, item[part] - a] = price[part]
+                found = _best_combination(matrix, quantity[a:b], [words[order[c]] for c in own], int(counts[i]))
+                if found:
+                    kept.append(i)
+                    out.append(found)
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(kept, pa.int64())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=schema.names
+            )
+
+    return baskets.select("basket_id", "item_count", "lines").mapInArrow(run, schema)
+
+
 def best_multi(options: DataFrame, single: DataFrame) -> DataFrame:
     """The best combination of each basket, what it saves against the best single chain, and whether to recommend it."""
     order = F.struct("score_total", (-F.col("coverage_ratio")).alias("c"), "actual_total", "store_count", "combo", "coverage_ratio")

@@ -34,12 +34,11 @@ def parts(spark, d):
     return items, B.chain_prices(P.current_offers(snapshots(spark, d)))
 
 
-def _multi(spark, d):
+def _legacy(spark, d):
     items, prices = parts(spark, d)
-    options = B.chain_options(items, prices)
-    chains = B.candidate_chains(options)
+    chains = B.candidate_chains(B.chain_options(items, prices))
     both = B.combinations(chains, 2).unionByName(B.combinations(chains, 3))
-    return B.multi_options(items, prices, both), B.best_single(options)
+    return B.multi_options(items, prices, both)
 
 
 @query("basket_chain_options", f"WITH {BASE} SELECT basket_id, chain_id, priced_item_count, missing_item_count, actual_total, score_total, coverage_ratio FROM options")
@@ -59,13 +58,14 @@ def store_coverage_ranking(spark, d):
 
 @query("store_combinations", f"WITH {MULTI} SELECT basket_id, array_to_string(chains, '|') AS combo FROM combos")
 def store_combinations(spark, d):
-    chains = B.candidate_chains(B.chain_options(*parts(spark, d)))
+    chains = B.selling_chains(B.chain_options(*parts(spark, d)))
     return B.combinations(chains, 2).unionByName(B.combinations(chains, 3)).select("basket_id", F.array_join("chains", "|").alias("combo"))
 
 
 @query("basket_multi_store", f"WITH {MULTI} SELECT * FROM multi")
 def basket_multi_store(spark, d):
-    return B.best_multi(*_multi(spark, d))
+    items, prices = parts(spark, d)
+    return B.best_multi(B.best_options(items, prices), B.best_single(B.chain_options(items, prices)))
 
 
 @query("basket_convenience", f"""WITH {MULTI}, p AS (SELECT basket_id, combo, score_total, {R("greatest(store_count - 1, 0) * 1.5::DOUBLE + CASE WHEN store_count > 1 THEN 1.5::DOUBLE ELSE 0 END + greatest(store_count - 2, 0) * 1.5::DOUBLE + len(list_filter(string_split(combo, '|'), lambda c: c NOT IN ('NATION_1', 'NATION_2', 'NATION_3'))) * 0.75::DOUBLE + len(list_filter(string_split(combo, '|'), lambda c: c IN ('NATION_9'))) * 999.0::DOUBLE")} AS penalty_total FROM multi)
@@ -77,7 +77,7 @@ def basket_convenience(spark, d):
 
 @query("basket_legacy_plan", f"WITH {MULTI} SELECT basket_id, combo, {R('actual_total + 0.75::DOUBLE * store_count + 1000.0::DOUBLE * missing_item_count + 0.2::DOUBLE * (1 - coverage_ratio)', 4)} AS plan_score FROM moptions")
 def basket_legacy_plan(spark, d):
-    return B.legacy_plan(_multi(spark, d)[0]).select("basket_id", "combo", "plan_score")
+    return B.legacy_plan(_legacy(spark, d)).select("basket_id", "combo", "plan_score")
 
 
 METRICS = f"""{BASE}, metrics AS (SELECT count(*) AS baskets, {R(sql_avg('coverage_ratio'), 4)} AS mean_coverage, {R(sql_avg('actual_total'))} AS mean_total, {R('count(*) FILTER (missing_item_count = 0)::DOUBLE / count(*)', 4)} AS complete_rate, max(missing_item_count) AS most_missing FROM single)"""

@@ -150,3 +150,53 @@ def test_netting_names_only_without_identifier(spark):
     inv = spark.createDataFrame([(1, "5", "item 5", 30.0), (1, None, "item 5", 90.0), (1, None, "item 6", 250.0)], "plan_id int, ingredient_key string, name string, available double")
     got = {r["ingredient_key"]: (r["net_grams"], r["inventory_status"]) for r in nutrition.net_requirements(req, inv).collect()}
     assert got == {"5": (70.0, "partial"), "6": (0.0, "covered")}
+
+
+def test_split_over_all_selling_chains(spark):
+    """The best pair or triple may need chains that sell few of the items; brute force over all subsets."""
+    import random
+    from itertools import combinations
+
+    from tallyspark.operators import basket
+
+    rng = random.Random(5)
+    # two cheap specialists rank last by coverage, behind five chains that sell all
+    prices_ = [(p, f"big{c}", 10.0 + c) for p in range(4) for c in range(5)] + [(0, "few_a", 1.0), (1, "few_a", 1.0), (2, "few_b", 1.0), (3, "few_b", 1.0)]
+    prices_ += [(p, f"r{c}", rng.randint(5, 400) / 100) for p in range(10, 30) for c in range(9) if rng.random() < 0.5]
+    items_ = [(1, p, 1.0) for p in range(4)] + [(b, p, float(rng.randint(1, 5))) for b in range(2, 12) for p in rng.sample(range(10, 33), 6)] + [(99, 500, 1.0)]
+    items = spark.createDataFrame(items_, "basket_id long, canonical_product_id long, quantity double")
+    table = spark.createDataFrame(prices_, "canonical_product_id long, chain_id string, price double")
+    options = basket.chain_options(items, table)
+    got = {r["basket_id"]: r for r in basket.best_multi(basket.best_options(items, table), basket.best_single(options)).collect()}
+    assert (got[1]["combo"], got[1]["actual_total"], got[1]["savings"], got[1]["recommended"]) == ("few_a|few_b", 4.0, 36.0, True)
+    price, cents = {(p, c): x for p, c, x in prices_}, lambda x: int((x + 2.220446049250313e-16) * 100 + 0.5)
+    for b in {b for b, _, _ in items_}:
+        mine = [(p, q) for k, p, q in items_ if k == b]
+        chains = sorted({c for p, c in price if p in {i for i, _ in mine}})
+        want = []
+        for size in (2, 3):
+            for combo in combinations(chains, size):
+                lines = [cents(min(x) * q) for p, q in mine if (x := [price[p, c] for c in combo if (p, c) in price])]
+                want.append((sum(lines) + 99900 * (len(mine) - len(lines)), -len(lines), sum(lines), size, "|".join(combo)))
+        if not want:
+            assert b not in got
+            continue
+        best = min(want)
+        assert (got[b]["combo"], cents(got[b]["score_total"]), cents(got[b]["actual_total"])) == (best[4], best[0], best[2])
+        assert got[b]["coverage_ratio"] == round(-best[1] / len(mine), 4)
+
+
+def test_all_combinations_are_listed(spark):
+    from tallyspark.operators import basket
+
+    options = spark.createDataFrame([(1, f"c{i}") for i in range(7)], "basket_id long, chain_id string")
+    chains = basket.selling_chains(options)
+    assert (basket.combinations(chains, 2).count(), basket.combinations(chains, 3).count()) == (21, 35)
+
+
+def test_blocks_hold_every_subset_once():
+    from tallyspark.operators.basket import _blocks
+
+    for chains, items in ((1, 3), (25, 400_000), (43, 3)):
+        rows = [tuple(r) for part in _blocks(chains, items) for r in part]
+        assert len(rows) == len(set(rows)) == chains * (chains - 1) // 2 + chains * (chains - 1) * (chains - 2) // 6
