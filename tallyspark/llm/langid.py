@@ -6,7 +6,8 @@ counts at the highest order, counts of distinct left neighbours below, one absol
 stored as sorted arrays of 64-bit n-gram hashes, one per order, with a column of log-probabilities (and, for contexts, of
 back-off weights) per language. The language is the one of least cross-entropy per character; its score is a softmax
 whose temperature is fitted on texts kept out of the counts; a text is rejected if its cross-entropy is far above what
-such texts of its length have.
+such texts of its length have. How far is calibrated on held-out texts by language and length, between a high quantile of these and what
+they have under the models of the other languages, so that single odd texts don't set it.
 
 Training reads at most `train_chars` characters in expectation, over all languages, chosen by a hash of the identifier
 with one rate per language: that is the documented bound of the fit. Prediction reads every whole text. A worker keeps
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import crc_mod, short_batches, unit_hash
 
 ORDER, DISCOUNT, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, CACHED = 5, 0.75, 4_000_000, 2000, 3.0, 150_000
+#: The lengths at which rejection is calibrated, on the starts of texts; the quantiles of known and of unknown languages; the least texts of a language for limits of its own.
+LENGTHS, KNOWN, UNKNOWN, LEAST_TEXTS = (20, 50, 100, 200, 400, 1000, 4000), 0.995, 0.01, 100
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,7 +95,7 @@ class LanguageModels:
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: tuple[float, float] = (0.05, 1.0)
-    cut: float = 6.0
+    cuts: np.ndarray | None = None
 
     def __post_init__(self):
         self.vocab, self.table, self.chars = Vocabulary(), np.zeros((0, len(self.langs))), np.zeros(0, dtype=np.int64)
@@ -225,8 +228,46 @@ class LanguageModels:
         a = float(np.quantile(sq[size >= np.median(size)], 0.9))
         b = float(np.quantile(sq * size, 0.9))
         self.spread = (a, b)
-        z = (h - self.mean[y]) / np.sqrt(a + b / size)
-        self.cut = max(REJECT_Z, 2 * float(z.max()))
+        self.cuts = self._limits([t for t, k in zip(texts, keep) if k], y)
+
+    def _far(self, total: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each row, and how far its cross-entropy is above that language's, in spreads of its length."""
+        best = total.argmax(axis=1)
+        h = -total[np.arange(len(best)), best] / np.maximum(size, 1)
+        return best, (h - self.mean[best]) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(size, 1))
+
+    def _limits(self, texts: list[str], y: np.ndarray) -> np.ndarray:
+        """How far a text may be, per language (row) and length (column): a high quantile of the held-out texts or, where texts scored
+        without the model of their own language are farther, half-way to these on a log scale."""
+        cuts = np.full((len(self.langs), len(LENGTHS)), REJECT_Z)
+        for k, n in enumerate(LENGTHS):
+            at = np.array([i for i, t in enumerate(texts) if len(t) >= n or k == 0], dtype=np.int64)
+            if len(at) < LEAST_TEXTS and k:
+                cuts[:, k] = cuts[:, k - 1]
+                continue
+            total, size = self.sums([texts[i][:n] for i in at])
+            some = size > 0
+            at, total, size = at[some], total[some], size[some]
+            if not len(at):
+                continue
+            best, far = self._far(total, size)
+            known = np.array([np.quantile(far[best == i] if (best == i).sum() >= LEAST_TEXTS else far, KNOWN) for i in range(len(self.langs))])
+            cuts[:, k] = np.maximum(REJECT_Z, known)
+            if len(self.langs) > 1:
+                without = total.copy()
+                without[np.arange(len(at)), y[at]] = -np.inf
+                unknown = max(float(np.quantile(self._far(without, size)[1], UNKNOWN)), 0.0)
+                cuts[:, k] = np.maximum(cuts[:, k], np.sqrt(cuts[:, k] * unknown))
+        return cuts
+
+    def limit(self, best: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The limit of each text by its language and length, straight between the calibrated lengths on a log scale."""
+        if self.cuts is None:
+            return np.full(len(best), 2 * REJECT_Z)
+        at, out = np.log(np.maximum(size, 1)), np.empty(len(best))
+        for i in range(len(self.langs)):
+            out[best == i] = np.interp(at[best == i], np.log(LENGTHS), self.cuts[i])
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
@@ -235,13 +276,13 @@ class LanguageModels:
         if not real:
             return out
         total, size = self.sums([texts[i] for i in real])
-        best = total.argmax(axis=1)
+        best, far = self._far(total, size)
+        over = far > self.limit(best, size)
         z = (total - total.max(axis=1, keepdims=True)) / self.temperature
         score = 1 / np.exp(z).sum(axis=1)
         h = -total[np.arange(len(best)), best] / np.maximum(size, 1)
-        far = (h - self.mean[best]) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(size, 1))
         for k, i in enumerate(real):
-            out[i] = (self.langs[best[k]], float(score[k]), float(h[k]), bool(far[k] > self.cut))
+            out[i] = (self.langs[best[k]], float(score[k]), float(h[k]), bool(over[k]))
         return out
 
 

@@ -102,6 +102,25 @@ def test_language_accuracy_on_documents(spark):
     assert right >= 0.97 * all_ and lost <= 0.01 * all_
 
 
+def test_rejection_of_unknown_languages(spark):
+    """Random letters, another script, and a language left out of the training, at several lengths; a garbled labelled text changes little."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    m, rng = L.train(L.training_rows(d)), random.Random(3)
+    russian = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 12
+    for n in (20, 100, 400, 1000):
+        noise = [words(rng, string.ascii_lowercase, 300)[:n] for _ in range(20)]
+        assert sum(r[3] for r in m.predict(noise)) >= 19 and m.predict([russian[:n]])[0][3]
+    spanish = [r["text"] for r in d.filter("lang = 'es'").select("text").limit(100).collect()]
+    without = L.train(L.training_rows(d).filter("lang != 'es'"))
+    assert sum(r[3] for r in m.predict(spanish)) <= 5
+    assert sum(r[3] for r in without.predict([t[:400] for t in spanish])) >= 0.9 * len(spanish)
+    held = [(r["text"], r["lang"]) for r in d.filter(F.length("text") >= 200).select("text", "lang").limit(300).collect()]
+    m.calibrate(*zip(*held))
+    before = m.cuts.copy()
+    m.calibrate(*zip(*held, ("жщюб " * 200, "en")))
+    assert (m.cuts <= 2 * before).all()
+
+
 def test_quality_ranks_held_out_documents(spark):
     d = spark.read.parquet("/root/testdata/check_s/documents.parquet").filter("doc_id < 6000")
     y = spark.read.parquet("/root/testdata/check_s/labels.parquet")
