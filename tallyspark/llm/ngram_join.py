@@ -299,6 +299,11 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id. Sets link whose Jaccard is at least num / den."""
+    return _join(docs, width, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """join_components with sid, and keeps: whether the set is the one that stands for its component."""
     spark = docs.sparkSession
     short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -346,11 +351,11 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = save(components(stars.unionByName(_links(docs, more, width, num, den))), "labels")
     named = own.select("sid", "low").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid"))
-    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_set = save(named.join(lowest, "comp").select("sid", "component_id"), "components", narrow=True)
+    lowest = named.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sid")).alias("keep"))
+    of_set = save(named.join(lowest, "comp").select("sid", F.col("keep.low").alias("component_id"), (F.col("sid") == F.col("keep.sid")).alias("keeps")), "components", narrow=True)
     out = points.join(of_set, "sid", "left")
     forget(trees)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid", "keeps")
 
 
 def _start_of(column: str):
@@ -361,7 +366,29 @@ def _start_of(column: str):
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose identifier is that of their component, with all their columns; rows without words stay."""
-    found = join_components(docs, width, num, den, id_col, text_col)
-    gone = save(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies", narrow=True)
-    return docs.join(small(gone, 16), F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of docs for each component, with all its columns: of the least identifier, and of the least set and one only where rows
+    share it; rows without words stay. Rows go by identifier; where that doesn't tell them apart (it is null, or rows that stay have it too), by identifier and set.
+    """
+    found = _join(docs, width, num, den, id_col, text_col)
+    first = F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = found.select(F.col("doc_id").alias("__id"), F.col("sid").alias("__sid"), ((F.col("n_shingles") > 0) & ~first).alias("gone"), (F.col("n_shingles") > 0).alias("words"))
+    found = save(found, "near-rows", narrow=True)
+    gone = found.filter("gone").select("__id").distinct()
+    # rows that can't be told apart by identifier: null, or repeated with one of them in a component of several rows or a set of several
+    odd = found.groupBy("__id").agg(F.count("*").alias("rows"), F.max("gone").alias("any"), F.min("gone").alias("all"), (F.count_if("words") - F.count_distinct(F.when(F.col("words"), F.col("__sid")))).alias("again"))
+    odd = save(odd.filter("(any and (not all or __id is null)) or again > 0").select("__id"), "near-odd", narrow=True)
+    same_id = F.col(id_col).eqNullSafe(F.col("__id"))
+    if not odd.count():
+        return docs.join(small(gone, 16), F.col(id_col) == F.col("__id"), "left_anti")
+
+    @F.pandas_udf("binary")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_sid(t) if len(t) else None for t in sets(list(texts), width)], dtype=object)
+
+    plain = docs.join(small(gone, 16), F.col(id_col) == F.col("__id"), "left_anti").join(small(odd, 16), same_id, "left_anti")
+    among = docs.join(small(odd, 16), same_id, "left_semi").withColumn("__own", set_of(F.col(text_col)))
+    lost = found.filter("gone").select("__id", "__sid").distinct()
+    among = among.join(small(lost, 48), same_id & (F.col("__own") == F.col("__sid")), "left_anti")
+    silent = among.filter(F.col("__own").isNull())
+    one = among.filter(F.col("__own").isNotNull()).dropDuplicates([id_col, "__own"])
+    return plain.unionByName(silent.drop("__own")).unionByName(one.drop("__own"))

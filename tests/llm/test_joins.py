@@ -72,6 +72,19 @@ def test_join_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "n_shingles"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null identifiers, an identifier shared by a copy and a clean text, rows repeated, components without identifiers."""
+    a, b, c, e = "a b c d e f g h", "n o p q r s t u", "x1 x2 x3 x4 x5 x6 x7", "z1 z2 z3 z4 z5 z6 z7"
+    rows = [(1, a), (None, a.upper()), (4, a), (4, b), (7, c), (7, c), (None, e), (None, e), (9, None), (9, ""), (None, "")]
+    d = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n int")
+    kept = ngram_join.keep_one_of_each(d)
+    got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()))
+    assert kept.columns == d.columns
+    assert got == sorted([(1, a), (4, b), (7, c), (-1, e), (9, ""), (9, ""), (-1, "")])
+    plain = spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one_of_each(plain).collect()) == [1, 3]
+
+
 def test_shingles_are_those_of_the_words():
     rng = random.Random(0)
     texts = ["", " ", "a", "A a", "x" * 3000, *(" ".join(rng.choice("abcdeé") * rng.randint(1, 3) for _ in range(rng.randint(1, 900))) for _ in range(30))]
