@@ -5,16 +5,24 @@ sets is at most the sum of the minima of their coordinates, and of a set with an
 sum of minima with the node's upper corner.
 
 Routing. One tree over everything prunes little: with so many dimensions the corners of its upper nodes bound nothing. So
-the points are first routed to many small trees, exactly: shingles get one order, rare ones first, and sets that link
-must share one of the first n - ceil(t n) + 1 of each (the prefix). Rarity comes from a fixed table of hashed counts over all documents;
-any order is right, a good one makes small trees.
-
-Linking. Only components are wanted, so pairs are looked at in two turns. In the first every member of a tree meets the
-tree's least member. Members then in one component need no other look; in the second turn, trees that still hold several components
-are searched for pairs across components whose bound reaches the threshold. In both turns every surviving pair is
-verified on the true sets. No link between components is lost, no group is expanded to all its pairs, and trees of
+the points are first routed to many small trees by keys, exactly: sets that link share a key. Of two kinds of keys the threshold picks one.
+High thresholds deal by groups again. Two sets of n and m shingles that link differ in at most D = (n + m) (1 - t) / (1 + t)
+of them; dealt by hash into more than D groups, they hold the same shingles in one group at least. So a group's contents are a key. The number
+of groups is fixed for a class of sizes; a set goes to each class in which the larger set of a link can be. Where a set fills no more than D
+groups, the equal ones may be empty: such sets are dealt again by other hashes, and at last go by a prefix in the order of hashes. Such a
+key takes several shingles at once, so trees hold little but near copies, whatever passages the documents share. Below a mean of `LEAST_MEAN` shingles
+a group that no longer holds, and the keys are the shingles of the prefix: sets that link share one of the first n - ceil(t n) + 1 in any
+fixed order; rare ones come first, by a table of hashed counts over all documents.
+
+Linking. Only components are wanted, so pairs are looked at in two turns. In the first each member of a tree meets one centre: the least member
+that its task read with that key, and these centres the least of them. Members then in one component need no other look; in the second turn,
+trees that still hold several components are searched for pairs across components whose bound reaches the threshold. In both turns pairs
+pass by the bound of their points first, and survivors are verified on the true sets. No link between components is lost, no group is
+expanded to all its pairs, and a key's rows are as many as the tasks that read it, not as its members. Trees of
 many members are dealt out as pairs of chunks, each of bounded size.
 
+True sets are sets of 64-bit hashes of shingles (see `shingles`): two unlike shingles with one hash would count as equal.
+
 Cases. Null and empty texts, and those without words, have no shingles and link with nothing. Equal sets link, whatever
 the texts. Identifiers may be null or repeated: rows are the documents, and a component's identifier is the least non-null one in
 it. A very long text is read whole. An empty input gives an empty result. Other columns are not read.
@@ -22,6 +30,7 @@ it. A very long text is read whole. An empty input gives an empty result. Other
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -32,15 +41,21 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import forget, save, short_batches, small
 from tallyspark.llm.graph import components
-from tallyspark.llm.shingles import sets
+from tallyspark.llm.shingles import mix, sets
 
-GROUPS, LEAF, CHUNK = 256, 32, 2000
-#: A group count that stands for itself and everything above; its bound always holds.
-FULL = 65_535
+GROUPS, LEAF, CHUNK = 256, 32, 500
+#: Trees of no more members are searched without nodes.
+FLAT = 200
+#: Shingles that the groups of linked sets hold on average, for groups to be keys.
+LEAST_MEAN = 6
 #: Cells of the table of hashed counts, and the slices in which it travels.
 CELLS, SLICES, FAN_IN = 1 << 20, 64, 64
-#: Sets that one task remembers so as not to send copies' keys again; it only saves work.
-REMEMBERED = 300_000
+#: A group count that stands for itself and everything above; its bound always holds.
+FULL = 255
+#: Sets that one task remembers so as not to send copies' keys again, and keys of which it finds the centres at once; both only save work.
+REMEMBERED, AT_ONCE = 300_000, 1 << 20
+#: How often sets are dealt again by another hash.
+DEALS = 3
 
 
 def need(n_a, n_b, num: int, den: int):
@@ -49,11 +64,11 @@ def need(n_a, n_b, num: int, den: int):
 
 
 def counts_of(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
 
 
 def points_of(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, raw)), dtype=np.uint16).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(map(bytes, raw)), dtype=np.uint8).reshape(-1, GROUPS)
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, n_a, n_b, num: int, den: int) -> np.ndarray:
@@ -62,14 +77,81 @@ def may_reach(a: np.ndarray, b: np.ndarray, n_a, n_b, num: int, den: int) -> np.
     return (bound * (den + num) >= need(n_a, n_b, num, den)) | (a.max(axis=-1) == FULL)
 
 
-def prefix(tokens: np.ndarray, cells: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles, of which sets that link share one."""
-    n = len(tokens)
-    keep = n - -(-num * n // den) + 1
+# --- keys of trees ------------------------------------------------------------------------------------------------------
+
+
+@functools.cache
+def _bounds() -> np.ndarray:
+    """The least size of each class; a class ends at half as much again."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array(out, dtype=np.int64)
+
+
+def class_of(n: int) -> int:
+    return int(np.searchsorted(_bounds(), n, side="right")) - 1
+
+
+@functools.cache
+def dealing(c: int, num: int, den: int) -> tuple[int, int]:
+    """Differences D that linked sets of class c can have, and into how many groups its sets are dealt; 0 groups where the prefix is the key.
+
+    Enough groups are taken for the smallest sets of the class to fill more than D, as a rule.
+    """
+    least, most = int(_bounds()[c]), int(_bounds()[c + 1]) - 1
+    d = 2 * most * (den - num) // (den + num)
+    g = np.arange(d + 1, 2 * d + 12, dtype=np.float64)
+    empty = (1 - 1 / g) ** least
+    spare = (g * (1 - empty) - d - 0.5) / np.sqrt(g * empty * (1 - empty) + 1e-9)
+    if d == 0:
+        return 0, 1
+    return d, int(g[np.argmax(spare >= 4)] if (spare >= 4).any() else g[spare.argmax()]) if spare.max() > 0.5 else 0
+
+
+def prefix(tokens: np.ndarray, num: int, den: int, cells: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles, of which sets that link share one: in the order of their hashes, or rare ones first."""
+    keep = len(tokens) - -(-num * len(tokens) // den) + 1
+    if cells is None:
+        return tokens[:keep]
     order = np.lexsort((tokens, cells[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]))
     return tokens[order[:keep]]
 
 
+def by_groups(num: int, den: int) -> bool:
+    return den + num >= 2 * LEAST_MEAN * (den - num)
+
+
+def keys_of(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys such that sets that link share one at least. tokens: sorted and distinct."""
+    found = []
+    with np.errstate(over="ignore"):
+        for c in range(class_of(len(tokens)), class_of(len(tokens) * den // num) + 1):
+            differ, groups = dealing(c, num, den)
+            for deal in range(DEALS if groups else 0):
+                own = tokens if not deal else np.sort(mix(tokens + np.uint64(deal)))
+                # a group is a range of hashes, so its shingles lie side by side
+                group = ((own >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+                first = np.flatnonzero(np.diff(group, prepend=np.uint64(groups)))
+                total = np.add.reduceat(own, first)
+                found.append(mix(total + mix(group[first] * np.uint64(DEALS) + np.uint64(deal) + np.uint64((c + 1) << 40))))
+                if len(first) > differ:
+                    break
+            else:
+                found.append(mix(prefix(tokens, num, den) + np.uint64(c + 1)))
+    return np.concatenate(found)
+
+
+def with_centres(keys: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows key, h and up: 0 for the least h of a key, else that least h."""
+    order = np.lexsort((hs, keys))
+    keys, hs = keys[order], hs[order]
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    new = new_key | np.concatenate([[True], hs[1:] != hs[:-1]])
+    up = np.where(new_key, 0, hs[np.flatnonzero(new_key)[np.cumsum(new_key) - 1]])
+    return keys[new], hs[new], up[new]
+
+
 class CountTree:
     """A packed R-tree of group counts. Points are sorted by set size, then by the widest coordinates, and cut into leaves;
     levels above take LEAF nodes each. A node keeps the upper corner of its points and their least size."""
@@ -104,8 +186,20 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: n
     Of two components at most one is the largest here, so only members of the others ask, and members of the largest are only found.
     """
     codes = np.unique(comps, return_inverse=True)[1]
-    most = np.bincount(codes).argmax()
     same = len(left) == len(right) and (left == right).all()
+    if len(left) <= FLAT and len(right) <= FLAT:
+        other = codes[left][:, None] != codes[right][None, :]
+        if same:
+            other = np.triu(other)
+        n_left, n_right = sizes[left][:, None], sizes[right][None, :]
+        i, j = np.nonzero(other & (np.minimum(n_left, n_right) * den >= np.maximum(n_left, n_right) * num))
+        i, j = left[i], right[j]
+        for k in range(0, len(i), 20_000):
+            x, y = i[k : k + 20_000], j[k : k + 20_000]
+            reach = may_reach(points[x], points[y], sizes[x], sizes[y], num, den)
+            yield from zip(x[reach].tolist(), y[reach].tolist())
+        return
+    most = np.bincount(codes).argmax()
     turns = [(left[codes[left] != most], right)]
     if not same:
         turns.append((left[codes[left] == most], right[codes[right] != most]))
@@ -124,30 +218,27 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: n
 
 # --- passes over the texts ----------------------------------------------------------------------------------------------
 
-POINTS = "kind int, doc_id {}, n long, sid binary, counts binary, slice int, part int"
-
 
 def _sid(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _points(docs: DataFrame, width: int) -> DataFrame:
-    """A row (kind 0) per document, and at the end of each task its table of hashed counts in slices (kind 1)."""
+def _points(docs: DataFrame, width: int, count: bool) -> DataFrame:
+    """A row (kind 0) per document; if asked to count, at the end of each task its table of hashed counts in slices (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        cells, any_set = np.zeros(CELLS, dtype=np.uint32), False
+        cells, any_set = np.zeros(CELLS if count else 0, dtype=np.uint32), False
         columns = ["kind", "doc_id", "n", "sid", "counts", "slice", "part"]
         for b in batches:
             rows, found = [], []
             for doc, tokens in zip(b["id"], sets(list(b["text"]), width)):
-                rows.append((0, doc, len(tokens), _sid(tokens), counts_of(tokens).tobytes(), None, None))
+                rows.append((0, doc, len(tokens), _sid(tokens), None, None, None))
                 found.append(tokens)
-            at = (np.concatenate(found) & np.uint64(CELLS - 1)).astype(np.int64) if found else np.zeros(0, np.int64)
-            if len(at):
+            if count and any(map(len, found)):
                 any_set = True
-                np.add.at(cells, at, np.uint32(1))
+                np.add.at(cells, (np.concatenate(found) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
             yield pd.DataFrame(rows, columns=columns)
         if any_set:
             part = TaskContext.get().partitionId()
@@ -155,7 +246,7 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame([(1, None, None, None, cells[s * each : (s + 1) * each].tobytes(), s, part) for s in range(SLICES)], columns=columns)
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")
-    return rows.mapInPandas(run, POINTS.format("string"))
+    return rows.mapInPandas(run, "kind int, doc_id string, n long, sid binary, counts binary, slice int, part int")
 
 
 def _count_table(slices: DataFrame) -> np.ndarray:
@@ -182,14 +273,22 @@ def _count_table(slices: DataFrame) -> np.ndarray:
     return cells
 
 
-def _routes(docs: DataFrame, width: int, cells: np.ndarray, num: int, den: int) -> DataFrame:
-    """key (a shingle of the prefix), h (the start of the set's digest as a number)."""
+def _routes(docs: DataFrame, width: int, num: int, den: int, cells: np.ndarray | None) -> DataFrame:
+    """key, h (the start of the set's digest as a number), up: the centre that h meets, 0 for a centre of the task."""
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[bytes] = set()
+        keys: list[np.ndarray] = []
+        hs: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            k, h, up = with_centres(np.concatenate(keys).view(np.int64), np.concatenate(hs))
+            for i in range(0, len(k), 100_000):
+                yield pd.DataFrame({"key": k[i : i + 100_000], "h": h[i : i + 100_000], "up": up[i : i + 100_000]})
+
         for b in batches:
-            keys, hs = [], []
             for tokens in sets(list(b["text"]), width):
                 sid = _sid(tokens)
                 if not len(tokens) or sid in sent:
@@ -197,27 +296,40 @@ def _routes(docs: DataFrame, width: int, cells: np.ndarray, num: int, den: int)
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(sid)
-                own = prefix(tokens, shared.value, num, den)
-                keys.append(own.view(np.int64))
-                hs.append(np.full(len(own), int.from_bytes(sid[:8], "little", signed=True), dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(hs)})
-
-    return docs.select("text").mapInPandas(run, "key long, h long")
-
-
-def _true_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """sid, tokens of the wanted sets (sid, low: an identifier that has it)."""
+                own = keys_of(tokens, num, den) if shared.value is None else prefix(tokens, num, den, shared.value)
+                keys.append(own)
+                hs.append(np.full(len(own), int.from_bytes(sid[:8], "little", signed=True) | 1, dtype=np.int64))
+                held += len(own)
+                if held >= AT_ONCE:
+                    yield from flush()
+                    keys, hs, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInPandas(run, "key long, h long, up long")
+
+
+def _trees(docs: DataFrame, width: int, num: int, den: int, cells: np.ndarray | None) -> DataFrame:
+    """key, up, h: the members of trees of two or more sets, each with the centre that it meets; the least centre has no row."""
+    routed = _routes(docs, width, num, den, cells)
+    # only the tasks' centres of a key meet; their members pass by, dealt by themselves
+    w = Window.partitionBy("key", F.when(F.col("up") == 0, 0).otherwise(F.col("h"))).orderBy("h")
+    met = F.when(F.col("up") == 0, F.first("h").over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.col("up"))
+    return routed.select("key", met.alias("up"), "h").filter("up != h")
+
+
+def _of_sets(docs: DataFrame, wanted: DataFrame, width: int, name: str, measure) -> DataFrame:
+    """sid, and what `measure` makes of the shingles (as bytes), of the wanted sets (sid, low: an identifier that has it)."""
     lows = wanted.select(F.col("low").alias("__low")).distinct()
     rows = docs.select(F.col("id").cast("string").alias("id"), "text").join(small(lows, 40), F.col("id").eqNullSafe(F.col("__low")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(_sid(t), t.tobytes()) for t in sets(list(b["text"]), width)]
-            yield pd.DataFrame(found, columns=["sid", "tokens"])
+            yield pd.DataFrame([(_sid(t), measure(t).tobytes()) for t in sets(list(b["text"]), width)], columns=["sid", name])
 
-    got = rows.select("text").mapInPandas(run, "sid binary, tokens binary")
-    return got.join(small(wanted.select("sid"), 40), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    got = rows.select("text").mapInPandas(run, f"sid binary, {name} binary")
+    # an identifier may be repeated, a set may have several rows of it
+    return got.join(small(wanted.select("sid"), 40), "sid", "left_semi").groupBy("sid").agg(F.first(name).alias(name))
 
 
 def _may_link(num: int, den: int):
@@ -230,10 +342,11 @@ def _may_link(num: int, den: int):
     return test
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: sets' rows with sid, low) that link, verified on the true sets."""
-    ends = pairs.select(F.explode(F.array(F.struct("a.sid", "a.low"), F.struct("b.sid", "b.low"))).alias("x")).select("x.*").distinct()
-    true = save(_true_sets(docs, save(ends, "join-ends", narrow=True), width), "join-sets", narrow=True)
+def _links(docs: DataFrame, pairs: DataFrame, ends: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b: sids) that link, verified on the true sets. ends: sid, low of these sets."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = save(ends.join(used, "sid").select("sid", "low"), "join-ends", narrow=True)
+    true = save(_of_sets(docs, wanted, width, "tokens", lambda t: t), "join-sets", narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -244,20 +357,16 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
                 keep.append(both * (den + num) >= need(len(s), len(t), num, den))
             yield b.loc[keep, ["a", "b"]]
 
-    slim = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
-    with_a = slim.join(true.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
+    with_a = pairs.join(true.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(true.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
     links = save(with_b.mapInPandas(run, "a binary, b binary"), "links", narrow=True)
-    forget(true)
+    forget(true, wanted)
     return links
 
 
 def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, low, n, counts, keys. Gives pairs a, b (structs sid, low).
-
-    keys: all trees that a member is in. Near copies meet in many trees; a pair comes from the least tree that has both.
-    """
-    columns = ["key", "i", "j", "side", "sid", "comp", "low", "n", "counts", "keys"]
+    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, n, counts. Gives pairs a, b."""
+    columns = ["key", "i", "j", "side", "sid", "comp", "n", "counts"]
 
     def group(g: pd.DataFrame) -> list[tuple]:
         points = points_of(g["counts"])
@@ -266,16 +375,15 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
         left, right = (whole, whole) if (side == 0).any() else (whole[side == 1], whole[side == 2])
         if not len(left) or not len(right):
             return []
-        sid, comp, low = list(g["sid"]), np.array([bytes(c).hex() for c in g["comp"]]), list(g["low"])
-        key, keys = int(g["key"].iloc[0]), [frozenset(k.tolist()) for k in g["keys"]]
-        return [(sid[i], low[i], sid[j], low[j]) for i, j in tree_pairs(points, sizes, comp, left, right, num, den) if min(keys[i] & keys[j]) == key]
+        sid, comp = [bytes(s) for s in g["sid"]], np.array([bytes(c).hex() for c in g["comp"]])
+        return [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in tree_pairs(points, sizes, comp, left, right, num, den)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: list[pd.DataFrame] = []
         last = None
 
         def flush(frames: list[pd.DataFrame]) -> pd.DataFrame:
-            return pd.DataFrame(group(pd.concat(frames)), columns=["a", "a_low", "b", "b_low"])
+            return pd.DataFrame(group(pd.concat(frames)), columns=["a", "b"])
 
         for b in batches:
             if not len(b):
@@ -293,8 +401,7 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
             yield flush(carry)
 
     rows = members.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = rows.mapInPandas(run, "a binary, a_low string, b binary, b_low string").distinct()
-    return found.select(F.struct(F.col("a").alias("sid"), F.col("a_low").alias("low")).alias("a"), F.struct(F.col("b").alias("sid"), F.col("b_low").alias("low")).alias("b"))
+    return rows.mapInPandas(run, "a binary, b binary").distinct()
 
 
 def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,61 +415,62 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = save(_points(docs, width), "points")
-    cells = _count_table(first.filter("kind = 1"))
-    points = first.filter("kind = 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "sid", "counts")
-    own = points.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    rare_first = not by_groups(num, den)
+    first = save(_points(docs, width, rare_first), "points")
+    cells = _count_table(first.filter("kind = 1")) if rare_first else None
+    points = first.filter("kind = 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "sid")
+    own = points.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"))
     # h: the first eight bytes of the digest as a number; where two sets share it, both stand for it, and meet each other
-    start = _start_of("sid")
-    own = save(own.withColumn("h", start), "sets", narrow=True)
-    w = Window.partitionBy("key")
-    routed = _routes(docs, width, cells, num, den).withColumn("least", F.min("h").over(w)).withColumn("most", F.max("h").over(w)).filter("least < most")
-    trees = save(routed.select("key", "h", "least").distinct(), "trees", narrow=True)
+    own = save(own.withColumn("h", _start_of("sid")), "sets", narrow=True)
+    trees = save(_trees(docs, width, num, den, cells).distinct(), "trees", narrow=True)
     same_h = own.groupBy("h").count().filter("count > 1").select(F.col("h").alias("x"), F.col("h").alias("y"))
-    stars = trees.filter("h != least").select(F.col("least").alias("x"), F.col("h").alias("y")).distinct().unionByName(same_h)
-    end = F.struct("sid", F.col("low").cast("string").alias("low"), "n", "counts")
-    side = lambda x, name: own.select(F.col("h").alias(x), end.alias(name))
-    test = _may_link(num, den)
-    pairs = stars.join(side("x", "a"), "x").join(side("y", "b"), "y").filter("a.sid < b.sid or (x != y and a.sid != b.sid)")
-    pairs = save(pairs.filter(test("a.counts", "b.counts", "a.n", "b.n")).select(F.struct("a.sid", "a.low").alias("a"), F.struct("b.sid", "b.low").alias("b")), "star-pairs", narrow=True)
-    links = _links(docs, pairs, width, num, den)
-    labels = save(components(links), "labels")
+    met = trees.select(F.least("up", "h").alias("x"), F.greatest("up", "h").alias("y")).distinct().unionByName(same_h)
+    used = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
+    ends = save(own.join(used, "h").select("h", "sid", F.col("low").cast("string").alias("low"), "n"), "join-ends", narrow=True)
+    counted = save(_of_sets(docs, ends, width, "counts", counts_of), "join-points", narrow=True)
+    # first turn: members and centres, by size, then by the bound, then by the true sets
+    side = lambda h, *names: ends.select(F.col("h").alias(h), *[F.col(c).alias(a) for c, a in zip(("sid", "n"), names)])
+    pairs = met.join(side("x", "a", "n_a"), "x").join(side("y", "b", "n_b"), "y").filter("a < b or (x != y and a != b)")
+    pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
+    at = lambda s, c: counted.select(F.col("sid").alias(s), F.col("counts").alias(c))
+    bounded = pairs.join(at("a", "counts_a"), "a").join(at("b", "counts_b"), "b").filter(_may_link(num, den)("counts_a", "counts_b", "n_a", "n_b"))
+    labels = save(components(_links(docs, save(bounded.select("a", "b"), "star-pairs", narrow=True), ends, width, num, den)), "labels")
     # second turn: trees of three or more sets that still hold several components
-    held = trees.join(own.select("h", "sid", "low", "n"), "h").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    held = held.withColumn("comp", F.coalesce("label", "sid"))
-    held = held.withColumn("low_comp", F.min("comp").over(w)).withColumn("high_comp", F.max("comp").over(w)).withColumn("size", F.count("*").over(w))
-    held = held.filter("low_comp < high_comp and size > 2 and h != least")
-    # near copies share many shingles: trees of equal members (by two hashes and the number) are searched once
-    mark = lambda seed: F.expr(f"bit_xor(xxhash64(sid, {seed}))").over(w)
-    held = held.withColumn("one", mark(1)).withColumn("two", mark(2))
-    chosen = held.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key")
-    held = held.join(chosen, "key", "left_semi").select("key", "sid", "comp", F.col("low").cast("string").alias("low"), "n", "size")
-    # a set is in no more trees than its prefix is long
-    where = held.groupBy("sid").agg(F.collect_set("key").alias("keys"))
-    rest = save(held.join(own.select("sid", "counts"), "sid").join(where, "sid"), "rest", narrow=True)
+    named = ends.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("h", "sid", "n", F.coalesce("label", "sid").alias("comp"))
+    comp = save(named, "comps", narrow=True)
+    part = lambda h, c: comp.select(F.col("h").alias(h), F.col("comp").alias(c))
+    apart = trees.join(part("up", "c_up"), "up").join(part("h", "c_h"), "h").filter("c_up != c_h").select("key").distinct()
+    members = trees.join(apart, "key", "left_semi")
+    members = members.select("key", F.explode(F.array("up", "h")).alias("h")).distinct().join(comp, "h")
+    # near copies share many keys: trees of equal members (by two hashes and the number) are searched once
+    mark = lambda seed: F.expr(f"bit_xor(xxhash64(sid, {seed}))")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), mark(1).alias("one"), mark(2).alias("two")).filter("size > 2")
+    chosen = sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size")
+    rest = save(members.join(chosen, "key").select("key", "sid", "comp", "n", "size"), "rest", narrow=True)
     if rest.count():
         chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-        rest = rest.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-        rest = rest.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rest = rest.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d"))
+        dealt = rest.join(counted, "sid").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d"))
         side_of = F.when(F.col("i") == F.col("j"), 0).when(F.col("c") == F.col("i"), 1).otherwise(2)
-        more = save(_search_trees(rest.withColumn("side", side_of), num, den), "tree-pairs", narrow=True)
+        more = save(_search_trees(dealt.withColumn("side", side_of), num, den), "tree-pairs", narrow=True)
         if more.count():
             stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = save(components(stars.unionByName(_links(docs, more, width, num, den))), "labels")
+            labels = save(components(stars.unionByName(_links(docs, more, ends, width, num, den))), "labels")
+    forget(trees, counted, rest, comp, ends)
     named = own.select("sid", "low").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid"))
     lowest = named.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sid")).alias("keep"))
     of_set = save(named.join(lowest, "comp").select("sid", F.col("keep.low").alias("component_id"), (F.col("sid") == F.col("keep.sid")).alias("keeps")), "components", narrow=True)
+    forget(own)
     out = points.join(of_set, "sid", "left")
-    forget(trees)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid", "keeps")
 
 
 def _start_of(column: str):
-    """The first eight bytes, little-endian, as a signed number: what int.from_bytes gives in Python."""
+    """The first eight bytes, little-endian, as a signed number that is never 0."""
     hexed = F.hex(F.substring(column, 1, 8))
     big_endian = F.concat(*[F.substring(hexed, i, 2) for i in range(15, 0, -2)])
-    return F.conv(big_endian, 16, -10).cast("long")
+    return F.conv(big_endian, 16, -10).cast("long").bitwiseOR(F.lit(1).cast("long"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
