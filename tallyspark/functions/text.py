@@ -106,6 +106,38 @@ def aliases(name: Column, brand: Column, size_text: Column, percent_text: Column
     return F.filter(F.array_distinct(F.array(name, a, b, c)), lambda t: t != "")
 
 
+def brand_guess(raw: Column, name_tokens: Column, skip: Column) -> Column:
+    """The first word of a raw name that can be a brand: one of the name's tokens, no number, no percentage and none of the words to skip, in Cyrillic letters, or in three
+    or more capitals and digits. Full stops, commas and outer plus signs are left off.
+    """
+    word = F.transform(F.split(collapse(raw), r"\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, r"[.,]", ""), r"^\++|\++$", ""))
+
+    def fits(t):
+        low = F.lower(t)
+        plain = (t != "") & ~F.rlike(low, F.lit(r"^\d")) & ~F.contains(low, F.lit("%")) & ~F.array_contains(skip, low)
+        return plain & F.array_contains(name_tokens, low) & (F.rlike(low, F.lit(r"\p{IsCyrillic}")) | F.rlike(t, F.lit(r"^[A-Z][A-Z0-9+-]{2,}$")))
+
+    return F.get(F.filter(word, fits), F.lit(0))
+
+
+#: Words that only state a unit; fixed values.
+UNIT_WORDS = ("g", "kg", "ml", "cl", "l", "pcs", "pack", "count", "ct")
+
+
+def core_tokens(name_tokens: Column, brand: Column) -> Column:
+    """What a name is about: its distinct tokens in order, without the brand's, numbers, percentages, ranges, sizes and units."""
+    of_brand = tokens(F.lower(F.coalesce(brand, F.lit(""))))
+    number = r"^\d+(?:[.,]\d+)?%?$|^\d+(?:[.,]\d+)?(?:kg|ml|cl|g|l)$|^\d+-\d+$"
+    kept = F.filter(name_tokens, lambda t: ~F.array_contains(of_brand, t) & ~F.rlike(t, F.lit(number)) & ~t.isin(*UNIT_WORDS))
+    return F.array_sort(F.array_distinct(kept))
+
+
+def all_words_of(x: Column, words: tuple[str, ...]) -> Column:
+    """Every listed word that x holds, with where it starts (from 1), in the order of the list."""
+    found = F.array(*[F.struct(F.lit(w).alias("word"), F.instr(x, w).alias("at")) for w in words])
+    return F.filter(found, lambda f: f["at"] > 0)
+
+
 def parse_confidence(kind: Column, size: Column, percent: Column, brand: Column) -> Column:
     """0.2, and 0.3, 0.2, 0.1, 0.2 for each that is known."""
     cents = F.lit(20) + F.when(kind.isNotNull(), 30).otherwise(0) + F.when(size.isNotNull(), 20).otherwise(0) + F.when(percent.isNotNull(), 10).otherwise(0) + F.when(brand.isNotNull(), 20).otherwise(0)

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import rounded
+from tallyspark.functions.text import collapse
+from tallyspark.sources.tables import shared_folder
 
-EXACT, ALIAS, COVERAGE, BRAND, SIZE, FAT, CONFIDENCE = 0.45, 0.12, 0.35, 0.14, 0.12, 0.10, 0.05
+EXACT, ALIAS, TERM, COVERAGE, BRAND, SIZE, FAT, CONFIDENCE = 0.45, 0.12, 0.08, 0.35, 0.14, 0.12, 0.10, 0.05
+#: Catalogue search: what the whole phrase, all its words, a word, a related word and a related phrase bring; in a field, the phrase and a related term as multiples of its weight.
+PHRASE, ALL_WORDS, WORD, RELATED_WORD, RELATED_PHRASE, FIELD_PHRASE, FIELD_RELATED = 30.0, 18.0, 5.0, 1.6, 4.0, 3.0, 0.6
 
 
 def candidates(queries: DataFrame, products: DataFrame) -> DataFrame:
@@ -31,12 +35,18 @@ def soft_filter(rows: DataFrame, tests: list[Column], by: str = "query_id") -> D
 
 
 def match_score(rows: DataFrame) -> DataFrame:
-    """rows: a query's and a product's columns side by side (q_name, q_tokens, q_brand, q_size, q_percent; name, aliases, brand, size, percent, confidence, shared)."""
+    """rows: a query's and a product's columns side by side (q_name, q_tokens, q_brand, q_size, q_percent; name, aliases, brand, size, percent, confidence, shared).
+
+    canonical_terms, if it is there: terms of the query, one of which is an alias or in the name.
+    """
     exact = F.when(F.col("q_name") == F.col("name"), EXACT).when(F.array_contains("aliases", F.col("q_name")), ALIAS).otherwise(0.0)
     same = lambda a, b, w: F.when(F.col(a) == F.col(b), w).otherwise(0.0)
     cover = F.col("shared") / F.greatest(F.size(F.array_distinct("q_tokens")), F.lit(1)) * COVERAGE
     brand = F.when(F.array_contains("q_tokens", F.col("brand")), BRAND).otherwise(0.0)
-    score = exact + cover + brand + same("q_size", "size", SIZE) + same("q_percent", "percent", FAT) + F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(1.0)) * CONFIDENCE
+    term = F.lit(0.0)
+    if "canonical_terms" in rows.columns:
+        term = F.when(F.exists("canonical_terms", lambda t: F.array_contains("aliases", t) | F.contains("name", t)), TERM).otherwise(0.0)
+    score = exact + term + cover + brand + same("q_size", "size", SIZE) + same("q_percent", "percent", FAT) + F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(1.0)) * CONFIDENCE
     return rows.withColumn("score", rounded(score, 4))
 
 
@@ -85,14 +95,17 @@ def fuzzy_join(tokens: DataFrame, terms: DataFrame, short: int = 1, long: int =
 def contains_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Theta join by containment: exact 0.95, an alias equal 0.90, one name's words inside the other 0.72; the best per pair.
 
-    left: left_id, name. right: right_id, name, aliases. Equal words route the pairs; contains is tested on those only.
+    left: left_id, name, and state, if it is there: then only names of a known state match by part. right: right_id, name, aliases. Equal words route the pairs; contains is tested on those only.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
     terms = right.select("right_id", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("term"), F.col("name").alias("right_name"))
-    a = left.select("left_id", "name", F.explode(F.array_distinct(words(F.col("name")))).alias("__w"))
+    a = left.select("left_id", "name", *[c for c in left.columns if c == "state"], F.explode(F.array_distinct(words(F.col("name")))).alias("__w"))
     b = terms.withColumn("__w", F.element_at(words(F.col("term")), 1))
     pairs = a.join(b, "__w").filter(F.contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")), F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
     score = F.when(F.col("name") == F.col("right_name"), 0.95).when(F.col("name") == F.col("term"), 0.90).otherwise(0.72)
+    if "state" in left.columns:
+        score = F.when((score > 0.72) | F.col("state").isNotNull(), score)
+        pairs = pairs.filter(score.isNotNull())
     return pairs.groupBy("left_id", "right_id").agg(F.max(score).alias("confidence"))
 
 
@@ -105,6 +118,30 @@ def search_score(products: DataFrame, phrase: str, words: list[str], expanded: l
     return products.withColumn("search_score", rounded(F.greatest(score, F.lit(0.0)), 4)).filter("search_score > 0")
 
 
+def weighted_search(products: DataFrame, fields: dict[str, float], phrase: str, words: list[str], related: list[str] = (), adjustments: list[Column] = ()) -> DataFrame:
+    """Catalogue search over several fields, each of its own weight: products with search_score above 0.
+
+    Over all fields side by side: the phrase, all words, each word, each word of related terms, each related phrase. In each field by its weight: the phrase,
+    each word, each related term. Then the adjustments: guardrails that raise or lower products of some kinds. Nulls are empty fields; no score is below 0; to three
+    places. Without words every product scores 1. All of it is expressions over a row, so the search is one scan.
+    """
+    if not words:
+        return products.withColumn("search_score", F.lit(1.0))
+    text = {c: collapse(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in fields}
+    whole = F.concat_ws(" ", *text.values())
+    hits = lambda x, terms: sum((F.contains(x, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    more = list(dict.fromkeys(w for t in related for w in t.split() if w not in words))
+    n = hits(whole, words)
+    score = F.when(F.contains(whole, F.lit(phrase)), PHRASE).otherwise(0.0) + F.when(n == len(words), ALL_WORDS).otherwise(0.0)
+    score = score + n * WORD + hits(whole, more) * RELATED_WORD + hits(whole, [t for t in related if " " in t]) * RELATED_PHRASE
+    for c, weight in fields.items():
+        own = F.when(F.contains(text[c], F.lit(phrase)), FIELD_PHRASE).otherwise(0.0) + hits(text[c], words) + FIELD_RELATED * hits(text[c], [t for t in related if t != phrase])
+        score = score + weight * own
+    for a in adjustments:
+        score = score + F.coalesce(a, F.lit(0.0))
+    return products.withColumn("search_score", rounded(F.greatest(score, F.lit(0.0)), 3)).filter("search_score > 0")
+
+
 def page(rows: DataFrame, limit: int, offset: int, *order) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
@@ -162,7 +199,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir; one is set here only where the session has none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tallyspark")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,23 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def within(origins: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """Pairs of origin and place within km, away from poles and date line.
+    """Pairs of origin and place within km, anywhere on the globe.
 
-    Places go to bands of latitude of one radius's height and origins look into their own band and the two beside it, so the join is
-    by band and cell and never all pairs. origins: origin_id, lat, lon. places: place_id, lat, lon.
+    Places go to bands of latitude a little over one radius high, and within a band to cells of longitude that are as wide as the radius can be there;
+    round a pole a band is one cell. Origins look into their own band and the two beside it, and there into their own cell and those beside it,
+    across the date line too. So the join is by band and cell and never all pairs. Coordinates out of range meet nothing. origins: origin_id, lat, lon. places: place_id, lat, lon.
     """
-    tall = km / KM_PER_DEGREE
-    wide = tall * 2  # enough up to 60 degrees of latitude
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
-    near = lambda c, size: F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1))
-    a = origins.select("origin_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), near("lat", tall).alias("__y"), F.col("lon")).withColumn("__x", near("lon", wide)).drop("lon")
-    b = places.withColumn("__y", cell("lat", tall)).withColumn("__x", cell("lon", wide))
+    tall, turn = km / KM_PER_DEGREE, km / EARTH_KM
+    band = F.floor(F.col("lat") / tall).cast("long")
+    # the latitude farthest from the equator of a band and the two beside it, and how many cells the band has there
+    far = F.least(F.greatest(F.abs((F.col("__y") - 1) * tall), F.abs((F.col("__y") + 2) * tall)), F.lit(90.0))
+    reach = F.lit(math.sin(turn)) / F.cos(F.radians(far))
+    cells = F.when((reach < 1) & F.lit(turn < math.pi / 2), F.greatest(F.floor(F.lit(2 * math.pi) / F.asin(reach)), F.lit(1))).otherwise(1).cast("long")
+    cell = F.floor((F.col("lon") + 180) / 360 * F.col("__n")).cast("long")
+    a = origins.select("origin_id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("__y")).withColumn("__n", cells)
+    a = a.withColumn("__x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(cell + s, F.col("__n"))))))
+    a = a.select("origin_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "__y", "__x")
+    b = places.withColumn("__y", band).withColumn("__n", cells).withColumn("__x", F.pmod(cell, F.col("__n"))).drop("__n")
     pairs = a.join(b, ["__y", "__x"]).withColumn("distance_km", haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon")))
     return pairs.filter(F.col("distance_km") <= km).select("origin_id", "place_id", "distance_km")
 

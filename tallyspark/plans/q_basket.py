@@ -17,9 +17,11 @@ totals AS (SELECT basket_id, chain_id, count(*) AS priced_item_count, {R(sql_sum
 options AS (SELECT *, item_count - priced_item_count AS missing_item_count, {R('actual_total + (item_count - priced_item_count) * 999.0::DOUBLE')} AS score_total, {R('priced_item_count::DOUBLE / item_count', 4)} AS coverage_ratio FROM totals JOIN sizes USING (basket_id)),
 single AS (SELECT basket_id, chain_id, score_total, actual_total, priced_item_count, missing_item_count, coverage_ratio FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY score_total, coverage_ratio DESC, actual_total, chain_id) AS k FROM options) WHERE k = 1)"""
 
-MULTI = f"""{BASE}, chosen AS (SELECT basket_id, chain_id FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY priced_item_count DESC, actual_total, chain_id) AS k FROM options) WHERE k <= 4),
-combos AS (SELECT a.basket_id, [a.chain_id, b.chain_id] AS chains FROM chosen a JOIN chosen b ON a.basket_id = b.basket_id AND a.chain_id < b.chain_id
-  UNION ALL SELECT a.basket_id, [a.chain_id, b.chain_id, c.chain_id] FROM chosen a JOIN chosen b ON a.basket_id = b.basket_id AND a.chain_id < b.chain_id JOIN chosen c ON a.basket_id = c.basket_id AND b.chain_id < c.chain_id),
+def _multi(chains: str) -> str:
+    """SQL up to the table multi, for combinations of the chains of one table: selling (all) or chosen (the legacy plan's four)."""
+    return f"""{BASE}, selling AS (SELECT basket_id, chain_id FROM options), chosen AS (SELECT basket_id, chain_id FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY priced_item_count DESC, actual_total, chain_id) AS k FROM options) WHERE k <= 4),
+combos AS (SELECT a.basket_id, [a.chain_id, b.chain_id] AS chains FROM {chains} a JOIN {chains} b ON a.basket_id = b.basket_id AND a.chain_id < b.chain_id
+  UNION ALL SELECT a.basket_id, [a.chain_id, b.chain_id, c.chain_id] FROM {chains} a JOIN {chains} b ON a.basket_id = b.basket_id AND a.chain_id < b.chain_id JOIN {chains} c ON a.basket_id = c.basket_id AND b.chain_id < c.chain_id),
 slots AS (SELECT basket_id, array_to_string(chains, '|') AS combo, len(chains)::INTEGER AS store_count, unnest(chains) AS chain_id FROM combos),
 cheapest AS (SELECT basket_id, combo, store_count, canonical_product_id, min(price) AS price, any_value(quantity) AS quantity FROM items JOIN prices USING (canonical_product_id) JOIN slots USING (basket_id, chain_id) GROUP BY ALL),
 mtotals AS (SELECT basket_id, combo, store_count, count(*) AS priced_item_count, {R(sql_sum(R('price * quantity')))} AS actual_total FROM cheapest GROUP BY ALL),
@@ -29,6 +31,9 @@ multi AS (SELECT m.basket_id, combo, store_count, m.score_total, m.actual_total,
   m.coverage_ratio >= s.coverage_ratio AND {R('s.actual_total - m.actual_total')} >= 0.5 AND m.score_total <= s.score_total AS recommended FROM mbest m JOIN single s USING (basket_id))"""
 
 
+MULTI, LEGACY = _multi("selling"), _multi("chosen")
+
+
 def parts(spark, d):
     items = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("canonical_product_id")).agg(F.max("l_quantity").alias("quantity"))
     return items, B.chain_prices(P.current_offers(snapshots(spark, d)))
@@ -51,7 +56,7 @@ def basket_single_chain(spark, d):
     return B.best_single(B.chain_options(*parts(spark, d)))
 
 
-@query("store_coverage_ranking", f"WITH {MULTI} SELECT * FROM chosen")
+@query("store_coverage_ranking", f"WITH {LEGACY} SELECT * FROM chosen")
 def store_coverage_ranking(spark, d):
     return B.candidate_chains(B.chain_options(*parts(spark, d)))
 
@@ -75,7 +80,7 @@ def basket_convenience(spark, d):
     return B.convenience(rows, F.split("combo", r"\|"), F.col("store_count"), ["NATION_1", "NATION_2", "NATION_3"], ["NATION_9"], 2, True).select("basket_id", "combo", "penalty_total", "convenience_score")
 
 
-@query("basket_legacy_plan", f"WITH {MULTI} SELECT basket_id, combo, {R('actual_total + 0.75::DOUBLE * store_count + 1000.0::DOUBLE * missing_item_count + 0.2::DOUBLE * (1 - coverage_ratio)', 4)} AS plan_score FROM moptions")
+@query("basket_legacy_plan", f"WITH {LEGACY} SELECT basket_id, combo, {R('actual_total + 0.75::DOUBLE * store_count + 1000.0::DOUBLE * missing_item_count + 0.2::DOUBLE * (1 - coverage_ratio)', 4)} AS plan_score FROM moptions")
 def basket_legacy_plan(spark, d):
     return B.legacy_plan(_legacy(spark, d)).select("basket_id", "combo", "plan_score")
 

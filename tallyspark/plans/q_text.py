@@ -117,6 +117,35 @@ def name_drift(spark, d):
     return rows.select("product_id", X.name_drift(F.col("raw_name"), F.col("after")).alias("drift"), X.not_shared(a, b).cast("long").alias("not_shared"))
 
 
+NAMED = f"""{CATALOG}, named AS (SELECT product_id, c.p_name || ' 5% ' || upper(brand) || '+, ' || p_size || ' g' AS raw, brand FROM catalog c JOIN part ON p_partkey = product_id)"""
+
+
+def _named(spark, d):
+    """Names with a brand in capitals among percentages and sizes."""
+    size = read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_size")
+    raw = F.concat("p_name", F.lit(" 5% "), F.upper("brand"), F.lit("+, "), "p_size", F.lit(" g"))
+    return catalog(spark, d).join(size, "product_id").select("product_id", raw.alias("raw"), "brand")
+
+
+@query("brand_guess", f"""WITH {NAMED}, t AS (SELECT product_id, brand, {_tokens(_norm('raw'))} AS tokens FROM named)
+  SELECT product_id, CASE WHEN list_contains(tokens, brand) AND brand NOT IN ('brand7', 'brand13') THEN upper(brand) END AS brand_guess FROM t""")
+def brand_guess(spark, d):
+    skip = F.array(F.lit("brand7"), F.lit("brand13"))
+    return _named(spark, d).select("product_id", X.brand_guess(F.col("raw"), X.tokens(X.normalise_name(F.col("raw"))), skip).alias("brand_guess"))
+
+
+@query("core_tokens", f"""WITH {NAMED}, t AS (SELECT product_id, brand, {_tokens(_norm('raw'))} AS tokens FROM named)
+  SELECT product_id, array_to_string(list_sort(list_distinct(list_filter(tokens, lambda t: t <> brand AND NOT regexp_matches(t, '^[0-9]+%?$') AND t <> 'g'))), '|') AS core FROM t""")
+def core_tokens(spark, d):
+    return _named(spark, d).select("product_id", F.array_join(X.core_tokens(X.tokens(X.normalise_name(F.col("raw"))), F.col("brand")), "|").alias("core"))
+
+
+@query("vocabulary_evidence", "SELECT p_partkey AS product_id, w AS word, instr(p_name, w)::INTEGER AS at FROM part, (SELECT unnest(['red', 'blue', 'green', 'hot', 'small']) AS w) WHERE contains(p_name, w)")
+def vocabulary_evidence(spark, d):
+    """All words of the vocabulary that a name holds, with their places."""
+    return read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.explode(X.all_words_of(F.col("p_name"), COLORS)).alias("f")).select("product_id", "f.word", "f.at")
+
+
 @query("identifier_slug", f"WITH {CATALOG} SELECT product_id, regexp_replace(regexp_replace(lower(trim(raw_name)), '[^a-z0-9À-ɏЀ-ӿ]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM catalog")
 def identifier_slug(spark, d):
     return catalog(spark, d).select("product_id", X.slug(F.col("raw_name")).alias("slug"))
@@ -162,12 +191,12 @@ def bad_product_audit(spark, d):
 
 # --- matching -----------------------------------------------------------------------------------------------------------
 PARSED = f"""{SIZED}, products AS (SELECT product_id, {_norm('raw_name')} AS name, list_distinct({_tokens(_norm('raw_name'))}) AS tokens, p_name AS alias, brand, size_value, size_unit, fat_percent FROM sized),
-asked AS (SELECT product_id AS query_id, CASE WHEN product_id % 2 = 0 THEN name ELSE alias END AS q_name, CASE WHEN product_id % 3 = 0 THEN size_value END AS q_size, CASE WHEN product_id % 3 = 0 THEN fat_percent END AS q_percent FROM products WHERE product_id % 97 = 5
+asked AS (SELECT product_id AS query_id, CASE WHEN product_id // 50 % 2 = 0 THEN name ELSE alias END AS q_name, CASE WHEN product_id // 50 % 3 = 0 THEN size_value END AS q_size, CASE WHEN product_id // 50 % 3 = 0 THEN fat_percent END AS q_percent FROM products WHERE product_id % 50 = 0
   UNION ALL SELECT 900000001, 'nothing like it', NULL, NULL),
 queries AS (SELECT *, list_distinct({_tokens('q_name')}) AS q_tokens FROM asked),
 shared AS (SELECT query_id, product_id, count(*) AS shared FROM (SELECT query_id, unnest(q_tokens) AS token FROM queries) JOIN (SELECT product_id, unnest(tokens) AS token FROM products) USING (token) GROUP BY ALL),
 pairs AS (SELECT * FROM shared JOIN queries USING (query_id) JOIN products USING (product_id)),
-scored AS (SELECT query_id, product_id, shared, name, brand, {R("CASE WHEN q_name = name THEN 0.45::DOUBLE WHEN q_name = alias THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + shared::DOUBLE / greatest(len(q_tokens), 1) * 0.35::DOUBLE + CASE WHEN list_contains(q_tokens, brand) THEN 0.14::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q_size = size_value THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q_percent = fat_percent THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END + 0.7::DOUBLE * 0.05::DOUBLE", 4)} AS score FROM pairs),
+scored AS (SELECT query_id, product_id, shared, name, brand, {R("CASE WHEN q_name = name THEN 0.45::DOUBLE WHEN q_name = alias THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN len(list_filter(string_split(q_name, ' '), lambda t: len(t) >= 5 AND (t = alias OR contains(name, t)))) > 0 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + shared::DOUBLE / greatest(len(q_tokens), 1) * 0.35::DOUBLE + CASE WHEN list_contains(q_tokens, brand) THEN 0.14::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q_size = size_value THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q_percent = fat_percent THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END + 0.7::DOUBLE * 0.05::DOUBLE", 4)} AS score FROM pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM scored)"""
 
 
@@ -177,8 +206,9 @@ def _parsed(spark, d):
     s = X.size_of(F.col("raw_name"))
     products = c.select("product_id", name.alias("name"), F.array("p_name").alias("aliases"), "brand", s["value"].alias("size"), X.percent_of(F.col("raw_name")).alias("percent"), F.lit(0.7).alias("confidence"))
     products = products.withColumn("tokens", F.array_distinct(X.tokens(F.col("name"))))
-    k = F.col("product_id")
-    asked = products.select(k.alias("query_id"), F.when(k % 2 == 0, F.col("name")).otherwise(F.col("aliases")[0]).alias("q_name"), F.when(k % 3 == 0, F.col("size")).alias("q_size"), F.when(k % 3 == 0, F.col("percent")).alias("q_percent"))
+    # the stated query set: every row whose identifier is divisible by 50, against all rows
+    k = F.floor(F.col("product_id") / 50)
+    asked = products.filter(F.col("product_id") % 50 == 0).select(F.col("product_id").alias("query_id"), F.when(k % 2 == 0, F.col("name")).otherwise(F.col("aliases")[0]).alias("q_name"), F.when(k % 3 == 0, F.col("size")).alias("q_size"), F.when(k % 3 == 0, F.col("percent")).alias("q_percent"))
     none = spark.sql("SELECT 900000001L AS query_id, 'nothing like it' AS q_name, CAST(NULL AS DOUBLE) AS q_size, CAST(NULL AS DOUBLE) AS q_percent")
     queries = asked.unionByName(none).withColumn("q_tokens", F.array_distinct(X.tokens(F.col("q_name"))))
     return queries, products
@@ -187,7 +217,9 @@ def _parsed(spark, d):
 def _scored(spark, d):
     queries, products = _parsed(spark, d)
     pairs = M.candidates(queries.withColumnRenamed("q_tokens", "tokens"), products)
-    return queries, M.match_score(pairs.join(queries, "query_id").join(products, "product_id"))
+    # the words of the asked name are its canonical terms
+    asked = queries.withColumn("canonical_terms", F.filter(F.split("q_name", " "), lambda t: F.length(t) >= 5))
+    return queries, M.match_score(pairs.join(asked, "query_id").join(products, "product_id"))
 
 
 @query("token_candidates", f"WITH {PARSED} SELECT * FROM shared")
@@ -253,6 +285,24 @@ def catalog_search(spark, d):
     return M.page(M.search_score(p, "blue gear", ["blue", "gear"], ["ring", "hot"]).drop("text"), 25, 10, F.desc("search_score"), "product_id")
 
 
+FIELDS = {"p_name": 1.4, "p_type": 1.1, "p_brand": 0.8}
+
+
+def _field(c: str, w: float) -> str:
+    x = f"lower({c})"
+    return f"{w}::DOUBLE * (CASE WHEN contains({x}, 'blue gear') THEN 3.0 ELSE 0.0 END + contains({x}, 'blue')::INT + contains({x}, 'gear')::INT + 0.6::DOUBLE * (contains({x}, 'small ring')::INT + contains({x}, 'hot')::INT))"
+
+
+@query("weighted_search", f"""WITH h AS (SELECT *, lower(p_name || ' ' || p_type || ' ' || p_brand) AS x FROM part),
+  s AS (SELECT p_partkey AS product_id, {R("greatest(CASE WHEN contains(x, 'blue gear') THEN 30.0::DOUBLE ELSE 0.0 END + CASE WHEN contains(x, 'blue') AND contains(x, 'gear') THEN 18.0::DOUBLE ELSE 0.0 END + (contains(x, 'blue')::INT + contains(x, 'gear')::INT) * 5.0::DOUBLE + (contains(x, 'small')::INT + contains(x, 'ring')::INT + contains(x, 'hot')::INT) * 1.6::DOUBLE + contains(x, 'small ring')::INT * 4.0::DOUBLE + " + " + ".join(_field(c, w) for c, w in FIELDS.items()) + " + CASE WHEN p_type = 'ECONOMY' THEN 10.0::DOUBLE WHEN p_type = 'PROMO' THEN -15.0::DOUBLE ELSE 0.0 END, 0.0)", 3)} AS search_score FROM h)
+  SELECT * FROM s WHERE search_score > 0""")
+def weighted_search(spark, d):
+    """Fields of unlike weight, related terms, and guardrails by product type."""
+    guard = F.when(F.col("p_type") == "ECONOMY", 10.0).when(F.col("p_type") == "PROMO", -15.0)
+    found = M.weighted_search(read(spark, d, "part"), FIELDS, "blue gear", ["blue", "gear"], ["small ring", "hot"], [guard])
+    return found.select(F.col("p_partkey").alias("product_id"), "search_score")
+
+
 @query("text_search", "SELECT doc_id FROM documents WHERE text ILIKE '%tion%' AND (lang ILIKE '%E%' OR source ILIKE '%src1%')")
 def text_search(spark, d):
     return read(spark, d, "documents").filter(F.col("text").ilike("%tion%") & (F.col("lang").ilike("%E%") | F.col("source").ilike("%src1%"))).select("doc_id")

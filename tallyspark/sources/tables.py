@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; a folder of this machine only where that is unset and Spark runs on this machine alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (root or os.path.join(tempfile.gettempdir(), "tallyspark-scratch")).rstrip("/")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared store named by spark.checkpoint.dir; one is chosen here only where the session has none."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tallyspark').rstrip('/')}/tables-{uuid.uuid4().hex}"
+    """A new folder in the shared store."""
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def equal(df: DataFrame, column: str, value) -> DataFrame:

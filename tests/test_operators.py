@@ -231,3 +231,59 @@ def test_matching_asks_with_every_product(spark):
     for r in q_text.top_n_candidates(spark, catalogue.SMOKE_DIR).collect():
         top.setdefault(r["query_id"], []).append((-r["score"], r["product_id"]))
     assert {q: sorted(v) for q, v in top.items()} == {q: sorted(v)[:5] for q, v in best.items()}
+
+
+def test_radius_join_over_the_globe(spark):
+    """All pairs by the formula, near poles and across the date line."""
+    import random
+
+    rng = random.Random(5)
+    points = [(75.0, 0.0), (75.0, 0.9), (0.0, 179.99), (0.0, -179.99), (89.9, 10.0), (89.9, -170.0), (-89.95, 0.0), (90.0, 5.0), (60.0, 180.0), (60.0, -180.0), (10.0, 20.0), (10.1, 20.1)]
+    points += [(rng.choice([-1, 1]) * rng.uniform(60, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(rng.uniform(-5, 5), rng.choice([-1, 1]) * rng.uniform(178, 180)) for _ in range(60)]
+    rows = [(i, *p) for i, p in enumerate(points)] + [(900, None, 1.0), (901, 1.0, None), (902, 95.0, 0.0)]
+    a = spark.createDataFrame(rows, "origin_id int, lat double, lon double")
+    b = a.withColumnRenamed("origin_id", "place_id")
+    both = a.select("origin_id", F.col("lat").alias("y"), F.col("lon").alias("x")).crossJoin(b).select("origin_id", "place_id", places.haversine(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")).alias("d"))
+    for km in (26.0, 300.0, 12000.0):
+        got = [(r[0], r[1], r[2]) for r in places.within(a, b, km).collect()]
+        assert sorted(got) == sorted((r[0], r[1], r[2]) for r in both.filter(F.col("d") <= km).collect())
+
+
+def test_upsert_of_repeated_keys(spark):
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
+    rows = spark.createDataFrame([(2, "x", 5), (2, "y", 4), (3, "n", 1), (3, None, 1)], "k int, v string, at int")
+    assert sorted(tuple(r) for r in changes.upsert(base, rows, ["k"], ["at"]).collect()) == [(1, "a", 1), (2, "x", 5), (3, "n", 1)]
+    assert sorted(r["v"] for r in changes.upsert(base, rows, ["k"]).collect()) == ["a", "n", "y"]
+    assert changes.upsert(base, rows.limit(0), ["k"]).count() == 2
+
+
+def test_brand_guess_and_core_tokens(spark):
+    names = ["ВЕРЕЯ Прясно мляко 3,6% 1л", "Мляко Верея", "fresh MILK-A 5% 250 g", "AB cola 2 l", "7UP 500 ml", None]
+    skip = F.array(F.lit("прясно"), F.lit("мляко"))
+    t = text.tokens(text.normalise_name(F.col("n")))
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r["b"] for r in d.select("i", text.brand_guess(F.col("n"), t, skip).alias("b")).orderBy("i").collect()]
+    assert got == ["ВЕРЕЯ", "Верея", None, None, None, None]
+    row = one(spark, c=text.core_tokens(F.array(*[F.lit(x) for x in ("nice", "milk", "5%", "250", "g", "1l", "2-3", "best", "milk")]), F.lit("Best")))
+    assert row["c"] == ["milk", "nice"]
+
+
+def test_weighted_search_by_hand(spark):
+    from tallyspark.operators import matching
+
+    d = spark.createDataFrame([(1, "Blue  Gear", "x"), (2, "gear", None), (3, None, "hot small ring"), (4, "none", "other"), (5, "blue gear", "bad")], "i int, a string, b string")
+    guard = F.when(F.col("b") == "bad", -1000.0)
+    got = {r["i"]: r["search_score"] for r in matching.weighted_search(d, {"a": 1.0, "b": 0.5}, "blue gear", ["blue", "gear"], ["small ring"], [guard]).collect()}
+    assert got == {1: 30 + 18 + 10 + 3 + 2, 2: 5 + 1, 3: 1.6 * 2 + 4 + 0.3}
+    assert matching.weighted_search(d, {"a": 1.0}, "", []).count() == 5
+
+
+def test_providers(spark):
+    from tallyspark.operators import providers
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, t string")
+    table = spark.createDataFrame([("a", "A"), ("a", "AA")], "text string, answer string")
+    assert {r["i"]: r["translated"] for r in providers.translated(rows, "t", lambda asked: table).collect()} == {1: "AA", 2: "b", 3: None}
+    assert providers.translated(rows, "t", None).filter("translated <=> t").count() == 3
+    cache = spark.createDataFrame([("a", 1.0, 2.0)], "t string, lat double, lon double")
+    assert sorted(r["path"] for r in providers.geocoded(rows, "t", cache, None).collect()) == ["cache", "none", "none"]
