@@ -3,10 +3,11 @@
 Vectors are scaled to length one and rounded to int8 with a scale of their own. Rows are packed into blocks; each block
 of candidates meets each block of queries in one tile: a product of the int8 matrices, exact in single precision as the
 sums stay below 2^24 (in double beyond). The rounding errors of both sides bound how far a tile's cosine is from the true one;
-pairs whose upper bound reaches the k-th best lower bound are computed again from the original floats, in double precision and in
-the order of the components. Heaps of k per query are merged over the blocks that a task reads, and again over tasks.
+a tile keeps the pairs whose upper bound reaches the k-th best lower bound that its task has seen for the query, and a query then those that reach the
+k-th best of all tiles. These survivors, few more than k a query, meet their original vectors and are computed again in double precision, in the order
+of the components; heaps of k per query merge them.
 
-A tile's task holds one block of each side. Queries are never all in one place: each block of candidates is sent once to every block of
+A tile's task holds one block of each side, as codes of one byte a component: vectors travel for survivors only. Queries are never all in one place: each block of candidates is sent once to every block of
 queries, so its cost is the product that exact search has.
 
 Cases. Vectors that are null, empty, all zero, or hold null or non-finite components take no part, neither do those of another length
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import parts_for, save, short_batches, small
 
 BLOCK, QUERY_BLOCK = 4096, 1024
-PACKED = "kind int, block long, dim int, n int, ids binary, codes binary, scale binary, error binary, vectors binary"
+PACKED = "block long, dim int, n int, ids binary, rows binary, codes binary, scale binary, error binary"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,57 +61,49 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(aa) * np.sqrt(bb))
 
 
-def best_of_tile(q_ids, q_vec, q_int8, c_ids, c_vec, c_int8, k: int, floor: np.ndarray) -> Iterator[tuple[int, float, int]]:
-    """(query, cosine, candidate id) that may be among a query's k best; floor: a lower bound of each query's k-th best."""
+def best_of_tile(q_ids, q_int8, c_ids, c_int8, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and candidates that may be among a query's k best, with lower and upper bounds; floor: a lower bound of each query's k-th best."""
     near, off = tile(*q_int8, *c_int8)
     own = q_ids[:, None] == c_ids[None, :]
     low = np.where(own, -np.inf, near - off)
-    if low.shape[1] > k:
-        kth = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        floor = np.maximum(floor, kth)
+    if low.shape[1] >= k:
+        floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
     rows, cols = np.nonzero((near + off >= floor[:, None]) & ~own)
-    for i in range(0, len(rows), 200_000):
-        r, c = rows[i : i + 200_000], cols[i : i + 200_000]
-        yield from zip(r.tolist(), cosines(q_vec[r], c_vec[c]).tolist(), c_ids[c].tolist())
+    return rows, cols, low[rows, cols], (near + off)[rows, cols]
 
 
-def _pack(kind: int, block: int, ids: list[int], vectors: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+def _pack(ids: list[int], rows: list[int], vectors: list[np.ndarray]) -> Iterator[pd.DataFrame]:
     """Rows of equal length become one packed row."""
     for dim in sorted({len(v) for v in vectors}):
         at = [i for i, v in enumerate(vectors) if len(v) == dim]
-        x = np.stack([vectors[i] for i in at]).astype(np.float64)
-        codes, scale, error = quantise(x)
-        row = (kind, block, dim, len(at), np.array([ids[i] for i in at], dtype=np.int64).tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), x.tobytes())
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in PACKED.split(", ")])
+        codes, scale, error = quantise(np.stack([vectors[i] for i in at]).astype(np.float64))
+        numbers = [np.array([x[i] for i in at], dtype=np.int64).tobytes() for x in (ids, rows)]
+        yield pd.DataFrame([(0, dim, len(at), *numbers, codes.tobytes(), scale.tobytes(), error.tobytes())], columns=[c.split()[0] for c in PACKED.split(", ")])
 
 
 def _unpack(row) -> tuple:
     n, dim = row.n, row.dim
     arr = lambda raw, kind: np.frombuffer(raw, dtype=kind)
-    return arr(row.ids, np.int64), arr(row.vectors, np.float64).reshape(n, dim), (arr(row.codes, np.int8).reshape(n, dim), arr(row.scale, np.float64), arr(row.error, np.float64))
+    return arr(row.ids, np.int64), arr(row.rows, np.int64), (arr(row.codes, np.int8).reshape(n, dim), arr(row.scale, np.float64), arr(row.error, np.float64))
 
 
-def blocks(rows: DataFrame, kind: int, size: int) -> DataFrame:
-    """Pack rows (id, vector) into rows of at most `size` vectors, dealt evenly without a key."""
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Pack rows (id, row, vector) into rows of at most `size` vectors, dealt evenly without a key."""
     parts = parts_for(rows.count(), size)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
+        held: list[tuple] = []
         for b in batches:
-            for i, v in zip(b["id"], b["vector"]):
-                v = np.asarray(v, dtype=np.float64)
-                if not v.any():
-                    continue
-                ids.append(int(i))
-                vectors.append(v)
-                if len(ids) == size:
-                    yield from _pack(kind, 0, ids, vectors)
-                    ids, vectors = [], []
-        if ids:
-            yield from _pack(kind, 0, ids, vectors)
-
-    packed = rows.repartition(parts).mapInPandas(pack, PACKED)
+            for i, r, v in zip(b["id"], b["row"], b["vector"]):
+                held.append((int(i), int(r), np.asarray(v, dtype=np.float64)))
+                if len(held) == size:
+                    yield from _pack(*map(list, zip(*held)))
+                    held = []
+        if held:
+            yield from _pack(*map(list, zip(*held)))
+
+    # dealt by the rows' numbers: a task that runs again packs the same block
+    packed = rows.repartition(parts, F.xxhash64("row")).mapInPandas(pack, PACKED)
     return packed.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -119,12 +112,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     short_batches(vectors.sparkSession)
     x = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("vector"), is_query.alias("asks"))
-    data = save(blocks(rows.select("id", "vector"), 1, block), "ann-blocks")
+    rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), x.cast("array<double>").alias("vector"), is_query.alias("asks"))
+    rows = save(rows, "ann-vectors")
+    data = save(blocks(rows.select("id", "row", "vector"), block), "ann-blocks")
     asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = save(blocks(asked, 0, query_block), "ann-queries")
+    queries = save(blocks(asked.withColumn("row", F.col("id")), query_block), "ann-queries")
     # a tile is one pair of blocks, a key of its own, so tiles spread evenly; only the lists of block numbers are broadcast
-    names = ["dim", "n", "ids", "codes", "scale", "error", "vectors"]
+    names = ["dim", "n", "ids", "rows", "codes", "scale", "error"]
     of_queries = queries.select("dim", F.col("block").alias("q_block"))
     of_data = data.select("dim", "block")
     left = data.join(small(of_queries, 24), "dim").select("q_block", "block", F.struct(*names).alias("c"))
@@ -132,19 +126,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     tiles = left.hint("shuffle_hash").join(right.hint("shuffle_hash"), ["q_block", "block"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        heaps: dict[int, list[float]] = {}
         for b in batches:
             for t in b.itertuples(index=False):
-                q_ids, q_vec, q_int8 = _unpack(_Row(t.q))
-                c_ids, c_vec, c_int8 = _unpack(_Row(t.c))
-                floor = np.array([heaps[i][0][0] if len(heaps.get(i, ())) == k else -np.inf for i in q_ids.tolist()])
-                for q, score, c in best_of_tile(q_ids, q_vec, q_int8, c_ids, c_vec, c_int8, k, floor):
-                    heap = heaps.setdefault(int(q_ids[q]), [])
-                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -c))
-        out = [(q, -c, s) for q, heap in heaps.items() for s, c in heap]
-        yield pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+                q_ids, _, q_int8 = _unpack(_Row(t.q))
+                c_ids, c_rows, c_int8 = _unpack(_Row(t.c))
+                floor = np.array([heaps[i][0] if len(heaps.get(i, ())) == k else -np.inf for i in q_ids.tolist()])
+                at, cols, low, high = best_of_tile(q_ids, q_int8, c_ids, c_int8, k, floor)
+                for q, bound in zip(q_ids[at].tolist(), low.tolist()):
+                    heap = heaps.setdefault(q, [])
+                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, bound)
+                yield pd.DataFrame({"query_id": q_ids[at], "row": c_rows[cols], "low": low, "high": high})
+
+    found = save(tiles.mapInPandas(search, "query_id long, row long, low double, high double"), "ann-found", narrow=True)
+    kth = Window.partitionBy("query_id").orderBy(F.desc("low"), "row")
+    floors = found.withColumn("place", F.row_number().over(kth)).filter(F.col("place") == k).select("query_id", F.col("low").alias("floor"))
+    left_over = save(found.join(floors, "query_id", "left").filter("floor is null or high >= floor").select("query_id", "row"), "ann-survivors", narrow=True)
+    n = left_over.count()
+    of_row = small(left_over, 32, n).join(rows.select("row", "id", F.col("vector").alias("c")), "row")
+    pairs = of_row.join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").select("query_id", "id", "q", "c")
+
+    def exactly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"query_id": b["query_id"], "id": b["id"], "score": cosines(np.stack(b["q"]), np.stack(b["c"])) if b["q"].map(len).nunique() == 1 else [float(cosines(q[None], c[None])[0]) for q, c in zip(b["q"], b["c"])]})
 
-    found = tiles.mapInPandas(search, "query_id long, id long, score double")
+    scored = pairs.mapInPandas(exactly, "query_id long, id long, score double")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A partition has all rows of its queries."""
@@ -156,7 +163,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         out = [(q, r, -c, s) for q, heap in heaps.items() for r, (s, c) in enumerate(sorted(heap, reverse=True), 1)]
         yield pd.DataFrame(out, columns=["query_id", "rank", "id", "score"]).astype({"query_id": "int64", "rank": "int32", "id": "int64", "score": "float64"})
 
-    return found.repartition("query_id").mapInPandas(merge, "query_id long, rank int, id long, score double")
+    return scored.repartition("query_id").mapInPandas(merge, "query_id long, rank int, id long, score double")
 
 
 class _Row:

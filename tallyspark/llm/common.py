@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +22,39 @@ ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of this machine only where that is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/checkpoints/tallyspark"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "tallyspark-scratch")
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def aside(df: DataFrame, outputs: Sequence[str], *used: str) -> tuple:
+    """df with the columns that bear the name of an output (in any case) renamed: `_in` goes after the name until it is free.
+
+    used: columns that the operator reads; their names after that follow df in the result.
+    """
+    taken, names = {c.lower() for c in [*df.columns, *outputs]}, {}
+    for c in df.columns:
+        new = c
+        while new.lower() in {o.lower() for o in outputs} or (new != c and new.lower() in taken):
+            new += "_in"
+        if new != c:
+            taken.add(new.lower())
+        names[c] = new
+    out = df.select(*[x.alias(names[c]) for x, c in zip(every(df), df.columns)])
+    return (out, *[next(new for c, new in names.items() if c.lower() == u.lower()) for u in used])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 

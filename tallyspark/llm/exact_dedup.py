@@ -1,13 +1,14 @@
 """Exact duplicates through a log-structured index of digests. DataFrame functions only.
 
-Each task of a batch is a memtable. It flushes one run: rows sorted by digest, with a Parquet bloom filter
-on the digest, so that an equality lookup skips row groups. Compaction merges runs and the previous level to
-one row per digest that holds the smallest identifier and the number of rows. A hit (a second row of a digest)
-is confirmed by comparing the bytes of the normalised texts; rows that a digest joined wrongly are grouped anew by
-the text itself.
+The rows of a task fill memtables of at most `MEMTABLE` rows. Each is flushed into one of `RUNS` runs, sorted by digest. Compaction merges
+`FAN_IN` runs at a time, and these again, up to one level: one row per digest that holds the smallest identifier and the number of
+rows. Level and runs have Parquet bloom filters on the digest, by which a look-up of single digests skips row groups; a bitmap filter over the
+level's digests of several rows is asked for all rows at once: those that it rules out are alone and need no join with the level. A hit (a
+further row of a digest) is confirmed by comparing the bytes of the normalised texts; rows that a digest joined wrongly are
+grouped anew by the text itself.
 
 Cases. A null text counts as empty. A null identifier sorts after all others. Of rows repeated with one identifier
-and one text, one is kept. Empty input gives an empty result. Only the two named columns are read; others pass by.
+and one text, one is kept. Very long texts are hashed and compared whole. Empty input gives an empty result. Only the two named columns are read; others pass by.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACES, save, scratch_path, small
+from tallyspark.llm.common import BROADCAST_BYTES, SPACES, save, scratch_path, small
 
 #: Copies of one text that are compared in one place; larger groups are dealt over more places.
 COPIES_PER_SALT = 1000
+#: Rows of a memtable, runs that a batch is flushed to, and runs that one merge takes.
+MEMTABLE, RUNS, FAN_IN = 50_000, 16, 4
+#: Bits of the filter for each digest in it.
+FILTER_BITS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -39,56 +44,89 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, digest: Callable[[Column], Column] = whole):
         self.spark, self.path, self.digest = spark, path or scratch_path(spark, "digest-index"), digest
-        self.runs: list[str] = []  # not compacted yet
+        self.batches: list[DataFrame] = []  # not compacted yet
         self.flushed = self.compacted = 0
-        self.level: str | None = None
+        self.level: DataFrame | None = None
 
-    def _write(self, df: DataFrame, at: str) -> str:
+    def _write(self, df: DataFrame, at: str, *by: str) -> DataFrame:
         options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
-        df.write.options(**options).parquet(at)
-        return at
+        df.write.options(**options).partitionBy(*by).parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch: one sorted run a task. Gives the run's rows: id, batch and seq (together a row's number), sha, digest."""
+        """Add a batch. Gives its rows: id, batch and seq (together a row's number), sha, digest, run."""
         sha = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
         rows = docs.select(F.col(id_col).alias("id"), F.lit(self.flushed).alias("batch"), F.monotonically_increasing_id().alias("seq"), sha.alias("sha"))
-        rows = rows.withColumn("digest", self.digest(F.col("sha"))).sortWithinPartitions("digest", "id")
-        self.runs.append(self._write(rows, f"{self.path}/level0/run{self.flushed}"))
+        # the number's upper bits are the task's, the lower 33 count its rows
+        table = F.shiftright("seq", 33) + F.floor(F.col("seq").bitwiseAND(F.lit((1 << 33) - 1)) / MEMTABLE)
+        rows = rows.withColumn("digest", self.digest(F.col("sha"))).withColumn("run", F.pmod(table, F.lit(RUNS)).cast("int")).sortWithinPartitions("run", "digest", "id")
+        self.batches.append(self._write(rows, f"{self.path}/level0/batch{self.flushed}", "run"))
         self.flushed += 1
-        return self.spark.read.schema(rows.schema).parquet(self.runs[-1])
+        return self.batches[-1]
 
     def compact(self) -> DataFrame:
         """Merge the runs, and the level before, to digest, keep (the smallest id and row), rows; sorted by digest."""
-        keep = F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq")
-        if not self.runs:
-            return self.spark.read.parquet(self.level)
-        parts = [self.spark.read.parquet(r).select("digest", keep.alias("keep"), F.lit(1).cast("long").alias("rows")) for r in self.runs]
-        if self.level:
-            parts.append(self.spark.read.parquet(self.level))
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        merged = merged.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("rows").alias("rows")).sortWithinPartitions("digest")
+        if not self.batches:
+            return self.level
+        keep = F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq", "sha")
+        now, runs = None, RUNS
+        for b in self.batches:
+            rows = b.select("run", "digest", keep.alias("keep"), F.lit(1).cast("long").alias("rows"))
+            now = rows if now is None else now.unionByName(rows)
+        tier = 0
+        while runs > 1:
+            runs, tier = -(-runs // FAN_IN), tier + 1
+            if runs == 1 and self.level:
+                now = now.unionByName(self.level.withColumn("run", F.lit(0)))
+            group = F.floor(F.col("run") / FAN_IN).cast("int").alias("run")
+            merged = now.groupBy(group, "digest").agg(F.min("keep").alias("keep"), F.sum("rows").alias("rows")).sortWithinPartitions("run", "digest")
+            at = f"{self.path}/level{tier}/{self.compacted}"
+            if runs > 1:
+                now = self._write(merged, at, "run")
+            else:
+                now = self._write(merged.drop("run"), at)
         self.compacted += 1
-        at = self._write(merged, f"{self.path}/level1/{self.compacted}")
-        self.level, self.runs = at, []
-        return self.spark.read.schema(merged.schema).parquet(at)
+        self.level, self.batches = now, []
+        return now
 
     def lookup(self, digest: bytes) -> DataFrame:
         """The level's row of one digest; the bloom filters skip the other row groups."""
-        return self.spark.read.parquet(self.level).filter(F.col("digest") == F.lit(bytearray(digest)))
+        return self.level.filter(F.col("digest") == F.lit(bytearray(digest)))
 
 
-def false_hits(docs: DataFrame, level: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+class Filter:
+    """A bitmap over the hashes of digests: says no only to digests that aren't in it. Beyond what may be broadcast it says yes to all."""
+
+    def __init__(self, digests: DataFrame):
+        n = digests.count()
+        self.bits = 1 << max(15, (n * FILTER_BITS).bit_length())
+        self.small = self.bits // 8 <= BROADCAST_BYTES
+        at = self._at(F.col("digest"))
+        self.maps = digests.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__map"))
+
+    def _at(self, digest: Column) -> Column:
+        return F.pmod(F.xxhash64(digest), F.lit(self.bits))
+
+    def asked(self, rows: DataFrame) -> DataFrame:
+        """rows (with digest) and `maybe`, whether the digest can be in the filter."""
+        if not self.small:
+            return rows.withColumn("maybe", F.lit(True))
+        at = self._at(F.col("digest"))
+        out = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__bit", F.bitmap_bit_position(at)).join(F.broadcast(self.maps), "__bucket", "left")
+        there = F.expr("cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(__bit % 8 as int))") != 0
+        return out.withColumn("maybe", F.coalesce(there, F.lit(False))).drop("__bucket", "__bit", "__map")
+
+
+def false_hits(docs: DataFrame, many: DataFrame, seen: Filter, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """Rows (id, sha, text) whose text differs from that of the row their digest keeps."""
-    groups = level.filter("rows > 1").select("digest", F.col("keep.id").alias("keep_id"), "rows")
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("body"))
+    groups = many.select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.sha").alias("keep_sha"), "rows")
+    # numbered as they are read, before any shuffle, so that a task that runs again deals its rows alike
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"), F.monotonically_increasing_id().alias("seq"))
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("body").cast("binary"), 256))).withColumn("digest", digest(F.col("sha")))
-    rows = rows.join(small(groups, 80), "digest").withColumn("salts", F.ceil(F.col("rows") / COPIES_PER_SALT).cast("int"))
-    kept = rows.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.min("body").alias("keep_body"))
+    rows = seen.asked(rows).filter("maybe").join(small(groups, 120), "digest").withColumn("salts", F.ceil(F.col("rows") / COPIES_PER_SALT).cast("int"))
+    kept = rows.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha"))).groupBy("digest", "salts").agg(F.min("body").alias("keep_body"))
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("salts")).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "seq"), F.col("salts")).cast("int"))
     return rows.join(kept, ["digest", "salt"]).filter(F.col("body") != F.col("keep_body")).select("id", "sha", "digest", "body")
 
 
@@ -96,16 +134,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, keep_id, group_size, kept, sha (binary SHA-256 of the normalised text)."""
     index = DigestIndex(docs.sparkSession, digest=digest)
     rows, level = index.flush(docs, id_col, text_col), index.compact()
-    wrong = save(false_hits(docs, level, digest, id_col, text_col), "false-hits", narrow=True)
+    many = level.filter("rows > 1")
+    seen = Filter(many)
+    wrong = save(false_hits(docs, many, seen, digest, id_col, text_col), "false-hits", narrow=True)
+    rows = seen.asked(rows)
+    found = rows.filter("maybe").join(small(many, 160), "digest", "left")
+    alone = rows.filter("not maybe").withColumn("keep", F.lit(None).cast(level.schema["keep"].dataType)).withColumn("rows", F.lit(None).cast("long"))
+    # a digest of one row, which the filter lets through or not, keeps that row
+    keep = F.coalesce("keep", F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq", "sha"))
+    got = found.unionByName(alone).withColumn("keep", keep).withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))
     if not wrong.count():
-        got = rows.join(level, "digest").select("id", F.col("keep.id").alias("keep_id"), F.col("rows").alias("group_size"), "batch", "seq", F.col("keep.batch").alias("keep_batch"), F.col("keep.seq").alias("keep_seq"), "sha")
+        got = got.select("id", F.col("keep.id").alias("keep_id"), F.col("rows").alias("group_size"), "batch", "seq", F.col("keep.batch").alias("keep_batch"), F.col("keep.seq").alias("keep_seq"), "sha")
     else:
         # what was joined wrongly leaves its digest's group; those rows group by the bytes of their texts
         first = rows.groupBy("id", "sha").agg(F.min(F.struct("batch", "seq")).alias("at"), F.count("*").alias("same")).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "at.batch", "at.seq", "same")
         own = wrong.dropDuplicates(["id", "sha"]).join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")))
         by_text = own.groupBy("sha", "body").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq")).alias("own"), F.sum("same").alias("own_rows")).select(F.col("sha").alias("own_sha"), "own", "own_rows")
         lost = wrong.groupBy("digest").agg(F.count("*").alias("lost"))
-        got = rows.join(level, "digest").join(lost, "digest", "left").join(small(by_text, 120), F.col("sha") == F.col("own_sha"), "left")
+        got = got.join(lost, "digest", "left").join(small(by_text, 120), F.col("sha") == F.col("own_sha"), "left")
         ours = F.col("own").isNotNull()
         got = got.select(
             "id",

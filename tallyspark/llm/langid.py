@@ -2,7 +2,7 @@
 
 A model of order five per language, over lower-cased words: a word's characters, with four blanks before and one after,
 so that a character is predicted from at most four before it in the same word. Estimates are interpolated Kneser-Ney: raw
-counts at the highest order, counts of distinct left neighbours below, one absolute discount per order. The models are
+counts at the highest order, counts of distinct left neighbours below, one absolute discount per order and language, from how many n-grams were seen once and twice. The models are
 stored as sorted arrays of 64-bit n-gram hashes, one per order, with a column of log-probabilities (and, for contexts, of
 back-off weights) per language. The language is the one of least cross-entropy per character; its score is a softmax
 whose temperature is fitted on texts kept out of the counts; a text is rejected if its cross-entropy is far above what
@@ -10,16 +10,18 @@ such texts of its length have. How far is calibrated on held-out texts by langua
 they have under the models of the other languages, so that single odd texts don't set it.
 
 Training reads at most `train_chars` characters in expectation, over all languages, chosen by a hash of the identifier
-with one rate per language: that is the documented bound of the fit. Prediction reads every whole text. A worker keeps
+with one rate per language, and at least the texts of the least hash of each: that is the documented bound of the fit. Prediction reads every whole text. A worker keeps
 the sums of up to `CACHED` words; that saves time and changes no result.
 
 Cases. A text that is null or has no letter is `und` with score 0 and isn't rejected for its entropy but as undetermined.
-Ties go to the first language in code-point order. A language column of nulls only, or no training text, makes every
-text `und`. Other columns pass by.
+Ties go to the first language in code-point order; rows repeated, or without identifier, are each judged by their text. A language column of nulls only, or no training text, makes every
+text `und`. Columns named lang_pred, score, cross_entropy or rejected pass by with `_in` after their names, other columns as they are; an
+empty input gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import crc_mod, short_batches, unit_hash
+from tallyspark.llm.common import aside, crc_mod, every, short_batches, unit_hash
 
-ORDER, DISCOUNT, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, CACHED = 5, 0.75, 4_000_000, 2000, 3.0, 150_000
+ORDER, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, CACHED = 5, 4_000_000, 2000, 3.0, 150_000
 #: The lengths at which rejection is calibrated, on the starts of texts; the quantiles of known and of unknown languages; the least texts of a language for limits of its own.
 LENGTHS, KNOWN, UNKNOWN, LEAST_TEXTS = (20, 50, 100, 200, 400, 1000, 4000), 0.995, 0.01, 100
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +66,12 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2), where n1 and n2 n-grams were counted once and twice; a half where that says nothing."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(0.95, once / (once + 2 * twice)) if once else 0.5
+
+
 class Vocabulary(dict):
     """Words to places, in order of arrival."""
 
@@ -139,9 +147,10 @@ class LanguageModels:
                 total = np.bincount(ctx_of[at], weights=c, minlength=len(ctx_keys))
                 kinds = np.bincount(ctx_of[at], minlength=len(ctx_keys))
                 seen = total > 0
-                back_off[seen, i] = DISCOUNT * kinds[seen] / total[seen]
+                less = discount(c)
+                back_off[seen, i] = less * kinds[seen] / total[seen]
                 p[:, i] = back_off[ctx_of, i] * lower[:, i]
-                p[at, i] += np.maximum(c - DISCOUNT, 0) / total[ctx_of[at]]
+                p[at, i] += np.maximum(c - less, 0) / total[ctx_of[at]]
             out.keys.append(keys)
             out.logp.append(np.log(p).astype(np.float32))
             out.ctx_keys.append(ctx_keys)
@@ -286,21 +295,32 @@ class LanguageModels:
         return out
 
 
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words as prediction cuts them, counted in each batch."""
+    for b in batches:
+        found = Counter((lang, w) for lang, text in zip(b["lang"], b["text"]) for w in text.lower().split())
+        yield pd.DataFrame([(lang, w, n) for (lang, w), n in found.items()], columns=["lang", "word", "n"])
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS) -> LanguageModels:
     """Fit on a bounded sample of labelled: rows drawn by a hash, at one rate per language."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: (r["chars"], r["docs"]) for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs")).collect()}
-    sizes = {k: v for k, v in sizes.items() if v[0]}
+    u = unit_hash(F.lit("langid"), F.col("id"))
+    some = F.when(F.col("text").rlike(r"\S"), u)
+    found = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs"), F.min(some).alias("first")).collect()
+    sizes = {r["lang"]: (r["chars"], r["docs"]) for r in found if r["first"] is not None}
+    first = {r["lang"]: r["first"] for r in found}
     if not sizes:
         return LanguageModels([])
     each, docs = train_chars / len(sizes), CALIBRATION_DOCS / len(sizes)
-    u = unit_hash(F.lit("langid"), F.col("id"))
-    rate = lambda part: F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(part(*v)))]), F.col("lang"))
+    per = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
+    rate = lambda part: per({k: part(*v) for k, v in sizes.items()})
     count_rate = rate(lambda chars, n: min(0.8, each / chars))
     held_rate = rate(lambda chars, n: min(0.2, docs / n, each / chars))
     rows = rows.filter(F.col("lang").isin(list(sizes)))
-    words = rows.filter(u < count_rate).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word != ''")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
+    # a language of few texts is still learned
+    counted = rows.filter((u < count_rate) | (u == per({k: first[k] for k in sizes}))).select("lang", "text")
+    counts = counted.mapInPandas(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     model = LanguageModels.fit(counts.sort_values(["lang", "word"], kind="stable"))
     held = rows.filter(u >= 1 - held_rate).select("text", "lang").collect()
     held = [r for r in held if r["lang"] in model.langs]
@@ -309,7 +329,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: LanguageModels, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and rejected; the input columns stay as they are."""
+    """docs with lang_pred, score, cross_entropy and rejected."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -319,7 +339,8 @@ def identify(docs: DataFrame, model: LanguageModels, text_col: str = "text") ->
         for texts in batches:
             yield pd.DataFrame(own.predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.withColumn("__lang", predict(F.col(text_col))).select(*docs.columns, "__lang.*")
+    docs, text_col = aside(docs, ["lang_pred", "score", "cross_entropy", "rejected"], text_col)
+    return docs.select("*", predict(F.col(f"`{text_col}`")).alias("__lang")).select(*every(docs), "__lang.*")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORDS, save, small, unit_hash
+from tallyspark.llm.common import WORDS, every, save, small, unit_hash
 
 #: Weights by the sources' order, repeating; the mix's size as a share of all words; largest rate of a source.
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
@@ -55,9 +55,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its own columns."""
-    words = F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long")
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(words).alias("size"))
     targets = save(source_targets(sizes, **shares), "mix-targets").select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
     out = docs.join(small(targets, 200), F.col(source_col).eqNullSafe(F.col("__of")))
     times = copies(F.col("__rate"), F.col(id_col))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*every(docs))

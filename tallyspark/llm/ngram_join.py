@@ -15,7 +15,8 @@ a group that no longer holds, and the keys are the shingles of the prefix: sets
 fixed order; rare ones come first, by a table of hashed counts over all documents.
 
 Linking. Only components are wanted, so pairs are looked at in two turns. In the first each member of a tree meets one centre: the least member
-that its task read with that key, and these centres the least of them. Members then in one component need no other look; in the second turn,
+that its task read with that key, and these centres the least of them; trees that still hold several components get new centres from their
+largest, `STARS` times. Members then in one component need no other look; in the second turn,
 trees that still hold several components are searched for pairs across components whose bound reaches the threshold. In both turns pairs
 pass by the bound of their points first, and survivors are verified on the true sets. No link between components is lost, no group is
 expanded to all its pairs, and a key's rows are as many as the tasks that read it, not as its members. Trees of
@@ -54,6 +55,10 @@ CELLS, SLICES, FAN_IN = 1 << 20, 64, 64
 FULL = 255
 #: Sets that one task remembers so as not to send copies' keys again, and keys of which it finds the centres at once; both only save work.
 REMEMBERED, AT_ONCE = 300_000, 1 << 20
+#: How often the trees get other centres before they are searched.
+STARS = 1
+#: Keys by which a pair is told to come from another tree.
+LEAST_KEYS = 24
 #: How often sets are dealt again by another hash.
 DEALS = 3
 
@@ -365,8 +370,11 @@ def _links(docs: DataFrame, pairs: DataFrame, ends: DataFrame, width: int, num:
 
 
 def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, n, counts. Gives pairs a, b."""
-    columns = ["key", "i", "j", "side", "sid", "comp", "n", "counts"]
+    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, n, counts, least. Gives pairs a, b.
+
+    least: the smallest keys of a member's trees. Near copies meet in many trees; a pair isn't given where one of these says that another tree gives it.
+    """
+    columns = ["key", "i", "j", "side", "sid", "comp", "n", "counts", "least"]
 
     def group(g: pd.DataFrame) -> list[tuple]:
         points = points_of(g["counts"])
@@ -376,7 +384,10 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
         if not len(left) or not len(right):
             return []
         sid, comp = [bytes(s) for s in g["sid"]], np.array([bytes(c).hex() for c in g["comp"]])
-        return [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in tree_pairs(points, sizes, comp, left, right, num, den)]
+        key = g["key"].iloc[0]
+        before = [frozenset(ks[ks < key].tolist()) for ks in map(np.asarray, g["least"])]
+        found = tree_pairs(points, sizes, comp, left, right, num, den)
+        return [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in found if before[i].isdisjoint(before[j])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: list[pd.DataFrame] = []
@@ -428,36 +439,61 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     used = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
     ends = save(own.join(used, "h").select("h", "sid", F.col("low").cast("string").alias("low"), "n"), "join-ends", narrow=True)
     counted = save(_of_sets(docs, ends, width, "counts", counts_of), "join-points", narrow=True)
-    # first turn: members and centres, by size, then by the bound, then by the true sets
-    side = lambda h, *names: ends.select(F.col("h").alias(h), *[F.col(c).alias(a) for c, a in zip(("sid", "n"), names)])
-    pairs = met.join(side("x", "a", "n_a"), "x").join(side("y", "b", "n_b"), "y").filter("a < b or (x != y and a != b)")
-    pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
     at = lambda s, c: counted.select(F.col("sid").alias(s), F.col("counts").alias(c))
-    bounded = pairs.join(at("a", "counts_a"), "a").join(at("b", "counts_b"), "b").filter(_may_link(num, den)("counts_a", "counts_b", "n_a", "n_b"))
-    labels = save(components(_links(docs, save(bounded.select("a", "b"), "star-pairs", narrow=True), ends, width, num, den)), "labels")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, n_a, b, n_b): by size, then by the bound, then by the true sets."""
+        pairs = pairs.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
+        bounded = pairs.join(at("a", "counts_a"), "a").join(at("b", "counts_b"), "b").filter(_may_link(num, den)("counts_a", "counts_b", "n_a", "n_b"))
+        return _links(docs, save(bounded.select("a", "b"), "star-pairs", narrow=True), ends, width, num, den)
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        return save(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "labels")
+
+    def apart(labels: DataFrame) -> DataFrame:
+        """The members (key, sid, n, comp) of trees that hold several components."""
+        named = ends.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("h", "sid", "n", F.coalesce("label", "sid").alias("comp"))
+        comp = save(named, "comps", narrow=True)
+        part = lambda h, c: comp.select(F.col("h").alias(h), F.col("comp").alias(c))
+        keys = save(trees.join(part("up", "c_up"), "up").join(part("h", "c_h"), "h").filter("c_up != c_h").select("key").distinct(), "apart", narrow=True)
+        held = trees.join(small(keys, 16), "key", "left_semi").select("key", F.explode(F.array("up", "h")).alias("h")).distinct().join(comp, "h")
+        out = save(held.select("key", "sid", "n", "comp"), "rest", narrow=True)
+        forget(comp, keys)
+        return out
+
+    # first turn: members and centres
+    side = lambda h, *names: ends.select(F.col("h").alias(h), *[F.col(c).alias(a) for c, a in zip(("sid", "n"), names)])
+    labels = save(components(linked(met.join(side("x", "a", "n_a"), "x").join(side("y", "b", "n_b"), "y").filter("a < b or (x != y and a != b)"))), "labels")
+    # again, with centres from the largest component of each tree: of a group of near copies few are left apart
+    for turn in range(STARS):
+        rest = apart(labels)
+        one = F.struct(F.xxhash64("sid", F.lit(turn)).alias("order"), "sid", "n")
+        largest = rest.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(one).alias("one")).groupBy("key").agg(F.max(F.struct("size", "comp", "one")).alias("c"))
+        largest = save(largest.select("key", F.col("c.comp").alias("c_comp"), F.col("c.one.sid").alias("b"), F.col("c.one.n").alias("n_b")), "centres", narrow=True)
+        pairs = rest.join(small(largest, 64), "key").filter("comp != c_comp").select(F.col("sid").alias("a"), F.col("n").alias("n_a"), "b", "n_b").distinct()
+        labels = merged(labels, linked(pairs))
+        forget(rest, largest)
     # second turn: trees of three or more sets that still hold several components
-    named = ends.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("h", "sid", "n", F.coalesce("label", "sid").alias("comp"))
-    comp = save(named, "comps", narrow=True)
-    part = lambda h, c: comp.select(F.col("h").alias(h), F.col("comp").alias(c))
-    apart = trees.join(part("up", "c_up"), "up").join(part("h", "c_h"), "h").filter("c_up != c_h").select("key").distinct()
-    members = trees.join(apart, "key", "left_semi")
-    members = members.select("key", F.explode(F.array("up", "h")).alias("h")).distinct().join(comp, "h")
+    rest = apart(labels)
     # near copies share many keys: trees of equal members (by two hashes and the number) are searched once
     mark = lambda seed: F.expr(f"bit_xor(xxhash64(sid, {seed}))")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), mark(1).alias("one"), mark(2).alias("two")).filter("size > 2")
-    chosen = sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size")
-    rest = save(members.join(chosen, "key").select("key", "sid", "comp", "n", "size"), "rest", narrow=True)
-    if rest.count():
+    sizes = rest.groupBy("key").agg(F.count("*").alias("size"), mark(1).alias("one"), mark(2).alias("two")).filter("size > 2")
+    chosen = save(sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size"), "chosen", narrow=True)
+    if chosen.count():
         chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-        dealt = rest.join(counted, "sid").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+        searched = save(rest.join(small(chosen, 24), "key"), "searched", narrow=True)
+        # a set is in no more trees than it has keys
+        least = searched.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+        dealt = searched.join(least.join(counted, "sid"), "sid").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
         dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         dealt = dealt.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d"))
         side_of = F.when(F.col("i") == F.col("j"), 0).when(F.col("c") == F.col("i"), 1).otherwise(2)
         more = save(_search_trees(dealt.withColumn("side", side_of), num, den), "tree-pairs", narrow=True)
         if more.count():
-            stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = save(components(stars.unionByName(_links(docs, more, ends, width, num, den))), "labels")
-    forget(trees, counted, rest, comp, ends)
+            labels = merged(labels, _links(docs, more, ends, width, num, den))
+        forget(searched, more)
+    forget(chosen)
+    forget(trees, counted, rest, ends)
     named = own.select("sid", "low").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid"))
     lowest = named.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sid")).alias("keep"))
     of_set = save(named.join(lowest, "comp").select("sid", F.col("keep.low").alias("component_id"), (F.col("sid") == F.col("keep.sid")).alias("keeps")), "components", narrow=True)

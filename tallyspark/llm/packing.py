@@ -1,20 +1,20 @@
 """Packing tokenised documents into sequences of bounded length by swap-based local search.
 
 Only the lengths decide a packing, so the search runs on their histogram, which has at most `room` entries whatever the
-number of documents: a bin is a multiset of lengths, and equal bins are one row with a count. It starts from a best-fit
-packing of the histogram and then tries, between underfull bins, to move a document, to exchange one for one, and to exchange
-two for one, whenever that raises the sum of squared fills; bins so emptied disappear. Exchanges between equal bins are done for all of
-them at once. Documents are then matched to the places of their length by rank. Ranks are counted inside the task that
-tokenised them and offset by a table of counts per task and length.
+number of documents: a bin is a multiset of lengths, and equal bins are one row with a count. It starts from a plain order, bins that
+hold one length each, and then tries, between underfull bins, to move a document, to exchange one for one, and to exchange
+two for one or one for two, whenever that raises the sum of squared fills; bins so emptied disappear. It ends when no step between any two
+bins helps. Exchanges between equal bins are done for all of them at once. Documents are then matched to the places of their length by rank.
+Ranks are counted inside the task that tokenised them and offset by a table of counts per task and length.
 
 Texts of more than `room` tokens are cut, from the end, into pieces of `room`; the first piece holds the rest.
 
 Tokenising. A byte-level BPE file is read as ranks and run by tiktoken, which gives the ids that the tokenizers library gives
-(the tests compare them) at a fifth of the time; other files are run by the tokenizers library. Strings of special tokens in a
-text are ordinary text.
+(the tests compare them) at a fifth of the time; other files are run by the tokenizers library. Strings of added tokens in a
+text become these tokens, as that library has it.
 
 Cases. A null or empty text is the closing id alone. Rows repeated, or with a null identifier, are packed as rows of
-their own. A very long text is tokenised whole. Empty input gives an empty result. Other columns are not read.
+their own. A very long text is tokenised whole. Empty input gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import save, short_batches, small
 
-ROOM, END, ROUNDS = 1024, 2, 40
+ROOM, END = 1024, 2
 #: How the byte-level BPE file cuts text before merging; a fixed value of that public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,16 +50,18 @@ def tokenizer(path: str):
 
     spec = json.loads(open(path, encoding="utf-8").read())
     model, before = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    added = spec.get("added_tokens", [])
     plain = model.get("type", "BPE") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+    plain = plain and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
     if plain:
         import tiktoken
 
-        letters, special = byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
+        letters, special = byte_letters(), {t["content"]: t["id"] for t in added}
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         if sorted(ranks.values()) == list(range(len(ranks))):
-            return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            return lambda text: fast.encode(text, allowed_special="all") if any(t in text for t in special) else fast.encode_ordinary(text)
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
@@ -72,27 +74,39 @@ def cuts(n: int, room: int = ROOM) -> list[tuple[int, int]]:
 # --- the search, on the histogram -------------------------------------------------------------------------------------
 
 
-def best_fit(counts: dict[int, int], room: int) -> Counter:
-    """Bins (sorted tuples of lengths) with their numbers, by best fit of decreasing lengths, equal ones at once."""
-    left, bins = {k: v for k, v in counts.items() if v}, Counter()
-    while left:
-        space, took, n = room, [], None
-        for size in sorted(left, reverse=True):
-            k = min(space // size, left[size])
-            if k:
-                took += [size] * k
-                space -= size * k
-        for size, k in Counter(took).items():
-            n = left[size] // k if n is None else min(n, left[size] // k)
-        for size, k in Counter(took).items():
-            left[size] -= n * k
-            if not left[size]:
-                del left[size]
-        bins[tuple(sorted(took, reverse=True))] += n
+Bin = tuple[int, ...]
+
+
+def plain_order(counts: dict[int, int], room: int) -> Counter:
+    """Bins (sorted tuples of lengths) with their numbers: each length by itself, as many as fit in a bin."""
+    bins: Counter[Bin] = Counter()
+    for size, n in sorted(counts.items()):
+        each = room // size
+        if n >= each:
+            bins[(size,) * each] += n // each
+        if n % each:
+            bins[(size,) * (n % each)] += 1
     return bins
 
 
-def _swap(a: tuple[int, ...], b: tuple[int, ...], out_a: tuple[int, ...], out_b: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+def _sums(bin_: Bin) -> tuple[int, int]:
+    """The lengths in a bin, and the sums of two of them, as bit sets."""
+    kinds = sorted(set(bin_))
+    ones = twos = 0
+    for k, x in enumerate(kinds):
+        ones |= 1 << x
+        for y in kinds[k:]:
+            if x != y or bin_.count(x) > 1:
+                twos |= 1 << (x + y)
+    return ones, twos
+
+
+def _pair(bin_: Bin, total: int) -> Bin:
+    have = Counter(bin_)
+    return next((x, total - x) for x in have if total - x in have and (x * 2 != total or have[x] > 1))
+
+
+def _swap(a: Bin, b: Bin, out_a: Bin, out_b: Bin) -> tuple[Bin, Bin]:
     x, y = Counter(a), Counter(b)
     x.subtract(out_a)
     x.update(out_b)
@@ -101,60 +115,80 @@ def _swap(a: tuple[int, ...], b: tuple[int, ...], out_a: tuple[int, ...], out_b:
     return tuple(sorted(x.elements(), reverse=True)), tuple(sorted(y.elements(), reverse=True))
 
 
-def improve(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """The step between two bins that raises their squared fill most: a move, or an exchange of one or two for one."""
-    fa, fb = sum(a), sum(b)
-    if fa < fb:
-        a, b, fa, fb = b, a, fb, fa
-    gain = room - fa  # what the fuller bin may take on
-    best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-    ones, others = sorted(set(a)), sorted(set(b))
-    pairs = {x + y: (x, y) for i, x in enumerate(others) for y in others[i:] if x != y or b.count(x) > 1}
-    mine = {x + y: (x, y) for i, x in enumerate(ones) for y in ones[i:] if x != y or a.count(x) > 1}
-    for gets, size in [((y,), y) for y in others] + [(p, s) for s, p in pairs.items()]:
-        if size <= gain and size > best[0]:
-            best = (size, (), gets)
-        for x in ones:
-            if best[0] < size - x <= gain:
-                best = (size - x, (x,), gets)
-    for y in others:
-        for s, p in mine.items():
-            if best[0] < y - s <= gain:
-                best = (y - s, p, (y,))
-    return _swap(a, b, best[1], best[2]) if best[0] > 0 else None
-
-
-def local_search(bins: Counter, room: int, rounds: int = ROUNDS) -> Counter:
-    """Exchange and move between underfull bins until no step helps, or rounds passed. Bins that empty out are gone."""
-    bins = Counter({k: v for k, v in bins.items() if k})
-    for _ in range(rounds):
+def most_gain(a: Bin, twos_a: int, ones_b: int, twos_b: int, most: int) -> int:
+    """The most, up to `most`, that a can gain from what others hold by a move or an exchange of one for one, two for one or one for two; 0 if nothing."""
+    gets, found = ones_b | twos_b, 0
+    for x in (0, *set(a)):
+        found |= gets >> x
+    while twos_a and ones_b >> ((twos_a & -twos_a).bit_length() - 1):
+        found |= ones_b >> ((twos_a & -twos_a).bit_length() - 1)
+        twos_a &= twos_a - 1
+    return (found & ((1 << (most + 1)) - 2)).bit_length() - 1 if found & ((1 << (most + 1)) - 2) else 0
+
+
+def gains(d: int, ones_a: int, twos_a: int, ones_b: int, twos_b: int) -> bool:
+    """Whether a step brings bin a exactly d from bin b."""
+    return bool((ones_b | twos_b) & ((1 | ones_a) << d) or ones_b & (twos_a << d))
+
+
+def exchange(a: Bin, b: Bin, d: int) -> tuple[Bin, Bin]:
+    """The bins after a step by which a gains d from b."""
+    mine, theirs = sorted(set(a)), set(b)
+    ones, pairs = _sums(b)
+    for x in (0, *mine):
+        if x + d in theirs:
+            return _swap(a, b, (x,) if x else (), (x + d,))
+    for x in (0, *mine):
+        if pairs >> (x + d) & 1:
+            return _swap(a, b, (x,) if x else (), _pair(b, x + d))
+    for y in sorted(theirs):
+        if y > d and _sums(a)[1] >> (y - d) & 1:
+            return _swap(a, b, _pair(a, y - d), (y,))
+    raise ValueError("no such step")
+
+
+def local_search(bins: Counter, room: int) -> Counter:
+    """Exchange and move between underfull bins until no step helps. Bins that empty out are gone.
+
+    A bin gains from those that are no fuller, so each step raises the sum of squared fills, and the search ends. The fullest bins come first;
+    of the bins that give the most, the emptiest gives.
+    """
+    bins = Counter({k: n for k, n in bins.items() if k and n})
+    sums: dict[Bin, tuple[int, int]] = {}
+    moved = True
+    while moved:
+        moved = False
         under = sorted((b for b in bins if sum(b) < room), key=lambda b: (sum(b), b))
-        done = False
-        for i, b in enumerate(under):
-            for a in reversed(under[i + 1 :] if bins[b] == 1 else under[i:]):
-                if not bins[b]:
+        for b in under:
+            if b not in sums:
+                sums[b] = _sums(b)
+        for at in range(len(under) - 1, -1, -1):
+            a = under[at]
+            while bins[a]:
+                # bins that other steps used up have no number left
+                givers, ones, twos = [b for b in under[:at] if bins[b]] + [a] * (bins[a] > 1), 0, 0
+                for b in givers:
+                    ones, twos = ones | sums[b][0], twos | sums[b][1]
+                best = most_gain(a, sums[a][1], ones, twos, room - sum(a))
+                if not best:
                     break
-                if not bins[a] or a == b and bins[a] < 2:
-                    continue
-                if step := improve(a, b, room):
-                    n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-                    for old in (a, b):
-                        bins[old] -= n
-                        if not bins[old]:
-                            del bins[old]
-                    for new in step:
-                        if new:
-                            bins[new] += n
-                    done = True
-        if not done:
-            break
+                giver = next(b for b in givers if gains(best, *sums[a], *sums[b]))
+                n = bins[a] // 2 if a == giver else min(bins[a], bins[giver])
+                step = exchange(a, giver, best)
+                for old in (a, giver):
+                    bins[old] -= n
+                for new in step:
+                    if new:
+                        bins[new] += n
+                moved = True
+        bins = +bins
     return bins
 
 
 def pack_lengths(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
     """Kinds of bins, each with its number; all lengths of counts are placed exactly once."""
     whole = Counter({(room,): counts[room]} if counts.get(room) else {})
-    rest = local_search(best_fit({k: v for k, v in counts.items() if k < room}, room), room)
+    rest = local_search(plain_order({k: v for k, v in counts.items() if v and k < room}, room), room)
     return sorted((whole + rest).items())
 
 

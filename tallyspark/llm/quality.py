@@ -1,15 +1,17 @@
 """Quality by compression: a text is like the class whose dictionary makes it smaller.
 
-Two Zstandard dictionaries are made of passages of labelled texts, one of good and one of bad texts. A text is cut into
+Two Zstandard dictionaries are trained on whole labelled texts, one on good and one on bad texts. A text is cut into
 blocks (a dictionary helps at the start of what is compressed, so long texts would else drown it); each block is
 compressed with either dictionary. (bad size - good size) / (bad size + good size), summed over all blocks, becomes a
-score by a logistic curve fitted on labelled texts that gave no passages.
+score by a logistic curve fitted on labelled texts that the dictionaries weren't trained on.
 
-The fit reads at most `FIT_DOCS` labelled texts of each class in expectation, drawn by a hash of the identifier: that is
-its documented bound. Scoring reads every whole text.
+The fit reads at most `fit_docs` labelled texts of each class in expectation, drawn by a hash of the identifier, and uses each of them whole:
+that is its documented bound. Half of a class trains its dictionary, the other half fits the curve. Scoring reads every whole text.
 
-Cases. Null and empty texts have difference 0 and the score of it. Labels that are null, or other than 0 and 1, aren't learned from.
-Without labels of both classes every score is 0.5. Other columns pass by.
+Cases. Null and empty texts have difference 0 and the score of it. Labels that are null, or other than 0 and 1, aren't learned from;
+a document with both labels counts as good. Rows repeated are scored each. Without labels of both classes every score is 0.5; classes too small
+to train a dictionary on give one of their texts side by side. Columns named difference, score or predicted pass by with `_in` after
+their names, other columns as they are; an empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import short_batches, unit_hash
+from tallyspark.llm.common import aside, every, short_batches, unit_hash
 
-FIT_DOCS, PASSAGE, DICTIONARY, BLOCK, LEVEL, CUT = 2500, 400, 256_000, 2000, 9, 0.7
+#: Bytes of a dictionary and of a block, and the length of the segments that training picks.
+FIT_DOCS, DICTIONARY, BLOCK, SEGMENT, LEVEL, CUT = 2500, 200_000, 700, 256, 9, 0.7
 
 
 class CompressionModel:
@@ -41,7 +44,7 @@ class CompressionModel:
         if self.tools is None:
             self.tools = []
             for raw in (self.bad, self.good):
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(raw)
                 d.precompute_compress(level=LEVEL)
                 self.tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         return self.tools
@@ -63,21 +66,30 @@ class CompressionModel:
 
     @classmethod
     def fit(cls, texts: Sequence[str], labels: Sequence[int]) -> CompressionModel:
-        """The first half of each class gives passages, the rest fits the curve."""
+        """Every other text of each class trains its dictionary, the rest fits the curve."""
         by = {q: [t for t, y in zip(texts, labels) if y == q and t] for q in (0, 1)}
         if not by[0] or not by[1]:
             return cls()
-        raw = {q: b"".join(t.encode("utf-8", "surrogatepass")[-PASSAGE:] for t in ts[: max(1, len(ts) // 2)])[:DICTIONARY] for q, ts in by.items()}
-        model = cls(raw[1], raw[0])
-        rest = [(t, q) for q, ts in by.items() for t in ts[len(ts) // 2 :][:1000]]
-        share = {q: max(1, len(by[q])) for q in by}
+        # dictionaries of one size, as the larger one would shrink any text more
+        raw = {q: [t.encode("utf-8", "surrogatepass") for t in ts[::2]] for q, ts in by.items()}
+        size = min(DICTIONARY, *(sum(map(len, r)) // 3 for r in raw.values()))
+        model = cls(dictionary(raw[1], size), dictionary(raw[0], size))
+        rest = [(t, q) for q, ts in by.items() for t in (ts[1::2] or ts)]
         x = np.array([model.difference(t) for t, _ in rest])
         y = np.array([q for _, q in rest], dtype=float)
-        weight = np.array([share[q] / max(1, sum(k == q for _, k in rest)) for _, q in rest])
+        weight = np.array([len(by[q]) / sum(k == q for _, k in rest) for q in (0, 1)])[y.astype(int)]
         model.slope, model.offset = _logistic(x, y, weight / weight.sum())
         return model
 
 
+def dictionary(samples: Sequence[bytes], size: int) -> bytes:
+    """A Zstandard dictionary trained on whole texts; where they are too few or too short for that, the texts themselves."""
+    try:
+        return zstandard.train_dictionary(size, list(samples), level=LEVEL, k=SEGMENT, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Newton's method with a slight penalty on the slope, on the standardised difference."""
     scale = max(float(x.std()), 1e-9)
@@ -123,5 +135,6 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
             d = np.array([own.difference(t if isinstance(t, str) else None) for t in texts], dtype=float)
             yield pd.DataFrame({"difference": d, "score": 1 / (1 + np.exp(-(own.slope * d + own.offset)))})
 
-    out = docs.withColumn("__quality", judge(F.col(text_col))).select(*docs.columns, "__quality.*")
+    docs, text_col = aside(docs, ["difference", "score", "predicted"], text_col)
+    out = docs.select("*", judge(F.col(f"`{text_col}`")).alias("__quality")).select(*every(docs), "__quality.*")
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))

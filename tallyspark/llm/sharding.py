@@ -5,8 +5,8 @@ start and step from a digest of its name. Shards take turns; at its turn a shard
 less weight passes some of its turns. The table has a fixed number of rows, so it is broadcast, and placing a key is
 one hash and one lookup. Adding or removing a shard moves few keys besides those it must.
 
-Cases. A null key has a fixed slot. Equal keys share a shard. Any key type that Spark hashes will do; other columns
-pass by, and an empty input gives an empty result.
+Cases. A null key has a fixed slot. Equal keys share a shard. Any key type that Spark hashes will do. Columns named slot or shard
+pass by with `_in` after their names, other columns as they are; an empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import aside
+
 #: Slots (a prime), and the shards of the registered query with their weights.
 SLOTS = 65_537
 SHARDS = tuple((f"shard-{i:02d}", 2.0 if i % 4 == 0 else 1.0) for i in range(24))
@@ -51,7 +53,8 @@ def fill(shards: Sequence[tuple[str, float]], slots: int = SLOTS) -> list[int]:
 
 def place(df: DataFrame, key_col: str, shards: Sequence[tuple[str, float]] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with the columns slot and shard. The table broadcast has exactly `slots` rows."""
+    df, key_col = aside(df, ["slot", "shard"], key_col)
     table = [(i, shards[x][0]) for i, x in enumerate(fill(shards, slots))]
     lookup = F.broadcast(df.sparkSession.createDataFrame(table, "__slot int, shard string"))
-    slot = F.pmod(F.xxhash64(F.col(key_col)), F.lit(slots)).cast("int")
+    slot = F.pmod(F.xxhash64(F.col(f"`{key_col}`")), F.lit(slots)).cast("int")
     return df.withColumn("slot", slot).join(lookup, F.col("slot") == F.col("__slot")).drop("__slot")

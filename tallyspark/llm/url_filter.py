@@ -1,16 +1,17 @@
 """URL filter: rules on host and path first, then logistic regression on hashed character n-grams.
 
-The regression learns from a small labelled table of invented URLs (block or allow), given below or passed in. Its
+The regression learns from a small labelled table of URLs (block or allow), given below or passed in. Its
 features are the counts, as logarithms, of character n-grams of host and of path, hashed to a fixed number of weights,
-host and path with seeds of their own.
+host and path with seeds of their own, each part scaled to length one. Its offset isn't learned: it says that one address of `PRIOR`
+is unwanted, so an address whose n-grams are all unknown is allowed.
 
 Cases. A null URL, or one without ://, has empty host and path; the method judges these as it does others. Equal URLs
-get equal verdicts. Whole URLs are read, however long. Other columns pass by; an empty input gives an empty result.
+get equal verdicts, whether identifiers are null or repeated. Whole URLs are read, however long. Columns named host, path, rule, block_score or verdict
+pass by with `_in` after their names, other columns as they are; an empty input gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -18,73 +19,139 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import short_batches
+from tallyspark.llm.common import aside, short_batches
 
 #: Host and path prefix, and the verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-WIDTH, SIZES, PENALTY, CUT = 1 << 14, (3, 4, 5), 0.002, 0.5
-
-#: The labelled table: hosts and paths of unwanted and of wanted pages. Each host is paired with each of its paths.
-BLOCK_HOSTS = (
-    "casino-royal.example.com", "best-casino.example.org", "win-big.example.net", "www.poker-win.example.com", "slots-bonus.example.org",
-    "free-bets.example.org", "sports-bets.example.com", "m.bets-now.example.net", "cheap-meds.example.com", "online-pills.example.org",
-    "pills-shop.example.net", "diet-pills.example.com", "cheap-watches.example.org", "www.cheap-loans.example.com", "payday-loans.example.net",
-    "ads-server.example.org", "banner-ads.example.com", "click-track.example.net", "tracker-pixel.example.org", "ad-track.example.com",
-    "spam-links.example.org", "seo-spam.example.com", "link-farm.example.net", "content-farm.example.org", "blog.spam-net.example.com",
-    "free-prizes.example.com", "xxx-cams.example.org", "adult-videos.example.net", "hot-dating.example.net", "crack-warez.example.com", "torrent-free.example.org",
-)
-ALLOW_HOSTS = (
-    "news.example.com", "www.library.example.org", "blog.gardening.example.net", "m.recipes.example.com", "university.example.org",
-    "www.weather.example.net", "history.example.com", "docs.example.org", "blog.thinker.example.com", "station.example.net",
-    "www.museum.example.org", "science.example.com", "the-times.example.net", "nation.example.org", "m.thesis.example.com",
-    "www.other.example.net", "blog.stationers.example.org", "anthem.example.com", "healing.example.net", "earthen.example.org",
-    "www.wharton.example.com", "m.threads.example.net", "theatre.example.org", "blog.intention.example.com", "bread.example.net",
-    "www.rethink.example.org", "editions.example.com", "m.houses.example.net", "blog.tables.example.org", "www.shires.example.com",
-)
-PATHS = ("/en/31", "/de/207.html", "/fr/9/", "/es/5120")
+WIDTH, SIZES, PENALTY, CUT, PRIOR = 1 << 16, (3, 4, 5), 0.0002, 0.5, 5
+#: Bytes whose n-grams are looked at together.
+BLOCK = 1 << 20
+
+#: The labelled table: hosts and paths of unwanted and of wanted pages.
+BLOCK_HOSTS = """casinoroyale777.com bestonlinecasino.bet luckyslots.win pokerstars-bonus.biz megajackpot.xyz free-spins-casino.top roulette-vip.club
+sportsbet365.info bet-on-football.xyz bookmaker-odds.biz winbigbets.com bingo-bonus.online lottery-winner.click scratchcards4u.info
+viagra-online.biz cheap-cialis.info pharmacy-no-prescription.top discount-meds.xyz buy-pills-online.com weightloss-miracle.biz dietpills24.shop
+payday-loans-fast.com quick-cash-loan.biz bad-credit-loans.info debt-relief-now.click forex-robot-profit.com crypto-doubler.xyz earn-bitcoin-fast.top
+make-money-online4u.biz get-rich-quick.info work-from-home-cash.click binary-options-profit.xyz free-iphone-giveaway.win claim-your-prize.top surveys-4-cash.biz
+xxx-tube.com freeporn-videos.xxx hotgirls-webcam.live adult-dating-now.com sexchat-live.cam nude-celebs.xyz milf-hookup.click escort-girls.info
+replica-watches-shop.biz fake-rolex.top cheap-handbags-outlet.shop designer-replica.xyz cheapjerseys-wholesale.biz
+torrent-freedownload.xyz crack-serial-keygen.com warez-full.biz nulled-scripts.top free-movies-download.click watch-series-free.xyz moviez-stream.top
+adserver-track.com banner-exchange.biz doubleclick-ads.info popunder-ads.xyz click-tracker.top pixel-tracking.biz adnetwork-cpa.click affiliate-offers.biz
+seo-backlinks-cheap.com buy-followers.biz link-farm-directory.info spam-mailer.top bulk-email-blast.biz article-spinner.xyz autoblog-spam.com
+verify-account-login.top secure-paypal-update.xyz bank-login-confirm.click apple-id-suspended.info""".split()
+ALLOW_HOSTS = """wikipedia.org github.com python.org bbc.co.uk nytimes.com lemonde.fr spiegel.de elpais.com theguardian.com reuters.com
+mit.edu stanford.edu ox.ac.uk ethz.ch uni-heidelberg.de sorbonne-universite.fr nasa.gov noaa.gov europa.eu gov.uk who.int un.org
+archive.org gutenberg.org arxiv.org nature.com plos.org jstor.org springer.com acm.org ieee.org britannica.com merriam-webster.com
+stackoverflow.com mozilla.org kernel.org debian.org apache.org postgresql.org rust-lang.org golang.org readthedocs.io
+weather.com nationalgeographic.com smithsonianmag.com metmuseum.org louvre.fr tate.org.uk rijksmuseum.nl
+allrecipes.com seriouseats.com gardenersworld.com birdwatching.org hikingtrails.net cyclinguk.org trainspotting.co chess.com
+citylibrary.org townhall.gov schooldistrict.us childrenshospital.org redcross.org amnesty.org unicef.org greenpeace.org
+bloglines.com wordsmith.org poetryfoundation.org classicalmusic.fm jazzhistory.org filmreview.net bookclub.com
+farmersmarket.com bakery-berlin.de boulangerie.fr hotel-alpenblick.at bikeshop.nl carpentry.info localnews.com harbourtown.co.nz
+mathforum.org physicsworld.com chemistryviews.org history.com archaeology.org genealogy.net maps.org travelguide.com museum-of-science.org
+example.com example.org example.net www.example.com www.example.org m.example.net blog.example.com news.example.org hub.example.org store.example.com world.example.net online.net
+localhost intranet.company mail.server.lan docs.project.dev wiki.team.io""".split()
+BLOCK_PATHS = """/casino/free-spins /slots/bonus-code /poker/play-now /bets/live-odds /win/jackpot /claim-prize.php?id=9 /free-bonus /buy-viagra.html
+/cheap-pills/order-now /pharmacy/no-prescription /loans/apply-now-fast /make-money-fast /crypto/double-your-money /xxx/video-123 /porn/hd /adult/cams/live /sex-chat
+/hot-singles-near-you /dating/hookup /torrent/full-crack /download/keygen.exe /warez/serial /ads/banner.gif /adclick?campaign=77 /track/pixel.gif /popunder.js
+/affiliate/redirect?offer=5 /seo/cheap-backlinks /replica-watches /login/verify-account /spam/unsubscribe /free-movies/watch-online""".split()
+ALLOW_PATHS = """/ /index.html /about /contact /news/2021/03/14/city-council-meets /articles/introduction-to-botany /en/ /de/ /fr/ /es/ /en/12 /de/kapitel-3.html /fr/page/9/ /es/noticias/77
+/blog/2019/how-we-built-our-garden /docs/tutorial/getting-started.html /research/publications /science/astronomy/planets /history/middle-ages /sports/football/results /health/nutrition-guide
+/books/chapter-7 /recipes/lentil-soup /library/catalogue /events/calendar /courses/linear-algebra /archive/1998 /questions/4821/reading-a-file /weather/forecast /travel/norway /music/reviews
+/wiki/Main_Page /2020/05/17/a-walk-in-the-hills /products/bicycle-lamps /legal/privacy /faq /people/staff /posts/1234 /en/page/31 /item/5120""".split()
+
+
+#: Words of unwanted and of wanted hosts, and what either kind is combined with.
+BLOCK_WORDS = """casino poker slots roulette blackjack jackpot betting bets bookmaker lottery bingo viagra cialis pills pharmacy meds steroids payday loans
+creditfix forex cryptoprofit bitcoin-doubler getrich giveaway prizes freebies porn xxx sex adult cams escort hookup dating nude milf fetish torrent torrentz warez
+crack keygen nulled serials pirated adserver adtrack popups clickbait banners tracker spam bulkmail seo-links backlinks linkfarm followers replica
+fake-watches knockoff phishing malware""".split()
+ALLOW_WORDS = """news daily times journal library museum science history garden recipes cooking baking weather station travel hiking sailing cycling football
+chess music jazz opera theatre film photo art poetry books school college university academy teaching research physics chemistry biology maths astronomy health hospital
+clinic city council parliament embassy church charity nature birds forest river harbour mountain farm market bakery hotel bank insurance software
+linux coding data maps trains railway airport energy engineering architecture law economics sports video stories forum blog shop""".split()
+AROUND = ("{}.com", "www.{}.org", "{}-online.net", "best{}.com", "my{}24.info", "{}-hub.example.org", "the{}.co", "{}store.example.com", "m.{}world.example.net", "blog.{}.example.com")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 for block)."""
-    return [(h, PATHS[(i + k) % 4], int(y)) for y, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for i, h in enumerate(hosts) for k in range(4)]
-
-
-def grams(host: str, path: str, sizes: Sequence[int] = SIZES, width: int = WIDTH) -> dict[int, float]:
-    """Feature to value. Labels of the host are bounded by dots, so a name's start and end are seen."""
-    counts: dict[int, int] = {}
-    for seed, text in ((1, f".{host}."), (2, path)):
-        raw = text.encode()
+    """(host, path, 1 for block). An unwanted host is so with any path, an unwanted path on any host."""
+    rows = [("", "", 0)]
+    for y, hosts, words in ((1, BLOCK_HOSTS, BLOCK_WORDS), (0, ALLOW_HOSTS, ALLOW_WORDS)):
+        made = [AROUND[(i + 3 * k) % len(AROUND)].format(w) for i, w in enumerate(words) for k in range(3)]
+        for i, h in enumerate([*hosts, *made]):
+            rows += [(h, ALLOW_PATHS[(7 * i + 11 * k) % len(ALLOW_PATHS)], y) for k in range(2)]
+    rows += [(h, p, 1) for i, p in enumerate(BLOCK_PATHS) for h in ("", ALLOW_HOSTS[i], ALLOW_HOSTS[-i])]
+    return rows + [("", p, 0) for p in ALLOW_PATHS]
+
+
+def grams(hosts: Sequence[str], paths: Sequence[str], sizes: Sequence[int] = SIZES, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, features and values of many addresses. Hosts are bounded by dots, so a name's start and end are seen.
+
+    An n-gram's hash is a polynomial in its bytes; the features of hosts are even, those of paths odd.
+    """
+    out = []
+    for side, texts in ((0, [f".{h}." for h in hosts]), (1, list(paths))):
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        of = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        feature, row = [], []
         for n in sizes:
-            for i in range(len(raw) - n + 1):
-                k = zlib.crc32(raw[i : i + n], seed) % width
-                counts[k] = counts.get(k, 0) + 1
-    return {k: float(np.log1p(c)) for k, c in counts.items()}
+            if len(data) < n:
+                continue
+            h = np.full(len(data) - n + 1, n, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    h = (h ^ data[k : len(data) - n + 1 + k]) * np.uint64(0x100000001B3)
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0x9E3779B97F4A7C15)
+            whole = of[: len(h)] == of[n - 1 :]
+            feature.append(((h >> np.uint64(40)) % np.uint64(width // 2)).astype(np.int64)[whole] * 2 + side)
+            row.append(of[: len(h)][whole])
+        if not feature:
+            continue
+        at, count = np.unique(np.concatenate(row) * width + np.concatenate(feature), return_counts=True)
+        row, value = at // width, np.log1p(count)
+        norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(raw)))
+        out.append((row, at % width, value / norm[row]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 class UrlModel:
-    """Weights by gradient steps with momentum on the whole table: few rows, the same result each time."""
+    """Penalised logistic regression, both labels weighing the same; Newton's steps on the rows' products, as rows are fewer than weights."""
 
-    def __init__(self, rows: Iterable[tuple[str, str, int]] | None = None, width: int = WIDTH, penalty: float = PENALTY, steps: int = 600):
+    def __init__(self, rows: Iterable[tuple[str, str, int]] | None = None, width: int = WIDTH, penalty: float = PENALTY, steps: int = 12):
         rows = list(labelled_urls() if rows is None else rows)
-        self.width = width
-        x = np.zeros((len(rows), width))
-        for i, (h, p, _) in enumerate(rows):
-            for k, v in grams(h, p, width=width).items():
-                x[i, k] = v
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        row, feature, value = grams([r[0] for r in rows], [r[1] for r in rows], width=width)
+        used, feature = np.unique(feature, return_inverse=True)
+        x = np.zeros((len(rows), len(used)), dtype=np.float32)
+        x[row, feature] = value
         y = np.array([r[2] for r in rows], dtype=float)
-        w, b, dw, db = np.zeros(width), 0.0, np.zeros(width), 0.0
+        each = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        self.width, self.offset, products = width, -float(np.log(PRIOR - 1)), (x @ x.T).astype(np.float64)
+        share = np.zeros(len(rows))  # the weights are x' share
         for _ in range(steps):
-            g = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(rows)
-            dw, db = 0.9 * dw + x.T @ g + penalty / 10 * w, 0.9 * db + g.sum()
-            w, b = w - dw, b - db
-        self.weights, self.bias = w, float(b)
+            own = products @ share
+            p = 1 / (1 + np.exp(-(own + self.offset)))
+            curve = np.maximum(p * (1 - p), 1e-6)
+            share = np.linalg.solve(products + np.diag(penalty / (each * curve)), own + (y - p) / curve)
+        self.weights = np.zeros(width, dtype=np.float32)
+        self.weights[used] = x.T @ share
+
+    def scores(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """How likely each address is one to block."""
+        out, at = np.zeros(len(hosts)), 0
+        while at < len(hosts):
+            upto, size = at, 0
+            while upto < len(hosts) and (size < BLOCK or upto == at):
+                size += len(hosts[upto]) + len(paths[upto])
+                upto += 1
+            row, feature, value = grams(hosts[at:upto], paths[at:upto], width=self.width)
+            out[at:upto] = np.bincount(row, weights=self.weights[feature] * value, minlength=upto - at)
+            at = upto
+        return 1 / (1 + np.exp(-(out + self.offset)))
 
     def score(self, host: str, path: str) -> float:
-        """How likely the URL is one to block."""
-        f = grams(host, path, width=self.width)
-        norm = max(sum(v * v for v in f.values()) ** 0.5, 1e-12)
-        return float(1 / (1 + np.exp(-(sum(self.weights[k] * v for k, v in f.items()) / norm + self.bias))))
+        return float(self.scores([host], [path])[0])
 
 
 def split_url(url):
@@ -107,19 +174,17 @@ def rule_for(host, path, rules: Sequence[tuple[str, str, str]] = RULES):
 
 
 def judge_urls(df: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: UrlModel | None = None, cut: float = CUT) -> DataFrame:
-    """df with host, path, rule, block_score and verdict. The model is a few kilobytes and goes with the tasks."""
+    """df with host, path, rule, block_score and verdict. The model is of fixed size and broadcast."""
     short_batches(df.sparkSession)
-    model = model or UrlModel()
-    weights, bias, width = model.weights.astype(np.float32), model.bias, model.width
+    shared = df.sparkSession.sparkContext.broadcast(model or UrlModel())
 
     @F.pandas_udf("double")
     def block_score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        own = UrlModel.__new__(UrlModel)
-        own.weights, own.bias, own.width = weights, bias, width
         for hosts, paths in batches:
-            yield pd.Series([own.score(h, p) for h, p in zip(hosts, paths)], dtype="float64")
+            yield pd.Series(shared.value.scores(list(hosts), list(paths)), dtype="float64")
 
-    host, path = split_url(F.col(url_col))
+    df, url_col = aside(df, ["host", "path", "rule", "block_score", "verdict"], url_col)
+    host, path = split_url(F.col(f"`{url_col}`"))
     out = df.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = out.withColumn("rule", rule).withColumn("block_score", block_score("host", "path"))

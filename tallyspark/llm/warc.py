@@ -7,7 +7,7 @@ bytes of every record under it are compared with those stored; where they differ
 
 Cases. A null payload is an empty one. Of equal payloads the smallest identifier is the response (a null identifier sorts
 last), and of rows repeated with one identifier one is. Payloads of less than min_revisit bytes are all responses. A null
-URL gives a record without target. An empty input gives empty tables. Other columns are not read.
+URL gives a record without target; line ends in a URL, which a header can't hold, are escaped in the header, and the URL as given stays beside it. An empty input gives empty tables. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,12 +62,12 @@ class Archive:
         return self.spark.read.parquet(f"{self.path}/payloads")
 
     def records(self) -> DataFrame:
-        """Every record's id, record_type, refers_to, header, payload (of the response for a revisit) and record, its exact bytes."""
+        """Every record's id, url as given, record_type, refers_to, header, payload (of the response for a revisit) and record, its exact bytes."""
         h = self.headers
         joined = _salted(h, self.payloads, ["key", "variant"])
         body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
         record = F.concat("header", F.lit(b"\r\n"), body, F.lit(b"\r\n\r\n"))
-        return joined.select("id", "record_type", "refers_to", "header", "payload", record.alias("record"))
+        return joined.select("id", "url", "record_type", "refers_to", "header", "payload", record.alias("record"))
 
 
 def header_block(rid, url, kind, refers, length, digest):
@@ -78,7 +78,7 @@ def header_block(rid, url, kind, refers, length, digest):
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", uid(rid)),
-        F.when(url.isNull(), "").otherwise(line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "%0A"))),
+        F.when(url.isNull(), "").otherwise(line("WARC-Target-URI", F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A"))),
         line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         F.when(kind == "revisit", F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uid(refers)))).otherwise(""),
@@ -106,7 +106,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     stored = several.filter(F.col("row") == F.col("first.row")).select("key", "group_rows", F.col("payload").alias("stored"))
     differ = _salted(several.select("key", "row", "id", "payload", "group_rows"), stored, ["key"]).filter(F.col("payload") != F.col("stored"))
     differ = save(differ.select("key", "row", "id", F.sha2("payload", 512).alias("body"), F.lit(0).alias("zero")), "warc-differ", narrow=True)
-    base = slim.join(groups, "key").withColumn("variant", F.lit(""))
+    # payloads of their own need no group; the rest meet theirs, broadcast where these are few
+    base = slim.join(small(many.select("key", "first", "group_rows"), 120, n_many), "key", "left")
+    base = base.withColumn("first", F.coalesce("first", F.struct(F.col("id").isNull().alias("none"), "id", "row"))).withColumn("group_rows", F.coalesce("group_rows", F.lit(1).cast("long"))).withColumn("variant", F.lit(""))
     apart = differ.count()
     if apart:
         # the address was shared by unlike payloads: those apart from the stored one become variants, by a second digest
@@ -122,7 +124,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     refers = F.when(~response, F.col("first.id"))
     headers = base.withColumn("record_type", kind).withColumn("refers_to", refers)
     headers = headers.withColumn("header", header_block(F.col("id"), F.col("url"), F.col("record_type"), F.col("refers_to"), F.col("bytes"), F.col("digest")))
-    headers.select("id", "row", "key", "variant", "group_rows", "record_type", "refers_to", "header").write.parquet(f"{path}/headers")
+    headers.select("id", "row", "key", "variant", "group_rows", "record_type", "refers_to", "url", "header").write.parquet(f"{path}/headers")
     body = rows.select("row", "key", "payload")
     if apart:
         store = base.filter(F.col("row") == F.col("first.row")).select("row", "variant", "group_rows")

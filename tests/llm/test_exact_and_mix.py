@@ -65,7 +65,8 @@ def test_hot_group_is_dealt_out(spark, monkeypatch):
     assert sum(r["kept"] for r in got) == 6 and {r["keep_id"] for r in got if r["id"] < 100} == {0}
 
 
-def test_index_over_batches(spark):
+def test_index_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(X, "MEMTABLE", 2)
     index = X.DigestIndex(spark)
     index.flush(docs(spark, ROWS[:6]))
     index.compact()
@@ -76,6 +77,27 @@ def test_index_over_batches(spark):
     assert index.lookup(sha).first()["keep"]["id"] == 3
 
 
+def test_filter_has_no_false_no(spark):
+    d = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest"), "id")
+    seen = X.Filter(d.filter("id < 500"))
+    got = {r["id"]: r["maybe"] for r in seen.asked(d).collect()}
+    assert len(got) == 3000 and all(got[i] for i in range(500)) and sum(got[i] for i in range(500, 3000)) < 400
+
+
+def test_runs_merge_by_tiers(spark, monkeypatch):
+    monkeypatch.setattr(X, "MEMTABLE", 3)
+    rows = [(i, f"text {i % 50}", "s") for i in range(200)]
+    got = X.exact_groups(docs(spark, rows).coalesce(1)).collect()
+    assert {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, i % 50, 4, i < 50) for i in range(200)}
+
+
+def test_repeated_identifier_with_unlike_texts(spark):
+    """One identifier for two texts that a short digest joins: each text keeps its own row."""
+    rows = [(2, "x", "s"), (2, "y", "s"), (5, "y", "s"), (6, "x", "s")]
+    got = X.exact_groups(docs(spark, rows), digest=lambda sha: F.substring(sha, 1, 0)).collect()
+    assert sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(2, 2, 2, True), (2, 2, 2, True), (5, 2, 2, False), (6, 2, 2, False)]
+
+
 def fill(sizes, weights, share, most):
     """Repeat the sharing until nobody is above the cap."""
     total, left = share * sum(sizes.values()), dict(weights)
