@@ -61,10 +61,12 @@ def store_coverage_ranking(spark, d):
     return B.candidate_chains(B.chain_options(*parts(spark, d)))
 
 
-@query("store_combinations", f"WITH {MULTI} SELECT basket_id, array_to_string(chains, '|') AS combo FROM combos")
+@query("store_combinations", f"WITH {MULTI} SELECT basket_id, len(chains)::INTEGER AS store_count, count(*) AS combinations, min(array_to_string(chains, '|')) AS first_combo, max(array_to_string(chains, '|')) AS last_combo FROM combos GROUP BY ALL")
 def store_combinations(spark, d):
+    """How many pairs and triples of selling chains each basket has, with the first and the last of them."""
     chains = B.selling_chains(B.chain_options(*parts(spark, d)))
-    return B.combinations(chains, 2).unionByName(B.combinations(chains, 3)).select("basket_id", F.array_join("chains", "|").alias("combo"))
+    combos = B.combinations(chains, 2).unionByName(B.combinations(chains, 3)).select("basket_id", F.size("chains").alias("store_count"), F.array_join("chains", "|").alias("combo"))
+    return combos.groupBy("basket_id", "store_count").agg(F.count("*").alias("combinations"), F.min("combo").alias("first_combo"), F.max("combo").alias("last_combo"))
 
 
 @query("basket_multi_store", f"WITH {MULTI} SELECT * FROM multi")
