@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +120,92 @@ def greedy_plan(recipes: DataFrame, days: int = 3, meals: int = 2, same_day: flo
     return recipes.groupBy("profile_id").applyInPandas(run, "profile_id long, day int, meal int, recipe_id long, score double")
 
 
+# --- scores of the planner: each in [0, 1], to three places; what is unknown counts a half ---------------------------------
+
+
+def _mean(values: list[Column]) -> Column:
+    """Mean of the known values, a half if none is."""
+    known = F.array_compact(F.array(*values))
+    return rounded(F.when(F.size(known) == 0, 0.5).otherwise(F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)), 3)
+
+
+def family_score(keys: Column, vector: Column) -> Column:
+    """How a profile likes a recipe's keys of one family: the mean of its signed scores of them, moved to [0, 1]; null if it has none of them."""
+    known = F.filter(F.array_distinct(keys), lambda k: F.map_contains_key(vector, k))
+    signed = F.transform(known, lambda k: rounded((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vector[k])) + 1) / 2, 3))
+    return F.when(F.size(known) > 0, rounded(F.aggregate(signed, F.lit(0.0), lambda a, v: a + v) / F.size(known), 3))
+
+
+def meal_fit(tags: Column, meal: Column) -> Column:
+    return F.when(F.coalesce(F.size(tags), F.lit(0)) <= 0, 0.5).when(F.array_contains(tags, meal), 1.0).otherwise(0.2)
+
+
+def taste_score(families: list[Column], fit: Column) -> Column:
+    return _mean([*families, fit])
+
+
+def target_score(pairs: list[tuple[Column, Column]]) -> Column:
+    """How near values are to their targets; values or targets that are missing don't count."""
+    near = lambda v, t: F.when(v.isNotNull() & (t > 0), rounded(F.greatest(F.lit(0.0), 1 - F.abs(v - t) / t), 3))
+    return _mean([near(v, t) for v, t in pairs])
+
+
+def time_score(pairs: list[tuple[Column, Column]]) -> Column:
+    """How much of the time allowed is left; bounds that aren't set don't count, unknown times count a half."""
+    left = lambda v, most: F.when(most > 0, F.when(v.isNull(), 0.5).otherwise(rounded(F.greatest(F.lit(0.0), 1 - v / most), 3)))
+    return _mean([left(v, most) for v, most in pairs])
+
+
+#: What repeats cost: used that day; each earlier use, and at most; right before; the same meal the day before; each earlier use of the cuisine, and at most; all together at most.
+SAME_DAY, USED, USED_MOST, BEFORE, DAY_BEFORE, CUISINE, CUISINE_MOST, MOST = 0.45, 0.08, 0.25, 0.25, 0.12, 0.03, 0.12, 0.9
+
+
+def meal_plans(scored: DataFrame, days: int, meals: list[str]) -> DataFrame:
+    """A plan per profile, meal after meal: of the recipes that fit the meal's type (of all, if none does) the best score less what repeats cost; recipes not used yet
+    come first, then those not used that day; ties to the smaller recipe.
+
+    scored: profile_id, recipe_id, meal_type, fits, cuisine (null: none), score. Unused recipes of one cuisine differ only by their score, so of each profile, meal type and
+    cuisine no more than one recipe a planned meal and one over can be chosen; the others are dropped by rank first, and a profile's group is bounded.
+    """
+    picks = days * len(meals) + 1
+    any_fits = F.max("fits").over(Window.partitionBy("profile_id", "meal_type"))
+    rows = scored.filter(F.col("meal_type").isin(meals)).withColumn("__any", any_fits).filter("fits or not __any").drop("__any")
+    rank = F.row_number().over(Window.partitionBy("profile_id", "meal_type", "cuisine").orderBy(F.desc("score"), "recipe_id"))
+    rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= picks).drop("__rank", "fits")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("recipe_id", kind="stable")
+        pool = {m: g.reset_index(drop=True) for m, g in group.groupby("meal_type")}
+        uses, cuisines, before, out = Counter(), Counter(), None, []
+        at_meal: dict[tuple[str, int], int] = {}
+        for day in range(days):
+            today: set[int] = set()
+            for meal in meals:
+                if meal not in pool:
+                    continue
+                g = pool[meal]
+                ids, used = g["recipe_id"].to_numpy(), g["recipe_id"].map(uses).to_numpy(dtype=float)
+                same_day = g["recipe_id"].isin(today).to_numpy()
+                cost = SAME_DAY * same_day + np.minimum(USED_MOST, USED * used) + BEFORE * (ids == before) + DAY_BEFORE * (ids == at_meal.get((meal, day - 1)))
+                cost = cost + np.minimum(CUISINE_MOST, CUISINE * g["cuisine"].map(lambda c: cuisines[c] if isinstance(c, str) else 0).to_numpy(dtype=float))
+                cost = np.round(np.minimum(MOST, cost), 3)
+                score = np.round(np.maximum(0.0, g["score"].to_numpy() - cost), 3)
+                for allowed in (~same_day & (used == 0), ~same_day, np.ones(len(g), dtype=bool)):
+                    if allowed.any():
+                        break
+                best = int(np.where(allowed, score, -1.0).argmax())
+                chosen, before = int(ids[best]), int(ids[best])
+                today.add(chosen)
+                uses[chosen] += 1
+                at_meal[meal, day] = chosen
+                if isinstance(g["cuisine"].iloc[best], str):
+                    cuisines[g["cuisine"].iloc[best]] += 1
+                out.append((group["profile_id"].iloc[0], day, meal, chosen, float(score[best])))
+        return pd.DataFrame(out, columns=["profile_id", "day", "meal_type", "recipe_id", "selection_score"])
+
+    return rows.groupBy("profile_id").applyInPandas(run, "profile_id long, day int, meal_type string, recipe_id long, selection_score double")
+
+
 def unit_closure(edges: DataFrame) -> DataFrame:
     """Factors between all connected units, by shortest path (then the least path's factor), from edges unit, other, factor; conversions go both ways.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import rounded
+from tallyspark.functions.money import exact_avg, rounded
 from tallyspark.operators import nutrition as N
 from tallyspark.operators.quality import first_reason
 from tallyspark.plans.adapter import read, sql_avg, sql_round, sql_sum
@@ -161,6 +161,49 @@ def recipe_scores(spark, d):
     return N.recipe_scores(rows).select("recipe_id", "score")
 
 
+MEALS = ["F", "O", "P"]
+#: Recipes are orders: kinds of their parts are what tastes, the status is the meal type (none where the priority isn't specified), the priority the cuisine, lines take time.
+PLANNER = f"""{ROLLUP}, kinds AS (SELECT DISTINCT l_orderkey AS recipe_id, p_type FROM lineitem JOIN part ON p_partkey = l_partkey),
+liked AS (SELECT o_custkey AS profile_id, p_type, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+vectors AS (SELECT profile_id, p_type, {R('2.0::DOUBLE * n / sum(n) OVER (PARTITION BY profile_id) - 1', 3)} AS s FROM liked),
+family AS (SELECT o_orderkey AS recipe_id, {R(f"{sql_sum(R('(s + 1) / 2', 3))} / count(*)", 3)} AS f FROM orders JOIN kinds ON recipe_id = o_orderkey JOIN vectors v ON v.profile_id = o_custkey AND v.p_type = kinds.p_type GROUP BY 1),
+aims AS (SELECT o_custkey AS profile_id, {R(sql_avg('serving_kcal'))} AS aim FROM rollup_ JOIN orders ON o_orderkey = recipe_id GROUP BY 1),
+facts AS (SELECT o_custkey AS profile_id, o_orderkey AS recipe_id, o_orderpriority AS cuisine, meal_type, f, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 WHEN o_orderstatus = meal_type THEN 1.0 ELSE 0.2 END::DOUBLE AS fit,
+  o_orderpriority = '4-NOT SPECIFIED' OR o_orderstatus = meal_type AS fits, CASE WHEN aim > 0 THEN {R('greatest(0.0::DOUBLE, 1 - abs(serving_kcal - aim) / aim)', 3)} END AS near, {R('greatest(0.0::DOUBLE, 1 - ingredient_count / 6.0::DOUBLE)', 3)} AS time
+  FROM orders JOIN rollup_ ON recipe_id = o_orderkey JOIN aims ON profile_id = o_custkey LEFT JOIN family USING (recipe_id), (SELECT unnest(['F', 'O', 'P']) AS meal_type)),
+parts_ AS (SELECT *, CASE WHEN f IS NULL THEN {R('fit', 3)} ELSE {R('(f + fit) / 2', 3)} END AS taste, coalesce(near, 0.5) AS nutrition FROM facts)"""
+
+
+def _planner(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("recipe_id"), F.col("o_custkey").alias("profile_id"), F.col("o_orderpriority").alias("cuisine"), "o_orderstatus")
+    kinds = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("recipe_id"), "l_partkey").join(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    liked = kinds.join(o.select("recipe_id", "profile_id"), "recipe_id").groupBy("profile_id", "p_type").agg(F.count("*").alias("n"))
+    whole = liked.groupBy("profile_id").agg(F.sum("n").alias("all"))
+    likes = liked.join(whole, "profile_id").withColumn("s", rounded(2.0 * F.col("n") / F.col("all") - 1, 3))
+    vectors = likes.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "s"))).alias("vector"))
+    rolled = recipe_nutrition(spark, d).select("recipe_id", "serving_kcal", "ingredient_count")
+    aims = rolled.join(o, "recipe_id").groupBy("profile_id").agg(rounded(exact_avg(F.col("serving_kcal"))).alias("aim"))
+    rows = o.join(rolled, "recipe_id").join(aims, "profile_id").join(vectors, "profile_id", "left").join(kinds.groupBy("recipe_id").agg(F.collect_set("p_type").alias("keys")), "recipe_id", "left")
+    tags = F.when(F.col("cuisine") == "4-NOT SPECIFIED", F.array().cast("array<string>")).otherwise(F.array("o_orderstatus"))
+    rows = rows.withColumn("tags", tags).withColumn("meal_type", F.explode(F.array(*[F.lit(m) for m in MEALS])))
+    fit = N.meal_fit(F.col("tags"), F.col("meal_type"))
+    rows = rows.withColumn("taste", N.taste_score([N.family_score(F.col("keys"), F.col("vector"))], fit)).withColumn("nutrition", N.target_score([(F.col("serving_kcal"), F.col("aim"))]))
+    rows = rows.withColumn("time", N.time_score([(F.col("ingredient_count"), F.lit(6.0))])).withColumn("penalty", F.lit(0.0)).withColumn("fits", (F.size("tags") == 0) | F.array_contains("tags", F.col("meal_type")))
+    return N.recipe_scores(rows)
+
+
+@query("planner_scores", f"WITH {PLANNER} SELECT profile_id, recipe_id, meal_type, fits, taste, nutrition, time, {R('0.45::DOUBLE * taste + 0.40::DOUBLE * nutrition + 0.15::DOUBLE * time', 4)} AS score FROM parts_")
+def planner_scores(spark, d):
+    """Each order scored for its customer and each meal type by taste, nutrition and time."""
+    return _planner(spark, d).select("profile_id", "recipe_id", "meal_type", "fits", "taste", "nutrition", "time", "score")
+
+
+@query("meal_plans")
+def meal_plans(spark, d):
+    """Three days of three meals for each customer; sequential by nature, so the tests state it by a plain loop."""
+    return N.meal_plans(_planner(spark, d), 3, MEALS)
+
+
 @query("meal_plan")
 def meal_plan(spark, d):
     """Sequential by nature; the tests state it by a plain loop."""

@@ -287,3 +287,41 @@ def test_providers(spark):
     assert providers.translated(rows, "t", None).filter("translated <=> t").count() == 3
     cache = spark.createDataFrame([("a", 1.0, 2.0)], "t string, lat double, lon double")
     assert sorted(r["path"] for r in providers.geocoded(rows, "t", cache, None).collect()) == ["cache", "none", "none"]
+
+
+def test_meal_plans_by_loop(spark):
+    """The plan over all recipes, with nothing dropped by rank."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(p, r, m, rng.random() < 0.5, rng.choice(["it", "fr", None]), round(rng.random(), 2)) for p in range(4) for r in range(30) for m in ("lunch", "dinner")]
+    rows += [(9, r, "lunch", False, None, 0.5) for r in range(2)]
+    d = spark.createDataFrame(rows, "profile_id long, recipe_id long, meal_type string, fits boolean, cuisine string, score double")
+    got = {(r["profile_id"], r["day"], r["meal_type"]): (r["recipe_id"], r["selection_score"]) for r in nutrition.meal_plans(d, 3, ["lunch", "dinner"]).collect()}
+    want = {}
+    for p in {r[0] for r in rows}:
+        uses, cuisines, before, chosen = {}, {}, None, {}
+        for day in range(3):
+            today = set()
+            for meal in ("lunch", "dinner"):
+                pool = [r for r in rows if r[0] == p and r[2] == meal]
+                pool = [r for r in pool if r[3]] or pool
+                if not pool:
+                    continue
+
+                def cost(r):
+                    c = 0.45 * (r[1] in today) + min(0.25, 0.08 * uses.get(r[1], 0)) + 0.25 * (r[1] == before) + 0.12 * (chosen.get((meal, day - 1)) == r[1])
+                    return round(min(0.9, c + (min(0.12, 0.03 * cuisines.get(r[4], 0)) if r[4] else 0)), 3)
+
+                for some in ([r for r in pool if r[1] not in uses], [r for r in pool if r[1] not in today], pool):
+                    if some:
+                        break
+                best = max(some, key=lambda r: (round(max(0.0, r[5] - cost(r)), 3), -r[1]))
+                want[p, day, meal] = (best[1], round(max(0.0, best[5] - cost(best)), 3))
+                before = best[1]
+                today.add(best[1])
+                uses[best[1]] = uses.get(best[1], 0) + 1
+                chosen[meal, day] = best[1]
+                if best[4]:
+                    cuisines[best[4]] = cuisines.get(best[4], 0) + 1
+    assert got == want and nutrition.meal_plans(d.limit(0), 2, ["lunch"]).count() == 0
