@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.money import rate
+
 
 def validate(rows: DataFrame, rules: dict[str, Callable[[], Column]], fatal: Iterable[str]) -> DataFrame:
     """rows with reasons (the names of the rules broken) and status: invalid if a fatal one is, suspect if any is, else valid."""
@@ -54,3 +56,28 @@ def first_reason(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     for name, test in reversed(list(reasons.items())):
         out = F.when(F.coalesce(test, F.lit(False)), name).otherwise(out)
     return rows.withColumn("excluded_by", out)
+
+
+def count_rollups(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """How often each value of each field occurs, most first by rank, and the share of rows that have the field at all.
+
+    fields: a name and an array of the row's values (one, several or none). All fields go through one pass: a row gives an entry per value, counted before the shuffle.
+    """
+    whole = rows.agg(F.count("*").alias("rows"))
+    some = lambda values: F.filter(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: v.isNotNull() & (v != ""))
+    none_type = "array<struct<field:string,value:string>>"
+    none = F.array().cast(none_type)
+
+    def entry(field: str):
+        return lambda x: F.struct(F.lit(field).alias("field"), x.cast("string").alias("value"))
+
+    def of(field: str, values: Column) -> Column:
+        return F.when(F.size(some(values)) > 0, F.concat(F.transform(some(values), entry(field)), F.array(entry(field)(F.lit(None)))).cast(none_type)).otherwise(none)
+
+    entries = F.flatten(F.array(*[of(k, v) for k, v in fields.items()]))
+    counts = rows.select(F.explode(entries).alias("e")).groupBy("e.field", "e.value").agg(F.count("*").alias("n"))
+    # the entry without a value counts the rows that have the field
+    have = counts.filter("value IS NULL").select("field", F.col("n").alias("__have"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    out = counts.filter("value IS NOT NULL").withColumn("rank", rank).join(F.broadcast(have), "field").join(F.broadcast(whole))
+    return out.select("field", "value", "n", "rank", rate(F.col("__have"), F.col("rows")).alias("coverage"))

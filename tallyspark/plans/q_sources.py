@@ -152,6 +152,40 @@ def enrichment_rollup(spark, d):
     return read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
+@query("enrichment_analytics", """WITH v AS (SELECT p_partkey, unnest([
+    {'field': 'word', 'vals': string_split(p_name, ' ')}, {'field': 'kind', 'vals': [p_type]}, {'field': 'brand', 'vals': [CASE WHEN p_size < 20 THEN p_brand END]},
+    {'field': 'size', 'vals': [CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'medium' END]}, {'field': 'price', 'vals': [CASE WHEN p_retailprice > 910 THEN 'high' ELSE 'low' END]},
+    {'field': 'flavor', 'vals': list_filter(string_split(p_name, ' '), lambda w: w IN ('hot', 'red'))}]) AS s FROM part),
+  x AS (SELECT DISTINCT p_partkey, s.field AS field, unnest(s.vals) AS value FROM v), k AS (SELECT * FROM x WHERE value IS NOT NULL), h AS (SELECT field, count(DISTINCT p_partkey) AS have FROM k GROUP BY 1), c AS (SELECT field, value, count(*) AS n FROM k GROUP BY ALL)
+  SELECT field, value, n, (row_number() OVER (PARTITION BY field ORDER BY n DESC, value))::INTEGER AS rank, """ + R("have::DOUBLE / (SELECT count(*) FROM part)", 4) + """ AS coverage FROM c JOIN h USING (field)""")
+def enrichment_analytics(spark, d):
+    """Six fields of the products, two with several values, counted in one pass."""
+    from tallyspark.operators.quality import count_rollups
+
+    word, size = F.split("p_name", " "), F.col("p_size")
+    fields = {"word": word, "kind": F.array("p_type"), "brand": F.array(F.when(size < 20, F.col("p_brand"))), "size": F.array(F.when(size > 25, "large").when(size > 10, "medium")),
+              "price": F.array(F.when(F.col("p_retailprice") > 910, "high").otherwise("low")), "flavor": F.filter(word, lambda w: w.isin("hot", "red"))}
+    return count_rollups(read(spark, d, "part"), fields)
+
+
+@query("product_list_items", f"""WITH {LATEST}, c AS (SELECT canonical_product_id, {R('min(current_price)')} AS min_price, count(DISTINCT chain_id) AS chains, bool_or(is_sale) AS on_sale FROM offers GROUP BY 1)
+  SELECT p_partkey AS canonical_product_id, p_name AS name, p_brand AS brand, p_type AS category, min_price, coalesce(chains, 0) AS chains, coalesce(on_sale, false) AS on_sale FROM part LEFT JOIN c ON canonical_product_id = p_partkey""")
+def product_list_items(spark, d):
+    """The short form of each product for lists."""
+    offers = P.current_offers(snapshots(spark, d)).groupBy("canonical_product_id").agg(rounded(F.min("current_price")).alias("min_price"), F.countDistinct("chain_id").alias("chains"), F.bool_or("is_sale").alias("on_sale"))
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("canonical_product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
+    return p.join(offers, "canonical_product_id", "left").withColumn("chains", F.coalesce("chains", F.lit(0))).withColumn("on_sale", F.coalesce("on_sale", F.lit(False)))
+
+
+@query("compact_offer_summary", f"""WITH {LATEST}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_product_id ORDER BY current_price, offer_id) AS k FROM offers)
+  SELECT canonical_product_id, count(*) AS offer_count, {R('min(current_price)')} AS from_price, {R('max(current_price)')} AS to_price, max(offer_id) FILTER (k = 1) AS best_offer_id, max(chain_id) FILTER (k = 1) AS best_chain_id, max(is_sale::INT) FILTER (k = 1) = 1 AS best_is_sale FROM r GROUP BY 1""")
+def compact_offer_summary(spark, d):
+    """What a product's page shows of its offers."""
+    best = F.min(F.struct("current_price", "offer_id", "chain_id", "is_sale")).alias("b")
+    g = P.current_offers(snapshots(spark, d)).groupBy("canonical_product_id").agg(F.count("*").alias("offer_count"), rounded(F.min("current_price")).alias("from_price"), rounded(F.max("current_price")).alias("to_price"), best)
+    return g.select("canonical_product_id", "offer_count", "from_price", "to_price", F.col("b.offer_id").alias("best_offer_id"), F.col("b.chain_id").alias("best_chain_id"), F.col("b.is_sale").alias("best_is_sale"))
+
+
 @query("product_detail_projection", f"""WITH {LATEST} SELECT p_partkey AS canonical_product_id, upper(p_name) AS display_name, {R('min(current_price)')} AS min_price, count(offer_id) AS offers FROM part LEFT JOIN offers ON canonical_product_id = p_partkey GROUP BY ALL""")
 def product_detail_projection(spark, d):
     offers = P.current_offers(snapshots(spark, d)).groupBy("canonical_product_id").agg(rounded(F.min("current_price")).alias("min_price"), F.count("*").alias("offers"))
