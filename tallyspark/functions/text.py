@@ -153,10 +153,14 @@ def not_shared(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
 
 
+def bare_name(x: Column) -> Column:
+    """A name, normalised, without percentages and sizes."""
+    return normalise_name(F.regexp_replace(F.regexp_replace(F.lower(x), rf"{NUMBER}\s*%", " "), rf"{NUMBER}\s*(?:kg|ml|g|l)(?=\s|$|[.,])", " "))
+
+
 def name_drift(before: Column, after: Column) -> Column:
     """none, minor (equal without numbers and units, or four fifths of the tokens shared) or major."""
-    bare = lambda x: normalise_name(F.regexp_replace(F.regexp_replace(F.lower(x), rf"{NUMBER}\s*%", " "), rf"{NUMBER}\s*(?:kg|ml|g|l)(?=\s|$|[.,])", " "))
-    a, b = bare(before), bare(after)
+    a, b = bare_name(before), bare_name(after)
     return F.when(before.isNull() | (before == after), "none").when(a == b, "minor").when(overlap(tokens(a), tokens(b)) >= 0.8, "minor").otherwise("major")
 
 

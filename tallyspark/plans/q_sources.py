@@ -9,6 +9,7 @@ from tallyspark.operators import prices as P
 from tallyspark.operators.quality import matches
 from tallyspark.plans.adapter import LATEST, SNAPSHOTS, read, snapshots, sql_avg, sql_round
 from tallyspark.plans.registry import query
+from tallyspark.sources.tables import work_dir
 from tallyspark.sources import snapshots as S
 from tallyspark.sources import tables as T
 from tallyspark.streaming import events as E
@@ -113,6 +114,19 @@ def nutrient_import_counts(spark, d):
     return S.nutrient_import(foods, amounts, [1, 2, 3, 5])[1]
 
 
+@query("latest_partition", """WITH y AS (SELECT strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS snapshot_date, o_totalprice FROM orders)
+  SELECT snapshot_date, count(*) AS rows FROM y WHERE snapshot_date = (SELECT max(snapshot_date) FROM y WHERE snapshot_date BETWEEN '1999-05-27' AND '2000-06-30') GROUP BY 1""")
+def latest_partition(spark, d):
+    """Orders laid out in a folder per year; the latest one that isn't older than 400 days is found by name and read alone."""
+    from tallyspark.sources.snapshots import latest_partition as latest
+
+    root = work_dir(spark)
+    rows = read(spark, d, "orders").select(F.date_format(F.date_trunc("year", "o_orderdate"), "yyyy-MM-dd").alias("snapshot_date"), "o_totalprice")
+    rows.repartition("snapshot_date").write.partitionBy("snapshot_date").parquet(root)
+    day = latest(spark, root, "2000-06-30", 400)
+    return spark.read.parquet(f"{root}/snapshot_date={day}").agg(F.count("*").alias("rows")).select(F.lit(day).alias("snapshot_date"), "rows")
+
+
 @query("archive_entry_names", "SELECT s_suppkey, 'Chain ' || s_nationkey AS chain, s_suppkey AS number FROM supplier")
 def archive_entry_names(spark, d):
     chain, number = S.entry_parts(F.concat(F.lit("day/Chain_"), "s_nationkey", F.lit("_"), "s_suppkey", F.lit(".csv")))

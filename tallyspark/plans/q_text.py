@@ -112,8 +112,7 @@ def name_drift(spark, d):
     nxt = c.select((F.col("product_id") - 1).alias("product_id"), F.col("raw_name").alias("other"))
     k = F.col("product_id")
     rows = c.join(nxt, "product_id").withColumn("after", F.when(k % 5 == 0, F.col("raw_name")).when(k % 5 == 1, F.upper("raw_name")).otherwise(F.col("other")))
-    bare = lambda x: X.normalise_name(F.regexp_replace(F.regexp_replace(F.lower(x), rf"{X.NUMBER}\s*%", " "), rf"{X.NUMBER}\s*(?:kg|ml|g|l)(?=\s|$|[.,])", " "))
-    a, b = X.tokens(bare(F.col("raw_name"))), X.tokens(bare(F.col("after")))
+    a, b = X.tokens(X.bare_name(F.col("raw_name"))), X.tokens(X.bare_name(F.col("after")))
     return rows.select("product_id", X.name_drift(F.col("raw_name"), F.col("after")).alias("drift"), X.not_shared(a, b).cast("long").alias("not_shared"))
 
 
