@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BROADCAST_BYTES, SPACES, save, scratch_path, small
+from tallyspark.llm.common import BROADCAST_BYTES, SPACES, remove, save, scratch_path, small
 
 #: Copies of one text that are compared in one place; larger groups are dealt over more places.
 COPIES_PER_SALT = 1000
@@ -81,14 +81,17 @@ class DigestIndex:
             group = F.floor(F.col("run") / FAN_IN).cast("int").alias("run")
             merged = now.groupBy(group, "digest").agg(F.min("keep").alias("keep"), F.sum("rows").alias("rows")).sortWithinPartitions("run", "digest")
             at = f"{self.path}/level{tier}/{self.compacted}"
-            if runs > 1:
-                now = self._write(merged, at, "run")
-            else:
-                now = self._write(merged.drop("run"), at)
+            now = self._write(merged, at, "run") if runs > 1 else self._write(merged.drop("run"), at)
+            if tier > 1:
+                remove(self.spark, f"{self.path}/level{tier - 1}/{self.compacted}")
         self.compacted += 1
         self.level, self.batches = now, []
         return now
 
+    def drop(self) -> None:
+        """Delete runs and levels."""
+        remove(self.spark, self.path)
+
     def lookup(self, digest: bytes) -> DataFrame:
         """The level's row of one digest; the bloom filters skip the other row groups."""
         return self.level.filter(F.col("digest") == F.lit(bytearray(digest)))
@@ -130,9 +133,9 @@ def false_hits(docs: DataFrame, many: DataFrame, seen: Filter, digest: Callable[
     return rows.join(kept, ["digest", "salt"]).filter(F.col("body") != F.col("keep_body")).select("id", "sha", "digest", "body")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = whole) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, sha (binary SHA-256 of the normalised text)."""
-    index = DigestIndex(docs.sparkSession, digest=digest)
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = whole, index: DigestIndex | None = None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, sha (binary SHA-256 of the normalised text). index: a new one, which the result reads."""
+    index = index or DigestIndex(docs.sparkSession, digest=digest)
     rows, level = index.flush(docs, id_col, text_col), index.compact()
     many = level.filter("rows > 1")
     seen = Filter(many)
@@ -168,7 +171,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = save(exact_groups(docs, id_col, text_col), "exact-groups", narrow=True)
+    index = DigestIndex(docs.sparkSession)
+    groups = save(exact_groups(docs, id_col, text_col, index=index), "exact-groups", narrow=True)
+    index.drop()
     gone = groups.filter("not kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("__again")).distinct()
     again = gone.filter("__again").count()
     sha = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))

@@ -20,7 +20,7 @@ largest, `STARS` times. Members then in one component need no other look; in the
 trees that still hold several components are searched for pairs across components whose bound reaches the threshold. In both turns pairs
 pass by the bound of their points first, and survivors are verified on the true sets. No link between components is lost, no group is
 expanded to all its pairs, and a key's rows are as many as the tasks that read it, not as its members. Trees of
-many members are dealt out as pairs of chunks, each of bounded size.
+many members are dealt out: chunks of those outside the largest component meet chunks of all, each of bounded size.
 
 True sets are sets of 64-bit hashes of shingles (see `shingles`): two unlike shingles with one hash would count as equal.
 
@@ -44,9 +44,9 @@ from tallyspark.llm.common import forget, save, short_batches, small
 from tallyspark.llm.graph import components
 from tallyspark.llm.shingles import mix, sets
 
-GROUPS, LEAF, CHUNK = 256, 32, 500
+GROUPS, LEAF, CHUNK = 256, 32, 200
 #: Trees of no more members are searched without nodes.
-FLAT = 200
+FLAT = 400
 #: Shingles that the groups of linked sets hold on average, for groups to be keys.
 LEAST_MEAN = 6
 #: Cells of the table of hashed counts, and the slices in which it travels.
@@ -186,39 +186,22 @@ class CountTree:
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one place of `left` and one of `right`, in different components, that the bound lets through.
-
-    Of two components at most one is the largest here, so only members of the others ask, and members of the largest are only found.
-    """
+    """Pairs of one place of `left` and one of `right`, in different components, that the bound lets through."""
     codes = np.unique(comps, return_inverse=True)[1]
-    same = len(left) == len(right) and (left == right).all()
     if len(left) <= FLAT and len(right) <= FLAT:
-        other = codes[left][:, None] != codes[right][None, :]
-        if same:
-            other = np.triu(other)
         n_left, n_right = sizes[left][:, None], sizes[right][None, :]
-        i, j = np.nonzero(other & (np.minimum(n_left, n_right) * den >= np.maximum(n_left, n_right) * num))
+        i, j = np.nonzero((codes[left][:, None] != codes[right][None, :]) & (np.minimum(n_left, n_right) * den >= np.maximum(n_left, n_right) * num))
         i, j = left[i], right[j]
         for k in range(0, len(i), 20_000):
             x, y = i[k : k + 20_000], j[k : k + 20_000]
             reach = may_reach(points[x], points[y], sizes[x], sizes[y], num, den)
             yield from zip(x[reach].tolist(), y[reach].tolist())
         return
-    most = np.bincount(codes).argmax()
-    turns = [(left[codes[left] != most], right)]
-    if not same:
-        turns.append((left[codes[left] == most], right[codes[right] != most]))
-    for asking, among in turns:
-        if not len(asking) or not len(among):
-            continue
-        tree = CountTree(points[among], sizes[among])
-        for i in asking:
-            found = among[tree.search(points[i], sizes[i], num, den)]
-            found = found[codes[found] != codes[i]]
-            if same:
-                found = found[(codes[found] == most) | (found > i)]
-            for j in found:
-                yield int(i), int(j)
+    tree = CountTree(points[right], sizes[right])
+    for i in left:
+        found = right[tree.search(points[i], sizes[i], num, den)]
+        for j in found[codes[found] != codes[i]]:
+            yield int(i), int(j)
 
 
 # --- passes over the texts ----------------------------------------------------------------------------------------------
@@ -370,7 +353,7 @@ def _links(docs: DataFrame, pairs: DataFrame, ends: DataFrame, width: int, num:
 
 
 def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: tree (key, i, j), side (0: both of a tree not dealt out, else 1 for chunk i and 2 for chunk j), sid, comp, n, counts, least. Gives pairs a, b.
+    """members: tree (key, i, j), side (1: a member that asks, 2: one that is found), sid, comp, n, counts, least. Gives pairs a, b.
 
     least: the smallest keys of a member's trees. Near copies meet in many trees; a pair isn't given where one of these says that another tree gives it.
     """
@@ -379,8 +362,7 @@ def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
     def group(g: pd.DataFrame) -> list[tuple]:
         points = points_of(g["counts"])
         sizes, side = g["n"].to_numpy(dtype=np.int64), g["side"].to_numpy()
-        whole = np.arange(len(g))
-        left, right = (whole, whole) if (side == 0).any() else (whole[side == 1], whole[side == 2])
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         if not len(left) or not len(right):
             return []
         sid, comp = [bytes(s) for s in g["sid"]], np.array([bytes(c).hex() for c in g["comp"]])
@@ -480,18 +462,21 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"), mark(1).alias("one"), mark(2).alias("two")).filter("size > 2")
     chosen = save(sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size"), "chosen", narrow=True)
     if chosen.count():
-        chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+        # members outside the largest component ask, all are found; both are dealt out in chunks, and each chunk that asks meets each that is found
         searched = save(rest.join(small(chosen, 24), "key"), "searched", narrow=True)
         # a set is in no more trees than it has keys
         least = searched.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
-        dealt = searched.join(least.join(counted, "sid"), "sid").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-        dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        dealt = dealt.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d"))
-        side_of = F.when(F.col("i") == F.col("j"), 0).when(F.col("c") == F.col("i"), 1).otherwise(2)
-        more = save(_search_trees(dealt.withColumn("side", side_of), num, den), "tree-pairs", narrow=True)
+        largest = searched.groupBy("key", "comp").agg(F.count("*").alias("own"), F.first("size").alias("size")).groupBy("key").agg(F.max(F.struct("own", "comp")).alias("c"), F.first("size").alias("size"))
+        largest = largest.select("key", F.col("c.comp").alias("c_comp"), F.ceil((F.col("size") - F.col("c.own")) / CHUNK).cast("int").alias("i_chunks"), F.ceil(F.col("size") / CHUNK).cast("int").alias("j_chunks"))
+        largest = save(largest, "tree-largest", narrow=True)
+        members = searched.join(small(largest, 48), "key").join(least.join(counted, "sid"), "sid")
+        chunk, each = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = members.filter("comp != c_comp").select("*", F.lit(1).alias("side"), chunk("i_chunks").alias("i"), each("j_chunks").alias("j"))
+        found = members.select("*", F.lit(2).alias("side"), each("i_chunks").alias("i"), chunk("j_chunks").alias("j"))
+        more = save(_search_trees(asking.unionByName(found), num, den), "tree-pairs", narrow=True)
         if more.count():
             labels = merged(labels, _links(docs, more, ends, width, num, den))
-        forget(searched, more)
+        forget(searched, largest, more)
     forget(chosen)
     forget(trees, counted, rest, ends)
     named = own.select("sid", "low").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid"))

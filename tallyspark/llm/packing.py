@@ -2,7 +2,7 @@
 
 Only the lengths decide a packing, so the search runs on their histogram, which has at most `room` entries whatever the
 number of documents: a bin is a multiset of lengths, and equal bins are one row with a count. It starts from a plain order, bins that
-hold one length each, and then tries, between underfull bins, to move a document, to exchange one for one, and to exchange
+hold one length each, and once more from bins filled with the longest lengths that fit, as it may end in different places; the better end counts. From there it tries, between underfull bins, to move a document, to exchange one for one, and to exchange
 two for one or one for two, whenever that raises the sum of squared fills; bins so emptied disappear. It ends when no step between any two
 bins helps. Exchanges between equal bins are done for all of them at once. Documents are then matched to the places of their length by rank.
 Ranks are counted inside the task that tokenised them and offset by a table of counts per task and length.
@@ -89,6 +89,24 @@ def plain_order(counts: dict[int, int], room: int) -> Counter:
     return bins
 
 
+def filled_order(counts: dict[int, int], room: int) -> Counter:
+    """Bins filled one after the other with the longest lengths that still fit, equal bins at once."""
+    left, bins = {k: v for k, v in counts.items() if v}, Counter()
+    while left:
+        space, took = room, Counter()
+        for size in sorted(left, reverse=True):
+            if k := min(space // size, left[size]):
+                took[size] = k
+                space -= size * k
+        n = min(left[size] // k for size, k in took.items())
+        for size, k in took.items():
+            left[size] -= n * k
+            if not left[size]:
+                del left[size]
+        bins[tuple(sorted(took.elements(), reverse=True))] += n
+    return bins
+
+
 def _sums(bin_: Bin) -> tuple[int, int]:
     """The lengths in a bin, and the sums of two of them, as bit sets."""
     kinds = sorted(set(bin_))
@@ -188,8 +206,9 @@ def local_search(bins: Counter, room: int) -> Counter:
 def pack_lengths(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
     """Kinds of bins, each with its number; all lengths of counts are placed exactly once."""
     whole = Counter({(room,): counts[room]} if counts.get(room) else {})
-    rest = local_search(plain_order({k: v for k, v in counts.items() if v and k < room}, room), room)
-    return sorted((whole + rest).items())
+    rest = {k: v for k, v in counts.items() if v and k < room}
+    ends = [local_search(start(rest, room), room) for start in (plain_order, filled_order)]
+    return sorted((whole + min(ends, key=lambda bins: sum(bins.values()))).items())
 
 
 def places(kinds: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:

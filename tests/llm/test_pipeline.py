@@ -53,3 +53,26 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_documents(spark):
+    """Nulls in any column, repeated identifiers and rows, a very long text, and columns that bear the names of the operators' own."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in base.limit(60).collect()]
+    text = next(t for _, t, *_ in rows if t and len(t.split()) > 80)
+    odd = [(None, text, None, None, None), (None, None, "en", "s", 0), (7, "", None, "s", None), (7, "   ", "en", None, 1), (8, (text + " ") * 2000, "en", "s", 9), (9, text, "en", "s", 9), (9, text, "en", "s", 9), (10, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows + odd, base.schema)
+    docs = docs.withColumns({"score": F.lit(1), "Verdict": F.lit("x"), "keep_id": F.lit(2), "a.b": F.lit(3), "sequence_id": F.lit(4), "size": F.lit(5)})
+    for name, stage in P.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        assert docs.columns == before.columns
+        kept = docs.collect()
+        assert all((r["score"], r["Verdict"], r["keep_id"], r["a.b"], r["size"]) == (1, "x", 2, 3, 5) for r in kept)
+        own = [r["doc_id"] for r in kept if r["text"] == text]
+        if name == "language":
+            assert not any(r["text"] is None or not any(c.isalpha() for c in r["text"]) for r in kept) and len(own) == 4
+        elif name in ("exact", "near"):
+            assert len(own) == 1 and own[0] is not None
+    out = P.packed(spark, docs, SF).collect()
+    check_packing(out, 1024)
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()}
