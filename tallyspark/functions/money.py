@@ -27,8 +27,14 @@ def effective_price(retail: Column, promo: Column, strict: bool = True) -> Colum
 
 
 def exact_sum(x: Column) -> Column:
-    """Sum through decimals, so that the order of rows doesn't matter."""
-    return F.sum(x.cast("decimal(18,4)")).cast("double")
+    """Sum of x to four places, so that the order of rows doesn't matter.
+
+    Ten-thousandths are summed as whole numbers, upper and lower digits apart: both stay within a long for any table, and in generated code, which wide decimals don't.
+    """
+    units = F.floor(x * F.lit(10000.0) + F.lit(0.5))
+    lower = units % F.lit(1_000_000)
+    upper = F.sum(((units - lower) / F.lit(1_000_000)).cast("long"))
+    return (upper.cast("double") * F.lit(1e6) + F.sum(lower).cast("double")) / F.lit(10000.0)
 
 
 def exact_avg(x: Column) -> Column:

@@ -199,22 +199,22 @@ scored AS (SELECT query_id, product_id, shared, name, brand, {R("CASE WHEN q_nam
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM scored)"""
 
 
-def _parsed(spark, d):
+def _parsed(spark, d, step=50):
+    """Queries and products. step: the queries are the products whose identifier it divides."""
     c = catalog(spark, d)
     name = X.normalise_name(F.col("raw_name"))
     s = X.size_of(F.col("raw_name"))
     products = c.select("product_id", name.alias("name"), F.array("p_name").alias("aliases"), "brand", s["value"].alias("size"), X.percent_of(F.col("raw_name")).alias("percent"), F.lit(0.7).alias("confidence"))
     products = products.withColumn("tokens", F.array_distinct(X.tokens(F.col("name"))))
-    # the stated query set: every row whose identifier is divisible by 50, against all rows
     k = F.floor(F.col("product_id") / 50)
-    asked = products.filter(F.col("product_id") % 50 == 0).select(F.col("product_id").alias("query_id"), F.when(k % 2 == 0, F.col("name")).otherwise(F.col("aliases")[0]).alias("q_name"), F.when(k % 3 == 0, F.col("size")).alias("q_size"), F.when(k % 3 == 0, F.col("percent")).alias("q_percent"))
+    asked = products.filter(F.col("product_id") % step == 0).select(F.col("product_id").alias("query_id"), F.when(k % 2 == 0, F.col("name")).otherwise(F.col("aliases")[0]).alias("q_name"), F.when(k % 3 == 0, F.col("size")).alias("q_size"), F.when(k % 3 == 0, F.col("percent")).alias("q_percent"))
     none = spark.sql("SELECT 900000001L AS query_id, 'nothing like it' AS q_name, CAST(NULL AS DOUBLE) AS q_size, CAST(NULL AS DOUBLE) AS q_percent")
     queries = asked.unionByName(none).withColumn("q_tokens", F.array_distinct(X.tokens(F.col("q_name"))))
     return queries, products
 
 
-def _scored(spark, d):
-    queries, products = _parsed(spark, d)
+def _scored(spark, d, step=50):
+    queries, products = _parsed(spark, d, step)
     pairs = M.candidates(queries.withColumnRenamed("q_tokens", "tokens"), products)
     # the words of the asked name are its canonical terms
     asked = queries.withColumn("canonical_terms", F.filter(F.split("q_name", " "), lambda t: F.length(t) >= 5))

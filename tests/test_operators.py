@@ -204,14 +204,16 @@ def test_blocks_hold_every_subset_once():
 
 def test_matching_asks_with_every_product(spark):
     """Candidates, scores and best matches of all names of a small part table, against loops over all pairs."""
+    from tallyspark.operators import matching
     from tallyspark.plans import catalogue, q_text
 
-    queries, products = q_text._parsed(spark, catalogue.SMOKE_DIR)
+    assert {r["query_id"] for r in q_text._parsed(spark, catalogue.SMOKE_DIR)[0].collect()} == {0, 50, 100, 150, 900000001}
+    queries, products = q_text._parsed(spark, catalogue.SMOKE_DIR, step=1)
     asked = {r["query_id"]: set(r["q_tokens"]) for r in queries.collect()}
     held = {r["product_id"]: r for r in products.collect()}
     assert set(asked) == set(held) | {900000001}
     want = {(q, p): n for q, mine in asked.items() for p, r in held.items() if (n := len(mine & set(r["tokens"])))}
-    pairs = q_text.token_candidates(spark, catalogue.SMOKE_DIR).collect()
+    pairs = matching.candidates(queries.withColumnRenamed("q_tokens", "tokens"), products).collect()
     assert len(pairs) == len(want) and {(r["query_id"], r["product_id"]): r["shared"] for r in pairs} == want
     detail = {r["query_id"]: r for r in queries.collect()}
 
@@ -219,16 +221,17 @@ def test_matching_asks_with_every_product(spark):
         a, b = detail[q], held[p]
         exact = 0.45 if a["q_name"] == b["name"] else 0.12 if a["q_name"] in b["aliases"] else 0.0
         same = lambda x, y, w: w if x is not None and x == y else 0.0
+        exact += 0.08 if any(len(t) >= 5 and (t in b["aliases"] or t in b["name"]) for t in a["q_name"].split(" ")) else 0.0
         s = exact + want[q, p] / max(len(asked[q]), 1) * 0.35 + (0.14 if b["brand"] in asked[q] else 0.0)
         return s + same(a["q_size"], b["size"], 0.12) + same(a["q_percent"], b["percent"], 0.10) + 0.7 * 0.05
 
-    scores = {(r["query_id"], r["product_id"]): r["score"] for r in q_text.match_scores(spark, catalogue.SMOKE_DIR).collect()}
+    scores = {(r["query_id"], r["product_id"]): r["score"] for r in q_text._scored(spark, catalogue.SMOKE_DIR, step=1)[1].collect()}
     assert set(scores) == set(want) and all(abs(scores[k] - score(*k)) < 6e-5 for k in want)
     best = {}
     for (q, p), x in scores.items():
         best.setdefault(q, []).append((-x, p))
     top = {}
-    for r in q_text.top_n_candidates(spark, catalogue.SMOKE_DIR).collect():
+    for r in matching.top_n(q_text._scored(spark, catalogue.SMOKE_DIR, step=1)[1], 5).collect():
         top.setdefault(r["query_id"], []).append((-r["score"], r["product_id"]))
     assert {q: sorted(v) for q, v in top.items()} == {q: sorted(v)[:5] for q, v in best.items()}
 
