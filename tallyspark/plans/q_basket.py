@@ -31,7 +31,21 @@ multi AS (SELECT m.basket_id, combo, store_count, m.score_total, m.actual_total,
   m.coverage_ratio >= s.coverage_ratio AND {R('s.actual_total - m.actual_total')} >= 0.5 AND m.score_total <= s.score_total AS recommended FROM mbest m JOIN single s USING (basket_id))"""
 
 
-MULTI, LEGACY = _multi("selling"), _multi("chosen")
+LEGACY = _multi("chosen")
+
+#: The same for all selling chains, with each basket's prices in one row (p: a list over chains), as the combinations are many.
+MULTI = f"""{BASE}, numbered AS (SELECT chain_id, row_number() OVER (ORDER BY chain_id) AS k FROM (SELECT DISTINCT chain_id FROM prices)),
+wide AS (SELECT canonical_product_id, list(price ORDER BY k) AS p FROM (SELECT DISTINCT canonical_product_id FROM prices) CROSS JOIN numbered LEFT JOIN prices USING (canonical_product_id, chain_id) GROUP BY 1),
+lines_ AS (SELECT basket_id, list({{'q': quantity, 'p': p}}) AS lines FROM items JOIN wide USING (canonical_product_id) GROUP BY 1),
+selling AS (SELECT basket_id, chain_id, k FROM options JOIN numbered USING (chain_id)),
+combos AS (SELECT a.basket_id, [a.chain_id, b.chain_id] AS chains, a.k AS ka, b.k AS kb, b.k AS kc FROM selling a JOIN selling b ON a.basket_id = b.basket_id AND a.chain_id < b.chain_id
+  UNION ALL SELECT a.basket_id, [a.chain_id, b.chain_id, c.chain_id], a.k, b.k, c.k FROM selling a JOIN selling b ON a.basket_id = b.basket_id AND a.chain_id < b.chain_id JOIN selling c ON a.basket_id = c.basket_id AND b.chain_id < c.chain_id),
+costs AS (SELECT basket_id, chains, list_filter(list_transform(lines, lambda l: {R('least(l.p[ka], l.p[kb], l.p[kc]) * l.q')}), lambda x: x IS NOT NULL) AS c FROM combos JOIN lines_ USING (basket_id)),
+mtotals AS (SELECT basket_id, chains, len(c) AS priced_item_count, {R('list_sum(c)')} AS actual_total FROM costs),
+moptions AS (SELECT basket_id, chains, actual_total, {R('actual_total + (item_count - priced_item_count) * 999.0::DOUBLE')} AS score_total, {R('priced_item_count::DOUBLE / item_count', 4)} AS coverage_ratio FROM mtotals JOIN sizes USING (basket_id)),
+mbest AS (SELECT basket_id, min({{'score': score_total, 'cover': -coverage_ratio, 'total': actual_total, 'stores': len(chains), 'combo': array_to_string(chains, '|')}}) AS b FROM moptions GROUP BY 1),
+multi AS (SELECT m.basket_id, b.combo AS combo, b.stores::INTEGER AS store_count, b.score AS score_total, b.total AS actual_total, -b.cover AS coverage_ratio, {R('s.actual_total - b.total')} AS savings,
+  -b.cover >= s.coverage_ratio AND {R('s.actual_total - b.total')} >= 0.5 AND b.score <= s.score_total AS recommended FROM mbest m JOIN single s USING (basket_id))"""
 
 
 def parts(spark, d):
