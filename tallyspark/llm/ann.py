@@ -72,10 +72,27 @@ def best_of_tile(q_ids, q_int8, c_ids, c_int8, k: int, floor: np.ndarray) -> tup
     return rows, cols, low[rows, cols], (near + off)[rows, cols]
 
 
-def _pack(ids: list[int], rows: list[int], vectors: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    """Rows of equal length become one packed row."""
+def near_enough(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows of x that can be among a query's k nearest: of equal vectors those of the k + 1 smallest identifiers (one may be the
+    query's own), k of each at most, as ties go to smaller ones."""
+    same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    group, own = same[order], ids[order]
+    new_group = np.diff(group, prepend=-1) != 0
+    new_id = new_group | (np.diff(own, prepend=own[0]) != 0)
+    number = np.cumsum(new_id)
+    of_group = number - number[np.flatnonzero(new_group)[np.cumsum(new_group) - 1]]
+    place = np.arange(len(own))
+    of_id = place - np.flatnonzero(new_id)[number - 1]
+    return np.sort(order[(of_group <= k) & (of_id < k)])
+
+
+def _pack(ids: list[int], rows: list[int], vectors: list[np.ndarray], k: int | None) -> Iterator[pd.DataFrame]:
+    """Rows of equal length become one packed row; with k, without those that no query can want."""
     for dim in sorted({len(v) for v in vectors}):
         at = [i for i, v in enumerate(vectors) if len(v) == dim]
+        if k:
+            at = [at[i] for i in near_enough(np.stack([vectors[i] for i in at]), np.array([ids[i] for i in at], dtype=np.int64), k)]
         codes, scale, error = quantise(np.stack([vectors[i] for i in at]).astype(np.float64))
         numbers = [np.array([x[i] for i in at], dtype=np.int64).tobytes() for x in (ids, rows)]
         yield pd.DataFrame([(0, dim, len(at), *numbers, codes.tobytes(), scale.tobytes(), error.tobytes())], columns=[c.split()[0] for c in PACKED.split(", ")])
@@ -87,8 +104,8 @@ def _unpack(row) -> tuple:
     return arr(row.ids, np.int64), arr(row.rows, np.int64), (arr(row.codes, np.int8).reshape(n, dim), arr(row.scale, np.float64), arr(row.error, np.float64))
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Pack rows (id, row, vector) into rows of at most `size` vectors, dealt evenly without a key."""
+def blocks(rows: DataFrame, size: int, k: int | None = None) -> DataFrame:
+    """Pack rows (id, row, vector) into rows of at most `size` vectors, dealt evenly without a key. k: how many candidates a query wants."""
     parts = parts_for(rows.count(), size)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,10 +114,10 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             for i, r, v in zip(b["id"], b["row"], b["vector"]):
                 held.append((int(i), int(r), np.asarray(v, dtype=np.float64)))
                 if len(held) == size:
-                    yield from _pack(*map(list, zip(*held)))
+                    yield from _pack(*map(list, zip(*held)), k)
                     held = []
         if held:
-            yield from _pack(*map(list, zip(*held)))
+            yield from _pack(*map(list, zip(*held)), k)
 
     # dealt by the rows' numbers: a task that runs again packs the same block
     packed = rows.repartition(parts, F.xxhash64("row")).mapInPandas(pack, PACKED)
@@ -114,7 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sound = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), x.cast("array<double>").alias("vector"), is_query.alias("asks"))
     rows = save(rows, "ann-vectors")
-    data = save(blocks(rows.select("id", "row", "vector"), block), "ann-blocks")
+    data = save(blocks(rows.select("id", "row", "vector"), block, k), "ann-blocks")
     asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     queries = save(blocks(asked.withColumn("row", F.col("id")), query_block), "ann-queries")
     # a tile is one pair of blocks, a key of its own, so tiles spread evenly; only the lists of block numbers are broadcast

@@ -146,6 +146,7 @@ def test_nearest_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(150)]
     rows[7] = (7, rows[8][1])  # a tie
+    rows += [(i, rows[100][1]) for i in range(2000, 2060)] + [(2000, rows[100][1])] * 3  # a common vector
     rows += [(1000, None), (1050, [0.0] * 8), (1001, [float("nan")] + [1.0] * 7), (1100, [1.0, None] + [1.0] * 6), (1150, [1.0] * 5), (1200, [2.0] * 5), (1003, []), (None, [1.0] * 8), (50, rows[50][1])]
     d = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = defaultdict(list)
@@ -161,6 +162,12 @@ def test_nearest_matches_brute_force(spark):
     assert ann.nearest(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_common_vectors_are_few_in_a_block():
+    x, ids = np.repeat([[1.0, 2.0], [3.0, 1.0]], [500, 2], axis=0), np.array([*range(500), 7, 8])
+    assert ann.near_enough(x, ids, 5).tolist() == [0, 1, 2, 3, 4, 5, 500, 501]
+    assert len(ann.near_enough(x[:500], np.zeros(500, dtype=np.int64), 5)) == 5
+
+
 def test_tile_error_is_a_bound():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(40, 64)), rng.normal(size=(50, 64)) * rng.lognormal(size=(50, 1))
