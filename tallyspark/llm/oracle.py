@@ -111,5 +111,81 @@ FROM shingled d LEFT JOIN sets t ON list_sort(d.s) = t.s LEFT JOIN lowest l ON t
 """
 
 
+#: A round: each vector's nearest centroid, and the floored means of each non-empty cluster. DuckDB's // cuts towards zero.
+ROUND = """
+a{n} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, arg_min(number, d * 16 + number) AS number, min(d) AS d
+  FROM (SELECT p.vec_id, p.v, c.number, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM points p, c{n} c)
+  GROUP BY vec_id
+)"""
+MEANS = """
+m{n} AS (
+  SELECT number, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v
+  FROM (SELECT number, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT number, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{n}) GROUP BY number, place)
+  GROUP BY number
+), c{next} AS MATERIALIZED (
+  SELECT number, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (number)
+)"""
+OP11 = (
+    """
+WITH points AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS number, v FROM points QUALIFY number < 16
+),"""
+    + ",".join(ROUND.format(n=n) + "," + MEANS.format(n=n, next=n + 1) for n in range(3))
+    + ","
+    + ROUND.format(n=3)
+    + """
+SELECT vec_id, number::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY number)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (number)
+"""
+)
+
+OP12 = r"""
+WITH digits AS (  -- what a byte does to a CRC-32
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)
+), words AS (
+  SELECT 0 AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), counted AS MATERIALIZED (
+  SELECT side, doc_id, w, count(*) AS n FROM words GROUP BY ALL
+), hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM counted), digits
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 1), 0)::BIGINT AS t FROM counted JOIN hashed USING (w) GROUP BY bucket
+), gained AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ())::DOUBLE + 10000) / ((s + 1)::DOUBLE * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain FROM sums
+), weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM counted JOIN hashed USING (w) JOIN gained USING (bucket) WHERE side = 0 GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN weighed USING (doc_id)
+), all_rows AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS many FROM all_rows
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM placed
+"""
+
+OP13 = r"""
+WITH lines AS (
+  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), judged AS (
+  SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY key) AS gone FROM lines
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": OP3, "op4_exact_dedup": OP4, "op5_source_mix": OP5, "op6_nearest_neighbours": OP6, "op8_ngram_join": OP8}
+    return {"op3_warc_archive": OP3, "op4_exact_dedup": OP4, "op5_source_mix": OP5, "op6_nearest_neighbours": OP6, "op8_ngram_join": OP8, "op11_sort_means": OP11, "op12_resampling": OP12, "op13_line_dedup": OP13}

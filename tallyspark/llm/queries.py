@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10: each applies one operator to its whole table and derives the columns asked for."""
+"""The registered queries op1 to op13: each applies one operator to its whole table and derives the columns asked for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, quality, sharding, url_filter, warc
+from tallyspark.llm import ann, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, resampling, sharding, sort_means, url_filter, warc
 from tallyspark.llm.common import crc_mod
 
 
@@ -73,6 +73,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id").select("doc_id", "slot", "shard")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -85,4 +97,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "op11_sort_means": op11_sort_means,
+        "op12_resampling": op12_resampling,
+        "op13_line_dedup": op13_line_dedup,
     }

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_ngram_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op9_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op10_sharding": "doc_id bigint, slot int, shard string",
+    "op11_sort_means": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op12_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
 }
 
 
