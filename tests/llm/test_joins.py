@@ -162,10 +162,43 @@ def test_nearest_matches_brute_force(spark):
     assert ann.nearest(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_common_vectors_are_few_in_a_block():
-    x, ids = np.repeat([[1.0, 2.0], [3.0, 1.0]], [500, 2], axis=0), np.array([*range(500), 7, 8])
-    assert ann.near_enough(x, ids, 5).tolist() == [0, 1, 2, 3, 4, 5, 500, 501]
-    assert len(ann.near_enough(x[:500], np.zeros(500, dtype=np.int64), 5)) == 5
+def test_of_equal_vectors_few_are_wanted(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(7, [3.0, 1.0]), (8, [3.0, 1.0])] + [(3, [5.0, 5.0])] * 40 + [(1, [5.0, 5.0])] * 40
+    d = spark.createDataFrame([(i, n, v) for n, (i, v) in enumerate(rows)], "id long, row long, vector array<double>")
+    gone = {r["row"] for r in ann.wanted_of_equals(d, 5).collect()}
+    left = Counter(rows[n][0] for n in range(len(rows)) if n not in gone and rows[n][1] == [5.0, 5.0])
+    assert left == {1: 5, 3: 5}
+    assert sorted(rows[n][0] for n in range(502) if n not in gone) == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_a_common_vector_in_many_blocks(spark, monkeypatch):
+    """Survivors don't grow with the blocks, though a third of the rows and most queries are one vector."""
+    rng = np.random.default_rng(5)
+    common = rng.normal(size=16).astype(np.float32).tolist()
+    rows = [(i, common if i % 3 == 0 else rng.normal(size=16).astype(np.float32).tolist()) for i in range(3000)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    made = {}
+    save = ann.save
+
+    def counted(df, name, narrow=False):
+        out = save(df, name, narrow)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ann, "save", counted)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in ann.nearest(d, F.col("vec_id") % 50 == 0, 5, block=15).collect()}
+    assert made["ann-blocks"] > 100 and made["ann-survivors"] <= 60 * 5 * 1.5
+    for q in range(0, 3000, 150):
+        assert [got[q, r] for r in range(1, 6)] == [i for i in range(0, 21, 3) if i != q][:5]
+
+
+def test_very_large_and_very_small_vectors(spark):
+    base = {0: [1.0, 2.0, 3.0], 1: [1.0, 2.0, 2.9], 2: [3.0, -1.0, 0.0], 3: [1.0, 2.0, 3.1]}
+    d = spark.createDataFrame([(i, [x * f for x in v]) for (i, v), f in zip(base.items(), (1e-200, 1e200, 1e-320, 1e300))], "vec_id long, embedding array<double>")
+    got = ann.nearest(d, F.col("vec_id") == 0, 3).collect()
+    want = [(float(ann.cosines(np.array([base[0]]), np.array([base[i]]))[0]), i) for i in (1, 2, 3)]
+    assert [r["id"] for r in got] == [i for _, i in sorted(want, reverse=True)]
+    assert all(abs(r["score"] - dict((i, s) for s, i in want)[r["id"]]) < 1e-3 for r in got)
 
 
 def test_tile_error_is_a_bound():
