@@ -1,4 +1,4 @@
-"""Queries over sources, scans, sinks, set operations, projections and streams."""
+"""Queries over sources, scans, sinks, set operations and projections."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from tallyspark.plans.registry import query
 from tallyspark.sources.tables import work_dir
 from tallyspark.sources import snapshots as S
 from tallyspark.sources import tables as T
-from tallyspark.streaming import events as E
 
 R = sql_round
 
@@ -283,28 +282,3 @@ def daily_pipeline(spark, d):
     rows = P.with_price(snapshots(spark, d))
     last = rows.agg(F.max("snapshot_date").alias("snapshot_date"))
     return rows.join(F.broadcast(last), "snapshot_date").groupBy("snapshot_date").agg(F.count("*").alias("rows"), F.countDistinct("source_product_id").alias("products"), rounded(exact_avg(F.col("price"))).alias("mean_price"))
-
-
-# --- streams ---------------------------------------------------------------------------------------------------------------
-
-
-@query("stream_demand_windows", """WITH w AS (SELECT event_type, unnest(list_transform(range(7), lambda i: date_trunc('day', ts)::DATE - i::INTEGER)) AS s FROM events) SELECT strftime(s, '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM w GROUP BY ALL""")
-def stream_demand_windows(spark, d):
-    return E.run_to_table(E.demand_windows(E.event_stream(spark, d)), "complete")
-
-
-@query("stream_sessions", """WITH l AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
-  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
-def stream_sessions(spark, d):
-    return E.run_to_table(E.sessions(E.event_stream(spark, d)), "complete")
-
-
-@query("stream_signals_once", "SELECT DISTINCT sha256(concat_ws('|', event_type, user_id::VARCHAR, strftime(ts, '%Y-%m-%d'))) AS signal_id, event_type, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
-def stream_signals_once(spark, d):
-    return E.run_to_table(E.signals_once(E.event_stream(spark, d)))
-
-
-@query("stream_nudges")
-def stream_nudges(spark, d):
-    """Each decision depends on the last, so the tests state it by a plain loop."""
-    return E.run_to_table(E.nudges(E.event_stream(spark, d)))

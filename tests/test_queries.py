@@ -99,7 +99,9 @@ def test_meal_plan_by_loop(spark):
 def test_stream_nudges_by_loop(spark):
     got = {(r["user_id"], r["event_id"]) for r in QUERIES["stream_nudges"](spark, catalogue.SMOKE_DIR).collect()}
     want, last = set(), {}
-    for r in spark.read.parquet(f"{catalogue.SMOKE_DIR}/events.parquet").orderBy("ts", "event_id").toPandas().itertuples():
+    events = spark.read.parquet(f"{catalogue.SMOKE_DIR}/events.parquet").orderBy("ts", "event_id").toPandas()
+    passed = events["ts"].max() - pd.Timedelta(days=2)  # what is later still waits for events out of order
+    for r in events[events["ts"] <= passed].itertuples():
         if r.user_id not in last or (r.ts - last[r.user_id]).total_seconds() >= 3 * 86400:
             last[r.user_id] = r.ts
             want.add((r.user_id, r.event_id))
