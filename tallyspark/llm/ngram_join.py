@@ -16,11 +16,11 @@ fixed order; rare ones come first, by a table of hashed counts over all document
 
 Linking. Only components are wanted, so pairs are looked at in two turns. In the first each member of a tree meets one centre: the least member
 that its task read with that key, and these centres the least of them; trees that still hold several components get new centres from their
-largest, `STARS` times. Members then in one component need no other look; in the second turn,
-trees that still hold several components are searched for pairs across components whose bound reaches the threshold. In both turns pairs
-pass by the bound of their points first, and survivors are verified on the true sets. No link between components is lost, no group is
-expanded to all its pairs, and a key's rows are as many as the tasks that read it, not as its members. Trees of
-many members are dealt out: chunks of those outside the largest component meet chunks of all, each of bounded size.
+largest, `STARS` times. Members then in one component need no other look; in the second turn trees that still hold several components are joined with themselves, for pairs
+across components. A tree of more than `CHUNK` members is cut into its upper nodes: its members in order of size and counts, `CHUNK` a node. A node's corner and least and largest size say with which
+other nodes it can hold a link; pairs of nodes that can't are never sent anywhere. For each pair that can, the members of the one ask an R-tree of the members of the other, whose leaves and levels
+prune by their corners in turn. What passes a leaf passes the bound of its points, and survivors are verified on the true sets. No link between components is lost, no group is
+expanded to all its pairs, and in the first turn a key's rows are as many as the tasks that read it, not as its members.
 
 True sets are sets of 64-bit hashes of shingles (see `shingles`): two unlike shingles with one hash would count as equal.
 
@@ -44,9 +44,10 @@ from tallyspark.llm.common import forget, save, short_batches, small
 from tallyspark.llm.graph import components
 from tallyspark.llm.shingles import mix, sets
 
-GROUPS, LEAF, CHUNK = 256, 32, 200
-#: Trees of no more members are searched without nodes.
-FLAT = 400
+#: Coordinates of a point, points of a leaf (and nodes of a level), members of an upper node. Small leaves keep their corners low.
+GROUPS, LEAF, CHUNK = 256, 8, 2000
+#: So few points are searched without a tree.
+FLAT = 64
 #: Shingles that the groups of linked sets hold on average, for groups to be keys.
 LEAST_MEAN = 6
 #: Cells of the table of hashed counts, and the slices in which it travels.
@@ -158,39 +159,65 @@ def with_centres(keys: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class CountTree:
-    """A packed R-tree of group counts. Points are sorted by set size, then by the widest coordinates, and cut into leaves;
-    levels above take LEAF nodes each. A node keeps the upper corner of its points and their least size."""
+    """A packed R-tree of group counts. Points are sorted by class of size, then by the widest coordinates, and cut into leaves;
+    levels above take LEAF nodes each. A node keeps the upper corner of its points and their least and largest size. looked: corners and points that searches met."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        spread = np.argsort(-points.astype(np.float32).std(axis=0), kind="stable")[:2] if len(points) else []
-        self.order = np.lexsort((*[points[:, s] for s in spread], sizes))
+        spread = np.argsort(-points.astype(np.float32).std(axis=0), kind="stable")[:3] if len(points) else []
+        self.order = np.lexsort((*[points[:, s] for s in spread[::-1]], size_class(sizes)))
         self.points, self.sizes = points[self.order], sizes[self.order]
-        corner, least = self.points, self.sizes
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        corner, least, most = self.points, self.sizes, self.sizes
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(corner) > 1 or not self.levels:
             at = np.arange(0, len(corner), LEAF)
-            corner, least = np.maximum.reduceat(corner, at, axis=0), np.minimum.reduceat(least, at)
-            self.levels.append((corner, least))
+            corner, least, most = np.maximum.reduceat(corner, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((corner, least, most))
+        self.looked = 0
 
     def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
         """Places of the points whose bound with `point` reaches the threshold."""
         at = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
-            corner, least = self.levels[k]
+            corner, least, most = self.levels[k]
+            at = at[in_reach(size, size, least[at], most[at], num, den)]
+            self.looked += len(at)
             reach = may_reach(corner[at], point, size, least[at], num, den)
             below = len(self.levels[k - 1][0]) if k else len(self.points)
             at = (at[reach][:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < below]
+        at = at[in_reach(size, size, self.sizes[at], self.sizes[at], num, den)]
+        self.looked += len(at)
         reach = may_reach(self.points[at], point, size, self.sizes[at], num, den)
         return self.order[at[reach]]
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes in steps of a tenth."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.1)).astype(np.int64)
+
+
+def in_reach(least_a, most_a, least_b, most_b, num: int, den: int):
+    """Whether sets of sizes between the bounds of both sides can link."""
+    return (most_a * den >= least_b * num) & (most_b * den >= least_a * num)
+
+
+def node_pairs(corners: np.ndarray, least: np.ndarray, most: np.ndarray, asks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nodes that ask, and of those that can hold a link with them."""
+    left, right = [], []
+    for i in np.flatnonzero(asks).tolist():
+        near = np.flatnonzero(in_reach(least[i], most[i], least, most, num, den))
+        reach = may_reach(corners[near], corners[i], least[i], least[near], num, den)
+        left.append(np.full(int(reach.sum()), i))
+        right.append(near[reach])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], dtype=np.int64), np.array([], dtype=np.int64))
+
+
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Pairs of one place of `left` and one of `right`, in different components, that the bound lets through."""
     codes = np.unique(comps, return_inverse=True)[1]
-    if len(left) <= FLAT and len(right) <= FLAT:
+    if len(right) <= FLAT:
         n_left, n_right = sizes[left][:, None], sizes[right][None, :]
-        i, j = np.nonzero((codes[left][:, None] != codes[right][None, :]) & (np.minimum(n_left, n_right) * den >= np.maximum(n_left, n_right) * num))
+        i, j = np.nonzero((codes[left][:, None] != codes[right][None, :]) & in_reach(n_left, n_left, n_right, n_right, num, den))
         i, j = left[i], right[j]
         for k in range(0, len(i), 20_000):
             x, y = i[k : k + 20_000], j[k : k + 20_000]
@@ -352,6 +379,36 @@ def _links(docs: DataFrame, pairs: DataFrame, ends: DataFrame, width: int, num:
     return links
 
 
+def _in_nodes(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (key, size of the tree, sid, comp, n, counts, least, asks) as rows of pairs of nodes: key, i, j, side (1: asks, 2: is found) and the rest. Small trees are one node."""
+    sides = lambda df, i, j: df.select("key", i.alias("i"), j.alias("j"), "side", "sid", "comp", "n", "counts", "least")
+    few, zero = members.filter(F.col("size") <= CHUNK), F.lit(0).cast("long")
+    few = few.withColumn("side", F.explode(F.when(F.col("asks"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
+    out = sides(few, zero, zero)
+    many = members.filter(F.col("size") > CHUNK)
+    order = ["key", F.floor(F.log("n") / F.log(F.lit(1.1))), "counts", "sid"]
+    # a row's number within its range: ranges end where they may, so a tree of any size is dealt over tasks
+    placed = many.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.floor(F.monotonically_increasing_id() / CHUNK).cast("long"))
+    placed = save(placed.drop("c_comp"), "tree-nodes", narrow=False)
+    if placed.isEmpty():
+        return out
+
+    def corner(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, points_of(rows["counts"]).max(axis=0).tobytes(), rows["n"].min(), rows["n"].max(), rows["asks"].any())], columns=["key", "node", "corner", "low", "high", "asks"])
+
+    def meet(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+        number = nodes["node"].to_numpy()
+        i, j = node_pairs(points_of(nodes["corner"]), nodes["low"].to_numpy(), nodes["high"].to_numpy(), nodes["asks"].to_numpy(), num, den)
+        return pd.DataFrame({"key": np.full(len(i), key[0], dtype=np.int64), "i": number[i], "j": number[j]})
+
+    nodes = placed.select("key", "node", "counts", "n", "asks").groupBy("key", "node").applyInPandas(corner, "key long, node long, corner binary, low long, high long, asks boolean")
+    pairs = save(nodes.groupBy("key").applyInPandas(meet, "key long, i long, j long"), "node-pairs", narrow=True)
+    at = lambda c: small(pairs.withColumn("node", F.col(c)), 32)
+    asking = placed.filter("asks").withColumn("side", F.lit(1)).join(at("i"), ["key", "node"])
+    found = placed.withColumn("side", F.lit(2)).join(at("j"), ["key", "node"])
+    return out.unionByName(sides(asking, F.col("i"), F.col("j"))).unionByName(sides(found, F.col("i"), F.col("j")))
+
+
 def _search_trees(members: DataFrame, num: int, den: int) -> DataFrame:
     """members: tree (key, i, j), side (1: a member that asks, 2: one that is found), sid, comp, n, counts, least. Gives pairs a, b.
 
@@ -462,18 +519,14 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"), mark(1).alias("one"), mark(2).alias("two")).filter("size > 2")
     chosen = save(sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size"), "chosen", narrow=True)
     if chosen.count():
-        # members outside the largest component ask, all are found; both are dealt out in chunks, and each chunk that asks meets each that is found
+        # members outside the largest component ask, all are found
         searched = save(rest.join(small(chosen, 24), "key"), "searched", narrow=True)
         # a set is in no more trees than it has keys
         least = searched.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
-        largest = searched.groupBy("key", "comp").agg(F.count("*").alias("own"), F.first("size").alias("size")).groupBy("key").agg(F.max(F.struct("own", "comp")).alias("c"), F.first("size").alias("size"))
-        largest = largest.select("key", F.col("c.comp").alias("c_comp"), F.ceil((F.col("size") - F.col("c.own")) / CHUNK).cast("int").alias("i_chunks"), F.ceil(F.col("size") / CHUNK).cast("int").alias("j_chunks"))
-        largest = save(largest, "tree-largest", narrow=True)
-        members = searched.join(small(largest, 48), "key").join(least.join(counted, "sid"), "sid")
-        chunk, each = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asking = members.filter("comp != c_comp").select("*", F.lit(1).alias("side"), chunk("i_chunks").alias("i"), each("j_chunks").alias("j"))
-        found = members.select("*", F.lit(2).alias("side"), each("i_chunks").alias("i"), chunk("j_chunks").alias("j"))
-        more = save(_search_trees(asking.unionByName(found), num, den), "tree-pairs", narrow=True)
+        largest = searched.groupBy("key", "comp").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "comp")).alias("c"))
+        largest = save(largest.select("key", F.col("c.comp").alias("c_comp")), "tree-largest", narrow=True)
+        members = searched.join(small(largest, 32), "key").join(least.join(counted, "sid"), "sid").withColumn("asks", F.col("comp") != F.col("c_comp"))
+        more = save(_search_trees(_in_nodes(members, num, den), num, den), "tree-pairs", narrow=True)
         if more.count():
             labels = merged(labels, _links(docs, more, ends, width, num, den))
         forget(searched, largest, more)

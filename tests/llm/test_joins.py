@@ -54,7 +54,7 @@ def brute_components(rows, width, num, den):
     return {i: (len(sets_[i]), find(i)) for i in sets_}
 
 
-@pytest.mark.parametrize("width,num,seed,chunk", [(3, 90, 1, 2000), (5, 80, 2, 2000), (2, 60, 3, 3), (1, 50, 4, 2)])
+@pytest.mark.parametrize("width,num,seed,chunk", [(3, 90, 1, 2000), (5, 80, 2, 2000), (2, 60, 3, 3), (1, 50, 4, 2), (1, 60, 5, 25)])
 def test_components_match_brute_force(spark, monkeypatch, width, num, seed, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rng = random.Random(seed)
@@ -135,6 +135,39 @@ def test_tree_finds_all_within_bound():
         assert linked <= found and len(found) < 40
 
 
+def apart(rng, n):
+    """Points of n random sets of very different sizes, few of which link."""
+    sets_ = [rng.integers(0, 1 << 63, int(np.exp(rng.uniform(2, 5)))).astype(np.uint64) * np.uint64(2) for _ in range(n)]
+    return np.stack([ngram_join.counts_of(s) for s in sets_]), np.array([len(s) for s in sets_])
+
+
+def test_nodes_prune():
+    """A search meets a small part of the tree, and an upper node few other ones; neither loses what the bound lets through."""
+    rng = np.random.default_rng(2)
+    points, sizes = apart(rng, 4000)
+    points[1], sizes[1] = points[0], sizes[0]
+    tree = ngram_join.CountTree(points, sizes)
+    for i in range(0, 400, 4):
+        found = set(tree.search(points[i], sizes[i], 80, 100).tolist())
+        flat = ngram_join.may_reach(points, points[i], sizes[i], sizes, 80, 100) & ngram_join.in_reach(sizes[i], sizes[i], sizes, sizes, 80, 100)
+        assert found == set(np.flatnonzero(flat).tolist())
+    assert tree.looked < 0.1 * 100 * len(points)
+    # a tree of 20,000 members that stay apart: rows that pairs of nodes send, against members
+    points, sizes = apart(rng, 20_000)
+    order = np.lexsort((points[:, 0], ngram_join.size_class(sizes)))
+    cut = np.arange(0, len(order), ngram_join.CHUNK)
+    corners, least, most = np.maximum.reduceat(points[order], cut, axis=0), np.minimum.reduceat(sizes[order], cut), np.maximum.reduceat(sizes[order], cut)
+    i, j = ngram_join.node_pairs(corners, least, most, np.ones(len(cut), dtype=bool), 80, 100)
+    assert {(k, k) for k in range(len(cut))} <= set(zip(i.tolist(), j.tolist()))
+    assert len(i) * ngram_join.CHUNK <= 4 * len(points)
+    near = set(zip(i.tolist(), j.tolist()))
+    node = np.empty(len(order), dtype=np.int64)
+    node[order] = np.arange(len(order)) // ngram_join.CHUNK
+    for a in range(0, 200):
+        flat = ngram_join.may_reach(points, points[a], sizes[a], sizes, 80, 100) & ngram_join.in_reach(sizes[a], sizes[a], sizes, sizes, 80, 100)
+        assert all((int(node[a]), int(node[b])) in near for b in np.flatnonzero(flat))
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
