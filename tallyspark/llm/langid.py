@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import aside, crc_mod, every, short_batches, unit_hash
 
 ORDER, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, CACHED = 5, 4_000_000, 2000, 3.0, 150_000
+MOST_LANGUAGES = 500
 #: The lengths at which rejection is calibrated, on the starts of texts; the quantiles of known and of unknown languages; the least texts of a language for limits of its own.
 LENGTHS, KNOWN, UNKNOWN, LEAST_TEXTS = (20, 50, 100, 200, 400, 1000, 4000), 0.995, 0.01, 100
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -302,17 +303,20 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(lang, w, n) for (lang, w), n in found.items()], columns=["lang", "word", "n"])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS) -> LanguageModels:
-    """Fit on a bounded sample of labelled: rows drawn by a hash, at one rate per language."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModels:
+    """Fit on a bounded sample of labelled: rows drawn by a hash, at one rate per language. train_chars: characters that the models are counted from; calibration_docs: further texts, of no
+    more characters than that, by which scores and rejection are calibrated; both in expectation. More than MOST_LANGUAGES labels are an error, as each has a model in every task."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     u = unit_hash(F.lit("langid"), F.col("id"))
     some = F.when(F.col("text").rlike(r"\S"), u)
-    found = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs"), F.min(some).alias("first")).collect()
+    found = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs"), F.min(some).alias("first")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     sizes = {r["lang"]: (r["chars"], r["docs"]) for r in found if r["first"] is not None}
     first = {r["lang"]: r["first"] for r in found}
     if not sizes:
         return LanguageModels([])
-    each, docs = train_chars / len(sizes), CALIBRATION_DOCS / len(sizes)
+    each, docs = train_chars / len(sizes), calibration_docs / len(sizes)
     per = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
     rate = lambda part: per({k: part(*v) for k, v in sizes.items()})
     count_rate = rate(lambda chars, n: min(0.8, each / chars))

@@ -7,13 +7,13 @@ source isn't full. A document is then emitted floor(rate) times, rate = target /
 a hash of seed and identifier, as a number in [0, 1), is under the rate's fraction.
 
 Cases. A null text has no words. Null sources are one source, last in order. A source without words has target 0 and
-its documents are not taken. Equal identifiers draw the same number, so repeated rows go together. Empty input gives
-an empty result. Other columns pass by.
+its documents are not taken. Rows whose identifier is null or repeated draw by identifier, text and the row's number in its table, so each draws for itself; reruns over the same files agree,
+and for other rows over any files. Very long texts are counted whole. Empty input gives an empty result. Other columns pass by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import WORDS, every, save, small, unit_hash
@@ -40,24 +40,41 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return t.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
-def copies(rate, id_col, seed: str = SEED):
+def own_draw(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """rows (__id, __content, __number and others) with __u, a number in [0, 1): by identifier, or where that is null or repeated by identifier, text and number."""
+    again = rows.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.count("*").alias("__n")).filter("__n > 1").select("__id", F.lit(True).alias("__again"))
+    rows = rows.join(small(save(again, "mix-again", narrow=True), 24), "__id", "left")
+    each = F.col("__id").isNull() | F.coalesce("__again", F.lit(False))
+    own = unit_hash(F.lit(seed), F.col("__id"), F.col("__content"), F.col("__number"))
+    return rows.withColumn("__u", F.when(each, own).otherwise(unit_hash(F.lit(seed), F.col("__id")))).drop("__again", "__content", "__number")
+
+
+def copies(rate: Column, u: Column) -> Column:
     """floor(rate), plus one with the probability of the rest."""
-    return (F.floor(rate) + F.when(unit_hash(F.lit(seed), id_col) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__content"), F.monotonically_increasing_id().alias("__number")]
+
+
+def _words(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, rate, copies."""
-    sizes = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sizes = save(docs.select(*_numbered(docs, id_col, text_col), F.col(source_col).alias("source"), _words(text_col).alias("size")), "mix-sizes")
     targets = save(source_targets(sizes, **shares), "mix-targets").withColumnRenamed("source", "of")
-    out = sizes.join(small(targets, 200), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    return out.withColumn("copies", copies(F.col("rate"), F.col("id")))
+    out = own_draw(sizes).join(small(targets, 200), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return out.withColumn("copies", copies(F.col("rate"), F.col("__u"))).withColumnRenamed("__id", "id").drop("__u")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its own columns."""
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(words).alias("size"))
+    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(_words(text_col)).alias("size"))
     targets = save(source_targets(sizes, **shares), "mix-targets").select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
-    out = docs.join(small(targets, 200), F.col(source_col).eqNullSafe(F.col("__of")))
-    times = copies(F.col("__rate"), F.col(id_col))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*every(docs))
+    rows = own_draw(docs.select(F.struct(*every(docs)).alias("row"), F.col(source_col).alias("__source"), *_numbered(docs, id_col, text_col)))
+    out = rows.join(small(targets, 200), F.col("__source").eqNullSafe(F.col("__of")))
+    times = copies(F.col("__rate"), F.col("__u"))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")

@@ -9,7 +9,7 @@ The fit reads at most `fit_docs` labelled texts of each class in expectation, dr
 that is its documented bound. Half of a class trains its dictionary, the other half fits the curve. Scoring reads every whole text.
 
 Cases. Null and empty texts have difference 0 and the score of it. Labels that are null, or other than 0 and 1, aren't learned from;
-a document with both labels counts as good. Rows repeated are scored each. Without labels of both classes every score is 0.5; classes too small
+a document with both labels counts as good. Rows repeated are scored each; of several texts of one identifier the least is learned from. Without labels of both classes every score is 0.5; classes too small
 to train a dictionary on give one of their texts side by side. Columns named difference, score or predicted pass by with `_in` after
 their names, other columns as they are; an empty input gives an empty result.
 """
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import aside, every, short_batches, unit_hash
+from tallyspark.llm.common import aside, every, short_batches, small, unit_hash
 
 #: Bytes of a dictionary and of a block, and the length of the segments that training picks.
 FIT_DOCS, DICTIONARY, BLOCK, SEGMENT, LEVEL, CUT = 2500, 200_000, 700, 256, 9, 0.7
@@ -114,7 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u = unit_hash(F.lit("quality"), F.col("id"))
     rate = F.when(F.col("y") == 1, min(1.0, fit_docs / counts[1])).otherwise(min(1.0, fit_docs / counts[0]))
     chosen = marks.filter(u < rate).withColumn("u", u)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("u", "id", "text", "y").collect()
+    # an identifier that several rows have gives one text, so what is collected is bounded by the draw
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(chosen, 40), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("u").alias("u"), F.first("y").alias("y"))
+    rows = texts.select("u", "id", "text", "y").collect()
     rows.sort(key=lambda r: (r["u"], str(r["id"]), r["text"] or ""))
     model = CompressionModel.fit([r["text"] for r in rows], [r["y"] for r in rows])
     if model.good:

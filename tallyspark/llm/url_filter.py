@@ -2,7 +2,7 @@
 
 The regression learns from a small labelled table of URLs (block or allow), given below or passed in. Its
 features are the counts, as logarithms, of character n-grams of host and of path, hashed to a fixed number of weights,
-host and path with seeds of their own, each part scaled to length one. Its offset isn't learned: it says that one address of `PRIOR`
+host and path with seeds of their own, each part scaled to length one. Dots, hyphens and digits bound the words of a host, so that short words are n-grams of their own. Its offset isn't learned: it says that one address of `PRIOR`
 is unwanted, so an address whose n-grams are all unknown is allowed.
 
 Cases. A null URL, or one without ://, has empty host and path; the method judges these as it does others. Equal URLs
@@ -12,6 +12,7 @@ pass by with `_in` after their names, other columns as they are; an empty input
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -23,9 +24,12 @@ from tallyspark.llm.common import aside, short_batches
 
 #: Host and path prefix, and the verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-WIDTH, SIZES, PENALTY, CUT, PRIOR = 1 << 16, (3, 4, 5), 0.0002, 0.5, 5
+WIDTH, SIZES, PENALTY, CUT, PRIOR = 1 << 17, (3, 4, 5, 6), 0.0002, 0.5, 5
+BOUNDS = re.compile(r"[.\-_0-9]+")
 #: Bytes whose n-grams are looked at together.
 BLOCK = 1 << 20
+#: Features whose products are added together in the fit.
+FEATURES = 2048
 
 #: The labelled table: hosts and paths of unwanted and of wanted pages.
 BLOCK_HOSTS = """casinoroyale777.com bestonlinecasino.bet luckyslots.win pokerstars-bonus.biz megajackpot.xyz free-spins-casino.top roulette-vip.club
@@ -49,48 +53,57 @@ citylibrary.org townhall.gov schooldistrict.us childrenshospital.org redcross.or
 bloglines.com wordsmith.org poetryfoundation.org classicalmusic.fm jazzhistory.org filmreview.net bookclub.com
 farmersmarket.com bakery-berlin.de boulangerie.fr hotel-alpenblick.at bikeshop.nl carpentry.info localnews.com harbourtown.co.nz
 mathforum.org physicsworld.com chemistryviews.org history.com archaeology.org genealogy.net maps.org travelguide.com museum-of-science.org
-example.com example.org example.net www.example.com www.example.org m.example.net blog.example.com news.example.org hub.example.org store.example.com world.example.net online.net
 localhost intranet.company mail.server.lan docs.project.dev wiki.team.io""".split()
 BLOCK_PATHS = """/casino/free-spins /slots/bonus-code /poker/play-now /bets/live-odds /win/jackpot /claim-prize.php?id=9 /free-bonus /buy-viagra.html
 /cheap-pills/order-now /pharmacy/no-prescription /loans/apply-now-fast /make-money-fast /crypto/double-your-money /xxx/video-123 /porn/hd /adult/cams/live /sex-chat
 /hot-singles-near-you /dating/hookup /torrent/full-crack /download/keygen.exe /warez/serial /ads/banner.gif /adclick?campaign=77 /track/pixel.gif /popunder.js
 /affiliate/redirect?offer=5 /seo/cheap-backlinks /replica-watches /login/verify-account /spam/unsubscribe /free-movies/watch-online""".split()
-ALLOW_PATHS = """/ /index.html /about /contact /news/2021/03/14/city-council-meets /articles/introduction-to-botany /en/ /de/ /fr/ /es/ /en/12 /de/kapitel-3.html /fr/page/9/ /es/noticias/77
+ALLOW_PATHS = """/ /index.html /about /contact /news/2021/03/14/city-council-meets /articles/introduction-to-botany /en/home /de/impressum.html /fr/accueil /es/noticias /chapter-3.html /page/9/
 /blog/2019/how-we-built-our-garden /docs/tutorial/getting-started.html /research/publications /science/astronomy/planets /history/middle-ages /sports/football/results /health/nutrition-guide
 /books/chapter-7 /recipes/lentil-soup /library/catalogue /events/calendar /courses/linear-algebra /archive/1998 /questions/4821/reading-a-file /weather/forecast /travel/norway /music/reviews
-/wiki/Main_Page /2020/05/17/a-walk-in-the-hills /products/bicycle-lamps /legal/privacy /faq /people/staff /posts/1234 /en/page/31 /item/5120""".split()
+/wiki/Main_Page /2020/05/17/a-walk-in-the-hills /products/bicycle-lamps /legal/privacy /faq /people/staff /posts/1234 /item/5120""".split()
 
 
-#: Words of unwanted and of wanted hosts, and what either kind is combined with.
-BLOCK_WORDS = """casino poker slots roulette blackjack jackpot betting bets bookmaker lottery bingo viagra cialis pills pharmacy meds steroids payday loans
-creditfix forex cryptoprofit bitcoin-doubler getrich giveaway prizes freebies porn xxx sex adult cams escort hookup dating nude milf fetish torrent torrentz warez
-crack keygen nulled serials pirated adserver adtrack popups clickbait banners tracker spam bulkmail seo-links backlinks linkfarm followers replica
-fake-watches knockoff phishing malware""".split()
+#: Words of unwanted and of wanted hosts, and what either kind is combined with. Among the wanted ones are words that begin or end as unwanted ones do.
+BLOCK_WORDS = """casino casinos poker holdem slots slot roulette blackjack baccarat craps keno jackpot betting bets bet wager sportsbook bookie bookmaker lottery lotto raffle bingo vegas spin spins freespins
+gamble gambling stake odds tipster punt viagra cialis levitra pills pill pharmacy meds rx steroids hgh opioids xanax tramadol payday loans loan creditfix cashadvance forex fx-signals cryptoprofit bitcoin-doubler
+doubler airdrop getrich richquick giveaway freegift prizes prize winner freebies porn porno xxx sex sexy adult nsfw cam cams camgirls webcams escort escorts hookup hookups dating milf nude nudes naked erotic erotica hentai
+fetish strip stripper swingers teens onlygirls hotgirls babes horny playmates torrent torrents torrentz warez crack cracked cracks keygen serialz nulled pirated pirate rip free-movies streamz adserver adtrack adclick ads popads popups
+clickbait banners banner tracker tracking spam spammer bulkmail massmail seo-links backlinks linkfarm linkfarms followers likes replica replicas fake-watches fakes knockoff counterfeit phishing phish malware trojan
+hack hacks cheats scam botnet login-verify account-verify secure-login wallet-verify miracle-diet dietpills fatburner slimfast""".split()
 ALLOW_WORDS = """news daily times journal library museum science history garden recipes cooking baking weather station travel hiking sailing cycling football
 chess music jazz opera theatre film photo art poetry books school college university academy teaching research physics chemistry biology maths astronomy health hospital
 clinic city council parliament embassy church charity nature birds forest river harbour mountain farm market bakery hotel bank insurance software
-linux coding data maps trains railway airport energy engineering architecture law economics sports video stories forum blog shop""".split()
-AROUND = ("{}.com", "www.{}.org", "{}-online.net", "best{}.com", "my{}24.info", "{}-hub.example.org", "the{}.co", "{}store.example.com", "m.{}world.example.net", "blog.{}.example.com")
+linux coding data maps trains railway airport energy engineering architecture law economics sports video stories forum blog shop
+camera campus camping cambridge essex sussex spinach spine alphabet better betty bethlehem adventure address admin advice loaned exercise express pillow spine-clinic lotus slotted
+craftsman trackfield bannerman winter window winery datacenter datatype updates candle seoul steward winners-school stakeholder oddfellows pilgrim pirouette crackers cracow hackney chart cheese
+escarpment adulthood-studies sexton middlesex porridge portal portrait nutrition studio stripes teacher tennis likelihood follow linkedlists linguistics cashmere cashew credit-union bonus-track rental lending-library
+wiki docs project people company team group center house home world online store media design labs tools cloud network service society institute foundation club guide review house-of-wool works press""".split()
+AROUND = ("{}.com", "www.{}.org", "{}-online.net", "best{}.com", "my{}24.info", "the-{}.co", "{}world.io", "{}.xyz", "m.{}.net", "{}hub.com", "{}-games.com", "get-{}.biz", "{}palace.net", "blue{}.org", "{}.co.uk", "{}s4u.top", "city{}.de", "{}live.tv", "{}.info", "old-{}.fr")
+#: Words that no kind has of its own, so that neighbours of a word say little.
+PLAIN = """therno ande whoth lerest inger thenal reath ounder ithan oresti eaux quelle ieron lachen undor gelich nichver schalt menten aromi delos quera pador sanen rillo tavone mersil ostave brelin""".split()
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
     """(host, path, 1 for block). An unwanted host is so with any path, an unwanted path on any host."""
     rows = [("", "", 0)]
-    for y, hosts, words in ((1, BLOCK_HOSTS, BLOCK_WORDS), (0, ALLOW_HOSTS, ALLOW_WORDS)):
-        made = [AROUND[(i + 3 * k) % len(AROUND)].format(w) for i, w in enumerate(words) for k in range(3)]
+    for y, hosts, words, each in ((1, BLOCK_HOSTS, BLOCK_WORDS, 4), (0, ALLOW_HOSTS, [*ALLOW_WORDS, *PLAIN], 4)):
+        made = [AROUND[(i + 5 * k) % len(AROUND)].format(w) for i, w in enumerate(words) for k in range(each)]
+        # a word side by side with a plain one, before it or behind
+        made += [f"{w}{PLAIN[i % len(PLAIN)]}.com" if i % 2 else f"{PLAIN[i % len(PLAIN)]}{w}.net" for i, w in enumerate(words)]
         for i, h in enumerate([*hosts, *made]):
-            rows += [(h, ALLOW_PATHS[(7 * i + 11 * k) % len(ALLOW_PATHS)], y) for k in range(2)]
+            rows.append((h, ALLOW_PATHS[(7 * i) % len(ALLOW_PATHS)], y))
     rows += [(h, p, 1) for i, p in enumerate(BLOCK_PATHS) for h in ("", ALLOW_HOSTS[i], ALLOW_HOSTS[-i])]
     return rows + [("", p, 0) for p in ALLOW_PATHS]
 
 
 def grams(hosts: Sequence[str], paths: Sequence[str], sizes: Sequence[int] = SIZES, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, features and values of many addresses. Hosts are bounded by dots, so a name's start and end are seen.
+    """Rows, features and values of many addresses. The words of a host are bounded by dots, so their starts and ends are seen.
 
     An n-gram's hash is a polynomial in its bytes; the features of hosts are even, those of paths odd.
     """
     out = []
-    for side, texts in ((0, [f".{h}." for h in hosts]), (1, list(paths))):
+    for side, texts in ((0, [f".{BOUNDS.sub('.', h)}." for h in hosts]), (1, list(paths))):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
         of = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
@@ -123,11 +136,17 @@ class UrlModel:
         rows = list(labelled_urls() if rows is None else rows)
         row, feature, value = grams([r[0] for r in rows], [r[1] for r in rows], width=width)
         used, feature = np.unique(feature, return_inverse=True)
-        x = np.zeros((len(rows), len(used)), dtype=np.float32)
-        x[row, feature] = value
+        products = np.zeros((len(rows), len(rows)))
+        by = np.argsort(feature, kind="stable")
+        row, feature, value = row[by], feature[by], value[by]
+        for low in range(0, len(used), FEATURES):  # some columns of the rows' matrix at a time
+            lo, hi = np.searchsorted(feature, (low, low + FEATURES))
+            x = np.zeros((len(rows), FEATURES), dtype=np.float32)
+            x[row[lo:hi], feature[lo:hi] - low] = value[lo:hi]
+            products += x @ x.T
         y = np.array([r[2] for r in rows], dtype=float)
         each = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-        self.width, self.offset, products = width, -float(np.log(PRIOR - 1)), (x @ x.T).astype(np.float64)
+        self.width, self.offset = width, -float(np.log(PRIOR - 1))
         share = np.zeros(len(rows))  # the weights are x' share
         for _ in range(steps):
             own = products @ share
@@ -135,7 +154,7 @@ class UrlModel:
             curve = np.maximum(p * (1 - p), 1e-6)
             share = np.linalg.solve(products + np.diag(penalty / (each * curve)), own + (y - p) / curve)
         self.weights = np.zeros(width, dtype=np.float32)
-        self.weights[used] = x.T @ share
+        self.weights[used] = np.bincount(feature, weights=value * share[row], minlength=len(used))
 
     def scores(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
         """How likely each address is one to block."""

@@ -145,3 +145,15 @@ def test_mix_takes_near_target_and_reruns_agree(spark):
     assert again == {r["id"]: r["copies"] for r in plan}
     out = M.mix(d)
     assert out.columns == d.columns and out.count() == sum(r["copies"] for r in plan)
+
+
+@pytest.mark.parametrize("ids", [[None], [7, None]])
+def test_mix_without_identifiers_comes_near_its_target(spark, ids):
+    """Null and repeated identifiers, equal texts: each row draws for itself."""
+    rows = [(ids[i % len(ids)], "w w w", "s" if i % 2 else "t") for i in range(2000)] + [(9, "long " * 60_000, "u")]
+    plan = M.mix_plan(docs(spark, rows)).collect()
+    for source in "st":
+        own = [r for r in plan if r["source"] == source]
+        assert len(own) == 1000 and abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) < 0.06 * max(own[0]["target"], 3000)
+    assert M.mix(docs(spark, rows)).count() == sum(r["copies"] for r in plan)
+    assert next(r["size"] for r in plan if r["source"] == "u") == 60_000

@@ -1,6 +1,7 @@
 """Language identification, quality and URL models: estimates, held-out accuracy, odd input."""
 
 import math
+import re
 import random
 import string
 
@@ -219,7 +220,7 @@ def test_url_rules(spark):
 def brute_score(m, host, path):
     """The regression by dictionaries."""
     total = m.offset
-    for side, text in ((0, f".{host}."), (1, path)):
+    for side, text in ((0, f".{re.sub('[.0-9_-]+', '.', host)}."), (1, path)):
         raw, found = text.encode(), {}
         for n in U.SIZES:
             for i in range(len(raw) - n + 1):
@@ -245,9 +246,14 @@ def test_url_scores_match_brute_force():
 def test_url_model_on_unseen_names():
     """Hosts and paths outside the table: at most a tenth of the ordinary ones blocked, most of the others caught."""
     m = U.UrlModel()
-    ordinary = """wikimedia.org gitlab.com cnn.com cam.ac.uk kde.org numpy.org w3.org amazon.com ikea.com lufthansa.com bahn.de sncf.fr toronto.ca imdb.com goodreads.com zoo-berlin.de
-        oldbooks.com sailing.org opera.it nhs.uk news.example.com www.library.example.com harbour.example.net tionsh.example.org""".split()
-    unwanted = "mega-casino.com spam-hub.com cheap-meds-store.com pills-online.org online-poker.example.com payday-cash.com replica-bags.com free-porn.tv torrentz.eu adtracker.net viagra-shop.example.com loans-now.org".split()
+    ordinary = """wikimedia.org gitlab.com cnn.com cam.ac.uk kde.org numpy.org w3.org amazon.com ikea.com lufthansa.com bahn.de sncf.fr toronto.ca imdb.com goodreads.com zoo-berlin.de oldbooks.com sailing.org opera.it nhs.uk
+        brooklynlibrary.org mountainbikers.net sunriseyoga.com datasciencejournal.io campinggear.com middlesexschool.edu spinningwheel-crafts.com stakeholders.org betterhomes.com williamsburg.gov orchestra.at gardening-tips.com
+        wineregions.fr openstreetmap.org lonelyplanet.com cambridgepress.co.uk tracksidecafe.com pilates-studio.de advicebureau.org softwarecarpentry.org lakeside-hotel.ch bookshop.nl kindergarten-muenchen.de linguistlist.org
+        cookieswithlove.com teenlibrary.org lightbulbs.com ornithology.net localbakery.com""".split()
+    unwanted = """mega-casino.com spam-hub.com cheap-meds-store.com pills-online.org payday-cash.com replica-bags.com free-porn.tv torrentz.eu adtracker.net loans-now.org spinpalace-games.com stake-wager.com onlyteens.xxx camgirls.tv
+        luckynugget-slots.com megabet77.net wildpoker.club pharma-rx-direct.com cheapmeds4less.org instantloan-cash.com adultfriendz.net nudegirls.cam freehentai.tv watchporn.to torrentfreak-downloads.biz crackedgames.io serialkeygen.net
+        replicabags.shop buyfollowers.co clickads-network.com trackingpixel.net paypal-login-verify.com lotteryprize-winner.info sexyescorts.de bitcoindoubler.top fatburner-pills.com bingohall.bet vegasjackpots.com hacktool-malware.xyz
+        erotic-stories.net""".split()
     assert not {*ordinary, *unwanted} & {h for h, _, _ in U.labelled_urls()}
     for path in ("/", "/en/5", "/news/today"):
         assert sum(m.score(h, path) >= U.CUT for h in ordinary) <= len(ordinary) / 10
