@@ -153,3 +153,57 @@ def display_prefix(spark, d):
 
     texts, aliases = _vocabulary(spark, d)
     return V.longest(texts, aliases, "product_id", "tokens", prefix=True).select("product_id", F.col("target").alias("display"))
+
+
+# --- food descriptions ----------------------------------------------------------------------------------------------------
+
+#: Descriptions by p_partkey % 12, their segments, core food, signature and penalties or gains besides the type's and the macros' points.
+FOODS = (
+    ("Rice, {w} (a, b), white, long-grain, cooked", "rice|{w} (a, b)|white|long-grain|cooked", "white rice", "state:cooked|grain_form:kernel|grain_state:cooked", 8),
+    ("Apples,  raw, Gala, with  skin", "apples|raw|gala|with skin", "apple gala", "state:raw|skin:with_skin|species:gala", 18),
+    ("Apple juice, canned, without sugar", "apple juice|canned|without sugar", "apple juice", "form:juice|preserve:canned|sweet:unsweetened", 8),
+    ("Apples, juice ({w}), sweetened", "apples|juice ({w})|sweetened", "apple juice", "form:juice|sweet:sweetened", 0),
+    ("Flour, rice, glutinous, fine", "flour|rice|glutinous|fine", "glutinous rice flour", "form:flour|grain_form:flour", 8),
+    ("Milk, whole, {s}% {w}, NS as to type", "milk|whole|{s}% {w}|ns as to type", "milk whole_3_25", "milk_fat:whole_3_25|fat:whole_3_25", -7),
+    ("Chicken, breast, boneless, skinless, pan-fried, breaded, with salt", "chicken|breast|boneless|skinless|pan-fried|breaded|with salt", "chicken breast", "cook:pan_fried|skin:without_skin|bone:boneless|breaded:breaded|salt:salted|cut:breast", -20),
+    ("Beans, {w}, snap, canned, drained solids", "beans|{w}|snap|canned|drained solids", "beans {w} snap", "preserve:canned|drained:drained", 8),
+    ("Mushrooms, shiitake, dried", "mushrooms|shiitake|dried", "mushroom shiitake", "state:dried|preserve:dried|species:shiitake", 8),
+    ("{w}, (open, never, closed, raw", "{w}|(open, never, closed, raw", "{w}", "state:raw", 18),
+    ("{w} closed), frozen, prepared", "{w} closed)|frozen|prepared", "{w} closed)", "preserve:frozen", -7),
+    (", ,", "", "unknown", "generic", 8),
+)
+
+
+def _made(template: str) -> str:
+    return "'" + template.replace("'", "''").replace("{w}", "' || p_name || '").replace("{s}", "' || p_size || '") + "'"
+
+
+def _foods(k: int) -> str:
+    return "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN {_made(f[k]) if k < 4 else f[k]}" for i, f in enumerate(FOODS)) + " END"
+
+
+FOOD = f"foods AS (SELECT p_partkey AS product_id, {_foods(1)} AS segments, {_foods(2)} AS core_food, {_foods(3)} AS signature, CASE WHEN p_partkey % 2 = 0 THEN 50 ELSE 35 END + CASE WHEN p_partkey % 5 > 0 THEN 20 ELSE 0 END + {_foods(4)} AS score FROM part)"
+
+
+@query("food_descriptions", f"""WITH {FOOD} SELECT product_id, segments, core_food, signature, regexp_replace(replace(core_food, '%', ' percent '), '[^a-z0-9]+', '_', 'g').trim('_') || '__' || trim(regexp_replace(signature, '[^a-z0-9]+', '_', 'g'), '_') AS candidate_key,
+  score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN score >= 75 THEN 'candidate' ELSE 'needs_review' END AS review_status FROM foods""")
+def food_descriptions(spark, d):
+    """Descriptions parsed to segments, core food, hard boundaries, key and score."""
+    from tallyspark.functions import descriptions as G
+
+    k, text = F.col("p_partkey"), F.lit("")
+    for i, (template, *_) in enumerate(FOODS):
+        parts = template.replace("{w}", "\0w\0").replace("{s}", "\0s\0").split("\0")
+        text = F.when(k % len(FOODS) == i, F.concat(*[F.col("p_name") if p == "w" else F.col("p_size").cast("string") if p == "s" else F.lit(p) for p in parts])).otherwise(text)
+    rows = read(spark, d, "part").select(k.alias("product_id"), text.alias("text"), F.when(k % 2 == 0, "foundation_food").otherwise("sr_legacy_food").alias("data_type"), (k % 5 > 0).alias("has_macros"))
+    food = F.col("food")
+    rows = G.with_description(rows, "text").withColumn("m", G.candidate_score(food, F.col("data_type"), F.col("has_macros")))
+    return rows.select("product_id", F.array_join(food["segments"], "|").alias("segments"), food["core_food"].alias("core_food"), food["signature"].alias("signature"), food["candidate_key"].alias("candidate_key"), "m.*")
+
+
+@query("food_clusters", f"""WITH {FOOD}, keyed AS (SELECT *, core_food || '#' || signature AS k FROM foods) SELECT any_value(core_food) AS core_food, any_value(signature) AS signature, count(*) AS members, arg_min(product_id, (-score, product_id)) AS representative, max(score) AS score FROM keyed GROUP BY k""")
+def food_clusters(spark, d):
+    """Foods of one key are a cluster; the best score, then the least identifier stands for it."""
+    rows = food_descriptions(spark, d)
+    g = rows.groupBy("candidate_key", "core_food", "signature").agg(F.count("*").alias("members"), F.max(F.struct("score", -F.col("product_id"))).alias("r"))
+    return g.select("core_food", "signature", "members", (-F.col("r.col2")).alias("representative"), F.col("r.score").alias("score"))
