@@ -1,9 +1,7 @@
-"""Matching queries to products: candidates by shared tokens, soft filters, scores, ambiguity, search, fuzzy and theta joins, clustering."""
+"""Matching queries to products: candidates by shared tokens, soft filters, scores, ambiguity, search, fuzzy and theta joins."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,33 +166,6 @@ def hash_embedding(x: Column, dims: int = 8) -> Column:
     return F.array(*[at(i).cast("double") for i in range(dims)])
 
 
-def greedy_clusters(items: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """Greedy clusters within each locality: items by frequency join the most similar cluster of at least the threshold, else found one.
-
-    Each choice depends on those before it, so a locality is one sequential group (applyInPandas); aggregates of demand, not
-    events, come in, which bounds a locality's rows by its distinct queries.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frequency", "normalized_query"], ascending=[False, True], kind="stable")
-        heads: list[np.ndarray] = []
-        names: list[str] = []
-        out = []
-        for q, v in zip(group["normalized_query"], group["vector"]):
-            v = np.asarray(v, dtype=float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            scores = np.array([h @ v for h in heads])
-            best = int(scores.argmax()) if len(scores) else -1
-            if best < 0 or scores[best] < threshold:
-                heads.append(v)
-                names.append(q)
-                best = len(heads) - 1
-            out.append((group["locality_code"].iloc[0], q, names[best]))
-        return pd.DataFrame(out, columns=["locality_code", "normalized_query", "representative"])
-
-    return items.groupBy("locality_code").applyInPandas(run, "locality_code string, normalized_query string, representative string")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir; one is set here only where the session has none."""
     context = df.sparkSession.sparkContext

@@ -253,6 +253,21 @@ def semantic_rerank(spark, d):
     return M.rerank(_scored(spark, d)[1], boost)
 
 
+@query("rerank_budget", f"""WITH {PARSED}, b AS (SELECT query_id, max(score) FILTER (rank = 1) AS top, max(score) FILTER (rank = 2) AS second FROM ranked GROUP BY 1),
+  waiting AS (SELECT query_id, row_number() OVER (ORDER BY q_tokens[1], query_id) <= 8 AS used_call FROM queries LEFT JOIN b USING (query_id) WHERE top IS NULL OR CASE WHEN second IS NULL THEN top < 0.3 ELSE top < 0.55 END OR (second IS NOT NULL AND top - second <= 0.15)),
+  r AS (SELECT query_id, used_call, product_id, CASE WHEN used_call THEN {R("score + 0.18::DOUBLE * shared::DOUBLE / greatest(len(list_distinct(q_tokens)), 1)", 4)} ELSE score END AS score FROM waiting JOIN ranked USING (query_id) JOIN queries USING (query_id) WHERE rank <= 5),
+  s AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM r WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, product_id))
+  SELECT w.query_id, w.used_call, CASE WHEN NOT w.used_call THEN 'budget_exhausted' WHEN coalesce(score - next, 1.0) > 0.12 AND score >= 0.58 THEN 'resolved' ELSE 'ambiguous' END AS status, product_id, score FROM waiting w LEFT JOIN (SELECT * FROM s WHERE k = 1) s USING (query_id)""")
+def rerank_budget(spark, d):
+    """Eight calls for the ambiguous queries, in the order of their first words: the rest stay as they were matched."""
+    from tallyspark.operators import ranking as G
+
+    queries, scored = _scored(spark, d)
+    waiting = M.ambiguity(queries, scored).filter("status != 'matched'").select("query_id").join(queries.select("query_id", "q_tokens"), "query_id")
+    cover = F.lit(0.18) * F.col("shared") / F.greatest(F.size(F.array_distinct("q_tokens")), F.lit(1))
+    return G.rerank_within(scored, waiting.select("query_id", F.get("q_tokens", F.lit(0)).alias("first")), cover, 8, ["first", "query_id"])
+
+
 @query("soft_candidate_filter", f"""WITH {PARSED}, f1 AS (SELECT *, bool_or(brand = 'brand2') OVER (PARTITION BY query_id) AS a FROM scored), g1 AS (SELECT * FROM f1 WHERE brand = 'brand2' OR NOT a),
   f2 AS (SELECT *, bool_or(shared >= 4) OVER (PARTITION BY query_id) AS b FROM g1) SELECT query_id, product_id FROM f2 WHERE shared >= 4 OR NOT b""")
 def soft_candidate_filter(spark, d):
@@ -362,12 +377,29 @@ def hash_embedding(spark, d):
 
 @query("demand_clusters")
 def demand_clusters(spark, d):
-    """Greedy and sequential, so stated by a plain loop in the tests instead of SQL."""
+    """Greedy: each item joins the most similar head before it. Stated by a plain loop in the tests instead of SQL; run in parallel."""
+    from tallyspark.operators.clusters import greedy
     from tallyspark.operators.demand import demand_aggregates
     from tallyspark.plans.adapter import signals
 
     items = demand_aggregates(signals(spark, d)).select("locality_code", "normalized_query", "frequency", M.hash_embedding(F.col("normalized_query")).alias("vector"))
-    return M.greedy_clusters(items, 0.3)
+    found = greedy(items, 0.3, "locality_code", "normalized_query", "frequency", "vector")
+    return found.select(F.col("grp").alias("locality_code"), F.col("name").alias("normalized_query"), F.col("head").alias("representative"))
+
+
+@query("trigram_search", """WITH q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[2:3], ' ')) AS phrase FROM benchmark UNION ALL SELECT 900000001, 'e,' UNION ALL SELECT 900000002, 'nowhere at all')
+  SELECT query_id, doc_id FROM q JOIN documents ON contains(lower(text), phrase) OR contains(lower(source), phrase)""")
+def trigram_search(spark, d):
+    """Two words of each benchmark text, and a phrase too short for trigrams, in the texts and sources of all documents, by an index written once."""
+    from tallyspark.sources.tables import work_dir
+    from tallyspark.sources.trigrams import TrigramIndex
+
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    index = TrigramIndex(spark, work_dir(spark), "doc_id", ["text", "source"])
+    index.build(docs)
+    two = F.array_join(F.slice(F.split("text", " "), 2, 2), " ")
+    more = spark.createDataFrame([(900000001, "E,"), (900000002, "nowhere at all")], "query_id long, phrase string")
+    return index.search(docs, read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), two.alias("phrase")).unionByName(more))
 
 
 @query("merge_components", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size AS b FROM part WHERE p_size % 7 = 0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
