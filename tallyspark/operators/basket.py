@@ -71,6 +71,27 @@ def combinations(chains: DataFrame, size: int) -> DataFrame:
     return out.select("basket_id", F.array(*[f"c{i + 1}" for i in range(size)]).alias("chains"))
 
 
+def combination_ends(chains: DataFrame) -> DataFrame:
+    """How many pairs and triples each basket's chains have, with the least and the greatest of their names side by side (c1|c2|c3, in order): from the sorted array of chains, without making them.
+
+    A name may be the start of another, so the least is looked for over the first names, not taken to be the first ones.
+    """
+    c = F.array_sort(F.collect_set("chain_id"))
+    rows = chains.groupBy("basket_id").agg(c.alias("c")).withColumn("n", F.size("c"))
+    at, n, none = lambda i: F.element_at("c", i), F.col("n"), F.array().cast("array<string>")
+    last = at(n)
+    upto = lambda lo, hi, f: F.when(hi >= lo, F.transform(F.sequence(lo, hi), f)).otherwise(none)
+    bar = lambda *xs: F.concat_ws("|", *xs)
+    pairs = upto(F.lit(1), n - 1, lambda i: bar(at(i), at(i + 1)))
+    pair_ends = upto(F.lit(1), n - 1, lambda i: bar(at(i), last))
+    # behind a first name, the least pair of those after it; the greatest ends with the last name
+    nested = lambda f: F.flatten(F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: f(i, j)))).otherwise(F.array(none)))
+    triples, triple_ends = nested(lambda i, j: bar(at(i), at(j), at(j + 1))), nested(lambda i, j: bar(at(i), at(j), last))
+    two = F.struct(F.lit(2).alias("store_count"), (n * (n - 1) / 2).cast("long").alias("combinations"), F.array_min(pairs).alias("first_combo"), F.array_max(pair_ends).alias("last_combo"))
+    three = F.struct(F.lit(3).alias("store_count"), (n * (n - 1) * (n - 2) / 6).cast("long").alias("combinations"), F.array_min(triples).alias("first_combo"), F.array_max(triple_ends).alias("last_combo"))
+    return rows.select("basket_id", F.explode(F.array(two, three)).alias("k")).select("basket_id", "k.*").filter("combinations > 0")
+
+
 def multi_options(items: DataFrame, prices: DataFrame, combos: DataFrame) -> DataFrame:
     """Each combination: every item from its cheapest chain there."""
     slots = combos.withColumn("combo", F.array_join("chains", "|")).select("basket_id", "combo", F.size("chains").alias("store_count"), F.explode("chains").alias("chain_id"))
@@ -83,6 +104,8 @@ def multi_options(items: DataFrame, prices: DataFrame, combos: DataFrame) -> Dat
 @functools.lru_cache(maxsize=256)
 def _subsets(chains: int, size: int, first: int) -> np.ndarray:
     """The subsets of chains whose least member is first, as rows of places."""
+    if size == 1:
+        return np.array([[first]], dtype=np.intp)
     rest = np.array(list(subsets(range(first + 1, chains), size - 1)), dtype=np.intp).reshape(-1, size - 1)
     return np.column_stack([np.full(len(rest), first), rest])
 
@@ -92,39 +115,49 @@ def _small_subsets(chains: int, size: int) -> np.ndarray:
     return np.concatenate([_subsets(chains, size, first) for first in range(chains)])
 
 
-def _blocks(chains: int, items: int) -> Iterator[np.ndarray]:
-    """All pairs and triples of chains, in blocks of bounded size."""
+def _blocks(chains: int, items: int, sizes: tuple[int, ...] = (2, 3)) -> Iterator[np.ndarray]:
+    """All subsets of chains of these sizes, in blocks of bounded size."""
     step = max(1, 1_000_000 // items)
-    for size in (2, 3):
+    for size in sizes:
         for part in [_small_subsets(chains, size)] if chains <= 40 else (_subsets(chains, size, first) for first in range(chains)):
             yield from (part[at : at + step] for at in range(0, len(part), step))
 
 
-def _best_combination(price: np.ndarray, quantity: np.ndarray, names: list[str], item_count: int) -> tuple[str, int, float, float, float] | None:
-    """The best pair or triple of the chains (rows of price, in the order of names; inf where a chain doesn't sell an item)."""
-    best = None
-    for block in _blocks(len(names), price.shape[1]):
-        least = price[block[:, 0]]
+#: What an item that no chain of a combination sells counts as, in cents, above all totals: sums of it and of lines are exact, and tell both apart.
+UNSOLD = float(1 << 40)
+
+
+def _best_combination(lines: np.ndarray, names: list[str], item_count: int, sizes: tuple[int, ...] = (2, 3)) -> tuple[str, int, float, float, float] | None:
+    """The best pair or triple of the chains (rows of cents by item, in the order of names; UNSOLD where a chain doesn't sell an item).
+
+    No combination is below the sum of the items' least lines, so once a pair has that, triples, which lose ties to pairs, aren't looked at.
+    """
+    least_sum, best = lines.min(axis=0).sum(), None
+    for block in _blocks(len(names), lines.shape[1], sizes):
+        if best is not None and best[3] < block.shape[1] and best[5] == least_sum:
+            break
+        least = lines[block[:, 0]]
         for k in range(1, block.shape[1]):
-            least = np.minimum(least, price[block[:, k]])
-        sold = np.isfinite(least)
-        line = np.floor((np.where(sold, least, 0.0) * quantity + EPSILON) * 100.0 + 0.5)
-        total = np.where(sold, line, 0.0).sum(axis=1)
-        priced = sold.sum(axis=1)
+            least = np.minimum(least, lines[block[:, k]])
+        sums = least.sum(axis=1)
+        unsold = np.floor(sums / UNSOLD)
+        total = sums - unsold * UNSOLD
+        priced = lines.shape[1] - unsold
         score = total + (item_count - priced) * (MISSING * 100)
         at = np.flatnonzero(score == score.min())
         at = at[priced[at] == priced[at].max()]
         at = at[total[at] == total[at].min()]
         for i in at:
             cover = np.floor((priced[i] / item_count + EPSILON) * 1e4 + 0.5) / 1e4
-            found = (score[i], -cover, total[i], block.shape[1], "|".join(names[c] for c in block[i]))
+            found = (score[i], -cover, total[i], block.shape[1], "|".join(names[c] for c in block[i]), sums[i])
             best = found if best is None else min(best, found)
     return None if best is None else (best[4], best[3], float(best[0] / 100), float(best[2] / 100), float(-best[1]))
 
 
 def best_options(items: DataFrame, prices: DataFrame) -> DataFrame:
     """The best of all pairs and triples of a basket's selling chains, by the order of best_multi: what the least of multi_options over all
-    combinations would be. Each basket's prices meet in one row, a matrix of its items and chains, so that its combinations need no shuffle.
+    combinations would be; beside it `single`, the best chain alone, as best_single has it. Each basket's prices meet in one row, a matrix of its items and chains, so that its
+    combinations need no shuffle.
     """
     offers = prices.filter("price IS NOT NULL").groupBy("canonical_product_id").agg(F.collect_list(F.struct("chain_id", F.col("price").cast("double").alias("price"))).alias("offers"))
     lines = items.groupBy("basket_id", "canonical_product_id").agg(F.first("quantity").cast("double").alias("quantity"), F.count("*").alias("n")).join(offers, "canonical_product_id", "left")
@@ -132,6 +165,7 @@ def best_options(items: DataFrame, prices: DataFrame) -> DataFrame:
     baskets = lines.groupBy("basket_id").agg(F.sum("n").alias("item_count"), F.collect_list(sold).alias("lines")).filter(F.size("lines") > 0)
     schema = StructType().add("basket_id", items.schema["basket_id"].dataType).add("combo", StringType()).add("store_count", IntegerType())
     schema = schema.add("score_total", DoubleType()).add("actual_total", DoubleType()).add("coverage_ratio", DoubleType())
+    schema = schema.add("single_chain", StringType()).add("single_score", DoubleType()).add("single_total", DoubleType()).add("single_coverage", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,31 +183,33 @@ def best_options(items: DataFrame, prices: DataFrame) -> DataFrame:
             rank[order] = np.arange(len(words))
             chain = rank[coded.indices.to_numpy(zero_copy_only=False)]
             item = np.repeat(np.arange(len(lengths)), lengths)
-            kept, out = [], []
+            kept, out = [], []  # baskets with an item that some chain sells
             for i in range(len(counts)):
                 a, b = line_from[i], line_from[i + 1]
                 part = slice(offer_from[a], offer_from[b])
                 own, place = np.unique(chain[part], return_inverse=True)
-                matrix = np.full((len(own), b - a), np.inf)
-                matrix[place, item[part] - a] = price[part]
-                found = _best_combination(matrix, quantity[a:b], [words[order[c]] for c in own], int(counts[i]))
-                if found:
-                    kept.append(i)
-                    out.append(found)
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(kept, pa.int64())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=schema.names
-            )
+                lines = np.full((len(own), b - a), UNSOLD)
+                lines[place, item[part] - a] = np.floor((price[part] * quantity[a:b][item[part] - a] + EPSILON) * 100.0 + 0.5)
+                names = [words[order[c]] for c in own]
+                found = _best_combination(lines, names, int(counts[i])) or (None,) * 5
+                chain_alone, _, *alone = _best_combination(lines, names, int(counts[i]), (1,))
+                kept.append(i)
+                out.append((*found, chain_alone, *alone))
+            cols = list(zip(*out)) or [[]] * 9
+            kinds = [pa.string(), pa.int32(), *[pa.float64()] * 3, pa.string(), *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.names)
 
     return baskets.select("basket_id", "item_count", "lines").mapInArrow(run, schema)
 
 
-def best_multi(options: DataFrame, single: DataFrame) -> DataFrame:
-    """The best combination of each basket, what it saves against the best single chain, and whether to recommend it."""
-    order = F.struct("score_total", (-F.col("coverage_ratio")).alias("c"), "actual_total", "store_count", "combo", "coverage_ratio")
-    best = options.groupBy("basket_id").agg(F.min(order).alias("m")).select("basket_id", "m.combo", "m.store_count", "m.score_total", "m.actual_total", "m.coverage_ratio")
-    s = single.select("basket_id", F.col("score_total").alias("single_score"), F.col("actual_total").alias("single_total"), F.col("coverage_ratio").alias("single_coverage"))
-    out = best.join(s, "basket_id").withColumn("savings", rounded(F.col("single_total") - F.col("actual_total")))
+def best_multi(options: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """The best combination of each basket, what it saves against the best single chain, and whether to recommend it. options: of best_options, or of multi_options with the best chains in `single`."""
+    out = options
+    if single is not None:
+        order = F.struct("score_total", (-F.col("coverage_ratio")).alias("c"), "actual_total", "store_count", "combo", "coverage_ratio")
+        best = options.groupBy("basket_id").agg(F.min(order).alias("m")).select("basket_id", "m.combo", "m.store_count", "m.score_total", "m.actual_total", "m.coverage_ratio")
+        out = best.join(single.select("basket_id", F.col("score_total").alias("single_score"), F.col("actual_total").alias("single_total"), F.col("coverage_ratio").alias("single_coverage")), "basket_id")
+    out = out.filter("combo is not null").withColumn("savings", rounded(F.col("single_total") - F.col("actual_total")))
     good = (F.col("coverage_ratio") >= F.col("single_coverage")) & (F.col("savings") >= LEAST_SAVING) & (F.col("score_total") <= F.col("single_score"))
     return out.select("basket_id", "combo", "store_count", "score_total", "actual_total", "coverage_ratio", "savings", good.alias("recommended"))
 

@@ -78,15 +78,14 @@ def store_coverage_ranking(spark, d):
 @query("store_combinations", f"WITH {MULTI} SELECT basket_id, len(chains)::INTEGER AS store_count, count(*) AS combinations, min(array_to_string(chains, '|')) AS first_combo, max(array_to_string(chains, '|')) AS last_combo FROM combos GROUP BY ALL")
 def store_combinations(spark, d):
     """How many pairs and triples of selling chains each basket has, with the first and the last of them."""
-    chains = B.selling_chains(B.chain_options(*parts(spark, d)))
-    combos = B.combinations(chains, 2).unionByName(B.combinations(chains, 3)).select("basket_id", F.size("chains").alias("store_count"), F.array_join("chains", "|").alias("combo"))
-    return combos.groupBy("basket_id", "store_count").agg(F.count("*").alias("combinations"), F.min("combo").alias("first_combo"), F.max("combo").alias("last_combo"))
+    items, prices = parts(spark, d)
+    return B.combination_ends(items.join(prices, "canonical_product_id").select("basket_id", "chain_id"))
 
 
 @query("basket_multi_store", f"WITH {MULTI} SELECT * FROM multi")
 def basket_multi_store(spark, d):
     items, prices = parts(spark, d)
-    return B.best_multi(B.best_options(items, prices), B.best_single(B.chain_options(items, prices)))
+    return B.best_multi(B.best_options(items, prices))
 
 
 @query("basket_convenience", f"""WITH {MULTI}, p AS (SELECT basket_id, combo, score_total, {R("greatest(store_count - 1, 0) * 1.5::DOUBLE + CASE WHEN store_count > 1 THEN 1.5::DOUBLE ELSE 0 END + greatest(store_count - 2, 0) * 1.5::DOUBLE + len(list_filter(string_split(combo, '|'), lambda c: c NOT IN ('NATION_1', 'NATION_2', 'NATION_3'))) * 0.75::DOUBLE + len(list_filter(string_split(combo, '|'), lambda c: c IN ('NATION_9'))) * 999.0::DOUBLE")} AS penalty_total FROM multi)

@@ -184,6 +184,7 @@ def test_split_over_all_selling_chains(spark):
         best = min(want)
         assert (got[b]["combo"], cents(got[b]["score_total"]), cents(got[b]["actual_total"])) == (best[4], best[0], best[2])
         assert got[b]["coverage_ratio"] == round(-best[1] / len(mine), 4)
+    assert {b: tuple(r) for b, r in got.items()} == {r["basket_id"]: tuple(r) for r in basket.best_multi(basket.best_options(items, table)).collect()}
 
 
 def test_all_combinations_are_listed(spark):
@@ -194,6 +195,27 @@ def test_all_combinations_are_listed(spark):
     assert (basket.combinations(chains, 2).count(), basket.combinations(chains, 3).count()) == (21, 35)
 
 
+def test_ends_of_combinations_without_making_them(spark):
+    """Names of which one is the start of another, and of signs on both sides of the bar."""
+    import random
+    from itertools import combinations
+
+    from tallyspark.operators import basket
+
+    rng = random.Random(8)
+    names = ["N", "N_1", "N_10", "N_2", "N~", "N}", "M", "a", "~"]
+    held = {b: set(rng.sample(names, b % 8)) for b in range(1, 30)}
+    rows = spark.createDataFrame([(b, c) for b, cs in held.items() for c in cs] + [(1, c) for c in held[1]], "basket_id int, chain_id string")
+    got = {(r["basket_id"], r["store_count"]): (r["combinations"], r["first_combo"], r["last_combo"]) for r in basket.combination_ends(rows).collect()}
+    want = {}
+    for b, cs in held.items():
+        for size in (2, 3):
+            combos = ["|".join(c) for c in combinations(sorted(cs), size)]
+            if combos:
+                want[b, size] = (len(combos), min(combos), max(combos))
+    assert got == want
+
+
 def test_blocks_hold_every_subset_once():
     from tallyspark.operators.basket import _blocks
 
