@@ -164,10 +164,21 @@ def name_drift(before: Column, after: Column) -> Column:
     return F.when(before.isNull() | (before == after), "none").when(a == b, "minor").when(overlap(tokens(a), tokens(b)) >= 0.8, "minor").otherwise("major")
 
 
+#: When names differ much: more characters apart, or less of their tokens shared, or more tokens that one side lacks. Fixed values.
+LENGTH_DELTA, LEAST_OVERLAP, MOST_APART = 8, 0.6, 1
+
+
+def audit_name(x: Column) -> Column:
+    """Lower case; letters, digits and % stay, all else is a blank."""
+    return collapse(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}%]+", " "))
+
+
 def differ_much(a: Column, b: Column) -> Column:
-    """Names that share under 0.6 of their tokens and have two or more that the other lacks."""
-    x, y = tokens(normalise_name(a)), tokens(normalise_name(b))
-    return (overlap(x, y) < 0.6) & (not_shared(x, y) >= 2)
+    """Whether two names are too far apart for one product: by their lengths, their shared tokens, or the tokens that one of them lacks. An empty or null name differs from none."""
+    left, right = audit_name(a), audit_name(b)
+    x, y = F.split(left, " "), F.split(right, " ")
+    far = (F.abs(F.length(left) - F.length(right)) > LENGTH_DELTA) | (overlap(x, y) < LEAST_OVERLAP) | (not_shared(F.array_distinct(x), F.array_distinct(y)) > MOST_APART)
+    return (left != "") & (right != "") & (left != right) & far
 
 
 def slug(x: Column) -> Column:
