@@ -180,17 +180,24 @@ def size_marker(x: Column) -> Column:
     """struct of quantity, unit, total_quantity, pack_count and display of a package ("2 pcs x 500 g / total 1000 g") or a single size ("500 g"), else null; x: variant text."""
     single = rf"{B}{NUMBER}\s*({UNIT}){E}"
     packs = (rf"{B}(\d{{1,3}})\s*(?:{any_of(PIECES)})\.?\s*[xх]\s*{NUMBER}\s*({UNIT}){E}", rf"{B}(\d{{1,3}})\s*[xх]\s*{NUMBER}\s*({UNIT}){E}")
-
-    def made(pattern: str, count: Column, at: int) -> Column:
-        quantity, unit = in_base(F.regexp_extract(x, pattern, at), F.regexp_extract(x, pattern, at + 1))
-        one = F.concat(plain_number(quantity), F.lit(" "), unit)
-        total = thousandths(quantity * F.coalesce(count, F.lit(1)))
-        display = F.when(count.isNull(), one).otherwise(F.concat(count.cast("string"), F.lit(" pcs x "), one, F.lit(" / total "), plain_number(total), F.lit(" "), unit))
-        shape = F.struct(quantity.alias("quantity"), unit.alias("unit"), total.alias("total_quantity"), count.alias("pack_count"), display.alias("display"))
-        return F.when(F.rlike(x, F.lit(pattern)) & quantity.isNotNull() & F.coalesce(count > 0, F.lit(True)), shape)
-
-    out = [made(p, F.regexp_extract(x, p, 1).cast("int"), 2) for p in packs]
-    return F.coalesce(*out, made(single, F.lit(None).cast("int"), 1))
+    group = lambda pattern, i, name: F.regexp_extract(x, pattern, i).alias(name)
+    raw = [F.when(F.rlike(x, F.lit(p)), F.struct(group(p, 1, "count"), group(p, 2, "number"), group(p, 3, "unit"))) for p in packs]
+    raw.append(F.when(F.rlike(x, F.lit(single)), F.struct(F.lit(None).cast("string").alias("count"), group(single, 1, "number"), group(single, 2, "unit"))))
+
+    def measured(r: Column) -> Column:
+        quantity, unit = in_base(r["number"], r["unit"])
+        return F.struct(r["count"].cast("int").alias("count"), quantity.alias("quantity"), unit.alias("unit"))
+
+    def shown(m: Column) -> Column:
+        one = F.concat(plain_number(m["quantity"]), F.lit(" "), m["unit"])
+        total = thousandths(m["quantity"] * F.coalesce(m["count"], F.lit(1)))
+        display = F.when(m["count"].isNull(), one).otherwise(F.concat(m["count"].cast("string"), F.lit(" pcs x "), one, F.lit(" / total "), plain_number(total), F.lit(" "), m["unit"]))
+        return F.struct(m["quantity"].alias("quantity"), m["unit"].alias("unit"), total.alias("total_quantity"), m["count"].alias("pack_count"), display.alias("display"))
+
+    # the first that is a quantity; lists of one keep each step's value for the next
+    found = F.transform(F.array_compact(F.array(*raw)), measured)
+    found = F.filter(found, lambda m: m["quantity"].isNotNull() & (m["count"].isNull() | (m["count"] > 0)))
+    return F.get(F.transform(F.slice(found, 1, 1), shown), F.lit(0))
 
 
 def core_tokens(tokens: Column, brand: Column, markers: Column, size: Column | None = None, percent: Column | None = None) -> Column:

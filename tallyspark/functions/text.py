@@ -188,21 +188,3 @@ def slug(x: Column) -> Column:
 def hash_of(*parts: Column) -> Column:
     """SHA-256 of the parts joined by |, where a null is empty."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_outside_parentheses(s: pd.Series) -> pd.Series:
-    """Parts between commas that aren't inside parentheses; unmatched ones close at the end."""
-
-    def cut(x):
-        if x is None:
-            return None
-        out, depth, at = [], 0, 0
-        for i, c in enumerate(x):
-            depth = depth + 1 if c == "(" else max(0, depth - 1) if c == ")" else depth
-            if c == "," and not depth:
-                out.append(x[at:i].strip())
-                at = i + 1
-        return [p for p in [*out, x[at:].strip()] if p]
-
-    return s.map(cut)

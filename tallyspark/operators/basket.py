@@ -258,3 +258,40 @@ def tier_view(options: DataFrame, tiers: DataFrame) -> DataFrame:
     rows = options.join(tiers, "basket_id", "left")
     free = F.coalesce("tier", F.lit("free")) == "free"
     return rows.select("basket_id", F.coalesce("tier", F.lit("free")).alias("tier"), F.when(~free, F.col("combo")).alias("combo"), F.when(~free, F.col("savings")).alias("savings"))
+
+
+#: Limits and weights of the legacy optimiser; fixed values.
+ITEM_CANDIDATES, STORE_CANDIDATES, LARGEST_SPLIT, SPLITS, LEAST_MATCH = 4, 4, 3, 12, 0.1
+PER_STORE, PER_UNMATCHED, PER_MATCH = 0.75, 1000.0, 0.2
+
+
+def match_plans(candidates: DataFrame, items: int = ITEM_CANDIDATES, stores: int = STORE_CANDIDATES, largest: int = LARGEST_SPLIT, splits: int = SPLITS, least: float = LEAST_MATCH) -> DataFrame:
+    """The legacy optimiser: plans of single stores and of splits for baskets of matched items, each with whether it is the basket's best.
+
+    candidates: basket_id, item_id, product_id, store, price, match_score; an item without any still belongs to its basket (product_id null). Of an item the best matches count (ties: price, product, store), of a
+    basket the stores by items covered, total price, match, name; splits are taken in the order of the stores until their number is reached. An item comes from the cheapest of a plan's stores (ties: better match,
+    name, product). Gives basket_id, stores (by name, joined by |), store_count, total_cost, matched, unmatched, match_average, score, best. Fewest unmatched, then score, cost, stores and their names decide.
+    """
+    w = Window.partitionBy("basket_id", "item_id").orderBy(F.desc("match_score"), "price", "product_id", "store")
+    kept = candidates.filter((F.col("match_score") >= least) & F.col("product_id").isNotNull()).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= items).drop("k")
+    sizes = candidates.groupBy("basket_id").agg(F.count_distinct("item_id").alias("item_count"))
+    of_store = kept.groupBy("basket_id", "store").agg(F.count_distinct("item_id").alias("cover"), exact_sum(F.col("price")).alias("total"), exact_sum(F.col("match_score")).alias("match"))
+    order = Window.partitionBy("basket_id").orderBy(F.desc("cover"), "total", F.desc("match"), "store")
+    chosen = of_store.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= stores)
+    ranked = chosen.groupBy("basket_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "store"))), lambda x: x["store"]).alias("s"))  # a few stores a basket
+    # all sets of places up to the limits, in order; the same for every basket, so one short literal
+    sets = [c for size in range(2, largest + 1) for c in subsets(range(stores), size)]
+    n = F.size("s")
+    whole = lambda c: F.array(*[F.get("s", F.lit(i)) for i in c])
+    split = F.slice(F.array_compact(F.array(*[F.when(n > max(c), whole(c)) for c in sets])), 1, splits)
+    plans = ranked.select("basket_id", F.explode(F.concat(F.transform("s", lambda x: F.array(x)), split)).alias("p")).withColumn("stores", F.array_sort("p"))
+    lines = plans.select("basket_id", "stores", F.explode("stores").alias("store")).join(kept, ["basket_id", "store"])
+    best = F.min(F.struct("price", (-F.col("match_score")).alias("m"), "store", "product_id"))
+    per = lines.groupBy("basket_id", "stores", "item_id").agg(best.alias("b"))
+    g = per.groupBy("basket_id", "stores").agg(F.count("*").alias("matched"), exact_sum(F.col("b.price")).alias("cost"), (-exact_sum(F.col("b.m"))).alias("sum_match")).join(sizes, "basket_id")
+    mean = F.col("sum_match") / F.col("matched")
+    g = g.withColumns({"unmatched": F.col("item_count") - F.col("matched"), "store_count": F.size("stores")})
+    score = F.col("cost") + F.col("store_count") * PER_STORE + F.col("unmatched") * PER_UNMATCHED + (1 - mean) * PER_MATCH
+    out = g.select("basket_id", F.array_join("stores", "|").alias("stores"), "store_count", rounded(F.col("cost")).alias("total_cost"), "matched", "unmatched", rounded(mean, 4).alias("match_average"), rounded(score, 4).alias("score"))
+    first = Window.partitionBy("basket_id").orderBy("unmatched", "score", "total_cost", "store_count", "stores")
+    return out.withColumn("best", F.row_number().over(first) == 1)

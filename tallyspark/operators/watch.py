@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import exact_avg, rounded
+from tallyspark.operators.ranking import first_few
 
 MAJOR_PERCENT, MAJOR_AMOUNT, SOME_PERCENT, SOME_AMOUNT = 12, 1, 5, 0.2
 
@@ -85,9 +86,10 @@ def history_stats(daily: DataFrame, key: str) -> DataFrame:
 
 
 def user_summaries(alerts: DataFrame) -> DataFrame:
-    """Counts and the three largest drops per user; a user watches few products, so the list gathered is short."""
-    top = F.array_sort(F.collect_list(F.struct((-F.coalesce("drop_amount", F.lit(0.0))).alias("o"), F.col("alert_id"))))
-    return alerts.groupBy("user_id").agg(F.count("*").alias("alert_count"), F.count_if("target_hit").alias("target_hits"), F.max("drop_amount").alias("largest_drop"), F.slice(top, 1, 3)["alert_id"].alias("top_alerts"))
+    """Counts and the three largest drops per user."""
+    top = first_few(alerts, ["user_id"], [F.desc(F.coalesce("drop_amount", F.lit(0.0))), F.col("alert_id")], F.col("alert_id"), 3, "top_alerts")
+    g = alerts.groupBy("user_id").agg(F.count("*").alias("alert_count"), F.count_if("target_hit").alias("target_hits"), F.max("drop_amount").alias("largest_drop"))
+    return g.join(top, "user_id", "left")
 
 
 def dispatch(alerts: DataFrame, tiers: DataFrame) -> DataFrame:

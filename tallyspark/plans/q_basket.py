@@ -129,3 +129,25 @@ def basket_plan(spark, d):
 def tier_view(spark, d):
     tiers = read(spark, d, "orders").select(F.col("o_orderkey").alias("basket_id"), F.when(F.col("o_custkey") % 2 == 0, "premium").alias("tier"))
     return B.tier_view(basket_multi_store(spark, d), tiers)
+
+
+#: Candidates of each order line: its part, and the part after it at a worse match, at the chains that sell them.
+MATCHED = f"""{BASE}, cand AS (SELECT basket_id, i.canonical_product_id AS item_id, p.canonical_product_id AS product_id, chain_id AS store, price, CASE WHEN p.canonical_product_id = i.canonical_product_id THEN 0.9::DOUBLE ELSE 0.3 + (chain_id = 'NATION_3')::INT * 0.65::DOUBLE END AS match_score
+  FROM items i JOIN prices p ON p.canonical_product_id IN (i.canonical_product_id, i.canonical_product_id + 1)),
+kept AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY basket_id, item_id ORDER BY match_score DESC, price, product_id, store) <= 4),
+st AS (SELECT basket_id, store, count(DISTINCT item_id) AS cover, {sql_sum('price')} AS total, {sql_sum('match_score')} AS match FROM kept GROUP BY ALL), ch AS (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY cover DESC, total, match DESC, store) AS r FROM st QUALIFY r <= 4),
+pl AS (SELECT basket_id, [store] AS stores FROM ch UNION ALL SELECT a.basket_id, list_sort([a.store, b.store]) FROM ch a JOIN ch b ON a.basket_id = b.basket_id AND a.r < b.r UNION ALL SELECT a.basket_id, list_sort([a.store, b.store, c.store]) FROM ch a JOIN ch b ON a.basket_id = b.basket_id AND a.r < b.r JOIN ch c ON a.basket_id = c.basket_id AND b.r < c.r),
+per AS (SELECT basket_id, stores, item_id, min({{'price': price, 'm': -match_score, 'store': store, 'product': product_id}}) AS b FROM (SELECT basket_id, stores, unnest(stores) AS store FROM pl) JOIN kept USING (basket_id, store) GROUP BY ALL),
+pg AS (SELECT basket_id, stores, count(*) AS matched, {sql_sum('b.price')} AS cost, -{sql_sum('b.m')} / count(*) AS mean FROM per GROUP BY ALL),
+sc AS (SELECT basket_id, array_to_string(stores, '|') AS stores, len(stores)::INTEGER AS store_count, {R('cost')} AS total_cost, matched, item_count - matched AS unmatched, {R('mean', 4)} AS match_average, {R('cost + len(stores) * 0.75::DOUBLE + (item_count - matched) * 1000.0::DOUBLE + (1 - mean) * 0.2::DOUBLE', 4)} AS score FROM pg JOIN sizes USING (basket_id))"""
+
+
+@query("match_plans", f"WITH {MATCHED} SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY unmatched, score, total_cost, store_count, stores) = 1 AS best FROM sc")
+def match_plans(spark, d):
+    """Plans of the legacy optimiser, with its limits and the match term; substitutes match less, but at one chain better."""
+    items, prices = parts(spark, d)
+    p = prices.select(F.col("canonical_product_id").alias("product_id"), F.col("chain_id").alias("store"), "price")
+    asked = items.select("basket_id", F.col("canonical_product_id").alias("item_id"), F.explode(F.array(F.col("canonical_product_id"), F.col("canonical_product_id") + 1)).alias("product_id"))
+    score = F.when(F.col("product_id") == F.col("item_id"), 0.9).otherwise(F.lit(0.3) + F.when(F.col("store") == "NATION_3", 1).otherwise(0) * F.lit(0.65))
+    found = asked.join(p, "product_id", "left").withColumn("match_score", F.when(F.col("store").isNotNull(), score)).withColumn("product_id", F.when(F.col("store").isNotNull(), F.col("product_id")))
+    return B.match_plans(found)

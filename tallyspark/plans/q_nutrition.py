@@ -266,10 +266,12 @@ def preferred_mapping(spark, d):
 @query("cluster_report", f"""SELECT p_brand AS cluster, count(*) AS members, count(*) FILTER (p_size < 25) AS small, count(DISTINCT p_type) AS kinds, {R(sql_avg(R('p_retailprice')))} AS mean_price, array_to_string(list_slice(list(p_name || '#' || p_partkey ORDER BY p_size DESC, p_partkey), 1, 5), ',') AS top FROM part GROUP BY 1 HAVING count(*) > 5""")
 def cluster_report(spark, d):
     from tallyspark.functions.money import exact_avg
+    from tallyspark.operators.ranking import first_few
 
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("p_size")).alias("s"), F.col("p_partkey"), F.concat("p_name", F.lit("#"), "p_partkey").alias("t")))), 1, 5)
-    g = read(spark, d, "part").groupBy(F.col("p_brand").alias("cluster")).agg(F.count("*").alias("members"), F.count_if(F.col("p_size") < 25).alias("small"), F.countDistinct("p_type").alias("kinds"), rounded(exact_avg(rounded(F.col("p_retailprice")))).alias("mean_price"), F.array_join(top["t"], ",").alias("top"))
-    return g.filter("members > 5")
+    p = read(spark, d, "part").withColumn("cluster", F.col("p_brand"))
+    g = p.groupBy("cluster").agg(F.count("*").alias("members"), F.count_if(F.col("p_size") < 25).alias("small"), F.countDistinct("p_type").alias("kinds"), rounded(exact_avg(rounded(F.col("p_retailprice")))).alias("mean_price"))
+    top = first_few(p, ["cluster"], [F.desc("p_size"), F.col("p_partkey")], F.concat("p_name", F.lit("#"), "p_partkey"), 5, "top")
+    return g.filter("members > 5").join(top, "cluster").withColumn("top", F.array_join("top", ","))
 
 
 @query("cluster_materialisation", "SELECT p_brand, p_type, count(*) AS members, arg_min(p_partkey, (-p_size, p_partkey)) AS representative FROM part GROUP BY ALL")

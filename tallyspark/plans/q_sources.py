@@ -221,7 +221,10 @@ def product_contexts(spark, d):
 
 @query("first_k_distinct", "SELECT o_custkey, array_to_string(list_slice(list_sort(list(DISTINCT o_orderpriority)), 1, 3), ',') AS sample FROM orders GROUP BY 1")
 def first_k_distinct(spark, d):
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 3), ",").alias("sample"))
+    from tallyspark.operators.ranking import first_few
+
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
+    return first_few(rows, ["o_custkey"], [F.col("o_orderpriority")], F.col("o_orderpriority"), 3, "sample").withColumn("sample", F.array_join("sample", ","))
 
 
 @query("date_shift", "SELECT o_orderkey, strftime(o_orderdate::DATE - 7, '%Y-%m-%d') AS week_before, date_diff('day', o_orderdate::DATE, DATE '2001-08-01') AS age FROM orders")

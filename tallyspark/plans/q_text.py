@@ -254,18 +254,18 @@ def semantic_rerank(spark, d):
 
 
 @query("rerank_budget", f"""WITH {PARSED}, b AS (SELECT query_id, max(score) FILTER (rank = 1) AS top, max(score) FILTER (rank = 2) AS second FROM ranked GROUP BY 1),
-  waiting AS (SELECT query_id, row_number() OVER (ORDER BY q_tokens[1], query_id) <= 8 AS used_call FROM queries LEFT JOIN b USING (query_id) WHERE top IS NULL OR CASE WHEN second IS NULL THEN top < 0.3 ELSE top < 0.55 END OR (second IS NOT NULL AND top - second <= 0.15)),
+  waiting AS (SELECT query_id, row_number() OVER (ORDER BY q_name DESC, query_id) <= 8 AS used_call FROM queries LEFT JOIN b USING (query_id) WHERE top IS NULL OR CASE WHEN second IS NULL THEN top < 0.3 ELSE top < 0.55 END OR (second IS NOT NULL AND top - second <= 0.15)),
   r AS (SELECT query_id, used_call, product_id, CASE WHEN used_call THEN {R("score + 0.18::DOUBLE * shared::DOUBLE / greatest(len(list_distinct(q_tokens)), 1)", 4)} ELSE score END AS score FROM waiting JOIN ranked USING (query_id) JOIN queries USING (query_id) WHERE rank <= 5),
   s AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM r WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, product_id))
   SELECT w.query_id, w.used_call, CASE WHEN NOT w.used_call THEN 'budget_exhausted' WHEN coalesce(score - next, 1.0) > 0.12 AND score >= 0.58 THEN 'resolved' ELSE 'ambiguous' END AS status, product_id, score FROM waiting w LEFT JOIN (SELECT * FROM s WHERE k = 1) s USING (query_id)""")
 def rerank_budget(spark, d):
-    """Eight calls for the ambiguous queries, in the order of their first words: the rest stay as they were matched."""
+    """Eight calls for the ambiguous queries, from the last of their names on: the rest stay as they were matched."""
     from tallyspark.operators import ranking as G
 
     queries, scored = _scored(spark, d)
-    waiting = M.ambiguity(queries, scored).filter("status != 'matched'").select("query_id").join(queries.select("query_id", "q_tokens"), "query_id")
+    waiting = M.ambiguity(queries, scored).filter("status != 'matched'").select("query_id").join(queries.select("query_id", "q_name"), "query_id")
     cover = F.lit(0.18) * F.col("shared") / F.greatest(F.size(F.array_distinct("q_tokens")), F.lit(1))
-    return G.rerank_within(scored, waiting.select("query_id", F.get("q_tokens", F.lit(0)).alias("first")), cover, 8, ["first", "query_id"])
+    return G.rerank_within(scored, waiting, cover, 8, [F.desc("q_name"), "query_id"])
 
 
 @query("soft_candidate_filter", f"""WITH {PARSED}, f1 AS (SELECT *, bool_or(brand = 'brand2') OVER (PARTITION BY query_id) AS a FROM scored), g1 AS (SELECT * FROM f1 WHERE brand = 'brand2' OR NOT a),
@@ -402,13 +402,16 @@ def trigram_search(spark, d):
     return index.search(docs, read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), two.alias("phrase")).unionByName(more))
 
 
-@query("merge_components", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size AS b FROM part WHERE p_size % 7 = 0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("merge_components", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - p_partkey % 8 + p_size % 8 AS b FROM part), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON r.other = x.a) SELECT node, min(other) AS root FROM reach GROUP BY 1""")
 def merge_components(spark, d):
-    e = read(spark, d, "part").filter("p_size % 7 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size")).alias("b"))
-    return M.connected(e)
+    """Each part is tied to one of its neighbours by its size."""
+    k = F.col("p_partkey")
+    return M.connected(read(spark, d, "part").select(k.alias("a"), (k - k % 8 + F.col("p_size") % 8).alias("b")))
 
 
 @query("paren_aware_split")
 def paren_aware_split(spark, d):
-    return catalog(spark, d).select("product_id", F.posexplode(X.split_outside_parentheses(F.concat("raw_name", F.lit(", cooked (no fat, no salt), whole")))).alias("pos", "part"))
+    from tallyspark.functions.descriptions import segments
+
+    return catalog(spark, d).select("product_id", F.posexplode(segments(F.concat("raw_name", F.lit(", cooked (no fat, no salt), whole")))).alias("pos", "part"))

@@ -137,10 +137,10 @@ def test_table_versions(spark, tmp_path):
 
 
 def test_diff_classes_partition_the_keys(spark):
-    from tallyspark.plans import catalogue
+    from __spark_entry__ import SMOKE_DIR
     from tallyspark.plans.q_changes import sides
 
-    old, new = sides(spark, catalogue.SMOKE_DIR)
+    old, new = sides(spark, SMOKE_DIR)
     diff = changes.diff(old, new)
     assert diff.count() == old.select("source_product_id").union(new.select("source_product_id")).distinct().count()
 
@@ -227,10 +227,11 @@ def test_blocks_hold_every_subset_once():
 def test_matching_asks_with_every_product(spark):
     """Candidates, scores and best matches of all names of a small part table, against loops over all pairs."""
     from tallyspark.operators import matching
-    from tallyspark.plans import catalogue, q_text
+    from __spark_entry__ import SMOKE_DIR
+    from tallyspark.plans import q_text
 
-    assert {r["query_id"] for r in q_text._parsed(spark, catalogue.SMOKE_DIR)[0].collect()} == {0, 50, 100, 150, 900000001}
-    queries, products = q_text._parsed(spark, catalogue.SMOKE_DIR, step=1)
+    assert {r["query_id"] for r in q_text._parsed(spark, SMOKE_DIR)[0].collect()} == {0, 50, 100, 150, 900000001}
+    queries, products = q_text._parsed(spark, SMOKE_DIR, step=1)
     asked = {r["query_id"]: set(r["q_tokens"]) for r in queries.collect()}
     held = {r["product_id"]: r for r in products.collect()}
     assert set(asked) == set(held) | {900000001}
@@ -247,13 +248,13 @@ def test_matching_asks_with_every_product(spark):
         s = exact + want[q, p] / max(len(asked[q]), 1) * 0.35 + (0.14 if b["brand"] in asked[q] else 0.0)
         return s + same(a["q_size"], b["size"], 0.12) + same(a["q_percent"], b["percent"], 0.10) + 0.7 * 0.05
 
-    scores = {(r["query_id"], r["product_id"]): r["score"] for r in q_text._scored(spark, catalogue.SMOKE_DIR, step=1)[1].collect()}
+    scores = {(r["query_id"], r["product_id"]): r["score"] for r in q_text._scored(spark, SMOKE_DIR, step=1)[1].collect()}
     assert set(scores) == set(want) and all(abs(scores[k] - score(*k)) < 6e-5 for k in want)
     best = {}
     for (q, p), x in scores.items():
         best.setdefault(q, []).append((-x, p))
     top = {}
-    for r in matching.top_n(q_text._scored(spark, catalogue.SMOKE_DIR, step=1)[1], 5).collect():
+    for r in matching.top_n(q_text._scored(spark, SMOKE_DIR, step=1)[1], 5).collect():
         top.setdefault(r["query_id"], []).append((-r["score"], r["product_id"]))
     assert {q: sorted(v) for q, v in top.items()} == {q: sorted(v)[:5] for q, v in best.items()}
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyspark.plans import catalogue
+from __spark_entry__ import SMOKE_DIR
 from tallyspark.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def duck():
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{catalogue.SMOKE_DIR}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE_DIR}/{t}.parquet'")
     return c
 
 
@@ -40,7 +40,7 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
-    got = QUERIES[name](spark, catalogue.SMOKE_DIR).toPandas()
+    got = QUERIES[name](spark, SMOKE_DIR).toPandas()
     want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
@@ -54,7 +54,7 @@ def test_names_and_smoke(spark):
 
 
 def test_greedy_clusters_by_loop(spark):
-    got = QUERIES["demand_clusters"](spark, catalogue.SMOKE_DIR).toPandas()
+    got = QUERIES["demand_clusters"](spark, SMOKE_DIR).toPandas()
     import numpy as np
     from pyspark.sql import functions as F
 
@@ -62,7 +62,7 @@ def test_greedy_clusters_by_loop(spark):
     from tallyspark.operators.matching import hash_embedding
     from tallyspark.plans.adapter import signals
 
-    items = demand_aggregates(signals(spark, catalogue.SMOKE_DIR)).withColumn("v", hash_embedding(F.col("normalized_query"))).toPandas()
+    items = demand_aggregates(signals(spark, SMOKE_DIR)).withColumn("v", hash_embedding(F.col("normalized_query"))).toPandas()
     want = {}
     for loc, g in items.groupby("locality_code"):
         heads = []
@@ -97,9 +97,9 @@ def test_meal_plan_by_loop(spark):
 
 
 def test_stream_nudges_by_loop(spark):
-    got = {(r["user_id"], r["event_id"]) for r in QUERIES["stream_nudges"](spark, catalogue.SMOKE_DIR).collect()}
+    got = {(r["user_id"], r["event_id"]) for r in QUERIES["stream_nudges"](spark, SMOKE_DIR).collect()}
     want, last = set(), {}
-    events = spark.read.parquet(f"{catalogue.SMOKE_DIR}/events.parquet").orderBy("ts", "event_id").toPandas()
+    events = spark.read.parquet(f"{SMOKE_DIR}/events.parquet").orderBy("ts", "event_id").toPandas()
     passed = events["ts"].max() - pd.Timedelta(days=2)  # what is later still waits for events out of order
     for r in events[events["ts"] <= passed].itertuples():
         if r.user_id not in last or (r.ts - last[r.user_id]).total_seconds() >= 3 * 86400:
@@ -111,8 +111,8 @@ def test_stream_nudges_by_loop(spark):
 def test_paren_split(spark):
     from pyspark.sql import functions as F
 
-    from tallyspark.functions.text import split_outside_parentheses
+    from tallyspark.functions.descriptions import segments
 
     rows_ = [("a, b (c, d), e",), ("(x, y",), ("",), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows_, "t string").select(split_outside_parentheses(F.col("t"))).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows_, "t string").select(segments(F.col("t"))).collect()]
     assert got == [["a", "b (c, d)", "e"], ["(x, y"], [], None]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import workflow as W
-from tallyspark.plans import catalogue
+from __spark_entry__ import SMOKE_DIR
 from tallyspark.plans import q_workflow as Q
 from tallyspark.sources.buckets import BucketTable
 
@@ -21,7 +21,7 @@ def stored(spark, root, days):
 @pytest.mark.parametrize("after", [False, True])
 def test_a_run_that_fails_at_each_stage_in_turn_resumes(spark, tmp_path, after):
     """after: the stage's work was done, but not recorded."""
-    rows = Q.quarters(spark, catalogue.SMOKE_DIR)
+    rows = Q.quarters(spark, SMOKE_DIR)
     days = [r["day"] for r in rows.select("day").distinct().orderBy("day").limit(2).collect()]
     rows = rows.filter(F.col("day").isin(days))
     Q.lay_out(spark, rows, str(tmp_path / "clean"))
