@@ -1,7 +1,7 @@
 """Exact duplicates through a log-structured index of digests. DataFrame functions only.
 
 The rows of a task fill memtables of at most `MEMTABLE` rows. Each is flushed into one of `RUNS` runs, sorted by digest. Compaction merges
-`FAN_IN` runs at a time, and these again, up to one level: one row per digest that holds the smallest identifier and the number of
+the runs of a first batch at once, those of later batches `FAN_IN` at a time, and these again with the level before, up to one level: one row per digest that holds the smallest identifier and the number of
 rows. Level and runs have Parquet bloom filters on the digest, by which a look-up of single digests skips row groups; a bitmap filter over the
 level's digests of several rows is asked for all rows at once: those that it rules out are alone and need no join with the level. A hit (a
 further row of a digest) is confirmed by comparing the bytes of the normalised texts; rows that a digest joined wrongly are
@@ -73,12 +73,13 @@ class DigestIndex:
         for b in self.batches:
             rows = b.select("run", "digest", keep.alias("keep"), F.lit(1).cast("long").alias("rows"))
             now = rows if now is None else now.unionByName(rows)
-        tier = 0
+        # a first batch goes straight to the level; later ones are merged by tiers
+        tier, fan = 0, FAN_IN if self.level or len(self.batches) > 1 else RUNS
         while runs > 1:
-            runs, tier = -(-runs // FAN_IN), tier + 1
+            runs, tier = -(-runs // fan), tier + 1
             if runs == 1 and self.level:
                 now = now.unionByName(self.level.withColumn("run", F.lit(0)))
-            group = F.floor(F.col("run") / FAN_IN).cast("int").alias("run")
+            group = F.floor(F.col("run") / fan).cast("int").alias("run")
             merged = now.groupBy(group, "digest").agg(F.min("keep").alias("keep"), F.sum("rows").alias("rows")).sortWithinPartitions("run", "digest")
             at = f"{self.path}/level{tier}/{self.compacted}"
             now = self._write(merged, at, "run") if runs > 1 else self._write(merged.drop("run"), at)
