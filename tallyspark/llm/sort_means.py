@@ -6,7 +6,7 @@ further from the former one than twice the current distance can't be nearer or a
 beyond: at exactly twice a tie is possible). Distances are squared and exact, so "twice" is four times.
 
 Vectors lie as whole numbers, with the centroid they have, in a table of the shared folder, written anew each round: a round reads it once and writes it
-once. Sums of a centroid are added per task first; what comes to the driver is one row a centroid (k and the length of vectors are parameters, at most `LARGEST`
+once. Sums of a centroid are added per task first; what comes to the driver is one row a centroid (k, at most `MOST_CENTROIDS`, and the length of vectors are parameters, together at most `LARGEST`
 numbers), and so is what goes to the tasks.
 
 Cases. Vectors that are null, of another length, or hold a null or non-finite component (or one that isn't finite after scaling) take no part. Without vectors the
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import forget, save, short_batches
 
 K, ROUNDS, SCALE, SEED, DIM = 16, 3, 64, "1", 64
-#: Numbers that all centroids have together, at most.
-LARGEST = 1 << 20
+#: Numbers that all centroids have together, and centroids, at most: each task holds the centroids and the order of all others for each.
+LARGEST, MOST_CENTROIDS = 1 << 20, 2048
 #: Components up to this size are held as int64: 64 squares of twice that stay below 2^62.
 PLAIN = 1 << 27
 LONG = (1 << 63) - 1
@@ -174,8 +174,8 @@ def _add_wide(table: pa.Table) -> pa.Table:
 
 def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, scale: int = SCALE, dim: int = DIM, seed: str = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[list[int]]]:
     """The vectors that take part (id, cluster, distance), and the centroids they were assigned to last."""
-    if k * dim > LARGEST:
-        raise ValueError(f"k * dim is {k * dim}; at most {LARGEST} numbers go to each task")
+    if k > MOST_CENTROIDS or k * dim > LARGEST:
+        raise ValueError(f"at most {MOST_CENTROIDS} centroids of {LARGEST} numbers together go to each task")
     spark = vectors.sparkSession
     short_batches(spark)
     points = save(_points(vectors, id_col, vector_col, dim, scale), "means-points")

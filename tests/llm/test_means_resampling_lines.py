@@ -76,6 +76,8 @@ def test_means_scan_stops_and_ties(spark):
 def test_means_empty_and_few(spark):
     assert S.clusters(vectors(spark, []), k=3, dim=2).count() == 0
     assert S.clusters(vectors(spark, [(1, None), (2, [1.0])]), k=3, dim=2).count() == 0
+    with pytest.raises(ValueError):
+        S.clusters(vectors(spark, []), k=5000, dim=2)
     got = S.clusters(vectors(spark, [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [9.0, 9.0])]), k=16, dim=2).collect()
     assert len(got) == 3 and all(r["distance"] == 0 for r in got)
 
