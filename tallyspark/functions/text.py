@@ -29,6 +29,11 @@ def normalise_name(x: Column, compose: bool = False) -> Column:
     return collapse(F.regexp_replace(F.lower(nfkc(x) if compose else x), r"[.,()]+", " "))
 
 
+def normalise_search(x: Column, compose: bool = False) -> Column:
+    """Lower case; punctuation, brackets, quotes, colons and slashes to blanks, blanks collapsed."""
+    return collapse(F.regexp_replace(F.lower(nfkc(x) if compose else x), r"""[.,!?()\[\]{}:/"'`]+""", " "))
+
+
 def tokens(x: Column, stop: tuple[str, ...] = ()) -> Column:
     """Runs of letters, digits and %."""
     out = F.filter(F.split(x, r"[^\p{L}\p{N}%]+"), lambda t: t != "")

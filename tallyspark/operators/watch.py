@@ -103,3 +103,19 @@ def dedupe_last(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last entry of each key by order."""
     rest = [c for c in entries.columns if c not in keys]
     return entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__e")).select(*keys, "__e.*")
+
+
+def home_view(deals: DataFrame, watchlist: DataFrame, top_deals: int = 10, highlights: int = 5) -> DataFrame:
+    """Sections of a home page: `deals`, the best good deals of all products (user_id null), and `watchlist`, each user's watched products with their best offer, those that reached their target first, then the best deals.
+
+    deals: canonical_product_id, offer_id, current_price, deal_level, deal_score. watchlist: user_id, canonical_product_id, target_price. A product's offer is its cheapest (ties: smaller identifier). Watched products
+    without an offer come last, without a price. Gives section, user_id, place, canonical_product_id, price, deal_level, deal_score, target_hit.
+    """
+    best = deals.groupBy("canonical_product_id").agg(F.min(F.struct("current_price", "offer_id", "deal_level", "deal_score")).alias("b")).select("canonical_product_id", F.col("b.current_price").alias("price"), "b.deal_level", "b.deal_score")
+    good = best.filter("deal_level = 'good'").orderBy(F.desc("deal_score"), "canonical_product_id").limit(top_deals)
+    first = Window.orderBy(F.desc("deal_score"), "canonical_product_id")  # over the few rows of the report
+    front = good.select(F.lit("deals").alias("section"), F.lit(None).cast("string").alias("user_id"), F.row_number().over(first).alias("place"), "canonical_product_id", "price", "deal_level", "deal_score", F.lit(None).cast("boolean").alias("target_hit"))
+    rows = watchlist.join(best, "canonical_product_id", "left").withColumn("target_hit", F.coalesce(F.col("price") <= F.col("target_price"), F.lit(False)))
+    w = Window.partitionBy("user_id").orderBy(F.desc("target_hit"), F.desc_nulls_last("deal_score"), "canonical_product_id")
+    own = rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= highlights)
+    return front.unionByName(own.select(F.lit("watchlist").alias("section"), "user_id", "place", "canonical_product_id", "price", "deal_level", "deal_score", "target_hit"))

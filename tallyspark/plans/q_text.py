@@ -415,3 +415,17 @@ def paren_aware_split(spark, d):
     from tallyspark.functions.descriptions import segments
 
     return catalog(spark, d).select("product_id", F.posexplode(segments(F.concat("raw_name", F.lit(", cooked (no fat, no salt), whole")))).alias("pos", "part"))
+
+
+@query("normalise_search", "SELECT page_id, trim(regexp_replace(regexp_replace(lower(url || ' [' || page_id || '] {x}!'), '[.,!?()\\[\\]{}:/\"''`]+', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages WHERE url IS NOT NULL")
+def normalise_search(spark, d):
+    text = F.concat("url", F.lit(" ["), "page_id", F.lit("] {x}!"))
+    return read(spark, d, "pages").filter("url is not null").select("page_id", X.normalise_search(text).alias("text"))
+
+
+@query("alias_search", "SELECT p_partkey AS product_id FROM part WHERE p_name ILIKE '%RING%' OR len(list_filter([p_brand, CASE WHEN p_size % 2 = 0 THEN p_type END], lambda a: a ILIKE '%d#1%' OR a ILIKE 'econ%')) > 0")
+def alias_search(spark, d):
+    """A name, or some alias of a list, by patterns that ignore case."""
+    aliases = F.array("p_brand", F.when(F.col("p_size") % 2 == 0, F.col("p_type")))
+    some = F.exists(aliases, lambda a: F.coalesce(F.ilike(a, F.lit("%d#1%")) | F.ilike(a, F.lit("econ%")), F.lit(False)))
+    return read(spark, d, "part").filter(F.ilike("p_name", F.lit("%RING%")) | some).select(F.col("p_partkey").alias("product_id"))

@@ -133,3 +133,26 @@ def nudge_cooldown(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("date").alias("day"), F.col("event_type").alias("kind"))
     e = e.withColumn("last_day", F.lag("day").over(w)).withColumn("last_kind", F.lag("kind").over(w))
     return e.select("event_id", W.in_cooldown(F.col("last_day"), F.col("day"), 3, F.col("kind"), F.col("last_kind")).alias("suppressed"))
+
+
+HOME = f"""WITH {{deals}}, best AS (SELECT canonical_product_id, b.current_price AS price, b.deal_level AS deal_level, b.deal_score AS deal_score FROM (SELECT canonical_product_id, min({{{{'current_price': current_price, 'offer_id': offer_id, 'deal_level': deal_level, 'deal_score': deal_score}}}}) AS b FROM deals GROUP BY 1)),
+  watchlist AS (SELECT 'user-' || (c_custkey % 100) AS user_id, (c_custkey * 7) % (SELECT count(*) FROM part) + 1 AS canonical_product_id, CASE WHEN c_custkey % 3 = 0 THEN {R('c_acctbal')} END AS target_price FROM customer),
+  w AS (SELECT *, coalesce(price <= target_price, false) AS target_hit FROM watchlist LEFT JOIN best USING (canonical_product_id)), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY target_hit DESC, deal_score DESC NULLS LAST, canonical_product_id)::INTEGER AS place FROM w)
+  SELECT 'deals' AS section, NULL::VARCHAR AS user_id, place, canonical_product_id, price, deal_level, deal_score, NULL::BOOLEAN AS target_hit FROM (SELECT *, row_number() OVER (ORDER BY deal_score DESC, canonical_product_id)::INTEGER AS place FROM best WHERE deal_level = 'good') WHERE place <= 10
+  UNION ALL SELECT 'watchlist', user_id, place, canonical_product_id, price, deal_level, deal_score, target_hit FROM o WHERE place <= 5"""
+
+
+def _home_sql() -> str:
+    from tallyspark.plans.q_prices import DEALS
+
+    return HOME.format(deals=DEALS)
+
+
+@query("home_view", _home_sql())
+def home_view(spark, d):
+    """Top deals of all, and of each of a hundred users the five watched products that matter most."""
+    from tallyspark.plans.q_prices import _deals
+
+    k = F.col("c_custkey")
+    own = watchlist(spark, d).withColumn("c_custkey", F.regexp_extract("user_id", r"(\d+)$", 1).cast("long")).withColumn("user_id", F.concat(F.lit("user-"), k % 100))
+    return W.home_view(_deals(spark, d), own.select("user_id", KEY, "target_price"))
