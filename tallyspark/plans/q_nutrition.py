@@ -213,13 +213,13 @@ def meal_plan(spark, d):
 
 @query("unit_conversion", """WITH RECURSIVE e(unit, other, factor) AS (VALUES ('kg', 'g', 1000.0::DOUBLE), ('g', 'mg', 1000.0), ('l', 'ml', 1000.0), ('cup', 'ml', 250.0)), b AS (SELECT * FROM e UNION ALL SELECT other, unit, 1 / factor FROM e),
   walk(unit, other, factor, path, steps) AS (SELECT unit, other, factor, [unit, other], 1 FROM b UNION ALL SELECT w.unit, b.other, w.factor * b.factor, list_append(w.path, b.other), w.steps + 1 FROM walk w JOIN b ON w.other = b.unit WHERE NOT list_contains(w.path, b.other) AND w.steps < 8)
-  SELECT unit, other, factor, steps FROM (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'ml' WHEN 3 THEN 'cup' ELSE 'bunch' END AS unit FROM part) JOIN (SELECT *, row_number() OVER (PARTITION BY unit, other ORDER BY steps, factor) AS k FROM walk) USING (unit) WHERE k = 1""")
+  SELECT unit, other, factor, steps, coalesce(products, 0) AS products FROM (SELECT *, row_number() OVER (PARTITION BY unit, other ORDER BY steps, factor) AS k FROM walk) LEFT JOIN (SELECT CASE p_partkey % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'ml' WHEN 3 THEN 'cup' ELSE 'bunch' END AS unit, count(*) AS products FROM part GROUP BY 1) USING (unit) WHERE k = 1""")
 def unit_conversion(spark, d):
-    """What the units of the products lead to, by which factor and in how many steps."""
+    """What each known unit leads to, by which factor and in how many steps, and how many products have it; units that no product has stay, with 0."""
     k = F.col("p_partkey") % 5
-    used = read(spark, d, "part").select(F.when(k == 0, "g").when(k == 1, "kg").when(k == 2, "ml").when(k == 3, "cup").otherwise("bunch").alias("unit")).distinct()
+    used = read(spark, d, "part").select(F.when(k == 0, "g").when(k == 1, "kg").when(k == 2, "ml").when(k == 3, "cup").otherwise("bunch").alias("unit")).groupBy("unit").agg(F.count("*").alias("products"))
     known = N.unit_closure(spark.createDataFrame([("kg", "g", 1000.0), ("g", "mg", 1000.0), ("l", "ml", 1000.0), ("cup", "ml", 250.0)], "unit string, other string, factor double"))
-    return known.join(used, "unit", "left_semi")
+    return known.join(used, "unit", "left").select("unit", "other", "factor", "steps", F.coalesce("products", F.lit(0).cast("long")).alias("products"))
 
 
 @query("ingredient_cost_fallback", f"""WITH p AS (SELECT l_partkey AS ingredient_id, p_type AS category, l_suppkey AS store_id, {R('l_extendedprice / l_quantity')} AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 3 <> 0 AND l_partkey % 10 <> 7),

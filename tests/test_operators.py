@@ -351,3 +351,12 @@ def test_meal_plans_by_loop(spark):
                 if best[4]:
                     cuisines[best[4]] = cuisines.get(best[4], 0) + 1
     assert got == want and nutrition.meal_plans(d.limit(0), 2, ["lunch"]).count() == 0
+
+
+def test_unit_conversion_has_units_without_products(spark):
+    from tallyspark.plans import catalogue  # noqa: F401
+    from tallyspark.plans.registry import QUERIES
+
+    rows = QUERIES["unit_conversion"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["unit"] for r in rows} == {"kg", "g", "mg", "l", "ml", "cup"} and len(rows) == 12
+    assert {r["unit"] for r in rows if r["products"] == 0} == {"mg", "l"}
