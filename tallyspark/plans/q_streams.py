@@ -20,10 +20,12 @@ def stream_demand_windows(spark, d):
 
 
 @query("stream_sessions", """WITH l AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
-  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAYS FROM events)""")
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, d):
-    """Sessions that the watermark has closed: two days behind the last event."""
-    return E.run_to_table(E.sessions(E.event_stream(spark, d)))
+    """All sessions, those that may still grow too."""
+    at = work_dir(spark)
+    table = BucketTable(spark, f"{at}/sessions", ["who", "start"], C.SESSION, 16)
+    return C.capture(E.event_stream(spark, d), table, f"{at}/events", write=C.merge_sessions(table, "events")).filter("n > 0").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 
 @query("stream_signals_once", "SELECT DISTINCT sha256(concat_ws('|', event_type, user_id::VARCHAR, strftime(ts, '%Y-%m-%d'))) AS signal_id, event_type, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events")

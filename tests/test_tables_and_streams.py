@@ -193,3 +193,35 @@ def test_archive_entries_are_tasks(spark, tmp_path):
     df = D.read_delimited_files(spark, str(tmp_path))
     assert df.columns[:2] == ["code", "price"] and df.rdd.getNumPartitions() == 5
     assert sorted((r["_entry"], r["code"], r["price"]) for r in df.collect()) == [(f"in/Chain_{i}.csv", str(i), p) for i in range(5) for p in ("1,5", "2")]
+
+
+def test_sessions_of_batches_in_any_order(spark, tmp_path):
+    """Late events join sessions, a batch that comes again changes nothing, and those at the end of the events are there too."""
+    import datetime as dt
+
+    from tallyspark.sources.buckets import BucketTable
+    from tallyspark.streaming import capture as C
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [[(1, at(0)), (1, at(10)), (2, at(0)), (None, at(3))], [(1, at(5)), (2, at(6)), (3, None)], [(1, at(90)), (1, at(-7)), (1, at(-1)), (2, at(1))]]
+    table = BucketTable(spark, str(tmp_path / "t"), ["who", "start"], C.SESSION, 4)
+    write = C.merge_sessions(table, "s")
+    for k in (0, 1, 1, 2):
+        write(spark.createDataFrame(batches[k], "user_id long, ts timestamp"), k)
+    want, last = {}, {}
+    for user, t in sorted((e for b in batches for e in b if e[1]), key=lambda e: (str(e[0]), e[1])):
+        if user not in last or t >= last[user][1] + dt.timedelta(hours=6):
+            last[user] = [t, t]
+            want[user, t] = 0
+        last[user][1] = t
+        want[user, last[user][0]] += 1
+    got = {(r["user_id"], r["start"]): r["n"] for r in table.read().filter("n > 0").collect()}
+    assert got == want and len(got) == 5
+
+
+def test_sessions_hold_all_events(spark):
+    from tallyspark.plans import catalogue  # noqa: F401
+    from tallyspark.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    assert QUERIES["stream_sessions"](spark, d).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{d}/events.parquet").count()
