@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator broadcasts after it has counted the rows.
@@ -59,19 +59,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def save(df: DataFrame, name: str, narrow: bool = False, **counts: Column | str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and any executor can read it.
 
-    narrow: what a shuffle leaves is little, so a few tasks a core write it, not one for each of the shuffle's partitions.
+    narrow: what a shuffle leaves is little, so a few tasks a core write it, not one for each of the shuffle's partitions. counts: conditions whose rows the write
+    counts (rows="true": every row), so that no query of its own need do it; `rows_in` gives the numbers.
     """
-    path = scratch_path(df.sparkSession, name)
-    out = df.coalesce(WRITERS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism) if narrow else df
+    path, seen = scratch_path(df.sparkSession, name), Observation()
+    out = df.observe(seen, *[F.count_if(F.expr(c) if isinstance(c, str) else c).alias(k) for k, c in counts.items()]) if counts else df
+    out = out.coalesce(WRITERS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism) if narrow else out
     out.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
+    out._scratch, out._counted = path, dict(seen.get) if counts else {}
     return out
 
 
+def rows_in(df: DataFrame, what: str = "rows") -> int:
+    """Rows of a table made by save() that met the condition of that name, as its write counted them."""
+    return df._counted[what]
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by save() that nothing will read again."""
     for t in tables:
@@ -85,9 +92,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit, else df, which Spark then joins by shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= limit else df.hint("merge")
+    """df with a broadcast hint if its rows fit the limit, else df, which Spark then joins by shuffle. rows: their number or a bound; else they are counted, if save() hasn't."""
+    if rows is None:
+        rows = rows_in(df) if "rows" in getattr(df, "_counted", {}) else df.count()
+    return F.broadcast(df) if rows * row_bytes <= limit else df.hint("merge")
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BROADCAST_BYTES, SPACES, remove, save, scratch_path, small
+from tallyspark.llm.common import BROADCAST_BYTES, SPACES, remove, rows_in, save, scratch_path, small
 
 #: Copies of one text that are compared in one place; larger groups are dealt over more places.
 COPIES_PER_SALT = 1000
@@ -102,8 +102,8 @@ class Filter:
     """A bitmap over the hashes of digests: says no only to digests that aren't in it. Beyond what may be broadcast it says yes to all."""
 
     def __init__(self, digests: DataFrame):
-        n = digests.count()
-        self.bits = 1 << max(15, (n * FILTER_BITS).bit_length())
+        self.n = digests.count()
+        self.bits = 1 << max(15, (self.n * FILTER_BITS).bit_length())
         self.small = self.bits // 8 <= BROADCAST_BYTES
         at = self._at(F.col("digest"))
         self.maps = digests.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__map"))
@@ -127,7 +127,7 @@ def false_hits(docs: DataFrame, many: DataFrame, seen: Filter, digest: Callable[
     # numbered as they are read, before any shuffle, so that a task that runs again deals its rows alike
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"), F.monotonically_increasing_id().alias("seq"))
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("body").cast("binary"), 256))).withColumn("digest", digest(F.col("sha")))
-    rows = seen.asked(rows).filter("maybe").join(small(groups, 120), "digest").withColumn("salts", F.ceil(F.col("rows") / COPIES_PER_SALT).cast("int"))
+    rows = seen.asked(rows).filter("maybe").join(small(groups, 120, seen.n), "digest").withColumn("salts", F.ceil(F.col("rows") / COPIES_PER_SALT).cast("int"))
     kept = rows.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha"))).groupBy("digest", "salts").agg(F.min("body").alias("keep_body"))
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "seq"), F.col("salts")).cast("int"))
@@ -140,14 +140,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, level = index.flush(docs, id_col, text_col), index.compact()
     many = level.filter("rows > 1")
     seen = Filter(many)
-    wrong = save(false_hits(docs, many, seen, digest, id_col, text_col), "false-hits", narrow=True)
+    wrong = save(false_hits(docs, many, seen, digest, id_col, text_col), "false-hits", narrow=True, rows="true")
     rows = seen.asked(rows)
-    found = rows.filter("maybe").join(small(many, 160), "digest", "left")
+    found = rows.filter("maybe").join(small(many, 160, seen.n), "digest", "left")
     alone = rows.filter("not maybe").withColumn("keep", F.lit(None).cast(level.schema["keep"].dataType)).withColumn("rows", F.lit(None).cast("long"))
     # a digest of one row, which the filter lets through or not, keeps that row
     keep = F.coalesce("keep", F.struct(F.col("id").isNull().alias("none"), "id", "batch", "seq", "sha"))
     got = found.unionByName(alone).withColumn("keep", keep).withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))
-    if not wrong.count():
+    if not rows_in(wrong):
         got = got.select("id", F.col("keep.id").alias("keep_id"), F.col("rows").alias("group_size"), "batch", "seq", F.col("keep.batch").alias("keep_batch"), F.col("keep.seq").alias("keep_seq"), "sha")
     else:
         # what was joined wrongly leaves its digest's group; those rows group by the bytes of their texts
@@ -173,17 +173,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     index = DigestIndex(docs.sparkSession)
-    groups = save(exact_groups(docs, id_col, text_col, index=index), "exact-groups", narrow=True)
+    repeats = F.col("id").eqNullSafe(F.col("keep_id"))
+    groups = save(exact_groups(docs, id_col, text_col, index=index), "exact-groups", narrow=True, gone=~F.col("kept") & ~repeats, again=~F.col("kept") & repeats)
     index.drop()
-    gone = groups.filter("not kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("__again")).distinct()
-    again = gone.filter("__again").count()
+    gone = groups.filter("not kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), repeats.alias("__again")).distinct()
+    again = rows_in(groups, "again")
     sha = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__own_sha") == F.col("__sha"))
     keyed = docs.withColumn("__own_sha", sha)
-    out = keyed.join(small(gone.filter("not __again"), 80), same, "left_anti").drop("__own_sha")
+    out = keyed.join(small(gone.filter("not __again"), 80, rows_in(groups, "gone")), same, "left_anti").drop("__own_sha")
     if again:  # rows repeated with identifier and text: the key alone can't tell them apart, so one of each is taken
         one = gone.filter("__again")
-        rest = out.withColumn("__own_sha", sha).join(small(one, 80), same, "left_anti").drop("__own_sha")
-        repeated = keyed.join(small(one, 80), same, "left_semi")
+        rest = out.withColumn("__own_sha", sha).join(small(one, 80, again), same, "left_anti").drop("__own_sha")
+        repeated = keyed.join(small(one, 80, again), same, "left_semi")
         return rest.unionByName(repeated.dropDuplicates([id_col, "__own_sha"]).drop("__own_sha"))
     return out

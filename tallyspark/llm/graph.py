@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import forget, parts_for, save
+from tallyspark.llm.common import forget, parts_for, rows_in, save
 
 TASK_EDGES = 250_000
 
@@ -66,8 +66,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of any orderable type: node, label (the least node of its component); nodes without edges have no row."""
-    now = save(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", narrow=True)
-    parts = parts_for(now.count(), TASK_EDGES)
+    now = save(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", narrow=True, rows="true")
+    parts = parts_for(rows_in(now), TASK_EDGES)
     step = save(forest(now.coalesce(1) if parts == 1 else now.repartition(parts, "u")), "edges")
     forget(now)
     now, mark = step, None

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORDS, every, save, small, unit_hash
+from tallyspark.llm.common import WORDS, every, rows_in, save, small, unit_hash
 
 #: Weights by the sources' order, repeating; the mix's size as a share of all words; largest rate of a source.
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def own_draw(rows: DataFrame, seed: str = SEED) -> DataFrame:
     """rows (__id, __content, __number and others) with __u, a number in [0, 1): by identifier, or where that is null or repeated by identifier, text and number."""
     again = rows.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.count("*").alias("__n")).filter("__n > 1").select("__id", F.lit(True).alias("__again"))
-    rows = rows.join(small(save(again, "mix-again", narrow=True), 24), "__id", "left")
+    rows = rows.join(small(save(again, "mix-again", narrow=True, rows="true"), 24), "__id", "left")
     each = F.col("__id").isNull() | F.coalesce("__again", F.lit(False))
     own = unit_hash(F.lit(seed), F.col("__id"), F.col("__content"), F.col("__number"))
     return rows.withColumn("__u", F.when(each, own).otherwise(unit_hash(F.lit(seed), F.col("__id")))).drop("__again", "__content", "__number")
@@ -65,16 +65,18 @@ def _words(text_col: str) -> Column:
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, rate, copies."""
     sizes = save(docs.select(*_numbered(docs, id_col, text_col), F.col(source_col).alias("source"), _words(text_col).alias("size")), "mix-sizes")
-    targets = save(source_targets(sizes, **shares), "mix-targets").withColumnRenamed("source", "of")
-    out = own_draw(sizes).join(small(targets, 200), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    targets = save(source_targets(sizes, **shares), "mix-targets", rows="true")
+    of = small(targets.withColumnRenamed("source", "of"), 200, rows_in(targets))
+    out = own_draw(sizes).join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     return out.withColumn("copies", copies(F.col("rate"), F.col("__u"))).withColumnRenamed("__id", "id").drop("__u")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its own columns."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(_words(text_col)).alias("size"))
-    targets = save(source_targets(sizes, **shares), "mix-targets").select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
+    targets = save(source_targets(sizes, **shares), "mix-targets", rows="true")
+    of = small(targets.select(F.col("source").alias("__of"), F.col("rate").alias("__rate")), 200, rows_in(targets))
     rows = own_draw(docs.select(F.struct(*every(docs)).alias("row"), F.col(source_col).alias("__source"), *_numbered(docs, id_col, text_col)))
-    out = rows.join(small(targets, 200), F.col("__source").eqNullSafe(F.col("__of")))
+    out = rows.join(of, F.col("__source").eqNullSafe(F.col("__of")))
     times = copies(F.col("__rate"), F.col("__u"))
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import forget, save, short_batches, small
+from tallyspark.llm.common import forget, rows_in, save, short_batches, small
 from tallyspark.llm.graph import components
 from tallyspark.llm.shingles import mix, sets
 
@@ -334,9 +334,9 @@ def _trees(docs: DataFrame, width: int, num: int, den: int, cells: np.ndarray |
 
 
 def _of_sets(docs: DataFrame, wanted: DataFrame, width: int, name: str, measure) -> DataFrame:
-    """sid, and what `measure` makes of the shingles (as bytes), of the wanted sets (sid, low: an identifier that has it)."""
-    lows = wanted.select(F.col("low").alias("__low")).distinct()
-    rows = docs.select(F.col("id").cast("string").alias("id"), "text").join(small(lows, 40), F.col("id").eqNullSafe(F.col("__low")), "left_semi")
+    """sid, and what `measure` makes of the shingles (as bytes), of the wanted sets (sid, low: an identifier that has it), a saved table."""
+    lows, n = wanted.select(F.col("low").alias("__low")).distinct(), rows_in(wanted)
+    rows = docs.select(F.col("id").cast("string").alias("id"), "text").join(small(lows, 40, n), F.col("id").eqNullSafe(F.col("__low")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -344,7 +344,7 @@ def _of_sets(docs: DataFrame, wanted: DataFrame, width: int, name: str, measure)
 
     got = rows.select("text").mapInPandas(run, f"sid binary, {name} binary")
     # an identifier may be repeated, a set may have several rows of it
-    return got.join(small(wanted.select("sid"), 40), "sid", "left_semi").groupBy("sid").agg(F.first(name).alias(name))
+    return got.join(small(wanted.select("sid"), 40, n), "sid", "left_semi").groupBy("sid").agg(F.first(name).alias(name))
 
 
 def _may_link(num: int, den: int):
@@ -360,7 +360,7 @@ def _may_link(num: int, den: int):
 def _links(docs: DataFrame, pairs: DataFrame, ends: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: sids) that link, verified on the true sets. ends: sid, low of these sets."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = save(ends.join(used, "sid").select("sid", "low"), "join-ends", narrow=True)
+    wanted = save(ends.join(used, "sid").select("sid", "low"), "join-ends", narrow=True, rows="true")
     true = save(_of_sets(docs, wanted, width, "tokens", lambda t: t), "join-sets", narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -389,8 +389,8 @@ def _in_nodes(members: DataFrame, num: int, den: int) -> DataFrame:
     order = ["key", F.floor(F.log("n") / F.log(F.lit(1.1))), "counts", "sid"]
     # a row's number within its range: ranges end where they may, so a tree of any size is dealt over tasks
     placed = many.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.floor(F.monotonically_increasing_id() / CHUNK).cast("long"))
-    placed = save(placed.drop("c_comp"), "tree-nodes", narrow=False)
-    if placed.isEmpty():
+    placed = save(placed.drop("c_comp"), "tree-nodes", rows="true")
+    if not rows_in(placed):
         return out
 
     def corner(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -402,8 +402,8 @@ def _in_nodes(members: DataFrame, num: int, den: int) -> DataFrame:
         return pd.DataFrame({"key": np.full(len(i), key[0], dtype=np.int64), "i": number[i], "j": number[j]})
 
     nodes = placed.select("key", "node", "counts", "n", "asks").groupBy("key", "node").applyInPandas(corner, "key long, node long, corner binary, low long, high long, asks boolean")
-    pairs = save(nodes.groupBy("key").applyInPandas(meet, "key long, i long, j long"), "node-pairs", narrow=True)
-    at = lambda c: small(pairs.withColumn("node", F.col(c)), 32)
+    pairs = save(nodes.groupBy("key").applyInPandas(meet, "key long, i long, j long"), "node-pairs", narrow=True, rows="true")
+    at = lambda c: small(pairs.withColumn("node", F.col(c)), 32, rows_in(pairs))
     asking = placed.filter("asks").withColumn("side", F.lit(1)).join(at("i"), ["key", "node"])
     found = placed.withColumn("side", F.lit(2)).join(at("j"), ["key", "node"])
     return out.unionByName(sides(asking, F.col("i"), F.col("j"))).unionByName(sides(found, F.col("i"), F.col("j")))
@@ -476,7 +476,7 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     same_h = own.groupBy("h").count().filter("count > 1").select(F.col("h").alias("x"), F.col("h").alias("y"))
     met = trees.select(F.least("up", "h").alias("x"), F.greatest("up", "h").alias("y")).distinct().unionByName(same_h)
     used = met.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-    ends = save(own.join(used, "h").select("h", "sid", F.col("low").cast("string").alias("low"), "n"), "join-ends", narrow=True)
+    ends = save(own.join(used, "h").select("h", "sid", F.col("low").cast("string").alias("low"), "n"), "join-ends", narrow=True, rows="true")
     counted = save(_of_sets(docs, ends, width, "counts", counts_of), "join-points", narrow=True)
     at = lambda s, c: counted.select(F.col("sid").alias(s), F.col("counts").alias(c))
 
@@ -494,7 +494,7 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
         named = ends.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("h", "sid", "n", F.coalesce("label", "sid").alias("comp"))
         comp = save(named, "comps", narrow=True)
         part = lambda h, c: comp.select(F.col("h").alias(h), F.col("comp").alias(c))
-        keys = save(trees.join(part("up", "c_up"), "up").join(part("h", "c_h"), "h").filter("c_up != c_h").select("key").distinct(), "apart", narrow=True)
+        keys = save(trees.join(part("up", "c_up"), "up").join(part("h", "c_h"), "h").filter("c_up != c_h").select("key").distinct(), "apart", narrow=True, rows="true")
         held = trees.join(small(keys, 16), "key", "left_semi").select("key", F.explode(F.array("up", "h")).alias("h")).distinct().join(comp, "h")
         out = save(held.select("key", "sid", "n", "comp"), "rest", narrow=True)
         forget(comp, keys)
@@ -508,7 +508,7 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
         rest = apart(labels)
         one = F.struct(F.xxhash64("sid", F.lit(turn)).alias("order"), "sid", "n")
         largest = rest.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(one).alias("one")).groupBy("key").agg(F.max(F.struct("size", "comp", "one")).alias("c"))
-        largest = save(largest.select("key", F.col("c.comp").alias("c_comp"), F.col("c.one.sid").alias("b"), F.col("c.one.n").alias("n_b")), "centres", narrow=True)
+        largest = save(largest.select("key", F.col("c.comp").alias("c_comp"), F.col("c.one.sid").alias("b"), F.col("c.one.n").alias("n_b")), "centres", narrow=True, rows="true")
         pairs = rest.join(small(largest, 64), "key").filter("comp != c_comp").select(F.col("sid").alias("a"), F.col("n").alias("n_a"), "b", "n_b").distinct()
         labels = merged(labels, linked(pairs))
         forget(rest, largest)
@@ -517,17 +517,17 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     # near copies share many keys: trees of equal members (by two hashes and the number) are searched once
     mark = lambda seed: F.expr(f"bit_xor(xxhash64(sid, {seed}))")
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"), mark(1).alias("one"), mark(2).alias("two")).filter("size > 2")
-    chosen = save(sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size"), "chosen", narrow=True)
-    if chosen.count():
+    chosen = save(sizes.groupBy("one", "two", "size").agg(F.min("key").alias("key")).select("key", "size"), "chosen", narrow=True, rows="true")
+    if rows_in(chosen):
         # members outside the largest component ask, all are found
         searched = save(rest.join(small(chosen, 24), "key"), "searched", narrow=True)
         # a set is in no more trees than it has keys
         least = searched.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
         largest = searched.groupBy("key", "comp").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "comp")).alias("c"))
-        largest = save(largest.select("key", F.col("c.comp").alias("c_comp")), "tree-largest", narrow=True)
+        largest = save(largest.select("key", F.col("c.comp").alias("c_comp")), "tree-largest", narrow=True, rows="true")
         members = searched.join(small(largest, 32), "key").join(least.join(counted, "sid"), "sid").withColumn("asks", F.col("comp") != F.col("c_comp"))
-        more = save(_search_trees(_in_nodes(members, num, den), num, den), "tree-pairs", narrow=True)
-        if more.count():
+        more = save(_search_trees(_in_nodes(members, num, den), num, den), "tree-pairs", narrow=True, rows="true")
+        if rows_in(more):
             labels = merged(labels, _links(docs, more, ends, width, num, den))
         forget(searched, largest, more)
     forget(chosen)
@@ -554,20 +554,20 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     found = _join(docs, width, num, den, id_col, text_col)
     first = F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("component_id"))
     found = found.select(F.col("doc_id").alias("__id"), F.col("sid").alias("__sid"), ((F.col("n_shingles") > 0) & ~first).alias("gone"), (F.col("n_shingles") > 0).alias("words"))
-    found = save(found, "near-rows", narrow=True)
-    gone = found.filter("gone").select("__id").distinct()
+    found = save(found, "near-rows", narrow=True, gone=F.col("gone"))
+    gone = small(found.filter("gone").select("__id").distinct(), 16, rows_in(found, "gone"))
     # rows that can't be told apart by identifier: null, or repeated with one of them in a component of several rows or a set of several
     odd = found.groupBy("__id").agg(F.count("*").alias("rows"), F.max("gone").alias("any"), F.min("gone").alias("all"), (F.count_if("words") - F.count_distinct(F.when(F.col("words"), F.col("__sid")))).alias("again"))
-    odd = save(odd.filter("(any and (not all or __id is null)) or again > 0").select("__id"), "near-odd", narrow=True)
+    odd = save(odd.filter("(any and (not all or __id is null)) or again > 0").select("__id"), "near-odd", narrow=True, rows="true")
     same_id = F.col(id_col).eqNullSafe(F.col("__id"))
-    if not odd.count():
-        return docs.join(small(gone, 16), F.col(id_col) == F.col("__id"), "left_anti")
+    if not rows_in(odd):
+        return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
 
     @F.pandas_udf("binary")
     def set_of(texts: pd.Series) -> pd.Series:
         return pd.Series([_sid(t) if len(t) else None for t in sets(list(texts), width)], dtype=object)
 
-    plain = docs.join(small(gone, 16), F.col(id_col) == F.col("__id"), "left_anti").join(small(odd, 16), same_id, "left_anti")
+    plain = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti").join(small(odd, 16), same_id, "left_anti")
     among = docs.join(small(odd, 16), same_id, "left_semi").withColumn("__own", set_of(F.col(text_col)))
     lost = found.filter("gone").select("__id", "__sid").distinct()
     among = among.join(small(lost, 48), same_id & (F.col("__own") == F.col("__sid")), "left_anti")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import save, short_batches, small
+from tallyspark.llm.common import rows_in, save, short_batches, small
 
 ROOM, END = 1024, 2
 #: How the byte-level BPE file cuts text before merging; a fixed value of that public vocabulary.
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """Rows doc_id, piece, start, length, ids, sequence_id, offset."""
     spark = docs.sparkSession
     pieces = save(tokenise(docs, path, id_col, text_col, room, end), "pieces")
-    per_part = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
+    per_part = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True, rows="true")
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
     table = places(pack_lengths(histogram, room))
     # offset of each task's ranks: partial sums over tasks, for each length
@@ -271,7 +271,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = per_part.select("part", "length", before.alias("base"))
-    rows = pieces.join(small(base, 32), ["part", "length"])
+    rows = pieces.join(small(base, 32, rows_in(per_part)), ["part", "length"])
     lookup = {k: (g["first"].to_numpy(), g["sequence"].to_numpy(), g["offset"].to_numpy()) for k, g in table.groupby("length")}
     shared = spark.sparkContext.broadcast(lookup)
 

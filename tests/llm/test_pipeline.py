@@ -76,3 +76,17 @@ def test_odd_documents(spark):
     out = P.packed(spark, docs, SF).collect()
     check_packing(out, 1024)
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_writes_count_their_rows(spark):
+    """What was just written is not counted by a query of its own: each leaves its plan and jobs with the driver."""
+    from tallyspark.llm.common import rows_in, save, small
+
+    saved = save(spark.range(10), "counted", narrow=True, rows="true", even=F.col("id") % 2 == 0)
+    none = save(spark.range(10).filter("id < 0"), "counted", rows="true")
+    spark.sparkContext.setJobGroup("small", "")
+    small(saved, 8)
+    small(none, 8)
+    assert (rows_in(saved), rows_in(saved, "even"), rows_in(none)) == (10, 5, 0)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("small")
+    spark.sparkContext.setJobGroup("", "")
