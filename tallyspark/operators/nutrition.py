@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,42 +169,53 @@ def meal_plans(scored: DataFrame, days: int, meals: list[str]) -> DataFrame:
     cuisine no more than one recipe a planned meal and one over can be chosen; the others are dropped by rank first, and a profile's group is bounded.
     """
     picks = days * len(meals) + 1
+    # all that follows is by profile, so rows move once
+    rows = scored.select("profile_id", "recipe_id", "meal_type", "fits", "cuisine", "score").filter(F.col("meal_type").isin(meals)).repartition("profile_id")
     any_fits = F.max("fits").over(Window.partitionBy("profile_id", "meal_type"))
-    rows = scored.filter(F.col("meal_type").isin(meals)).withColumn("__any", any_fits).filter("fits or not __any").drop("__any")
+    rows = rows.withColumn("__any", any_fits).filter("fits or not __any").drop("__any")
     rank = F.row_number().over(Window.partitionBy("profile_id", "meal_type", "cuisine").orderBy(F.desc("score"), "recipe_id"))
-    rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= picks).drop("__rank", "fits")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("recipe_id", kind="stable")
-        pool = {m: g.reset_index(drop=True) for m, g in group.groupby("meal_type")}
-        uses, cuisines, before, out = Counter(), Counter(), None, []
-        at_meal: dict[tuple[str, int], int] = {}
-        for day in range(days):
-            today: set[int] = set()
-            for meal in meals:
-                if meal not in pool:
-                    continue
-                g = pool[meal]
-                ids, used = g["recipe_id"].to_numpy(), g["recipe_id"].map(uses).to_numpy(dtype=float)
-                same_day = g["recipe_id"].isin(today).to_numpy()
-                cost = SAME_DAY * same_day + np.minimum(USED_MOST, USED * used) + BEFORE * (ids == before) + DAY_BEFORE * (ids == at_meal.get((meal, day - 1)))
-                cost = cost + np.minimum(CUISINE_MOST, CUISINE * g["cuisine"].map(lambda c: cuisines[c] if isinstance(c, str) else 0).to_numpy(dtype=float))
-                cost = np.round(np.minimum(MOST, cost), 3)
-                score = np.round(np.maximum(0.0, g["score"].to_numpy() - cost), 3)
-                for allowed in (~same_day & (used == 0), ~same_day, np.ones(len(g), dtype=bool)):
-                    if allowed.any():
-                        break
-                best = int(np.where(allowed, score, -1.0).argmax())
-                chosen, before = int(ids[best]), int(ids[best])
-                today.add(chosen)
-                uses[chosen] += 1
-                at_meal[meal, day] = chosen
-                if isinstance(g["cuisine"].iloc[best], str):
-                    cuisines[g["cuisine"].iloc[best]] += 1
-                out.append((group["profile_id"].iloc[0], day, meal, chosen, float(score[best])))
-        return pd.DataFrame(out, columns=["profile_id", "day", "meal_type", "recipe_id", "selection_score"])
-
-    return rows.groupBy("profile_id").applyInPandas(run, "profile_id long, day int, meal_type string, recipe_id long, selection_score double")
+    rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= picks)
+    pools = rows.groupBy("profile_id").agg(F.collect_list(F.struct("meal_type", "recipe_id", "cuisine", F.col("score").cast("double").alias("score"))).alias("pool"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for profile, pool in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out += [(profile, *row) for row in _plan([tuple(r.values()) for r in pool], days, meals)]
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64())
+            cols = list(zip(*out)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["profile_id", "day", "meal_type", "recipe_id", "selection_score"])
+
+    return pools.mapInArrow(run, "profile_id long, day int, meal_type string, recipe_id long, selection_score double")
+
+
+def _plan(pool: list[tuple[str, int, str | None, float]], days: int, meals: list[str]) -> Iterator[tuple[int, str, int, float]]:
+    """One profile's plan: day, meal, recipe, score. pool: meal, recipe, cuisine, score."""
+    third = lambda x: round(x * 1000.0) / 1000.0
+    of = {m: sorted((r[1:] for r in pool if r[0] == m), key=lambda r: r[0]) for m in meals}
+    uses, cuisines, before = Counter(), Counter(), None
+    at_meal: dict[tuple[str, int], int] = {}
+    for day in range(days):
+        today: set[int] = set()
+        for meal in meals:
+            best = None
+            for recipe, cuisine, base in of[meal]:
+                used, same_day = uses[recipe], recipe in today
+                cost = SAME_DAY * same_day + min(USED_MOST, USED * used) + BEFORE * (recipe == before) + DAY_BEFORE * (recipe == at_meal.get((meal, day - 1)))
+                cost = third(min(MOST, cost + min(CUISINE_MOST, CUISINE * (cuisines[cuisine] if cuisine is not None else 0))))
+                # the class that comes first, then the score; of equal ones the smaller recipe, which is met first
+                found = (2 if same_day else 1 if used else 0, -third(max(0.0, (base or 0.0) - cost)))
+                if best is None or found < best[0]:
+                    best = found, recipe, cuisine
+            if best is None:
+                continue
+            (_, minus), before, cuisine = best
+            today.add(before)
+            uses[before] += 1
+            at_meal[meal, day] = before
+            if cuisine is not None:
+                cuisines[cuisine] += 1
+            yield day, meal, before, -minus if minus else 0.0
 
 
 def unit_closure(edges: DataFrame) -> DataFrame:

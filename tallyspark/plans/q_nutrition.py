@@ -183,7 +183,7 @@ def _planner(spark, d):
     vectors = likes.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "s"))).alias("vector"))
     rolled = recipe_nutrition(spark, d).select("recipe_id", "serving_kcal", "ingredient_count")
     aims = rolled.join(o, "recipe_id").groupBy("profile_id").agg(rounded(exact_avg(F.col("serving_kcal"))).alias("aim"))
-    rows = o.join(rolled, "recipe_id").join(aims, "profile_id").join(vectors, "profile_id", "left").join(kinds.groupBy("recipe_id").agg(F.collect_set("p_type").alias("keys")), "recipe_id", "left")
+    rows = o.join(rolled, "recipe_id").join(kinds.groupBy("recipe_id").agg(F.collect_set("p_type").alias("keys")), "recipe_id", "left").join(aims, "profile_id").join(vectors, "profile_id", "left")
     tags = F.when(F.col("cuisine") == "4-NOT SPECIFIED", F.array().cast("array<string>")).otherwise(F.array("o_orderstatus"))
     rows = rows.withColumn("tags", tags).withColumn("meal_type", F.explode(F.array(*[F.lit(m) for m in MEALS])))
     fit = N.meal_fit(F.col("tags"), F.col("meal_type"))
