@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import basket as B
 from tallyspark.operators import providers as V
 from tallyspark.plans.adapter import read, sql_round
-from tallyspark.plans.q_basket import BASE, parts
+from tallyspark.plans.q_basket import BASE, _named, _options
 from tallyspark.plans.registry import query
 
 R = sql_round
@@ -57,10 +57,10 @@ def geocoding_provider(spark, d):
   SELECT basket_id, chain_id, 'solver' AS solved_by FROM full_ UNION ALL SELECT basket_id, chain_id, 'fallback' FROM single ANTI JOIN full_ USING (basket_id)""")
 def optimizer_adapter(spark, d):
     """A solver that only takes chains with every item, and the best single chain for baskets that no chain has whole."""
-    options = B.chain_options(*parts(spark, d))
+    options, names = _options(spark, d)
 
     def solver(problems):
         g = problems.filter("missing_item_count = 0").groupBy("basket_id").agg(F.min("chain_id").alias("chain_id"))
         return g.withColumn("feasible", F.col("chain_id").isNotNull())
 
-    return V.optimised(options, "basket_id", solver, lambda rest: B.best_single(rest).select("basket_id", "chain_id"))
+    return _named(V.optimised(options, "basket_id", solver, lambda rest: B.best_single(rest).select("basket_id", "chain_id")), names)
