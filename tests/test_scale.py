@@ -16,3 +16,53 @@ def test_meal_plans_start_no_group_in_python(spark):
     rows = [(p, r, m, True, "c" if r % 2 else None, (r * 7 + p) % 10 / 10) for p in range(3) for r in range(6) for m in ("a", "b")]
     plan = planned(N.meal_plans(spark.createDataFrame(rows, "profile_id long, recipe_id long, meal_type string, fits boolean, cuisine string, score double"), 2, ["a", "b"]))
     assert "FlatMapGroups" not in plan and plan.count("Exchange ") == 1
+
+
+ITEMS = [(1, 10, 2.0), (1, 11, 1.0), (1, 12, 3.0), (2, 10, 1.0), (3, 13, 1.0)]
+PRICES = [(10, "A", 1.25), (10, "B", 0.125), (11, "B", 2.0), (11, "C", 3.5), (12, "C", 9.99), (13, "B", 4.0)]
+
+
+def basket_tables(spark):
+    return spark.createDataFrame(ITEMS, "basket_id long, canonical_product_id long, quantity double"), spark.createDataFrame(PRICES, "canonical_product_id long, chain_id string, price double")
+
+
+def moved_by(plan: str) -> list[str]:
+    return re.findall(r"hashpartitioning\(([^)]*)", re.sub(r"#\d+L?", "", plan))
+
+
+def test_basket_lines_never_move_by_chain(spark):
+    """Lines were multiplied by the chains of their products first and then shuffled by basket and chain."""
+    from tallyspark.operators import basket as B
+
+    items, prices = basket_tables(spark)
+    for df in (B.chain_options(items, prices), B.best_single(B.chain_options(items, prices)), B.candidate_chains(B.chain_options(items, prices)), B.legacy_options(items, prices), B.basket_combinations(items, prices)):
+        assert not [k for k in moved_by(planned(df)) if "chain_id" in k or "combo" in k]
+    got = {(r["basket_id"], r["chain_id"]): (r["priced_item_count"], r["actual_total"], r["missing_item_count"]) for r in B.chain_options(items, prices).collect()}
+    # 0.125 isn't whole cents, and stays what it is
+    assert got == {(1, "A"): (1, 2.5, 2), (1, "B"): (2, 2.25, 1), (1, "C"): (2, 33.47, 1), (2, "A"): (1, 1.25, 0), (2, "B"): (1, 0.13, 0), (3, "B"): (1, 4.0, 0)}
+
+
+def test_basket_options_by_places_of_names(spark):
+    """Chains as places in their names' order give what the names give, and the single chain comes with its counts."""
+    from tallyspark.operators import basket as B
+
+    items, prices = basket_tables(spark)
+    names = ["A", "B", "C"]
+    coded = prices.withColumn("chain_id", (F.ascii("chain_id") - 65).cast("short"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(B.best_options(items, prices)) == rows(B.best_options(items, coded, names))
+    assert rows(B.legacy_options(items, prices)) == rows(B.legacy_options(items, coded, names))
+    assert rows(B.basket_combinations(items, prices)) == rows(B.basket_combinations(items, coded, names))
+    single = B.best_single(B.chain_options(items, prices))
+    assert rows(B.single_of(B.best_options(items, prices)).select(*single.columns)) == rows(single)
+
+
+def test_plans_lines_never_move_by_chain(spark):
+    from tallyspark.operators.intent import plan_shopping
+
+    required = spark.createDataFrame([(1, "a", 10.0), (1, "b", 0.0), (2, "a", 25.0)], "plan_id long, ingredient_key string, net_grams double")
+    packages = spark.createDataFrame([("a", 7, 10.0)], "ingredient_key string, product_id long, package_grams double")
+    prices = spark.createDataFrame([(7, "A", 1.5), (7, "B", 1.4)], "product_id long, chain_id string, price double")
+    found = plan_shopping(required, packages, prices)
+    assert not [k for k in moved_by(planned(found)) if "chain_id" in k]
+    assert sorted(map(tuple, found.collect())) == [(1, "B", 1, 1, 0, 1.4), (2, "B", 1, 1, 0, 4.2)]
