@@ -66,3 +66,25 @@ def test_plans_lines_never_move_by_chain(spark):
     found = plan_shopping(required, packages, prices)
     assert not [k for k in moved_by(planned(found)) if "chain_id" in k]
     assert sorted(map(tuple, found.collect())) == [(1, "B", 1, 1, 0, 1.4), (2, "B", 1, 1, 0, 4.2)]
+
+
+def test_pairs_are_those_of_the_join(spark):
+    """Pairs scored in a task are those of candidates and match_score; none of them moves."""
+    from tallyspark.operators import matching as M
+    from tallyspark.operators import pairs as V
+
+    qs = [(1, "red gear", ["red", "gear"], 5.0, None, ["gearx", "red g"]), (2, "b x", ["b", "x", "b"], None, 1.5, None), (3, "none", ["none"], 1.0, 1.0, []), (4, "empty", None, None, None, None), (5, "red gear", ["red", "gear"], 5.0, None, ["gearx", "red g"])]
+    ps = [(i, ["red gear", "b x", "blue red gear", None][i % 4], [["b x"], [], None, ["red gear"]][i % 4], ["b", "red", None][i % 3], [5.0, None][i % 2], [1.5, None, 2.0][i % 3], [0.7, None, 1.3][i % 3], [["red", "gear", "red"], ["b"], ["x", "b"], None][i % 4]) for i in range(40)]
+    q = spark.createDataFrame(qs, "query_id long, q_name string, q_tokens array<string>, q_size double, q_percent double, canonical_terms array<string>")
+    p = spark.createDataFrame(ps, "product_id long, name string, aliases array<string>, brand string, size double, percent double, confidence double, tokens array<string>")
+    joined = M.match_score(M.candidates(q.withColumnRenamed("q_tokens", "tokens"), p).join(q, "query_id").join(p, "product_id"))
+    rows = lambda df, *cols: sorted(map(tuple, df.select(*cols).collect()))
+    got = V.pairs(q, p)
+    assert "hashpartitioning" not in planned(got)
+    assert rows(got, "query_id", "product_id", "shared", "score") == rows(joined, "query_id", "product_id", "shared", "score")
+    assert rows(M.top_n(V.pairs(q, p, top=3), 3), "query_id", "product_id", "rank") == rows(M.top_n(joined, 3), "query_id", "product_id", "rank")
+    tests = [F.col("brand") == "b", F.col("shared") >= 2]
+    assert rows(V.soft_filtered(q, p.withColumn("flag", F.col("brand") == "b"), 2), "query_id", "product_id") == rows(M.soft_filter(joined.select("query_id", "product_id", "brand", "shared"), tests), "query_id", "product_id")
+    least = joined.groupBy("query_id").agg(F.min("product_id").alias("least"))
+    assert rows(V.least_of(q, p, "product_id"), "query_id", "least") == rows(least, "query_id", "least")
+    assert V.pairs(q.limit(0), p).count() == 0 and V.pairs(q, p.limit(0)).count() == 0
