@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import exact_avg, rounded
+from tallyspark.functions.money import rounded
 
 EARTH_KM = 6371.0088
 KM_PER_DEGREE = 111.0
+#: What a chord may be too long by, in km on the ground: more than the rounding of a distance and of its sums. Bytes of places that go to all tasks, and of one; tasks a core.
+SLACK_KM, MOST_BYTES, PLACE_BYTES, TASKS = 0.01, 8 << 20, 120, 4
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -35,11 +37,23 @@ def within(origins: DataFrame, places: DataFrame, km: float) -> DataFrame:
     reach = F.lit(math.sin(turn)) / F.cos(F.radians(far))
     cells = F.when((reach < 1) & F.lit(turn < math.pi / 2), F.greatest(F.floor(F.lit(2 * math.pi) / F.asin(reach)), F.lit(1))).otherwise(1).cast("long")
     cell = F.floor((F.col("lon") + 180) / 360 * F.col("__n")).cast("long")
-    a = origins.select("origin_id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("__y")).withColumn("__n", cells)
+    # points on the unit sphere: a chord much longer than the radius allows is told by three products, without the distance's functions
+    p, q = F.radians("lat"), F.radians("lon")
+    at = F.array(F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))
+    xyz = lambda side: [at[i].alias(f"__{side}{i}") for i in range(3)]
+    spark = origins.sparkSession
+    few = places.count() * PLACE_BYTES <= MOST_BYTES
+    # few places go to all tasks, so origins are dealt out evenly, however few files or places they lie in; many meet by cell
+    a = origins.repartition(TASKS * spark.sparkContext.defaultParallelism, "origin_id") if few else origins
+    a = a.select("origin_id", "lat", "lon", *xyz("o"), F.explode(F.sequence(band - 1, band + 1)).alias("__y")).withColumn("__n", cells)
     a = a.withColumn("__x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(cell + s, F.col("__n"))))))
-    a = a.select("origin_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "__y", "__x")
-    b = places.withColumn("__y", band).withColumn("__n", cells).withColumn("__x", F.pmod(cell, F.col("__n"))).drop("__n")
-    pairs = a.join(b, ["__y", "__x"]).withColumn("distance_km", haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon")))
+    a = a.select("origin_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "__o0", "__o1", "__o2", "__y", "__x")
+    b = places.select("place_id", "lat", "lon", *xyz("p")).withColumn("__y", band).withColumn("__n", cells).withColumn("__x", F.pmod(cell, F.col("__n"))).drop("__n")
+    chord = sum(((F.col(f"__o{i}") - F.col(f"__p{i}")) * (F.col(f"__o{i}") - F.col(f"__p{i}")) for i in range(3)), F.lit(0.0))
+    most = (2 * math.sin(min(turn + SLACK_KM / EARTH_KM, math.pi) / 2)) ** 2
+    met = a.join(F.broadcast(b) if few else b, ["__y", "__x"])
+    near = met.filter(chord <= most * (1 + 1e-9) + 1e-15) if turn < math.pi / 2 else met
+    pairs = near.withColumn("distance_km", haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon")))
     return pairs.filter(F.col("distance_km") <= km).select("origin_id", "place_id", "distance_km")
 
 
@@ -65,8 +79,20 @@ def availability_order(rows: DataFrame, sort: str) -> DataFrame:
 
 
 def distance_summary(distances: DataFrame, km: str = "distance_km") -> DataFrame:
-    """count, mean, greatest, and the nearest-rank 95th percentile, which is percentile_disc."""
-    return distances.agg(F.count(km).alias("count"), rounded(exact_avg(F.col(km)), 3).alias("mean_km"), F.max(km).alias("max_km"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {km})").alias("p95_km"))
+    """count, mean, greatest, and the nearest-rank 95th percentile, which is percentile_disc.
+
+    Equal distances are counted first. They have three places, so what is left are no more rows than metres of the longest, whatever the pairs.
+    """
+    n, d = F.col("__n"), F.col(km)
+    each = distances.filter(d.isNotNull()).groupBy(d.alias(km)).agg(F.count("*").alias("__n"))
+    # as exact_sum, each distance as often as it occurs
+    units = F.floor(d * 10000.0 + 0.5)
+    lower = units % 1_000_000
+    total = (F.sum(((units - lower) / 1_000_000).cast("long") * n).cast("double") * 1e6 + F.sum(lower * n).cast("double")) / 10000.0
+    whole = each.agg(F.coalesce(F.sum(n), F.lit(0)).alias("count"), rounded(total / F.sum(n), 3).alias("mean_km"), F.max(km).alias("max_km"))
+    upto = each.withColumn("__upto", F.sum(n).over(Window.orderBy(km))).crossJoin(F.broadcast(whole.select(F.col("count").alias("__all"))))
+    p95 = upto.filter(F.col("__upto") >= 0.95 * F.col("__all")).agg(F.min(km).alias("p95_km"))
+    return whole.crossJoin(F.broadcast(p95)).select("count", "mean_km", "max_km", "p95_km")
 
 
 def parse_store(text: Column) -> tuple[Column, Column, Column]:

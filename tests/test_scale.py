@@ -88,3 +88,30 @@ def test_pairs_are_those_of_the_join(spark):
     least = joined.groupBy("query_id").agg(F.min("product_id").alias("least"))
     assert rows(V.least_of(q, p, "product_id"), "query_id", "least") == rows(least, "query_id", "least")
     assert V.pairs(q.limit(0), p).count() == 0 and V.pairs(q, p.limit(0)).count() == 0
+
+
+def test_origins_of_one_file_are_dealt_out(spark):
+    """All pairs of a small file of origins were one task's work; the cheap test of chords loses none at any distance."""
+    from tallyspark.operators import places as G
+
+    near = [(i, 42.0 + i * 0.0013, 23.0 + i * 0.0007) for i in range(120)] + [(500, 89.9, 10.0), (501, 89.95, -170.0), (502, 0.0, 179.99), (503, 0.0, -179.99), (504, 95.0, 1.0)]
+    o = spark.createDataFrame(near, "origin_id long, lat double, lon double").coalesce(1)
+    p = o.withColumnRenamed("origin_id", "place_id")
+    assert "hashpartitioning(origin_id" in planned(G.within(o, p, 5.0))
+    for km in (0.161, 5.0, 30.0, 15000.0):
+        pairs = o.crossJoin(p.select("place_id", F.col("lat").alias("b"), F.col("lon").alias("c"))).withColumn("distance_km", G.haversine(F.col("lat"), F.col("lon"), F.col("b"), F.col("c")))
+        want = sorted(map(tuple, pairs.filter(F.col("distance_km") <= km).select("origin_id", "place_id", "distance_km").collect()))
+        assert sorted(map(tuple, G.within(o, p, km).collect())) == want
+
+
+def test_distances_are_counted_before_they_are_ranked(spark):
+    """The percentile kept every value of the pairs in an aggregate of objects."""
+    from tallyspark.operators import places as G
+
+    d = spark.createDataFrame([(float(x % 37) / 8,) for x in range(1000)] + [(None,)], "distance_km double")
+    got = G.distance_summary(d)
+    assert "percentile" not in planned(got)
+    want = d.agg(F.count("distance_km"), F.max("distance_km"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY distance_km)"), F.avg("distance_km")).first()
+    r = got.first()
+    assert (r["count"], r["max_km"], r["p95_km"]) == tuple(want)[:3] and abs(r["mean_km"] - want[3]) < 0.001
+    assert tuple(G.distance_summary(d.limit(0)).first()) == (0, None, None, None)
