@@ -115,3 +115,31 @@ def test_distances_are_counted_before_they_are_ranked(spark):
     r = got.first()
     assert (r["count"], r["max_km"], r["p95_km"]) == tuple(want)[:3] and abs(r["mean_km"] - want[3]) < 0.001
     assert tuple(G.distance_summary(d.limit(0)).first()) == (0, None, None, None)
+
+
+def test_lists_are_matched_where_the_products_lie(spark):
+    """Pairs of items and products were joined by word and counted in a shuffle."""
+    from tallyspark.operators import intent as I
+
+    items = spark.createDataFrame([(1, "red ring", "ring", None, "5g", None), (2, "blue gear", None, "BIG", None, "2"), (3, "zzz", None, None, None, None)], "item_id long, name string, base_hint string, category_hint string, volume string, count string")
+    ps = [(i, ["red ring", "blue gear x", "red gear"][i % 3], ["ring", "gear"][i % 2], ["BIG", None][i % 2], ["acme", "blue"][i % 2], ["5g", "6g", None][i % 3], ["2", None][i % 2], 0.01 * i) for i in range(12)]
+    products = spark.createDataFrame(ps, "product_id long, name string, base_product string, category string, brand string, volume string, count string, confidence double")
+    prices = products.select("product_id", (F.lit(20.0) - F.col("product_id") % 4).alias("price"))
+    got = I.match_list(items, products)
+    assert "hashpartitioning" not in planned(got)
+
+    def score(item, p):
+        words = item["name"].split()
+        shared = len(set(words) & set(f"{p['name']} {p['base_product']} {p['brand']}".split()))
+        sign = sum(0 if item[c] is None or p[c] is None else 1 if item[c] == p[c] else -1 for c in ("volume", "count"))
+        name = 0.12 if item["name"] == p["name"] else 0.08 if item["name"] in p["name"] else 0.0
+        s = shared / len(words) * 0.55 + name + 0.15 * (item["base_hint"] == p["base_product"]) + 0.08 * (item["category_hint"] is not None and item["category_hint"] == p["category"]) + 0.12 * (p["brand"] in words) + sign * 0.18 + p["confidence"] * 0.05
+        return round(s, 4) if shared else 0
+
+    rows = [(i["item_id"], p["product_id"], score(i, p)) for i in items.collect() for p in products.collect()]
+    want = {r[:2]: r[2] for r in rows if r[2] > 0}
+    assert {(r["item_id"], r["product_id"]): r["score"] for r in got.collect()} == want
+    joined = got.join(prices, "product_id")
+    policy = {p: {r["item_id"]: (r["status"], r["product_id"]) for r in I.ambiguity_policy(joined, p).collect()} for p in ("strict", "best", "cheapest")}
+    found = I.list_policies(items, products, prices)
+    assert {r["item_id"]: (r["strict_status"], r["strict_product"], r["best_product"], r["cheapest_product"]) for r in found.collect()} == {i: (*policy["strict"][i], policy["best"][i][1], policy["cheapest"][i][1]) for i in policy["best"]}
