@@ -100,7 +100,9 @@ def matches(texts: DataFrame, aliases: DataFrame, key: str, tokens: str, split=b
         cut = lambda n: F.transform(F.sequence(F.lit(0), F.size("__t") - n), lambda i: F.struct(i.cast("int").alias("start"), F.array_join(F.slice("__t", i + 1, n), " ").alias("run")))
         lists = [F.when(F.size("__t") >= n, cut(n)).otherwise(F.array().cast("array<struct<start:int,run:string>>")) for n in runs]
         grams = own.select(key, F.explode(F.flatten(F.array(*lists))).alias("g")).select(key, "g.start", "g.run")
-        return grams.join(known.select(F.array_join("tokens", " ").alias("run"), "alias", "target"), "run").select(key, "start", "alias", "target")
+        # Spark takes the runs for as small as the texts' files and would broadcast them, through the driver
+        named = known.select(F.array_join("tokens", " ").alias("run"), "alias", "target").hint("merge")
+        return grams.join(named, "run").select(key, "start", "alias", "target")
     return _found(texts, known, key, tokens, "all")
 
 

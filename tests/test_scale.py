@@ -143,3 +143,33 @@ def test_lists_are_matched_where_the_products_lie(spark):
     policy = {p: {r["item_id"]: (r["status"], r["product_id"]) for r in I.ambiguity_policy(joined, p).collect()} for p in ("strict", "best", "cheapest")}
     found = I.list_policies(items, products, prices)
     assert {r["item_id"]: (r["strict_status"], r["strict_product"], r["best_product"], r["cheapest_product"]) for r in found.collect()} == {i: (*policy["strict"][i], policy["best"][i][1], policy["cheapest"][i][1]) for i in policy["best"]}
+
+
+def test_runs_of_tokens_are_not_broadcast(spark):
+    """Runs are many times the texts they are cut from, which the planner doesn't see."""
+    from tallyspark.operators import vocabulary as V
+
+    texts = spark.createDataFrame([(1, ["hot", "ring", "hot"]), (2, ["ring"])], "id long, tokens array<string>")
+    aliases = spark.createDataFrame([("hot ring", "a"), ("ring", "b")], "alias string, target string")
+    found = V.matches(texts, aliases, "id", "tokens", join=True)
+    assert "Broadcast" not in planned(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "hot ring", "a"), (1, 1, "ring", "b"), (2, 0, "ring", "b")]
+
+
+def test_a_page_is_sorted_by_no_single_task(spark, tmp_path):
+    """A page's rows were the first ones of a sort with a limit, which one task holds; rows of one key stay together."""
+    from tallyspark.operators import prices as P
+    from tallyspark.sources import replication as S
+
+    rows = [(f"k{i % 40:02}", float(i + 1), "2020-01-01") for i in range(41)]  # k00 twice
+    offers = spark.createDataFrame(rows, "source_product_id string, current_price double, snapshot_date string")
+    seen, after = [], None
+    while (last := S.export_baseline(offers, f"{tmp_path}/lines", after=after, limit=7)) is not None:
+        seen.append(last)
+        after = last
+    assert seen == ["k05", "k12", "k19", "k26", "k33", "k39"]
+    assert spark.read.json(f"{tmp_path}/lines").count() == 41
+    assert not re.search("TakeOrdered|GlobalLimit|CollectLimit", planned(S.page_of(offers, 7)))
+    few = P.current_offers(spark.createDataFrame([("a", "1", "x", "2020-01-01", "2020-01-01", "s", "st", "n", "b", "c", 2.0, 1.0)], "source_product_id string, canonical_product_id string, locality_code string, snapshot_date string, ingested_at string, snapshot_id string, store_name string, product_name string, brand string, category_code string, retail_price double, promo_price double"), "source_product_id", "current_price")
+    structs = re.findall(r"max\(struct\((.*?)\)\)", planned(few))
+    assert structs and not [x for x in structs if "product_name" in x] and few.columns == ["source_product_id", "current_price"] and tuple(few.first()) == ("a", 1.0)
