@@ -99,7 +99,7 @@ def ingest_counters(spark, d):
 @query("json_lines_baseline", f"WITH {LATEST} SELECT source_product_id, current_price, snapshot_date FROM offers")
 def json_lines_baseline(spark, d):
     """Exported twice into one folder and read back: the last row of each key stays."""
-    offers = P.current_offers(snapshots(spark, d)).select("source_product_id", "current_price", "snapshot_date")
+    offers = P.current_offers(snapshots(spark, d), "source_product_id", "current_price", "snapshot_date")
     at = T.work_dir(spark)
     old = offers.filter("hash(source_product_id) % 3 = 0").withColumn("snapshot_date", F.lit("1990-01-01")).withColumn("current_price", F.lit(1.0))
     S.export_json_lines(offers.unionByName(old), f"{at}/lines")
